@@ -1,0 +1,9 @@
+"""Streaming.
+
+The behaviour this library reproduces is batch only: it has no stream
+source, watermark, time window or state.  Nothing is implemented here on
+purpose; every operator in :mod:`itemlens.plans` takes and returns plain
+DataFrames, so a caller can apply the catalogue and labelling plans to a
+``readStream`` DataFrame (they are stateless projections and filters) or call
+the aggregating plans from ``foreachBatch``.
+"""
