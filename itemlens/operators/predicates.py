@@ -63,7 +63,7 @@ def catalog_filter(
     level: str | None = None,
     min_rating: float | None = None,
 ) -> Column:
-    check_range("min_rating", min_rating, R.RATING_MIN - R.RATING_MIN, R.RATING_MAX)
+    check_range("min_rating", min_rating, 0.0, R.RATING_MAX)
     return conjunction(
         [
             equals_if_given("category", category),
