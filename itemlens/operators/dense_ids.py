@@ -6,9 +6,9 @@ same numbering is computed in parallel:
 1. take a seeded sample of the keys and pick ``B - 1`` sorted splitters
    (bounded by ``max_buckets``; collected once, so every later pass sees the
    same splitters);
-2. bucket = number of splitters <= key (a binary search expressed with
-   ``aggregate`` over a fixed number of steps, so it is a pure function of
-   the key);
+2. bucket = number of splitters <= key (a balanced CASE tree, so about
+   log2(B) comparisons per row under whole-stage codegen; a pure function
+   of the key);
 3. count rows per bucket and turn the counts into offsets (at most
    ``max_buckets`` rows, broadcast with that bound);
 4. id = offset + ``row_number()`` within the bucket ordered by the key.
@@ -26,33 +26,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bucket_of(key: Column, splitters: Column, n_splitters: int) -> Column:
-    if n_splitters == 0:
-        return F.lit(0)
-    steps = max(1, math.ceil(math.log2(n_splitters + 1)))
-    init = F.struct(F.lit(0).alias("lo"), F.lit(n_splitters).alias("hi"))
+def _bucket_of(key: Column, splitters: list[Column]) -> Column:
+    """Number of splitters <= key, as a balanced CASE tree.
 
-    def step(acc: Column, _x: Column) -> Column:
-        lo, hi = acc["lo"], acc["hi"]
-        mid = ((lo + hi) / 2).cast("int")
-        right = F.try_element_at(splitters, mid + 1) <= key
-        moved = F.when(right, F.struct((mid + 1).alias("lo"), hi.alias("hi"))).otherwise(
-            F.struct(lo.alias("lo"), mid.alias("hi"))
-        )
-        return F.when(lo < hi, moved).otherwise(acc)
+    Each row evaluates about log2(len(splitters)) comparisons, and the whole
+    tree compiles with whole-stage codegen (no per-row lambda).  A NULL
+    comparison takes the lower branch, so NULL keys land in bucket 0.
+    """
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(splitters[mid] <= key, tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+    return tree(0, len(splitters))
 
 
-def _literal_array(rows: list, dtype) -> Column:
-    """Array literal of struct keys, typed exactly like the key struct."""
-    items = []
-    for r in rows:
-        fields = []
-        for f, v in zip(dtype.fields, r):
-            fields.append(F.lit(v).cast(f.dataType).alias(f.name))
-        items.append(F.struct(*fields))
-    return F.array(*items)
+def _literal(value, dtype) -> Column:
+    from pyspark.sql.types import StructType
+
+    if isinstance(dtype, StructType):
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for f, v in zip(dtype.fields, value)])
+    return F.lit(value).cast(dtype)
 
 
 def assign_dense_ids(
@@ -60,7 +56,7 @@ def assign_dense_ids(
     order_cols: Sequence[str],
     id_col: str = "item_id",
     rows_per_bucket: int = 2_000_000,
-    max_buckets: int = 4096,
+    max_buckets: int = 1024,
     sample_per_bucket: int = 32,
     seed: int = 42,
 ) -> DataFrame:
@@ -71,42 +67,43 @@ def assign_dense_ids(
     unspecified order, as with ``row_number``.
     """
     order_cols = list(order_cols)
-    key = F.struct(*[F.col(c).alias(c) for c in order_cols])
+    key = F.col(order_cols[0]) if len(order_cols) == 1 else F.struct(*[F.col(c).alias(c) for c in order_cols])
     n = df.count()
     n_buckets = max(1, min(max_buckets, math.ceil(n / max(1, rows_per_bucket))))
 
     keyed = df.withColumn("_key", key)
     key_type = keyed.schema["_key"].dataType
+    rows: list = []
     if n_buckets > 1:
         target = n_buckets * sample_per_bucket
         fraction = min(1.0, target / n)
         sample = keyed.select("_key").sample(False, fraction, seed)
         # The sample is bounded by construction; ordering it in one task is cheap.
         m = max(1, sample_per_bucket)
-        ranked = sample.withColumn("_i", F.row_number().over(Window.orderBy("_key")))
-        rows = [r["_key"] for r in ranked.filter(F.col("_i") % m == 0).select("_key").collect()]
-        # Drop repeated splitters; equal splitters would only make empty buckets.
-        uniq = []
-        for r in rows:
-            if not uniq or tuple(uniq[-1]) != tuple(r):
-                uniq.append(r)
-        rows = uniq[: max_buckets - 1]
-    else:
-        rows = []
-    splitters = _literal_array(rows, key_type) if rows else F.array()
-    bucketed = keyed.withColumn("_bucket", _bucket_of(F.col("_key"), splitters, len(rows)))
+        ranked = sample.withColumn("_i", F.row_number().over(Window.orderBy(F.col("_key").asc_nulls_first())))
+        picked = [r["_key"] for r in ranked.filter(F.col("_i") % m == 0).orderBy("_i").collect()]
+        # Drop NULL and repeated splitters; they would only make empty buckets.
+        for r in picked:
+            if r is None:
+                continue
+            if not rows or rows[-1] != r:
+                rows.append(r)
+        rows = rows[: max_buckets - 1]
+    splitters = [_literal(r, key_type) for r in rows]
+    bucketed = keyed.withColumn("_bucket", _bucket_of(F.col("_key"), splitters)).drop("_key")
 
     counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # At most max_buckets rows: a global window and a broadcast are bounded.
     offsets = counts.select(
         "_bucket",
-        (F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_offset"),
-    ).fillna(0, subset=["_offset"])
+        F.coalesce(
+            F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0),
+        ).alias("_offset"),
+    )
     within = Window.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
-    out = (
-        bucketed.join(F.broadcast(offsets), "_bucket")
+    return (
+        bucketed.join(F.broadcast(offsets), "_bucket", "left")
         .withColumn(id_col, (F.col("_offset") + F.row_number().over(within)).cast("int"))
-        .drop("_bucket", "_offset", "_key")
+        .drop("_bucket", "_offset")
     )
-    return out

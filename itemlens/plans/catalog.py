@@ -11,6 +11,7 @@ from itemlens.functions import rules as R
 from itemlens.functions.labels import classify_contains, classify_tokens, extract_area, level_label
 from itemlens.operators.dedupe import dedupe_by_key
 from itemlens.operators.dense_ids import assign_dense_ids
+from itemlens.session import ensure_checkpoint_dir
 
 def default_dedupe_order() -> list[Column]:
     """Survivor order for duplicate keys: most reviews first (NULL counts
@@ -60,6 +61,7 @@ def prepare_catalog(
     """
     deduped = dedupe_by_key(raw, ["item_key"], dedupe_order or default_dedupe_order())
     if checkpoint:
+        ensure_checkpoint_dir(raw.sparkSession)
         deduped = deduped.checkpoint(eager=True)
     with_ids = assign_dense_ids(deduped, ["item_key"], "item_id", rows_per_bucket=rows_per_bucket)
     labelled = label_catalog(with_ids, rules)
@@ -84,3 +86,17 @@ def prepare_catalog(
 def id_map(catalog: DataFrame) -> DataFrame:
     """The persisted key -> id mapping."""
     return catalog.select("item_key", "item_id")
+
+
+def write_catalog_table(catalog: DataFrame, path: str) -> None:
+    """Persist the prepared catalogue as parquet, clustered by its labels.
+
+    Sorting within each output file by (category, area, level) gives tight
+    per-row-group min/max statistics, so equality filters on the labels
+    skip row groups at the scan; ids and keys ride along unchanged.
+    """
+    (
+        catalog.sortWithinPartitions("category", "area", "level", "item_id")
+        .write.mode("overwrite")
+        .parquet(path)
+    )

@@ -3,12 +3,15 @@ and a bias-baseline predictor that can be checked in plain SQL."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemlens.functions import rules as R
 from itemlens.functions.values import base_rating, clamp, hash_fraction_bucket, round_half_up
 from itemlens.operators.topk import topk_per_group
+from itemlens.session import ensure_checkpoint_dir
 
 
 def interaction_ratings(
@@ -117,28 +120,71 @@ def split_ratings(ratings: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
     return train, test
 
 
-def bias_baseline_predict(train: DataFrame, rows: DataFrame) -> DataFrame:
-    """Predict ``mu + b_item + b_user`` for ``rows`` from ``train``.
+@dataclass
+class BiasModel:
+    """Fitted bias baseline: global mean plus item and user offsets.
 
-    ``mu`` is the global mean (a scalar subquery), ``b_item`` the item's mean
-    residual and ``b_user`` the user's mean residual after the item term;
-    unknown items or users contribute 0.
+    ``mu`` is one number; the offset tables have one row per item / user and
+    are materialised once (reliable checkpoint), so predicting and ranking
+    never re-read the training ratings.
     """
-    mu = train.agg(F.avg("rating")).scalar()
-    item_bias = train.groupBy("item_id").agg(F.avg(F.col("rating") - mu).alias("b_item"))
+
+    mu: float
+    item_bias: DataFrame  # item_id, b_item
+    user_bias: DataFrame  # user_id, b_user
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """``prediction = mu + b_item + b_user`` (unknown item / user -> 0)."""
+        return (
+            rows.join(self.item_bias, "item_id", "left")
+            .join(self.user_bias, "user_id", "left")
+            .withColumn(
+                "prediction",
+                F.lit(self.mu) + F.coalesce(F.col("b_item"), F.lit(0.0)) + F.coalesce(F.col("b_user"), F.lit(0.0)),
+            )
+            .drop("b_item", "b_user")
+        )
+
+    def top_items(self, top_n: int) -> DataFrame:
+        """The ``top_n`` items by ``b_item`` (then lower id): the same for every user."""
+        return self.item_bias.orderBy(F.col("b_item").desc(), F.col("item_id").asc()).limit(top_n)
+
+    def warm_scores(self, users: DataFrame, top_n: int) -> DataFrame:
+        """``user_id, item_id, score`` for every requested user the baseline knows.
+
+        The item term does not depend on the user, so the best ``top_n``
+        items are shared; they travel as one bounded array (a scalar
+        subquery), never as a join that multiplies rows.
+        """
+        packed = self.top_items(top_n).select(F.collect_list(F.struct("item_id", "b_item")).alias("a")).scalar()
+        known = users.select("user_id").join(self.user_bias, "user_id", "inner")
+        return known.select("user_id", "b_user", F.inline(packed)).select(
+            "user_id", "item_id", (F.lit(self.mu) + F.col("b_item") + F.col("b_user")).alias("score")
+        )
+
+
+def fit_bias_baseline(train: DataFrame, checkpoint: bool = True) -> BiasModel:
+    """Global mean, item mean residual, then user mean residual after the item term."""
+    if checkpoint:
+        ensure_checkpoint_dir(train.sparkSession)
+    mu = train.agg(F.avg("rating")).first()[0]
+    mu = float(mu) if mu is not None else 0.0
+    item_bias = train.groupBy("item_id").agg(F.avg(F.col("rating") - F.lit(mu)).alias("b_item"))
+    if checkpoint:
+        item_bias = item_bias.checkpoint(eager=True)
     user_bias = (
         train.join(item_bias, "item_id")
         .groupBy("user_id")
-        .agg(F.avg(F.col("rating") - mu - F.col("b_item")).alias("b_user"))
-    )
-    return (
-        rows.join(item_bias, "item_id", "left")
-        .join(user_bias, "user_id", "left")
-        .withColumn(
-            "prediction", mu + F.coalesce(F.col("b_item"), F.lit(0.0)) + F.coalesce(F.col("b_user"), F.lit(0.0))
-        )
-        .drop("b_item", "b_user")
+        .agg(F.avg(F.col("rating") - F.lit(mu) - F.col("b_item")).alias("b_user"))
     )
+    if checkpoint:
+        user_bias = user_bias.checkpoint(eager=True)
+    return BiasModel(mu, item_bias, user_bias)
+
+
+def bias_baseline_predict(train: DataFrame, rows: DataFrame) -> DataFrame:
+    """Fit the bias baseline on ``train`` and predict ``rows``."""
+    return fit_bias_baseline(train).predict(rows)
 
 
 def rmse(predictions: DataFrame, label: str = "rating", prediction: str = "prediction") -> DataFrame:

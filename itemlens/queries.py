@@ -23,10 +23,10 @@ from itemlens.operators.joins import cold_users, enrich_with_catalog, known_user
 from itemlens.operators.predicates import catalog_filter, scored_area, specific_category
 from itemlens.plans import als as A
 from itemlens.plans.browse import browse, browse_total
-from itemlens.plans.catalog import id_map, prepare_catalog
+from itemlens.plans.catalog import id_map, prepare_catalog, write_catalog_table
 from itemlens.plans.ratings import (
-    bias_baseline_predict,
     cap_per_user,
+    fit_bias_baseline,
     interaction_ratings,
     join_base_rating,
     rmse,
@@ -87,8 +87,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared catalogue (ids + labels), materialised once per session."""
 
     def build():
-        ensure_checkpoint_dir(spark)
-        return prepare_catalog(raw_catalog(spark, sf_dir), RULES).checkpoint(eager=True)
+        path = scratch_path(spark, "catalog")
+        write_catalog_table(prepare_catalog(raw_catalog(spark, sf_dir), RULES), path)
+        return spark.read.parquet(path)
 
     return _memo(spark, sf_dir, "catalog", build)
 
@@ -113,6 +114,16 @@ def trained_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.select("user_id").distinct()
 
 
+def baseline(spark: SparkSession, sf_dir: str):
+    """Bias baseline fitted once on the training split."""
+
+    def build():
+        train, _ = train_test(spark, sf_dir)
+        return fit_bias_baseline(train)
+
+    return _memo(spark, sf_dir, "baseline", build)
+
+
 def model(spark: SparkSession, sf_dir: str):
     def build():
         train, _ = train_test(spark, sf_dir)
@@ -340,8 +351,8 @@ def q_dedupe_by_key(spark, sf_dir):
 
 
 def q_rmse_bias_baseline(spark, sf_dir):
-    train, test = train_test(spark, sf_dir)
-    return rmse(bias_baseline_predict(train, test))
+    _, test = train_test(spark, sf_dir)
+    return rmse(baseline(spark, sf_dir).predict(test))
 
 
 def q_run_counts(spark, sf_dir):
@@ -391,41 +402,19 @@ def q_cold_start_topn(spark, sf_dir):
 
 
 def q_rerank_rounded(spark, sf_dir):
-    train, test = train_test(spark, sf_dir)
-    scored = bias_baseline_predict(train, test).select("user_id", "item_id", F.col("prediction").alias("score"))
+    _, test = train_test(spark, sf_dir)
+    scored = baseline(spark, sf_dir).predict(test).select("user_id", "item_id", F.col("prediction").alias("score"))
     return rerank_rounded(scored, TOP_N).select("user_id", "rank", "item_id", round_half_up("score", 4).alias("score"))
 
 
 # --- set operation: warm + cold ------------------------------------------------------
 
 
-def baseline_warm_scores(train: DataFrame, users: DataFrame, top_n: int) -> DataFrame:
-    """Bias-baseline top-N for known users: ``mu + b_item + b_user``.
-
-    The item term does not depend on the user, so the best ``top_n`` items
-    are the same for every user; they travel as one bounded array.
-    """
-    mu = train.agg(F.avg("rating")).scalar()
-    item_bias = train.groupBy("item_id").agg(F.avg(F.col("rating") - mu).alias("b_item"))
-    user_bias = (
-        train.join(item_bias, "item_id")
-        .groupBy("user_id")
-        .agg(F.avg(F.col("rating") - mu - F.col("b_item")).alias("b_user"))
-    )
-    best = item_bias.orderBy(F.col("b_item").desc(), F.col("item_id").asc()).limit(top_n)
-    packed = best.select(F.collect_list(F.struct("item_id", "b_item")).alias("a")).scalar()
-    warm = users.join(user_bias, "user_id", "inner")
-    return warm.select("user_id", "b_user", F.inline(packed)).select(
-        "user_id", "item_id", (mu + F.col("b_item") + F.col("b_user")).alias("score")
-    )
-
-
 def q_warm_cold_union(spark, sf_dir):
-    train, _ = train_test(spark, sf_dir)
     users = TB.load_users(spark, sf_dir)
-    trained = train.select("user_id").distinct()
-    scores = baseline_warm_scores(train, users, TOP_N)
-    return assemble(users, trained, scores, catalog(spark, sf_dir), TOP_N, DEFAULT_CATEGORY, DEFAULT_AREA)
+    base = baseline(spark, sf_dir)
+    scores = base.warm_scores(users, TOP_N)
+    return assemble(users, trained_users(spark, sf_dir), scores, catalog(spark, sf_dir), TOP_N, DEFAULT_CATEGORY, DEFAULT_AREA)
 
 
 # --- ratings -------------------------------------------------------------------------
