@@ -43,15 +43,20 @@ def assemble(
     top_n: int,
     default_category: str = R.DEFAULT_CATEGORY,
     default_area: str = R.DEFAULT_AREA,
+    restrict_to_users: bool = True,
 ) -> DataFrame:
     """Warm rows (scored, enriched) plus cold rows (fallback), flagged.
 
     ``warm_scores`` holds ``user_id, item_id, score`` for known users; every
-    requested user appears exactly once as warm or cold.
+    requested user appears exactly once as warm or cold.  Pass
+    ``restrict_to_users=False`` when the scores were produced for exactly
+    the requested users (saves a semi join).
     """
     check_int_range("top_n", top_n, 1, R.RECOMMEND_MAX_N)
     users = users.select("user_id").distinct()
-    warm = rerank_rounded(known_users(warm_scores, users.select("user_id")), top_n)
+    if restrict_to_users:
+        warm_scores = known_users(warm_scores, users)
+    warm = rerank_rounded(warm_scores, top_n)
     warm = enrich_with_catalog(warm, catalog, default_category=default_category, default_area=default_area)
     warm = warm.select(
         "user_id",
@@ -90,6 +95,6 @@ def recommend(
     check_int_range("top_n", top_n, 1, R.RECOMMEND_MAX_N)
     users = users.select(F.col("user_id").cast("int").alias("user_id")).distinct()
     trained = model.userFactors.select(F.col("id").alias("user_id"))
-    warm_users = known_users(users, trained)
-    scores = known_scores(model, warm_users, top_n)
-    return assemble(users, trained, scores, catalog, top_n, default_category, default_area)
+    # recommendForUserSubset keeps only the users that have factors.
+    scores = known_scores(model, users, top_n)
+    return assemble(users, trained, scores, catalog, top_n, default_category, default_area, restrict_to_users=False)

@@ -324,7 +324,7 @@ def q_anti_cold_users(spark, sf_dir):
 def q_factor_topk_per_user(spark, sf_dir):
     emb = TB.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     top = topk_dot_product(
-        emb, emb, FACTOR_K, "vec_id", "embedding", "vec_id", "embedding", block_size=256, exclude_same_id=True
+        emb, emb, FACTOR_K, "vec_id", "embedding", "vec_id", "embedding", exclude_same_id=True
     )
     return top.select("query_id", "item_id", "rank", round_half_up("score", 4).alias("score"))
 
