@@ -21,7 +21,11 @@ def dedupe_by_key(
     Physical shape: a single aggregation by key with ``min_by`` on the row.
     Partial aggregation runs before the shuffle, so a key that holds a large
     share of all rows collapses to one row per map task instead of flooding
-    one reducer.
+    one reducer.  A 64-bit hash of the key leads the grouping key: the sort
+    behind the aggregation then settles almost every comparison on 8 bytes,
+    while the key itself stays in the grouping, so equality is exact (long
+    texts that share a prefix are never compared character by character
+    unless their hashes collide).
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
@@ -32,5 +36,6 @@ def dedupe_by_key(
     if not rest:
         return df.select(*keys).distinct()
     row = F.struct(*[F.col(c) for c in rest])
-    kept = df.groupBy(*keys).agg(F.min_by(row, order_key).alias("_row"))
+    lead = F.xxhash64(*[F.col(k) for k in keys]).alias("_h")
+    kept = df.groupBy(lead, *keys).agg(F.min_by(row, order_key).alias("_row"))
     return kept.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from itemlens.functions import rules as R
 from itemlens.plans.als import evaluate, fit_als
 from itemlens.plans.catalog import id_map, prepare_catalog
-from itemlens.plans.ratings import interaction_ratings, split_ratings
+from itemlens.plans.ratings import cap_per_user, interaction_ratings, split_ratings
 from itemlens.plans.toplist import build_top_list
 from itemlens.sources.io import save_model, write_top_list
 
@@ -25,6 +25,8 @@ class TrainConfig:
     holdout_user_fraction: float = 0.0
     min_reviews: int = R.MIN_REVIEWS
     top_list_size: int = R.TOP_LIST_SIZE
+    # Optional (lo, hi): keep a reproducible sample of lo..hi ratings per user.
+    ratings_per_user: tuple[int, int] | None = None
 
 
 @dataclass
@@ -54,6 +56,8 @@ def train(
     """
     catalog = prepare_catalog(raw_catalog, rules)
     ratings = interaction_ratings(interactions, id_map(catalog))
+    if config.ratings_per_user:
+        ratings = cap_per_user(ratings, config.ratings_per_user, config.seed)
     if ratings_path:
         from itemlens.sources.io import read_ratings, write_ratings
 
