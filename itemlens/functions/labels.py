@@ -45,6 +45,11 @@ def split_tokens(text: Column | str, sep: str = ",") -> Column:
     )
 
 
+def _quote(token: str) -> str:
+    """Literal-quote a token for a Java regular expression."""
+    return "\\Q" + token.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def classify_tokens(
     text: Column | str,
     rules: Iterable[tuple[str, str]] = R.TOKEN_CATEGORY_RULES,
@@ -53,15 +58,25 @@ def classify_tokens(
 ) -> Column:
     """Label of the first token (in the row's own order) found in ``rules``.
 
-    Tokens are trimmed and lower-cased; NULL or empty text gets ``default``.
+    Tokens are the ``sep``-separated parts of ``text``, whitespace-trimmed and
+    compared case-insensitively; NULL or empty text gets ``default``.
+
+    One regular expression finds the leftmost whole token that is a rule key
+    (an alternation anchored on separators), so the row's order decides, and
+    a CASE maps it to its label; no per-token lambda runs.
     """
-    pairs = list(rules)
+    pairs = [(k.lower(), v) for k, v in rules]
     if not pairs:
         return F.lit(default)
-    lookup = F.create_map(*[F.lit(x) for kv in pairs for x in (kv[0].lower(), kv[1])])
-    labels = F.transform(split_tokens(text, sep), lambda t: F.try_element_at(lookup, t))
-    first = F.get(F.filter(labels, lambda x: x.isNotNull()), 0)
-    return F.coalesce(first, F.lit(default))
+    sep_q = _quote(sep)
+    alternation = "|".join(_quote(k) for k, _ in pairs)
+    pattern = f"(?i)(?:^|{sep_q})\\s*({alternation})\\s*(?={sep_q}|$)"
+    found = F.lower(F.regexp_extract(_col(text), pattern, 1))
+    expr = None
+    for k, v in pairs:
+        cond = found == F.lit(k)
+        expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
+    return expr.otherwise(F.lit(default))
 
 
 def _pad2_integer(digits: Column) -> Column:
@@ -70,7 +85,8 @@ def _pad2_integer(digits: Column) -> Column:
     Leading zeros are stripped textually, so arbitrarily long digit runs
     never overflow.
     """
-    stripped = F.regexp_replace(digits, r"^0+(?=[0-9])", "")
+    trimmed = F.ltrim(digits, F.lit("0"))
+    stripped = F.when(trimmed == F.lit(""), F.lit("0")).otherwise(trimmed)
     return F.when(F.length(stripped) < 2, F.lpad(stripped, 2, "0")).otherwise(stripped)
 
 
