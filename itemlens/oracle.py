@@ -354,7 +354,7 @@ FROM pred WHERE prediction IS NOT NULL AND NOT isnan(prediction)""",
         BASELINE,
         f"""SELECT user_id, rank, item_id, {rnd("score", 4)} AS score FROM (
   SELECT user_id, item_id, prediction AS score,
-         CAST(row_number() OVER (PARTITION BY user_id ORDER BY {rnd("prediction", 4)} DESC, prediction DESC, item_id) AS INTEGER) AS rank
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY {rnd("prediction", 4)} DESC, {rnd("prediction", 10)} DESC, item_id) AS INTEGER) AS rank
   FROM pred)
 WHERE rank <= {TOP_N}""",
     )
@@ -365,13 +365,13 @@ WHERE rank <= {TOP_N}""",
         + _FALLBACK
         + f""",
 trained AS (SELECT DISTINCT user_id FROM train),
-best AS (SELECT item_id, b_item FROM ib ORDER BY b_item DESC, item_id LIMIT {TOP_N}),
+best AS (SELECT item_id, b_item FROM ib ORDER BY {rnd("b_item", 10)} DESC, item_id LIMIT {TOP_N}),
 warm_scores AS (
   SELECT u.user_id, b.item_id, (SELECT mu FROM mu) + b.b_item + ub.b_user AS score
   FROM users u JOIN ub ON u.user_id = ub.user_id CROSS JOIN best b),
 warm AS (
   SELECT ws.user_id, false AS is_cold_start,
-         CAST(row_number() OVER (PARTITION BY ws.user_id ORDER BY {rnd("ws.score", 4)} DESC, ws.score DESC, ws.item_id) AS INTEGER) AS rank,
+         CAST(row_number() OVER (PARTITION BY ws.user_id ORDER BY {rnd("ws.score", 4)} DESC, {rnd("ws.score", 10)} DESC, ws.item_id) AS INTEGER) AS rank,
          ws.item_id, {_meta('c.')}, {rnd("ws.score", 4)} AS predicted_rating,
          COALESCE(c.activity_score, 0.0) AS activity_score
   FROM warm_scores ws LEFT JOIN cat c ON ws.item_id = c.item_id),

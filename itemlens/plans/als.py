@@ -23,7 +23,8 @@ def fit_als(
     """Explicit-feedback ALS; seeded so refits on the same input agree.
 
     Unscorable (cold) pairs are dropped at prediction time.  ALS
-    checkpoints its iterations to the session's checkpoint folder.
+    checkpoints its factors to the session's checkpoint folder every 10
+    iterations (its default), which bounds lineage on long fits.
     """
     als = ALS(
         rank=rank,
@@ -35,7 +36,6 @@ def fit_als(
         coldStartStrategy="drop",
         nonnegative=nonnegative,
         seed=seed,
-        checkpointInterval=5,
     )
     return als.fit(train)
 
@@ -64,9 +64,10 @@ def known_scores(model: ALSModel, users: DataFrame, top_n: int) -> DataFrame:
 def recommend_known(model: ALSModel, users: DataFrame, top_n: int) -> DataFrame:
     """Top ``top_n`` items for each requested user the model knows.
 
-    Re-ranked by the 4 dp prediction (desc), then raw prediction, then
+    Re-ranked by the 4 dp prediction (desc), then the 10 dp prediction, then
     ``item_id``.  Returns ``user_id, rank, item_id, score``.
     """
+    from itemlens.plans.recommend import rerank_order
+
     flat = known_scores(model, users, top_n)
-    order = [round_half_up("score", 4).desc(), F.col("score").desc(), F.col("item_id").asc()]
-    return topk_per_group(flat, ["user_id"], order, top_n).select("user_id", "rank", "item_id", "score")
+    return topk_per_group(flat, ["user_id"], rerank_order(), top_n).select("user_id", "rank", "item_id", "score")

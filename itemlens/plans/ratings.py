@@ -146,8 +146,9 @@ class BiasModel:
         )
 
     def top_items(self, top_n: int) -> DataFrame:
-        """The ``top_n`` items by ``b_item`` (then lower id): the same for every user."""
-        return self.item_bias.orderBy(F.col("b_item").desc(), F.col("item_id").asc()).limit(top_n)
+        """The ``top_n`` items by ``b_item`` (10 dp, so float noise cannot reorder
+        equal offsets; then lower id): the same for every user."""
+        return self.item_bias.orderBy(round_half_up("b_item", 10).desc(), F.col("item_id").asc()).limit(top_n)
 
     def warm_scores(self, users: DataFrame, top_n: int) -> DataFrame:
         """``user_id, item_id, score`` for every requested user the baseline knows.

@@ -29,10 +29,20 @@ def attach_fallback(cold: DataFrame, fallback: DataFrame) -> DataFrame:
     return cold.select("user_id", F.inline(packed)).withColumn("is_cold_start", F.lit(True))
 
 
+def rerank_order() -> list:
+    """Displayed (4 dp) score desc, then the finer score desc, then item asc.
+
+    The finer key is the score at 10 dp rather than the raw double: two
+    mathematically equal scores summed in a different order differ in the
+    last bits, and ranking on that noise would make the order depend on the
+    partition layout.
+    """
+    return [round_half_up("score", 4).desc(), round_half_up("score", 10).desc(), F.col("item_id").asc()]
+
+
 def rerank_rounded(scored: DataFrame, top_n: int) -> DataFrame:
-    """Per user: rank by the 4 dp score (desc), raw score (desc), item (asc)."""
-    order = [round_half_up("score", 4).desc(), F.col("score").desc(), F.col("item_id").asc()]
-    return topk_per_group(scored, ["user_id"], order, top_n)
+    """Per user: the best ``top_n`` rows in ``rerank_order``, ranked 1..n."""
+    return topk_per_group(scored, ["user_id"], rerank_order(), top_n)
 
 
 def assemble(

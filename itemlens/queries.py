@@ -31,7 +31,6 @@ from itemlens.plans.ratings import (
     join_base_rating,
     rmse,
     split_labels,
-    split_ratings,
     user_offset,
 )
 from itemlens.plans.recommend import assemble, recommend, rerank_rounded
@@ -105,8 +104,25 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo(spark, sf_dir, "ratings", build)
 
 
+def labelled_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings with their split label, written once, partitioned by label."""
+
+    def build():
+        path = scratch_path(spark, "ratings-split")
+        labelled = split_labels(ratings(spark, sf_dir), holdout_user_fraction=HOLDOUT_USERS)
+        labelled.write.mode("overwrite").partitionBy("split").parquet(path)
+        return spark.read.parquet(path)
+
+    return _memo(spark, sf_dir, "ratings-split", build)
+
+
 def train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return split_ratings(ratings(spark, sf_dir), holdout_user_fraction=HOLDOUT_USERS)
+    """Training and test rows; each read prunes to its own partition directory."""
+    labelled = labelled_ratings(spark, sf_dir)
+    cols = ["user_id", "item_id", "rating"]
+    train = labelled.filter(F.col("split") == "train").select(*cols)
+    test = labelled.filter(F.col("split") == "test").select(*cols)
+    return train, test
 
 
 def trained_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,7 +449,9 @@ def q_user_offset(spark, sf_dir):
 
 
 def q_hash_split(spark, sf_dir):
-    return split_labels(ratings(spark, sf_dir), holdout_user_fraction=HOLDOUT_USERS).select("user_id", "item_id", "split")
+    return split_labels(ratings(spark, sf_dir), holdout_user_fraction=HOLDOUT_USERS).select(
+        "user_id", "item_id", "split"
+    )
 
 
 def q_prepare_catalog(spark, sf_dir):
