@@ -11,7 +11,7 @@ from itemlens.functions import rules as R
 from itemlens.functions.labels import classify_contains, classify_tokens, extract_area, level_label
 from itemlens.operators.dedupe import dedupe_by_key
 from itemlens.operators.dense_ids import assign_dense_ids
-from itemlens.session import ensure_checkpoint_dir
+from itemlens.session import materialize
 
 def default_dedupe_order() -> list[Column]:
     """Survivor order for duplicate keys: most reviews first (NULL counts
@@ -54,15 +54,14 @@ def prepare_catalog(
     """Typed raw catalogue -> one row per ``item_key`` with ``item_id`` and labels.
 
     ``item_id`` is the 1-based position of ``item_key`` in ascending key order
-    (NULL key first).  The de-duplicated rows are checkpointed to the
+    (NULL key first).  The de-duplicated rows are written once to the
     session's shared checkpoint folder before numbering, since numbering
     reads them several times; persist the result (and its key -> id map)
     next to any model trained on it.
     """
     deduped = dedupe_by_key(raw, ["item_key"], dedupe_order or default_dedupe_order())
     if checkpoint:
-        ensure_checkpoint_dir(raw.sparkSession)
-        deduped = deduped.checkpoint(eager=True)
+        deduped = materialize(deduped, "catalog-deduped")
     with_ids = assign_dense_ids(deduped, ["item_key"], "item_id", rows_per_bucket=rows_per_bucket)
     labelled = label_catalog(with_ids, rules)
     return labelled.select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from itemlens.functions import rules as R
 from itemlens.functions.values import base_rating, clamp, hash_fraction_bucket, round_half_up
 from itemlens.operators.topk import topk_per_group
-from itemlens.session import ensure_checkpoint_dir
+from itemlens.session import materialize
 
 
 def interaction_ratings(
@@ -125,8 +125,8 @@ class BiasModel:
     """Fitted bias baseline: global mean plus item and user offsets.
 
     ``mu`` is one number; the offset tables have one row per item / user and
-    are materialised once (reliable checkpoint), so predicting and ranking
-    never re-read the training ratings.
+    are written once to the shared checkpoint folder, so predicting and
+    ranking never re-read the training ratings.
     """
 
     mu: float
@@ -166,20 +166,18 @@ class BiasModel:
 
 def fit_bias_baseline(train: DataFrame, checkpoint: bool = True) -> BiasModel:
     """Global mean, item mean residual, then user mean residual after the item term."""
-    if checkpoint:
-        ensure_checkpoint_dir(train.sparkSession)
     mu = train.agg(F.avg("rating")).first()[0]
     mu = float(mu) if mu is not None else 0.0
     item_bias = train.groupBy("item_id").agg(F.avg(F.col("rating") - F.lit(mu)).alias("b_item"))
     if checkpoint:
-        item_bias = item_bias.checkpoint(eager=True)
+        item_bias = materialize(item_bias, "bias-items")
     user_bias = (
         train.join(item_bias, "item_id")
         .groupBy("user_id")
         .agg(F.avg(F.col("rating") - F.lit(mu) - F.col("b_item")).alias("b_user"))
     )
     if checkpoint:
-        user_bias = user_bias.checkpoint(eager=True)
+        user_bias = materialize(user_bias, "bias-users")
     return BiasModel(mu, item_bias, user_bias)
 
 

@@ -12,6 +12,7 @@ from itemlens.plans.als import evaluate, fit_als
 from itemlens.plans.catalog import id_map, prepare_catalog
 from itemlens.plans.ratings import cap_per_user, interaction_ratings, split_ratings
 from itemlens.plans.toplist import build_top_list
+from itemlens.session import materialize
 from itemlens.sources.io import save_model, write_top_list
 
 
@@ -50,8 +51,8 @@ def train(
 ) -> TrainResult:
     """Run the whole pipeline; write model / top list / ratings where asked.
 
-    The ratings are persisted (parquet when ``ratings_path`` is given, else a
-    reliable checkpoint) before the iterative fit, so a lost executor
+    The ratings are persisted (parquet at ``ratings_path`` when given, else
+    under the shared checkpoint folder) before the iterative fit, so a lost executor
     recomputes from durable data rather than from the raw interactions.
     """
     catalog = prepare_catalog(raw_catalog, rules)
@@ -64,7 +65,7 @@ def train(
         write_ratings(ratings, ratings_path)
         ratings = read_ratings(spark, ratings_path)
     else:
-        ratings = ratings.checkpoint(eager=True)
+        ratings = materialize(ratings, "train-ratings")
     train_df, test_df = split_ratings(
         ratings,
         train_fraction=config.train_fraction,
