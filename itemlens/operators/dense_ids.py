@@ -107,3 +107,22 @@ def assign_dense_ids(
         .withColumn(id_col, (F.col("_offset") + F.row_number().over(within)).cast("int"))
         .drop("_bucket", "_offset")
     )
+
+
+def index_keys(
+    df: DataFrame,
+    key_col: str,
+    id_col: str,
+    rows_per_bucket: int = 2_000_000,
+) -> tuple[DataFrame, DataFrame]:
+    """Replace a wide key (e.g. a 64-bit user key) by a dense int id.
+
+    Returns ``(df with id_col, key map)``; the map (``key_col, id_col``) is
+    what a model trained on ``id_col`` needs to be served later.  Ids follow
+    key order, so they are stable for a fixed key set.  The join back is a
+    plain equi-join; a key holding a large share of rows is split by AQE's
+    skew handling.
+    """
+    keys = df.select(key_col).distinct()
+    key_map = assign_dense_ids(keys, [key_col], id_col, rows_per_bucket=rows_per_bucket)
+    return df.join(key_map, key_col, "inner"), key_map

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemlens.functions import rules as R
+from itemlens.operators.dense_ids import index_keys
 from itemlens.plans.als import evaluate, fit_als
 from itemlens.plans.catalog import id_map, prepare_catalog
 from itemlens.plans.ratings import cap_per_user, interaction_ratings, split_ratings
@@ -37,6 +38,7 @@ class TrainResult:
     model: object
     metrics: DataFrame
     top_list: DataFrame
+    user_map: DataFrame | None = None  # user_key -> user_id, when keys were indexed
 
 
 def train(
@@ -56,6 +58,11 @@ def train(
     recomputes from durable data rather than from the raw interactions.
     """
     catalog = prepare_catalog(raw_catalog, rules)
+    user_map = None
+    if "user_key" in interactions.columns:
+        # 64-bit user keys: number them densely so ALS gets int ids.
+        interactions, user_map = index_keys(interactions, "user_key", "user_id")
+        user_map = materialize(user_map, "user-map")
     ratings = interaction_ratings(interactions, id_map(catalog))
     if config.ratings_per_user:
         ratings = cap_per_user(ratings, config.ratings_per_user, config.seed)
@@ -96,4 +103,6 @@ def train(
     )
     if top_list_path:
         write_top_list(top, top_list_path)
-    return TrainResult(catalog=catalog, ratings=ratings, model=model, metrics=metrics, top_list=top)
+    return TrainResult(
+        catalog=catalog, ratings=ratings, model=model, metrics=metrics, top_list=top, user_map=user_map
+    )

@@ -100,23 +100,33 @@ def load_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_from_parts(read_table(spark, sf_dir, "part"), read_table(spark, sf_dir, "lineitem"))
 
 
-def interactions_from_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+def interactions_from_orders(orders: DataFrame, lineitem: DataFrame, wide_user_keys: bool = False) -> DataFrame:
     """One interaction per order line: (user_id, item_key, value = quantity / 10).
 
     An inner equi-join on the order key; a hot order key is split by AQE's
     skew-join handling rather than landing in one task.
+
+    ALS needs int user ids.  By default the customer key is cast (and the
+    cast fails loudly on overflow); with ``wide_user_keys=True`` the 64-bit
+    key is kept as ``user_key`` for ``operators.dense_ids.index_keys`` (the
+    training pipeline does this when it sees ``user_key``).
     """
     lines = lineitem.select("l_orderkey", "l_partkey", "l_quantity")
     heads = orders.select("o_orderkey", "o_custkey")
+    user = (
+        F.col("o_custkey").alias("user_key") if wide_user_keys else F.col("o_custkey").cast("int").alias("user_id")
+    )
     return lines.join(heads, lines["l_orderkey"] == heads["o_orderkey"], "inner").select(
-        F.col("o_custkey").cast("int").alias("user_id"),
+        user,
         F.concat(F.lit("P-"), F.col("l_partkey").cast("string")).alias("item_key"),
         (F.col("l_quantity") / F.lit(10.0)).alias("value"),
     )
 
 
-def load_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interactions_from_orders(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem"))
+def load_interactions(spark: SparkSession, sf_dir: str, wide_user_keys: bool = False) -> DataFrame:
+    return interactions_from_orders(
+        read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem"), wide_user_keys
+    )
 
 
 def load_users(spark: SparkSession, sf_dir: str) -> DataFrame:

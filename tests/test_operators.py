@@ -81,3 +81,19 @@ def test_factor_topk_matches_brute_force(spark):
         for r, item in enumerate(order, start=1):
             assert got[(q, r)] == item
     assert len(got) == n * k
+
+
+def test_index_keys_maps_wide_keys_to_dense_ints(spark):
+    from itemlens.operators.dense_ids import index_keys
+
+    big = 10_000_000_000  # beyond the int range ALS accepts
+    df = spark.createDataFrame(
+        [(big + 5, 1.0), (big + 1, 2.0), (big + 5, 3.0), (7, 4.0)], "user_key long, v double"
+    )
+    out, key_map = index_keys(df, "user_key", "user_id", rows_per_bucket=1)
+    m = {r.user_key: r.user_id for r in key_map.collect()}
+    assert m == {7: 1, big + 1: 2, big + 5: 3}
+    assert out.schema["user_id"].dataType.typeName() == "integer"
+    assert sorted((r.user_key, r.user_id) for r in out.collect()) == sorted(
+        (k, m[k]) for k in [big + 5, big + 1, big + 5, 7]
+    )

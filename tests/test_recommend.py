@@ -92,3 +92,24 @@ def test_top_n_validation(spark, setup):
         recommend(users, model, cat, 0)
     with pytest.raises(ValueError):
         recommend(users, model, cat, 51)
+
+
+def test_train_pipeline_indexes_wide_user_keys(spark, tmp_path):
+    from itemlens.plans.train import TrainConfig, train
+
+    inter = TB.load_interactions(spark, SF_SMALL, wide_user_keys=True).withColumn(
+        "user_key", F.col("user_key") + F.lit(10_000_000_000)
+    )
+    res = train(
+        spark,
+        TB.load_catalog(spark, SF_SMALL),
+        inter,
+        TB.PART_RULES,
+        TrainConfig(rank=3, max_iter=2, ratings_per_user=(5, 8)),
+        top_list_path=str(tmp_path / "top"),
+    )
+    m = res.metrics.first()
+    assert m.n_users == res.user_map.count() and m.rmse > 0
+    assert res.user_map.agg(F.max("user_id")).first()[0] == res.user_map.count()
+    per_user = res.ratings.groupBy("user_id").count()
+    assert per_user.filter("count > 8").count() == 0
