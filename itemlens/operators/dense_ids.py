@@ -126,3 +126,23 @@ def index_keys(
     keys = df.select(key_col).distinct()
     key_map = assign_dense_ids(keys, [key_col], id_col, rows_per_bucket=rows_per_bucket)
     return df.join(key_map, key_col, "inner"), key_map
+
+
+def extend_id_map(
+    existing: DataFrame,
+    keys: DataFrame,
+    key_col: str,
+    id_col: str,
+    rows_per_bucket: int = 2_000_000,
+) -> DataFrame:
+    """Keep every existing ``key -> id``; number unseen keys after the maximum.
+
+    New keys get ``max(existing id) + 1 ...`` in key order, so ids already
+    used by a saved model never move.  Returns the full map (old + new).
+    """
+    known = existing.select(key_col, id_col)
+    new_keys = keys.select(key_col).distinct().join(known.select(key_col), key_col, "left_anti")
+    top = known.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m")).scalar()
+    numbered = assign_dense_ids(new_keys, [key_col], "_n", rows_per_bucket=rows_per_bucket)
+    added = numbered.select(key_col, (F.col("_n") + top).cast("int").alias(id_col))
+    return known.unionByName(added)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from itemlens.functions import rules as R
 from itemlens.functions.labels import classify_contains, classify_tokens, extract_area, level_label
 from itemlens.operators.dedupe import dedupe_by_key
-from itemlens.operators.dense_ids import assign_dense_ids
+from itemlens.operators.dense_ids import assign_dense_ids, extend_id_map
 from itemlens.session import materialize
 
 def default_dedupe_order() -> list[Column]:
@@ -50,6 +50,7 @@ def prepare_catalog(
     dedupe_order: Sequence[Column | str] | None = None,
     rows_per_bucket: int = 2_000_000,
     checkpoint: bool = True,
+    existing_ids: DataFrame | None = None,
 ) -> DataFrame:
     """Typed raw catalogue -> one row per ``item_key`` with ``item_id`` and labels.
 
@@ -58,11 +59,19 @@ def prepare_catalog(
     session's shared checkpoint folder before numbering, since numbering
     reads them several times; persist the result (and its key -> id map)
     next to any model trained on it.
+
+    With ``existing_ids`` (a previous ``item_key, item_id`` map), known keys
+    keep their ids and new keys are numbered after the current maximum, so
+    a model trained on the old ids stays valid.
     """
     deduped = dedupe_by_key(raw, ["item_key"], dedupe_order or default_dedupe_order())
     if checkpoint:
         deduped = materialize(deduped, "catalog-deduped")
-    with_ids = assign_dense_ids(deduped, ["item_key"], "item_id", rows_per_bucket=rows_per_bucket)
+    if existing_ids is None:
+        with_ids = assign_dense_ids(deduped, ["item_key"], "item_id", rows_per_bucket=rows_per_bucket)
+    else:
+        ids = extend_id_map(existing_ids, deduped, "item_key", "item_id", rows_per_bucket=rows_per_bucket)
+        with_ids = deduped.join(ids, "item_key", "left")
     labelled = label_catalog(with_ids, rules)
     return labelled.select(
         "item_id",

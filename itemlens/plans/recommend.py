@@ -94,11 +94,19 @@ def recommend(
     top_n: int = R.RECOMMEND_DEFAULT_N,
     default_category: str = R.DEFAULT_CATEGORY,
     default_area: str = R.DEFAULT_AREA,
+    exclude_seen: DataFrame | None = None,
 ) -> DataFrame:
     """Top ``top_n`` items per requested user from an ALS model, with fallback.
 
     Users may repeat, be NULL or be unknown to the model; unknown (and NULL)
     users get the cold-start list with ``is_cold_start = true``.
+
+    ``exclude_seen`` (``user_id, item_id`` pairs, e.g. the training ratings)
+    removes items a user already rated.  To stay exact the model is asked for
+    ``top_n`` plus the largest number of seen items of any requested user
+    (one aggregated number), and the seen pairs are anti-joined away before
+    ranking, so every warm user still gets ``top_n`` unseen items when the
+    catalogue has them.
     """
     from itemlens.plans.als import known_scores
 
@@ -106,5 +114,10 @@ def recommend(
     users = users.select(F.col("user_id").cast("int").alias("user_id")).distinct()
     trained = model.userFactors.select(F.col("id").alias("user_id"))
     # recommendForUserSubset keeps only the users that have factors.
-    scores = known_scores(model, users, top_n)
+    if exclude_seen is None:
+        scores = known_scores(model, users, top_n)
+    else:
+        seen = exclude_seen.select("user_id", "item_id").distinct().join(users, "user_id", "left_semi")
+        extra = seen.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
+        scores = known_scores(model, users, top_n + int(extra)).join(seen, ["user_id", "item_id"], "left_anti")
     return assemble(users, trained, scores, catalog, top_n, default_category, default_area, restrict_to_users=False)

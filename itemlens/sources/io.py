@@ -134,6 +134,10 @@ def read_top_list(
             lambda p: spark.read.schema(S.TOP_LIST_SCHEMA).json(p), path, "top list"
         )
     if limit is not None:
+        from itemlens.functions.rules import TOP_LIST_READ_MAX
+        from itemlens.operators.predicates import check_int_range
+
+        check_int_range("limit", limit, 1, TOP_LIST_READ_MAX)
         df = df.filter(F.col("rank") <= F.lit(int(limit)))
     return df
 

@@ -97,3 +97,21 @@ def test_index_keys_maps_wide_keys_to_dense_ints(spark):
     assert sorted((r.user_key, r.user_id) for r in out.collect()) == sorted(
         (k, m[k]) for k in [big + 5, big + 1, big + 5, 7]
     )
+
+
+def test_ids_stay_stable_when_keys_are_added(spark):
+    from itemlens.plans.catalog import prepare_catalog
+    from itemlens import schemas as S
+
+    def cat(keys):
+        return spark.createDataFrame(
+            [(k, f"n{k}", None, None, None, 4.0, 10, 1, "cafe", 1.0) for k in keys], S.CATALOG_SCHEMA
+        )
+
+    first = prepare_catalog(cat(["b", "d", "f"]), checkpoint=False)
+    m1 = {r.item_key: r.item_id for r in first.collect()}
+    assert m1 == {"b": 1, "d": 2, "f": 3}
+    second = prepare_catalog(cat(["a", "b", "d", "e", "f", "g"]), checkpoint=False, existing_ids=first.select("item_key", "item_id"))
+    m2 = {r.item_key: r.item_id for r in second.collect()}
+    assert {k: m2[k] for k in m1} == m1
+    assert m2["a"] == 4 and m2["e"] == 5 and m2["g"] == 6

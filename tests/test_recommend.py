@@ -113,3 +113,12 @@ def test_train_pipeline_indexes_wide_user_keys(spark, tmp_path):
     assert res.user_map.agg(F.max("user_id")).first()[0] == res.user_map.count()
     per_user = res.ratings.groupBy("user_id").count()
     assert per_user.filter("count > 8").count() == 0
+
+
+def test_exclude_seen_returns_unseen_items_only(spark, setup):
+    cat, _, train, _, model = setup
+    users = train.select("user_id").distinct()
+    out = recommend(users, model, cat, N, TB.PART_DEFAULT_CATEGORY, TB.PART_AREA.default, exclude_seen=train)
+    warm = out.filter(~F.col("is_cold_start"))
+    assert warm.join(train, ["user_id", "item_id"]).count() == 0
+    assert warm.groupBy("user_id").count().filter(f"count != {N}").count() == 0
