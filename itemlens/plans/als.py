@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemlens.functions import rules as R
-from itemlens.functions.values import round_half_up
 from itemlens.operators.topk import topk_per_group
 from itemlens.plans.ratings import rmse
 

@@ -36,7 +36,7 @@ from itemlens.plans.ratings import (
 from itemlens.plans.recommend import assemble, recommend, rerank_rounded
 from itemlens.plans.toplist import build_top_list, cold_start_list
 from itemlens.plans.trending import busiest_areas, trending_categories
-from itemlens.session import ensure_checkpoint_dir, scratch_path
+from itemlens.session import scratch_path
 from itemlens.sources import io as IO
 from itemlens.sources import tables as TB
 

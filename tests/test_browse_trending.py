@@ -1,7 +1,6 @@
 """Browse, totals, trending and top list on hand-made catalogues."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from itemlens.plans.browse import browse, browse_total
 from itemlens.plans.toplist import build_top_list, cold_start_list
