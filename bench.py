@@ -4,6 +4,7 @@ Environment:
   BENCH_SF_DIR   data directory (default /root/testdata/sf0.1)
   BENCH_CPUS     local cores (default 8)
   BENCH_QUERIES  optional comma-separated subset
+  BENCH_EVENT_LOG  set to write a Spark event log (stage / task times) to a new local folder
 
 Each query is forced with a ``noop`` write, so the whole result is computed
 but nothing is collected to the driver.  Shared inputs (prepared catalogue,
@@ -72,7 +73,17 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
-    spark = build_session(f"local[{cpus}]", int(cpus) * 2, driver_memory=os.environ.get("BENCH_DRIVER_MEM", "12g"))
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):
+        # Stage and task timings without the UI: an event log in a fresh folder.
+        import tempfile
+
+        log_dir = tempfile.mkdtemp(prefix="itemlens-events-")
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir}
+        print(f"event log: {log_dir}", file=sys.stderr)
+    spark = build_session(
+        f"local[{cpus}]", int(cpus) * 2, driver_memory=os.environ.get("BENCH_DRIVER_MEM", "12g"), extra=extra
+    )
     times: dict[str, float] = {}
 
     # Untimed warm-up on synthetic rows (never the benchmark tables): JVM

@@ -115,3 +115,21 @@ def test_ids_stay_stable_when_keys_are_added(spark):
     m2 = {r.item_key: r.item_id for r in second.collect()}
     assert {k: m2[k] for k in m1} == m1
     assert m2["a"] == 4 and m2["e"] == 5 and m2["g"] == 6
+
+
+def test_prepare_catalog_duplicates_and_null_key(spark):
+    from itemlens import schemas as S
+    from itemlens.plans.catalog import prepare_catalog
+
+    rows = [
+        ("k2", "fewer reviews", None, None, None, 4.0, 5, 1, "cafe", 1.0),
+        ("k2", "more reviews", None, None, None, 3.0, 50, 2, "bar", 2.0),
+        (None, "null key a", None, None, None, 1.0, None, None, None, None),
+        (None, "null key b", None, None, None, 2.0, 7, None, None, None),
+        ("k1", "only", "x, Colombo 7", None, None, 4.5, 9, 4, "indian_restaurant", 3.0),
+    ]
+    out = {r.item_key: r for r in prepare_catalog(spark.createDataFrame(rows, S.CATALOG_SCHEMA), checkpoint=False).collect()}
+    assert len(out) == 3
+    assert out[None].item_id == 1 and out[None].name == "null key b"  # NULL review count sorts last
+    assert out["k1"].item_id == 2 and out["k1"].category == "Indian" and out["k1"].area == "Colombo 07"
+    assert out["k2"].item_id == 3 and out["k2"].name == "more reviews" and out["k2"].level == "Moderate"
