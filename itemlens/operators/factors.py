@@ -5,7 +5,8 @@ query row is sent to every candidate block and each candidate row to every
 query block, so a (query block, candidate block) group holds at most two
 bounded blocks.  Inside the group one matrix product scores the block pair
 and only the best ``k`` candidates per query leave the group; a final
-ranking per query merges ``k`` candidates per block.  No pair list is ever
+ranking per query merges ``k`` candidates per block.  Groups arrive as Arrow
+tables, so vectors reshape into matrices without per-row Python objects.  No pair list is ever
 materialised and no group grows with the data beyond the block size.
 """
 
@@ -13,8 +14,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,17 +23,36 @@ _SCORED_SCHEMA = "query_id long, item_id long, score double"
 
 
 def _block_scorer(k: int, exclude_same_id: bool):
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        qs = pdf[pdf["side"] == 0]
-        cs = pdf[pdf["side"] == 1]
-        if qs.empty or cs.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []}).astype(
-                {"query_id": "int64", "item_id": "int64", "score": "float64"}
-            )
-        q = np.stack(qs["vec"].to_numpy()).astype(np.float64)
-        c = np.stack(cs["vec"].to_numpy()).astype(np.float64)
-        qid = qs["id"].to_numpy(dtype=np.int64)
-        cid = cs["id"].to_numpy(dtype=np.int64)
+    """The per-group scoring function.
+
+    Self-contained on purpose: it is shipped to Python workers by value and
+    needs only numpy and pyarrow there, not this package.
+    """
+
+    def score(table):
+        import numpy as np
+        import pyarrow as pa
+
+        out_schema = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
+
+        def matrix(vectors):
+            # list<float> column of equal-length vectors -> 2-D float64 matrix
+            # (one copy of the flat values, no per-row Python objects).
+            n = len(vectors)
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if n == 0 or len(flat) % n:
+                raise ValueError("vectors must all have the same, non-zero length")
+            return flat.reshape(n, len(flat) // n)
+
+        side = table.column("side").to_numpy()
+        ids = table.column("id").to_numpy()
+        qmask, cmask = side == 0, side == 1
+        if not qmask.any() or not cmask.any():
+            return out_schema.empty_table()
+        vecs = table.column("vec").combine_chunks()
+        q = matrix(vecs.filter(pa.array(qmask)))
+        c = matrix(vecs.filter(pa.array(cmask)))
+        qid, cid = ids[qmask].astype(np.int64), ids[cmask].astype(np.int64)
         s = q @ c.T
         if exclude_same_id:
             s[qid[:, None] == cid[None, :]] = -np.inf
@@ -42,14 +60,15 @@ def _block_scorer(k: int, exclude_same_id: bool):
         # Highest score first; equal scores keep the lower candidate id first.
         order = np.lexsort((np.broadcast_to(cid, s.shape), -s), axis=-1)[:, :kk]
         scores = np.take_along_axis(s, order, axis=1).ravel()
-        out = pd.DataFrame(
+        keep = np.isfinite(scores)
+        return pa.table(
             {
-                "query_id": np.repeat(qid, kk),
-                "item_id": cid[order].ravel(),
-                "score": scores,
-            }
+                "query_id": np.repeat(qid, kk)[keep],
+                "item_id": cid[order].ravel()[keep],
+                "score": scores[keep],
+            },
+            schema=out_schema,
         )
-        return out[np.isfinite(out["score"].to_numpy())]
 
     return score
 
@@ -78,8 +97,17 @@ def topk_dot_product(
     c = candidates.select(F.col(cand_id).cast("long").alias("id"), F.col(cand_vec).alias("vec")).filter(
         F.col("vec").isNotNull()
     )
-    n_qb = max(1, math.ceil(q.count() / block_size))
-    n_cb = max(1, math.ceil(c.count() / block_size))
+    spark = queries.sparkSession
+    parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Enough blocks per side that the block pairs cover every core, but no
+    # block under 64 rows (tiny matrix products only add overhead).
+    per_side = math.ceil(math.sqrt(parallel))
+
+    def n_blocks(n: int) -> int:
+        return max(1, math.ceil(n / block_size), min(per_side, math.ceil(n / 64)))
+
+    n_qb = n_blocks(q.count())
+    n_cb = n_blocks(c.count())
     q_side = q.select(
         "id",
         "vec",
@@ -94,8 +122,12 @@ def topk_dot_product(
         F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(n_cb)).alias("cb"),
         F.lit(1).alias("side"),
     )
-    both = q_side.unionByName(c_side)
-    scored = both.groupBy("qb", "cb").applyInPandas(_block_scorer(int(k), exclude_same_id), _SCORED_SCHEMA)
+    # Scoring is compute-bound, not byte-bound: an explicit partition count
+    # (one per block pair, capped) keeps adaptive execution from packing the
+    # block pairs into a handful of tasks; the grouping reuses this layout.
+    n_parts = max(1, min(n_qb * n_cb, 4 * parallel))
+    both = q_side.unionByName(c_side).repartition(n_parts, "qb", "cb")
+    scored = both.groupBy("qb", "cb").applyInArrow(_block_scorer(int(k), exclude_same_id), _SCORED_SCHEMA)
     return topk_per_group(
         scored,
         ["query_id"],

@@ -55,8 +55,8 @@ def prepare_catalog(
     """Typed raw catalogue -> one row per ``item_key`` with ``item_id`` and labels.
 
     ``item_id`` is the 1-based position of ``item_key`` in ascending key order
-    (NULL key first).  The de-duplicated rows are written once to the
-    session's shared checkpoint folder before numbering, since numbering
+    (NULL key first).  The de-duplicated, labelled rows are written once to
+    the session's shared checkpoint folder before numbering, since numbering
     reads them several times; persist the result (and its key -> id map)
     next to any model trained on it.
 
@@ -65,15 +65,17 @@ def prepare_catalog(
     a model trained on the old ids stays valid.
     """
     deduped = dedupe_by_key(raw, ["item_key"], dedupe_order or default_dedupe_order())
+    # Labels are per-row expressions: derive them while the rows are still
+    # spread over all partitions, before numbering regroups them by bucket.
+    labelled = label_catalog(deduped, rules)
     if checkpoint:
-        deduped = materialize(deduped, "catalog-deduped")
+        labelled = materialize(labelled, "catalog-labelled")
     if existing_ids is None:
-        with_ids = assign_dense_ids(deduped, ["item_key"], "item_id", rows_per_bucket=rows_per_bucket)
+        with_ids = assign_dense_ids(labelled, ["item_key"], "item_id", rows_per_bucket=rows_per_bucket)
     else:
-        ids = extend_id_map(existing_ids, deduped, "item_key", "item_id", rows_per_bucket=rows_per_bucket)
-        with_ids = deduped.join(ids, "item_key", "left")
-    labelled = label_catalog(with_ids, rules)
-    return labelled.select(
+        ids = extend_id_map(existing_ids, labelled, "item_key", "item_id", rows_per_bucket=rows_per_bucket)
+        with_ids = labelled.join(ids, "item_key", "left")
+    return with_ids.select(
         "item_id",
         "item_key",
         "name",

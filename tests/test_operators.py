@@ -133,3 +133,34 @@ def test_prepare_catalog_duplicates_and_null_key(spark):
     assert out[None].item_id == 1 and out[None].name == "null key b"  # NULL review count sorts last
     assert out["k1"].item_id == 2 and out["k1"].category == "Indian" and out["k1"].area == "Colombo 07"
     assert out["k2"].item_id == 3 and out["k2"].name == "more reviews" and out["k2"].level == "Moderate"
+
+
+def test_block_scorer_ships_without_this_package(tmp_path):
+    """Workers need numpy and pyarrow only: the pickled scorer must load and
+    run in a Python process that cannot import this package."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from itemlens.operators.factors import _block_scorer
+
+    blob = tmp_path / "scorer.pkl"
+    blob.write_bytes(cloudpickle.dumps(_block_scorer(2, True)))
+    code = (
+        "import pickle, sys, pyarrow as pa\n"
+        "assert not any('repo' in p for p in sys.path if p)\n"
+        "f = pickle.load(open(sys.argv[1], 'rb'))\n"
+        "t = pa.table({'id': [1, 2, 3, 1, 2, 3], 'side': [0, 0, 0, 1, 1, 1],\n"
+        "              'vec': [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]] * 2})\n"
+        "out = f(t)\n"
+        "assert out.num_rows == 6, out\n"
+        "assert 'itemlens' not in sys.modules\n"
+        "print('ok')\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    res = subprocess.run(
+        [sys.executable, "-c", code, str(blob)], cwd=tmp_path, env=env, capture_output=True, text=True
+    )
+    assert res.returncode == 0 and res.stdout.strip() == "ok", res.stderr
