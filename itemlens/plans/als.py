@@ -18,13 +18,20 @@ def fit_als(
     reg_param: float = R.ALS_REG_PARAM,
     seed: int = R.SEED,
     nonnegative: bool = True,
+    num_blocks: int | None = None,
 ) -> ALSModel:
     """Explicit-feedback ALS; seeded so refits on the same input agree.
 
     Unscorable (cold) pairs are dropped at prediction time.  ALS
     checkpoints its factors to the session's checkpoint folder every 10
     iterations (its default), which bounds lineage on long fits.
+
+    ``num_blocks`` sets the user and item block counts, i.e. the task count
+    of every ALS stage.  Spark ML's default of 10 would leave a large cluster
+    idle, so by default it follows the cluster's parallelism (at least 10).
     """
+    if num_blocks is None:
+        num_blocks = max(10, train.sparkSession.sparkContext.defaultParallelism)
     als = ALS(
         rank=rank,
         maxIter=max_iter,
@@ -35,6 +42,8 @@ def fit_als(
         coldStartStrategy="drop",
         nonnegative=nonnegative,
         seed=seed,
+        numUserBlocks=num_blocks,
+        numItemBlocks=num_blocks,
     )
     return als.fit(train)
 

@@ -24,7 +24,7 @@ PATTERNS = [
     ("sort agg", r"SortAggregate\("),
     ("partial window limit", r"WindowGroupLimit .*Partial"),
     ("top-k", r"TakeOrderedAndProject"),
-    ("python", r"BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas"),
+    ("python", r"BatchEvalPython|ArrowEvalPython|FlatMapGroupsIn(Pandas|Arrow)|MapIn(Pandas|Arrow)"),
     ("scans", r"FileScan|Scan parquet"),
 ]
 
