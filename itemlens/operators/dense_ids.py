@@ -89,6 +89,11 @@ def assign_dense_ids(
             if not rows or rows[-1] != r:
                 rows.append(r)
         rows = rows[: max_buckets - 1]
+    if not rows:
+        # One bucket: at most ``rows_per_bucket`` rows by construction, so a
+        # single ordered window is bounded and needs no offsets.
+        whole = Window.orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
+        return keyed.drop("_key").withColumn(id_col, F.row_number().over(whole).cast("int"))
     splitters = [_literal(r, key_type) for r in rows]
     bucketed = keyed.withColumn("_bucket", _bucket_of(F.col("_key"), splitters)).drop("_key")
 
