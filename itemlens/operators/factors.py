@@ -56,17 +56,23 @@ def _block_scorer(k: int, exclude_same_id: bool):
         s = q @ c.T
         if exclude_same_id:
             s[qid[:, None] == cid[None, :]] = -np.inf
-        kk = min(k, len(cid))
-        # Highest score first; equal scores keep the lower candidate id first.
-        order = np.lexsort((np.broadcast_to(cid, s.shape), -s), axis=-1)[:, :kk]
-        scores = np.take_along_axis(s, order, axis=1).ravel()
-        keep = np.isfinite(scores)
+        n_c = len(cid)
+        kk = min(k, n_c)
+        if kk < n_c:
+            # k-th largest score per row in linear time; every candidate at or
+            # above it survives (ties included), so the cut stays exact.
+            thr = np.partition(s, n_c - kk, axis=1)[:, n_c - kk]
+            rows, cols = np.nonzero(s >= thr[:, None])
+        else:
+            rows, cols = np.nonzero(np.ones(s.shape, dtype=bool))
+        vals = s[rows, cols]
+        # Per row: highest score first, equal scores keep the lower id first.
+        order = np.lexsort((cid[cols], -vals, rows))
+        rows, cols, vals = rows[order], cols[order], vals[order]
+        pos = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        keep = (pos < kk) & np.isfinite(vals)
         return pa.table(
-            {
-                "query_id": np.repeat(qid, kk)[keep],
-                "item_id": cid[order].ravel()[keep],
-                "score": scores[keep],
-            },
+            {"query_id": qid[rows[keep]], "item_id": cid[cols[keep]], "score": vals[keep]},
             schema=out_schema,
         )
 
@@ -81,7 +87,7 @@ def topk_dot_product(
     query_vec: str = "features",
     cand_id: str = "id",
     cand_vec: str = "features",
-    block_size: int = 1024,
+    block_size: int = 2048,
     exclude_same_id: bool = False,
     rank_col: str = "rank",
 ) -> DataFrame:

@@ -57,15 +57,33 @@ def evaluate(model: ALSModel, test: DataFrame) -> DataFrame:
     return rmse(predict(model, test))
 
 
-def known_scores(model: ALSModel, users: DataFrame, top_n: int) -> DataFrame:
+def known_scores(model: ALSModel, users: DataFrame, top_n: int, method: str = "blocks") -> DataFrame:
     """``user_id, item_id, score`` for the best ``top_n`` items of each known user.
 
-    Spark ML scores user and item factor blocks and keeps a bounded top-N
-    per user inside each block, so no user x item pair list is built.
+    ``method="blocks"`` (default) scores the model's factor tables with
+    ``operators.factors.topk_dot_product``: hash blocks of factors, one matrix
+    product per block pair, ``top_n`` kept per user and block, no cross join
+    in the plan.  ``method="ml"`` calls Spark ML's ``recommendForUserSubset``
+    (the same blocked idea, float32 scores).  Either way no user x item pair
+    list is built, and users without factors get no rows.
     """
-    recs = model.recommendForUserSubset(users.select("user_id"), top_n)
-    return recs.select("user_id", F.inline("recommendations")).select(
-        "user_id", "item_id", F.col("rating").cast("double").alias("score")
+    if method == "ml":
+        recs = model.recommendForUserSubset(users.select("user_id"), top_n)
+        return recs.select("user_id", F.inline("recommendations")).select(
+            "user_id", "item_id", F.col("rating").cast("double").alias("score")
+        )
+    if method != "blocks":
+        raise ValueError(f"unknown scoring method {method!r}")
+    from itemlens.operators.factors import topk_dot_product
+
+    wanted = model.userFactors.join(
+        users.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi"
+    )
+    top = topk_dot_product(wanted, model.itemFactors, top_n, "id", "features", "id", "features")
+    return top.select(
+        F.col("query_id").cast("int").alias("user_id"),
+        F.col("item_id").cast("int").alias("item_id"),
+        "score",
     )
 
 
