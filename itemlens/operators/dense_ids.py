@@ -64,7 +64,9 @@ def assign_dense_ids(
 
     Ascending, NULLs first (Spark's default ascending order).  Keys should be
     unique for the ids to be deterministic; ties get distinct ids in an
-    unspecified order, as with ``row_number``.
+    unspecified order, as with ``row_number``.  All rows of one key share a
+    bucket, so on large inputs add a unique tie-break column rather than
+    numbering a key that repeats on a large share of the rows.
     """
     order_cols = list(order_cols)
     key = F.col(order_cols[0]) if len(order_cols) == 1 else F.struct(*[F.col(c).alias(c) for c in order_cols])
@@ -90,8 +92,8 @@ def assign_dense_ids(
                 rows.append(r)
         rows = rows[: max_buckets - 1]
     if not rows:
-        # One bucket: at most ``rows_per_bucket`` rows by construction, so a
-        # single ordered window is bounded and needs no offsets.
+        # One bucket: at most ``rows_per_bucket`` rows (or a sample whose keys
+        # were all NULL / equal), so one ordered window needs no offsets.
         whole = Window.orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
         return keyed.drop("_key").withColumn(id_col, F.row_number().over(whole).cast("int"))
     splitters = [_literal(r, key_type) for r in rows]

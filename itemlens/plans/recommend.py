@@ -12,6 +12,7 @@ from itemlens.operators.joins import cold_users, enrich_with_catalog, known_user
 from itemlens.operators.predicates import check_int_range
 from itemlens.operators.topk import topk_per_group
 from itemlens.plans.toplist import cold_start_list
+from itemlens.session import materialize
 
 _ITEM_FIELDS = ("item_id", "name", "category", "area", "level", "predicted_rating", "activity_score")
 
@@ -57,8 +58,9 @@ def assemble(
 ) -> DataFrame:
     """Warm rows (scored, enriched) plus cold rows (fallback), flagged.
 
-    ``warm_scores`` holds ``user_id, item_id, score`` for known users; every
-    requested user appears exactly once as warm or cold.  Pass
+    ``warm_scores`` holds ``user_id, item_id, score`` for known users;
+    ``trained_users`` are the users that have warm scores.  Every requested
+    user appears exactly once, as warm or cold.  Pass
     ``restrict_to_users=False`` when the scores were produced for exactly
     the requested users (saves a semi join).
     """
@@ -120,4 +122,9 @@ def recommend(
         seen = exclude_seen.select("user_id", "item_id").distinct().join(users, "user_id", "left_semi")
         extra = seen.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
         scores = known_scores(model, users, top_n + int(extra)).join(seen, ["user_id", "item_id"], "left_anti")
+        # A known user who has rated every item has no rows left: like a user
+        # the model returns nothing for, they get the fallback.  The scores are
+        # written once so deciding that does not score twice.
+        scores = materialize(scores, "recommend-scores")
+        trained = scores.select("user_id").distinct()
     return assemble(users, trained, scores, catalog, top_n, default_category, default_area, restrict_to_users=False)

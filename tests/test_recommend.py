@@ -136,3 +136,23 @@ def test_block_scoring_agrees_with_spark_ml(spark, setup):
     # float32 (Spark ML) vs float64 scoring may swap exact near-ties only
     assert len(same) >= 0.99 * len(ml)
     assert all(abs(ours[k] - ml[k]) < 1e-4 for k in same)
+
+
+def test_user_who_saw_everything_falls_back(spark):
+    from itemlens.plans.als import fit_als
+
+    ratings = spark.createDataFrame(
+        [(1, 1, 4.0), (1, 2, 3.0), (1, 3, 5.0), (2, 1, 2.0), (3, 2, 4.5), (3, 3, 1.0)],
+        "user_id int, item_id int, rating double",
+    )
+    model = fit_als(ratings, rank=2, max_iter=3)
+    cat = spark.createDataFrame(
+        [(i, f"k{i}", f"n{i}", 4.0 - i / 10, 10, 1.0, "c", "a", "l") for i in (1, 2, 3)],
+        "item_id int, item_key string, name string, rating double, total_ratings int, "
+        "activity_score double, category string, area string, level string",
+    )
+    users = spark.createDataFrame([(1,), (2,)], "user_id int")
+    out = recommend(users, model, cat, 2, exclude_seen=ratings)
+    flags = {r.user_id: r.is_cold_start for r in out.collect()}
+    assert flags == {1: True, 2: False}
+    assert out.filter("user_id = 2").join(ratings, ["user_id", "item_id"]).count() == 0
