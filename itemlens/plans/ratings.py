@@ -158,7 +158,7 @@ class BiasModel:
         subquery), never as a join that multiplies rows.
         """
         packed = self.top_items(top_n).select(F.collect_list(F.struct("item_id", "b_item")).alias("a")).scalar()
-        known = users.select("user_id").join(self.user_bias, "user_id", "inner")
+        known = users.select("user_id").distinct().join(self.user_bias, "user_id", "inner")
         return known.select("user_id", "b_user", F.inline(packed)).select(
             "user_id", "item_id", (F.lit(self.mu) + F.col("b_item") + F.col("b_user")).alias("score")
         )

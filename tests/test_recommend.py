@@ -156,3 +156,15 @@ def test_user_who_saw_everything_falls_back(spark):
     flags = {r.user_id: r.is_cold_start for r in out.collect()}
     assert flags == {1: True, 2: False}
     assert out.filter("user_id = 2").join(ratings, ["user_id", "item_id"]).count() == 0
+
+
+def test_baseline_warm_scores_dedupe_users(spark, setup):
+    from itemlens.plans.ratings import fit_bias_baseline
+
+    _, _, train, _, _ = setup
+    base = fit_bias_baseline(train, checkpoint=False)
+    u = train.select("user_id").distinct().limit(3)
+    once = base.warm_scores(u, 4)
+    twice = base.warm_scores(u.unionByName(u), 4)
+    assert twice.count() == once.count() == 12
+    assert twice.groupBy("user_id", "item_id").count().filter("count > 1").count() == 0
