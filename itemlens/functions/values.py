@@ -62,3 +62,21 @@ def hash_fraction_bucket(key: Column, salt: str, buckets: int = 100) -> Column:
     """
     digest = F.md5(F.concat(F.lit(f"{salt}:"), key.cast("string")))
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(buckets))
+
+
+INT_MIN, INT_MAX = -(2**31), 2**31 - 1
+
+
+def to_int_id(c: Column | str, what: str = "id") -> Column:
+    """Integer id from a wider integer, failing loudly when it does not fit.
+
+    ALS needs int ids.  A plain cast wraps silently when ANSI mode is off;
+    this raises in either mode (use ``operators.dense_ids.index_keys`` for
+    keys beyond the int range).
+    """
+    c = _col(c)
+    return (
+        F.when(c.isNull(), F.lit(None).cast("int"))
+        .when((c >= F.lit(INT_MIN)) & (c <= F.lit(INT_MAX)), c.cast("int"))
+        .otherwise(F.raise_error(F.concat(F.lit(f"{what} out of int range: "), c.cast("string"))).cast("int"))
+    )

@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from itemlens.functions.values import to_int_id
+
 
 def _bucket_of(key: Column, splitters: list[Column]) -> Column:
     """Number of splitters <= key, as a balanced CASE tree.
@@ -95,7 +97,7 @@ def assign_dense_ids(
         # One bucket: at most ``rows_per_bucket`` rows (or a sample whose keys
         # were all NULL / equal), so one ordered window needs no offsets.
         whole = Window.orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
-        return keyed.drop("_key").withColumn(id_col, F.row_number().over(whole).cast("int"))
+        return keyed.drop("_key").withColumn(id_col, to_int_id(F.row_number().over(whole), id_col))
     splitters = [_literal(r, key_type) for r in rows]
     bucketed = keyed.withColumn("_bucket", _bucket_of(F.col("_key"), splitters)).drop("_key")
 
@@ -111,7 +113,7 @@ def assign_dense_ids(
     within = Window.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
     return (
         bucketed.join(F.broadcast(offsets), "_bucket", "left")
-        .withColumn(id_col, (F.col("_offset") + F.row_number().over(within)).cast("int"))
+        .withColumn(id_col, to_int_id(F.col("_offset") + F.row_number().over(within), id_col))
         .drop("_bucket", "_offset")
     )
 
@@ -151,5 +153,5 @@ def extend_id_map(
     new_keys = keys.select(key_col).distinct().join(known.select(key_col), key_col, "left_anti")
     top = known.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m")).scalar()
     numbered = assign_dense_ids(new_keys, [key_col], "_n", rows_per_bucket=rows_per_bucket)
-    added = numbered.select(key_col, (F.col("_n") + top).cast("int").alias(id_col))
+    added = numbered.select(key_col, to_int_id(F.col("_n") + top, id_col).alias(id_col))
     return known.unionByName(added)

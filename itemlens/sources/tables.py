@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemlens.functions.rules import AreaRules, RuleSet, LEVEL_LABELS_ARTEFACT
-from itemlens.functions.values import round_half_up
+from itemlens.functions.values import round_half_up, to_int_id
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -106,15 +106,15 @@ def interactions_from_orders(orders: DataFrame, lineitem: DataFrame, wide_user_k
     An inner equi-join on the order key; a hot order key is split by AQE's
     skew-join handling rather than landing in one task.
 
-    ALS needs int user ids.  By default the customer key is cast (and the
-    cast fails loudly on overflow); with ``wide_user_keys=True`` the 64-bit
+    ALS needs int user ids.  By default the customer key is converted with a
+    checked cast that fails loudly on overflow; with ``wide_user_keys=True`` the 64-bit
     key is kept as ``user_key`` for ``operators.dense_ids.index_keys`` (the
     training pipeline does this when it sees ``user_key``).
     """
     lines = lineitem.select("l_orderkey", "l_partkey", "l_quantity")
     heads = orders.select("o_orderkey", "o_custkey")
     user = (
-        F.col("o_custkey").alias("user_key") if wide_user_keys else F.col("o_custkey").cast("int").alias("user_id")
+        F.col("o_custkey").alias("user_key") if wide_user_keys else to_int_id("o_custkey", "user key").alias("user_id")
     )
     return lines.join(heads, lines["l_orderkey"] == heads["o_orderkey"], "inner").select(
         user,
@@ -131,4 +131,4 @@ def load_interactions(spark: SparkSession, sf_dir: str, wide_user_keys: bool = F
 
 def load_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users to serve: every customer (a relation, deduplicated)."""
-    return read_table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("user_id")).distinct()
+    return read_table(spark, sf_dir, "customer").select(to_int_id("c_custkey", "user key").alias("user_id")).distinct()

@@ -82,3 +82,14 @@ def test_rule_tables_are_complete():
     assert len(R.CONTAINS_CATEGORY_RULES) == 19
     assert len(R.NAMED_AREAS) == 11
     assert R.NAMED_AREAS.index("Dehiwala") < R.NAMED_AREAS.index("Mount Lavinia")
+
+
+def test_int_id_checked_cast(spark):
+    from itemlens.functions.values import to_int_id
+
+    ok = spark.createDataFrame([(5,), (None,), (2**31 - 1,)], "k long").select(to_int_id("k").alias("i"))
+    assert [r.i for r in ok.collect()] == [5, None, 2**31 - 1]
+    assert ok.schema["i"].dataType.typeName() == "integer"
+    bad = spark.createDataFrame([(2**31,)], "k long").select(to_int_id("k", "user key").alias("i"))
+    with pytest.raises(Exception, match="user key out of int range"):
+        bad.collect()
