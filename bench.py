@@ -5,6 +5,7 @@ Environment:
   BENCH_CPUS     local cores (default 8)
   BENCH_QUERIES  optional comma-separated subset
   BENCH_EVENT_LOG  set to write a Spark event log (stage / task times) to a new local folder
+  BENCH_CONF     optional comma-separated key=value Spark settings for the session
 
 Each query is forced with a ``noop`` write, so the whole result is computed
 but nothing is collected to the driver.  Shared inputs (prepared catalogue,
@@ -76,6 +77,9 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or HEADLINE
     extra = {}
+    for kv in filter(None, os.environ.get("BENCH_CONF", "").split(",")):
+        k, v = kv.split("=", 1)
+        extra[k] = v
     if os.environ.get("BENCH_EVENT_LOG"):
         # Stage and task timings without the UI: an event log in a fresh folder.
         import tempfile
