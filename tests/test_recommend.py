@@ -168,3 +168,32 @@ def test_baseline_warm_scores_dedupe_users(spark, setup):
     twice = base.warm_scores(u.unionByName(u), 4)
     assert twice.count() == once.count() == 12
     assert twice.groupBy("user_id", "item_id").count().filter("count > 1").count() == 0
+
+
+def test_models_beat_global_mean_on_structured_ratings(spark):
+    """Low-rank ratings (rank 2 plus user / item offsets): ALS and the bias
+    baseline must both beat predicting the global mean."""
+    from itemlens.plans.als import evaluate, fit_als
+    from itemlens.plans.ratings import fit_bias_baseline, rmse, split_ratings
+
+    u, i = F.col("user_id"), F.col("item_id")
+    pairs = spark.range(0, 80 * 60).select(
+        (F.col("id") % 80).cast("int").alias("user_id"), (F.col("id") / 80).cast("int").alias("item_id")
+    )
+    score = (
+        3.0
+        + 0.8 * F.sin(u) * F.cos(i)
+        + 0.8 * F.cos(u * 0.7) * F.sin(i * 1.3)
+        + 0.3 * F.sin(u * 2.1)
+        + 0.3 * F.cos(i * 0.9)
+    )
+    ratings = pairs.filter(F.pmod(F.xxhash64(u, i), F.lit(3)) != 0).select(
+        "user_id", "item_id", F.round(F.greatest(F.lit(0.5), F.least(F.lit(5.0), score)), 1).alias("rating")
+    ).cache()
+    train, test = split_ratings(ratings)
+    train, test = train.cache(), test.cache()
+    mean = train.agg(F.avg("rating")).first()[0]
+    base = rmse(test.withColumn("prediction", F.lit(mean))).first().rmse
+    als = evaluate(fit_als(train, rank=4, max_iter=10, reg_param=0.05), test).first().rmse
+    bias = rmse(fit_bias_baseline(train, checkpoint=False).predict(test)).first().rmse
+    assert als < bias < base
