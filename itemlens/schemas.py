@@ -19,6 +19,13 @@ CATALOG_TEXT_FIELDS = (
 )
 CATALOG_CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in CATALOG_TEXT_FIELDS])
 
+# The original catalogue CSV's column names that differ from
+# this library's (all other columns share their names).
+LEGACY_CATALOG_FIELDS: dict[str, str] = {
+    "place_id": "item_key",
+    "busyness_score": "activity_score",
+}
+
 # Typed raw catalogue.
 CATALOG_SCHEMA = T.StructType(
     [
@@ -61,6 +68,21 @@ TOP_LIST_SCHEMA = T.StructType(
     ]
 )
 
+# Field names of the original service's top-list JSON array,
+# mapped to this library's names (read with ``read_top_list(..., legacy=True)``).
+LEGACY_TOP_LIST_FIELDS: dict[str, str] = {
+    "restaurantId": "item_id",
+    "name": "name",
+    "cuisine": "category",
+    "location": "area",
+    "price_range": "level",
+    "rating": "rating",
+    "total_ratings": "total_ratings",
+    "busyness_score": "activity_score",
+    "lat": "lat",
+    "lng": "lng",
+}
+
 # One browse row.
 BROWSE_SCHEMA = T.StructType(
     [

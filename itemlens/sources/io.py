@@ -55,16 +55,28 @@ def type_catalog(text_df: DataFrame) -> DataFrame:
 
 
 def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV with every field as text, then typed."""
+    """Header CSV with every field as text, then typed.
+
+    Columns are matched by header name, not position (no schema inference
+    pass: every field is read as text).  The original service's names
+    (``place_id``, ``busyness_score``) are accepted; absent columns are NULL.
+    """
     raw = guarded_read(
-        lambda p: spark.read.schema(S.CATALOG_CSV_SCHEMA)
-        .option("header", "true")
-        .option("mode", "PERMISSIVE")
-        .csv(p),
+        lambda p: spark.read.option("header", "true").option("mode", "PERMISSIVE").csv(p),
         path,
         "catalogue CSV",
     )
-    return type_catalog(raw)
+    present = {c: c for c in raw.columns}
+    for old, new in S.LEGACY_CATALOG_FIELDS.items():
+        if old in present and new not in present:
+            present[new] = old
+    text = raw.select(
+        *[
+            F.col(present[c]).cast("string").alias(c) if c in present else F.lit(None).cast("string").alias(c)
+            for c in S.CATALOG_TEXT_FIELDS
+        ]
+    )
+    return type_catalog(text)
 
 
 def catalog_as_text(df: DataFrame) -> DataFrame:
@@ -106,22 +118,30 @@ def read_top_list(
     path: str,
     limit: int | None = None,
     array_file: bool = False,
+    legacy: bool = False,
 ) -> DataFrame:
     """Read a ranked list, optionally only its first ``limit`` entries.
 
     ``array_file=True`` reads a single JSON array file without ``rank``
-    fields; the position in the file becomes the rank.
+    fields; the position in the file becomes the rank.  ``legacy=True`` (an
+    array file) reads the original service's field names
+    (``schemas.LEGACY_TOP_LIST_FIELDS``).
     """
-    if array_file:
-        body = S.TOP_LIST_SCHEMA
-        fields = [f for f in body.fields if f.name != "rank"]
+    if array_file or legacy:
         from pyspark.sql import types as T
 
+        by_name = {f.name: f for f in S.TOP_LIST_SCHEMA.fields}
+        if legacy:
+            fields = [T.StructField(old, by_name[new].dataType, True) for old, new in S.LEGACY_TOP_LIST_FIELDS.items()]
+        else:
+            fields = [f for f in S.TOP_LIST_SCHEMA.fields if f.name != "rank"]
         raw = guarded_read(
             lambda p: spark.read.schema(T.StructType(fields)).option("multiLine", "true").json(p),
             path,
             "top list",
         )
+        if legacy:
+            raw = raw.select(*[F.col(old).alias(new) for old, new in S.LEGACY_TOP_LIST_FIELDS.items()])
         # A multi-line JSON file is read by one task in file order, and the
         # list is bounded, so a single ordered window here is cheap.
         pos = F.monotonically_increasing_id()

@@ -80,3 +80,33 @@ def test_conform_drops_extra_and_casts(spark):
         S.conform(df, S.BROWSE_SCHEMA)
     small = S.conform(df.withColumn("rank", F.col("rank")), S.BROWSE_SCHEMA.__class__([S.BROWSE_SCHEMA["rank"]]))
     assert small.columns == ["rank"] and small.schema["rank"].dataType.typeName() == "integer"
+
+
+def test_top_list_legacy_array_file(spark, tmp_path):
+    p = tmp_path / "top_restaurants.json"
+    items = [
+        {"restaurantId": 7, "name": "A", "cuisine": "Seafood", "location": "Colombo 03",
+         "price_range": "Expensive", "rating": 4.6, "total_ratings": 4821, "busyness_score": 91.2},
+        {"restaurantId": 3, "name": "B", "cuisine": "Café", "location": "Fort",
+         "price_range": "Budget", "rating": 4.5, "total_ratings": 120, "busyness_score": 40.0},
+    ]
+    p.write_text(json.dumps(items, indent=2))
+    rows = IO.read_top_list(spark, str(p), limit=2, legacy=True).orderBy("rank").collect()
+    assert [(r["rank"], r.item_id, r.category, r.area, r.level, r.activity_score) for r in rows] == [
+        (1, 7, "Seafood", "Colombo 03", "Expensive", 91.2),
+        (2, 3, "Café", "Fort", "Budget", 40.0),
+    ]
+    assert rows[0].lat is None
+
+
+def test_csv_with_original_headers_in_any_order(spark, tmp_path):
+    p = tmp_path / "orig.csv"
+    p.write_text(
+        "name,place_id,types,rating,total_ratings,price_level,busyness_score,address\n"
+        'Crab,ChIJ1,"seafood_restaurant,bar",4.6,4821,3,91.2,"1 Fort Rd, Colombo 1"\n'
+    )
+    row = IO.read_catalog_csv(spark, str(p)).first()
+    assert (row.item_key, row.name, row.rating, row.total_ratings, row.price_level, row.activity_score) == (
+        "ChIJ1", "Crab", 4.6, 4821, 3, 91.2
+    )
+    assert row.lat is None and row.address == "1 Fort Rd, Colombo 1" and row.types == "seafood_restaurant,bar"
