@@ -6,7 +6,6 @@ from itemlens.functions.labels import (
     extract_area,
     level_label,
     level_rank,
-    split_tokens,
 )
 from itemlens.functions.values import (
     base_rating,
@@ -30,7 +29,6 @@ __all__ = [
     "level_rank",
     "number_or",
     "round_half_up",
-    "split_tokens",
     "text_or",
     "to_double",
     "to_int",

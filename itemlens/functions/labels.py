@@ -37,14 +37,6 @@ def classify_contains(
     return expr.otherwise(F.lit(default))
 
 
-def split_tokens(text: Column | str, sep: str = ",") -> Column:
-    """``text`` split on ``sep``; each token whitespace-trimmed and lower-cased."""
-    return F.transform(
-        F.split(_col(text), sep),
-        lambda t: F.lower(F.regexp_replace(t, r"^\s+|\s+$", "")),
-    )
-
-
 def _quote(token: str) -> str:
     """Literal-quote a token for a Java regular expression."""
     return "\\Q" + token.replace("\\E", "\\E\\\\E\\Q") + "\\E"
