@@ -76,10 +76,10 @@ def bucket_sql(key: str, salt: str, buckets: int = 100) -> str:
     return f"(CAST(('0x' || substr(md5({lit(salt + ':')} || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT) % {buckets})"
 
 
-def category_sql(col: str) -> str:
-    if RULES.category_mode == "tokens":
-        return tokens_sql(col, RULES.token_rules, RULES.default_category)
-    return contains_sql(col, RULES.contains_rules, RULES.default_category)
+def category_sql(col: str, rules: R.RuleSet = RULES) -> str:
+    if rules.category_mode == "tokens":
+        return tokens_sql(col, rules.token_rules, rules.default_category)
+    return contains_sql(col, rules.contains_rules, rules.default_category)
 
 
 # --- shared CTEs ---------------------------------------------------------------------
@@ -96,17 +96,21 @@ cat_raw AS (
          qty_sum AS activity_score
   FROM part LEFT JOIN stats ON p_partkey = l_partkey)"""
 
-CAT = (
-    CAT_RAW
-    + f""",
+def cat_cte(rules: R.RuleSet) -> str:
+    return (
+        CAT_RAW
+        + f""",
 cat AS (
   SELECT CAST(row_number() OVER (ORDER BY item_key NULLS FIRST) AS INTEGER) AS item_id,
          item_key, name, address, lat, lng, rating, total_ratings, price_level, types, activity_score,
-         {category_sql("types")} AS category,
-         {area_sql("address", RULES.area)} AS area,
-         {level_sql("price_level", RULES.level_labels)} AS level
+         {category_sql("types", rules)} AS category,
+         {area_sql("address", rules.area)} AS area,
+         {level_sql("price_level", rules.level_labels, rules.unknown_level)} AS level
   FROM cat_raw)"""
-)
+    )
+
+
+CAT = cat_cte(RULES)
 
 RATINGS = (
     CAT
@@ -404,4 +408,8 @@ FROM jb GROUP BY user_id""",
         CAT,
         f"SELECT item_id, {cat_cols}, category, area, level FROM cat",
     )
+    q["prepare_catalog_serving"] = with_(
+        cat_cte(TB.PART_SERVING_RULES),
+        f"SELECT item_id, {cat_cols}, category, area, level FROM cat",
+    )
     return q

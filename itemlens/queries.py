@@ -458,6 +458,10 @@ def q_prepare_catalog(spark, sf_dir):
     return catalog(spark, sf_dir)
 
 
+def q_prepare_catalog_serving(spark, sf_dir):
+    return prepare_catalog(raw_catalog(spark, sf_dir), TB.PART_SERVING_RULES)
+
+
 # --- model (rows-only checks) ----------------------------------------------------------
 
 
@@ -563,6 +567,7 @@ QUERIES: dict[str, Query] = {
     "hash_split": q_hash_split,
     # composite
     "prepare_catalog": q_prepare_catalog,
+    "prepare_catalog_serving": q_prepare_catalog_serving,
     # model (rows-only)
     "als_fit_predict": q_als_fit_predict,
     "als_eval": q_als_eval,

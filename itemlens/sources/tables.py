@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemlens.functions.rules import AreaRules, RuleSet, LEVEL_LABELS_ARTEFACT
+from itemlens.functions.rules import LEVEL_LABELS_ARTEFACT, LEVEL_LABELS_SERVING, AreaRules, RuleSet
 from itemlens.functions.values import round_half_up, to_int_id
 
 TABLES = (
@@ -59,6 +59,15 @@ PART_RULES = RuleSet(
     area=PART_AREA,
     level_labels=dict(LEVEL_LABELS_ARTEFACT),
 )
+# The serving flavour: substring categories, two-character areas, serving vocabulary.
+PART_SERVING_RULES = RuleSet(
+    category_mode="contains",
+    token_rules=PART_TOKEN_RULES,
+    contains_rules=PART_CONTAINS_RULES,
+    default_category=PART_DEFAULT_CATEGORY,
+    area=AreaRules(pattern=r"(?i)Brand#(\d+)", prefix="Brand ", named=(), default="No Brand", mode="lpad2"),
+    level_labels=dict(LEVEL_LABELS_SERVING),
+)
 PAGE_AREA_NAMED = AreaRules(
     pattern=r"(?i)/en/(\d+)",
     prefix="Page ",
