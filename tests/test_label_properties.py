@@ -82,3 +82,23 @@ def test_token_and_contains_classifiers(spark, values):
 @given(st.lists(address, min_size=1, max_size=40))
 def test_area_extraction(spark, values):
     assert evaluate(spark, values, lambda c: extract_area(c, R.AreaRules())) == [py_area(v) for v in values]
+
+
+@settings(max_examples=10, deadline=None)
+@given(
+    keys=st.sets(st.text(alphabet="abcXYZ019-_", min_size=0, max_size=6), min_size=1, max_size=300),
+    with_null=st.booleans(),
+    rows_per_bucket=st.integers(min_value=1, max_value=80),
+    parts=st.integers(min_value=1, max_value=9),
+)
+def test_dense_ids_equal_sorted_positions(spark, keys, with_null, rows_per_bucket, parts):
+    from itemlens.operators.dense_ids import assign_dense_ids
+
+    values = sorted(keys)  # Python str order = UTF-8 byte order = Spark's
+    rows = [(k,) for k in values] + ([(None,)] if with_null else [])
+    df = spark.createDataFrame(rows, "k string").repartition(parts)
+    got = {r.k: r.i for r in assign_dense_ids(df, ["k"], "i", rows_per_bucket=rows_per_bucket, sample_per_bucket=3).collect()}
+    want = {None: 1} if with_null else {}
+    offset = 1 if with_null else 0
+    want.update({k: offset + n for n, k in enumerate(values, start=1)})
+    assert got == want
