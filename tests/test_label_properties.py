@@ -102,3 +102,47 @@ def test_dense_ids_equal_sorted_positions(spark, keys, with_null, rows_per_bucke
     offset = 1 if with_null else 0
     want.update({k: offset + n for n, k in enumerate(values, start=1)})
     assert got == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(
+    n=st.integers(min_value=1, max_value=90),
+    k=st.integers(min_value=1, max_value=7),
+    block=st.integers(min_value=4, max_value=40),
+    exclude=st.booleans(),
+    seed=st.integers(min_value=0, max_value=10_000),
+)
+def test_blocked_topk_equals_brute_force(spark, n, k, block, exclude, seed):
+    import numpy as np
+
+    from itemlens.operators.factors import topk_dot_product
+
+    rng = np.random.default_rng(seed)
+    vecs = rng.integers(-3, 4, size=(n, 3)).astype(np.float32)  # small integers: exact ties happen
+    df = spark.createDataFrame([(i * 7, [float(x) for x in vecs[i]]) for i in range(n)], "id long, v array<float>")
+    got = sorted(
+        (r.query_id, r["rank"], r.item_id)
+        for r in topk_dot_product(df, df, k, "id", "v", "id", "v", block_size=block, exclude_same_id=exclude).collect()
+    )
+    s = vecs.astype(np.float64) @ vecs.astype(np.float64).T
+    want = []
+    for q in range(n):
+        cand = [(-s[q, c], c * 7) for c in range(n) if not (exclude and c == q)]
+        for r, (_, item) in enumerate(sorted(cand)[:k], start=1):
+            want.append((q * 7, r, item))
+    assert got == sorted(want)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.sampled_from("abcde")), st.integers(0, 50)), min_size=1, max_size=60))
+def test_dedupe_keeps_first_by_order(spark, rows):
+    from itemlens.operators.dedupe import dedupe_by_key
+
+    data = [(k, v, i) for i, (k, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "k string, v int, i int")
+    got = {r.k: (r.v, r.i) for r in dedupe_by_key(df, ["k"], [F.col("v"), F.col("i")]).collect()}
+    want = {}
+    for k, v, i in data:
+        if k not in want or (v, i) < want[k]:
+            want[k] = (v, i)
+    assert got == want
