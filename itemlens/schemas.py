@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Raw catalogue as it sits in a CSV: every field is text on disk.
+# Raw catalogue columns as they sit in a CSV (every field is text on disk).
 CATALOG_TEXT_FIELDS = (
     "item_key",
     "name",
@@ -17,7 +17,6 @@ CATALOG_TEXT_FIELDS = (
     "types",
     "activity_score",
 )
-CATALOG_CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in CATALOG_TEXT_FIELDS])
 
 # The original catalogue CSV's column names that differ from
 # this library's (all other columns share their names).

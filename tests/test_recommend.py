@@ -197,3 +197,15 @@ def test_models_beat_global_mean_on_structured_ratings(spark):
     als = evaluate(fit_als(train, rank=4, max_iter=10, reg_param=0.05), test).first().rmse
     bias = rmse(fit_bias_baseline(train, checkpoint=False).predict(test)).first().rmse
     assert als < bias < base
+
+
+def test_rmse_matches_regression_evaluator(spark, setup):
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    from itemlens.plans.als import evaluate, predict
+
+    _, _, _, test, model = setup
+    ours = evaluate(model, test).first().rmse
+    preds = predict(model, test)
+    ml = RegressionEvaluator(metricName="rmse", labelCol="rating", predictionCol="prediction").evaluate(preds)
+    assert abs(ours - ml) < 5e-5
