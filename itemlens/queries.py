@@ -2,7 +2,9 @@
 
 Each runs over the whole driver tables (or data Spark derives from them).
 Expensive shared inputs (the prepared catalogue, the ratings table, the
-fitted ALS model) are built once per session and directory and reused.
+labelled train / test split, the fitted bias baseline and ALS model) are
+built once per session and directory, written under the shared checkpoint
+folder where they are tables, and reused.
 """
 
 from __future__ import annotations
