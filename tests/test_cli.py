@@ -32,3 +32,40 @@ def test_train_then_serve(spark, tmp_path, capsys):
 
     assert main(["browse", "--out", out, "--sort-by", "name"]) == 2
     assert main(["top", "--out", str(tmp_path / "missing")]) == 2
+
+
+def test_train_from_files_with_restaurant_rules(spark, tmp_path, capsys):
+    csv = tmp_path / "listings.csv"
+    rows = [
+        ("ChIJ-a", "Crab House", "1 Fort Rd, Colombo 1", "4.6", "4821", "3", "seafood_restaurant,bar", "91.2"),
+        ("ChIJ-b", "Dosa Corner", "Galle Rd, Dehiwala", "4.3", "120.0", "1", "indian_restaurant", "40"),
+        ("ChIJ-c", "Bean There", "x, colombo  3", "4.7", "55", "2", "cafe,indian_restaurant", "12"),
+        ("ChIJ-c", "Bean There (old)", "x, colombo  3", "4.1", "5", "2", "cafe", "3"),
+        ("ChIJ-d", "No Data", "", "abc", "", "", "", ""),
+    ]
+    csv_lines = ["name,place_id,address,rating,total_ratings,price_level,types,busyness_score"]
+    csv_lines += [",".join([n, k, f'"{a}"', r, t, p, f'"{ty}"', b]) for k, n, a, r, t, p, ty, b in rows]
+    csv.write_text("\n".join(csv_lines) + "\n")
+    inter = spark.createDataFrame(
+        [(u, k, float(v)) for u in range(1, 13) for k, v in (("ChIJ-a", u % 5), ("ChIJ-b", 3), ("ChIJ-c", u % 4 + 1))],
+        "user_id int, item_key string, value double",
+    )
+    inter_path = str(tmp_path / "inter")
+    inter.write.parquet(inter_path)
+    out = str(tmp_path / "art")
+    args = ["--catalog-csv", str(csv), "--interactions", inter_path, "--rank", "2", "--max-iter", "3"]
+    assert main(["train", "--out", out, *args]) == 0
+    assert lines(capsys)[0]["n_items"] == 3
+
+    assert main(["browse", "--out", out, "--sort-by", "rating", "--limit", "10"]) == 0
+    page = lines(capsys)
+    by_name = {r["name"]: r for r in page[:-1]}
+    assert page[-1]["total"] == 4  # the duplicate key collapsed to one row
+    assert by_name["Bean There"]["category"] == "Café" and by_name["Bean There"]["area"] == "Colombo 03"
+    assert by_name["Crab House"]["category"] == "Seafood" and by_name["Crab House"]["level"] == "Expensive"
+    assert by_name["Dosa Corner"]["area"] == "Dehiwala"
+    assert by_name["No Data"]["rating"] == 0.0 and by_name["No Data"]["category"] == "Restaurant"
+
+    assert main(["recommend", "--out", out, "--users", "1,4242", "--top-n", "2"]) == 0
+    recs = lines(capsys)
+    assert {r["user_id"] for r in recs} == {1, 4242} and len(recs) == 4
