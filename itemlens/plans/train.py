@@ -57,7 +57,8 @@ def train(
     under the shared checkpoint folder) before the iterative fit, so a lost executor
     recomputes from durable data rather than from the raw interactions.
     """
-    catalog = prepare_catalog(raw_catalog, rules)
+    # Used three times (id map, top list, the caller's copy): number it once.
+    catalog = materialize(prepare_catalog(raw_catalog, rules), "train-catalog")
     user_map = None
     if "user_key" in interactions.columns:
         # 64-bit user keys: number them densely so ALS gets int ids.
