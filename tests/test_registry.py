@@ -31,7 +31,8 @@ def test_entry_runs(spark):
 def test_every_query_has_an_oracle_or_is_model_based():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    rows_only = set(qs) - set(sql)
+    corpus = set(getattr(E, "LLM_QUERIES", {}))
+    rows_only = set(qs) - set(sql) - corpus
     assert rows_only == {
         "als_fit_predict",
         "als_eval",
