@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itemlens.llm.bpe import roundtrip
 from itemlens.llm.common import documents, table
 from itemlens.llm.decontaminate import decontaminate, items_digest
+from itemlens.llm.secrets import BASE_KINDS, count_of, find_secrets, joined
 from itemlens.llm.sharding import shard
 
 
@@ -14,6 +16,20 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roundtrip(documents(spark, sf_dir))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    return find_secrets(documents(spark, sf_dir)).select(
+        "doc_id",
+        *[count_of(F.col("spans"), k).alias(f"n_{k}") for k in BASE_KINDS],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -28,5 +44,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_virtual_slots": op3_virtual_slots,
+    "op6_bpe": op6_bpe,
+    "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
 }
