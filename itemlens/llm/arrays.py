@@ -72,8 +72,9 @@ class Words:
         return np.diff(self.offsets)
 
 
-def words(column: pa.Array) -> Words:
-    """White-space words (ASCII space and 0x09-0x0D) of every text, A-Z lowered.
+def words(column: pa.Array, breaks: np.ndarray = _SPACE) -> Words:
+    """Words of every text, A-Z lowered; ``breaks`` marks the bytes between words
+    (ASCII space and 0x09-0x0D).
 
     The 64-bit hash of a word is a polynomial over its bytes followed by a mixer,
     so equal words have equal hashes everywhere.
@@ -84,7 +85,7 @@ def words(column: pa.Array) -> Words:
     if not n:
         empty = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), empty, empty, data)
-    solid = ~_SPACE[data]
+    solid = ~breaks[data]
     first = np.empty(n, bool)
     first[0] = True
     np.logical_not(solid[:-1], out=first[1:])

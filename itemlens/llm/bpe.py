@@ -19,6 +19,7 @@ special token's literal in a text is that token, as in the library.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterable, Sequence
 
@@ -58,6 +59,7 @@ class Codec:
     """Encoder and decoder of one task."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)

@@ -10,12 +10,18 @@ from itemlens.llm.common import documents, table
 from itemlens.llm.decontaminate import decontaminate, items_digest
 from itemlens.llm.secrets import BASE_KINDS, count_of, find_secrets, joined
 from itemlens.llm.sharding import shard
+from itemlens.llm.toxicity import THRESHOLD, held_out, score_toxicity
 
 
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(documents(spark, sf_dir))
 
@@ -44,6 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_virtual_slots": op3_virtual_slots,
+    "op4_toxicity": op4_toxicity,
     "op6_bpe": op6_bpe,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
