@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from itemlens.llm.bpe import roundtrip
 from itemlens.llm.common import documents, table
 from itemlens.llm.decontaminate import decontaminate, items_digest
+from itemlens.llm.ngram_join import ngram_join
 from itemlens.llm.secrets import BASE_KINDS, count_of, find_secrets, joined
 from itemlens.llm.sharding import shard
 from itemlens.llm.toxicity import THRESHOLD, held_out, score_toxicity
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
@@ -49,6 +54,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_toxicity": op4_toxicity,
     "op6_bpe": op6_bpe,
