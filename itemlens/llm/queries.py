@@ -11,6 +11,7 @@ from itemlens.llm.decontaminate import decontaminate, items_digest
 from itemlens.llm.ngram_join import ngram_join
 from itemlens.llm.secrets import BASE_KINDS, count_of, find_secrets, joined
 from itemlens.llm.sharding import shard
+from itemlens.llm.spotsigs import fingerprints
 from itemlens.llm.toxicity import THRESHOLD, held_out, score_toxicity
 
 
@@ -31,6 +32,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(documents(spark, sf_dir))
 
 
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     return find_secrets(documents(spark, sf_dir)).select(
@@ -58,6 +63,7 @@ QUERIES = {
     "op3_virtual_slots": op3_virtual_slots,
     "op4_toxicity": op4_toxicity,
     "op6_bpe": op6_bpe,
+    "op7_spotsigs": op7_spotsigs,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
 }
