@@ -9,6 +9,8 @@ from itemlens.llm.bpe import roundtrip
 from itemlens.llm.common import documents, table
 from itemlens.llm.decontaminate import decontaminate, items_digest
 from itemlens.llm.ngram_join import ngram_join
+from itemlens.llm.pii import BASE_KINDS as PII_KINDS
+from itemlens.llm.pii import find_pii
 from itemlens.llm.secrets import BASE_KINDS, count_of, find_secrets, joined
 from itemlens.llm.sharding import shard
 from itemlens.llm.spotsigs import fingerprints
@@ -28,6 +30,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir)).select(
+        "doc_id",
+        *[count_of(F.col("base"), k).alias(f"n_{k}") for k in PII_KINDS],
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(documents(spark, sf_dir))
 
@@ -62,6 +73,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_toxicity": op4_toxicity,
+    "op5_pii": op5_pii,
     "op6_bpe": op6_bpe,
     "op7_spotsigs": op7_spotsigs,
     "op9_secrets": op9_secrets,
