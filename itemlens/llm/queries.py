@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from itemlens.llm.bpe import roundtrip
 from itemlens.llm.common import documents, table
 from itemlens.llm.decontaminate import decontaminate, items_digest
+from itemlens.llm.katz import katz_scores
 from itemlens.llm.ngram_join import ngram_join
 from itemlens.llm.pii import BASE_KINDS as PII_KINDS
 from itemlens.llm.pii import find_pii
@@ -21,6 +22,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(documents(spark, sf_dir)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
@@ -71,6 +78,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_katz_backoff": op2_katz_backoff,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
