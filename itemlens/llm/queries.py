@@ -15,6 +15,7 @@ from itemlens.llm.pii import find_pii
 from itemlens.llm.secrets import BASE_KINDS, count_of, find_secrets, joined
 from itemlens.llm.sharding import shard
 from itemlens.llm.spotsigs import fingerprints
+from itemlens.llm.suffix_dedup import suffix_dedup
 from itemlens.llm.toxicity import THRESHOLD, held_out, score_toxicity
 
 
@@ -54,6 +55,10 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     return find_secrets(documents(spark, sf_dir)).select(
@@ -84,6 +89,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_bpe": op6_bpe,
     "op7_spotsigs": op7_spotsigs,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
 }
