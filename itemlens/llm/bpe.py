@@ -21,8 +21,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +57,11 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: What is kept of a piece: number of ids, ids joined by commas, bytes of the decoded
+#: ids, ids as 32-bit integers.
+Entry = tuple[int, str, bytes, bytes]
+
+
 class Codec:
     """Encoder and decoder of one task."""
 
@@ -71,7 +78,7 @@ class Codec:
         self.names = {i: s for s, i in self.tok.get_vocab(with_added_tokens=False).items()}
         self.bytes = {i: bytes(back[c] for c in s) for i, s in self.names.items()}
         self.bytes |= {i: s.encode() for s, i in self.specials.items()}
-        self.cache: dict[str, tuple[int, str, bytes]] = {}
+        self.cache: dict[str, Entry] = {}
 
     # whole texts -------------------------------------------------------------
 
@@ -93,17 +100,18 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def prepare(self, texts: list[list[str]]) -> dict[str, tuple[int, str, bytes]]:
-        """(number of ids, ids joined by commas, bytes of the decoded ids) of every piece."""
+    def prepare(self, texts: list[list[str]]) -> dict[str, Entry]:
+        """The entry of every piece."""
         need = set().union(*texts) if texts else set()
         known = self.cache
         out = {p: known[p] for p in need if p in known}
         fresh = [p for p in need if p not in out and p]
-        out[""] = (0, "", b"")
+        out[""] = (0, "", b"", b"")
         for lo in range(0, len(fresh), 4096):
             part = fresh[lo : lo + 4096]
             for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                out[p] = (len(e.ids), ",".join(map(str, e.ids)), self.decode_bytes(e.ids))
+                ids = e.ids
+                out[p] = (len(ids), ",".join(map(str, ids)), self.decode_bytes(ids), array("i", ids).tobytes())
         if len(known) + len(fresh) > CACHE:
             known.clear()
         known.update((p, out[p]) for p in fresh[:CACHE] if len(p) <= CACHED_CHARS)
@@ -306,7 +314,15 @@ def encode(docs: DataFrame, carry: Sequence[str] = ("doc_id",), path: str | None
 
     def short():
         codec = Codec(path)
-        return lambda texts: [pa.array([codec.encode(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.int32()))]
+
+        def work(texts: pa.Array):
+            cut = [codec.pieces(t) if t else [] for t in texts.to_pylist()]
+            known = codec.prepare(cut)
+            size = [sum(known[p][0] for p in pieces) for pieces in cut]
+            ids = np.frombuffer(b"".join([known[p][3] for pieces in cut for p in pieces]), np.int32)
+            return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids))]
+
+        return work
 
     small, big = _split(docs, carry, long)
     big_done = big.drop("text") if "text" not in carry else big

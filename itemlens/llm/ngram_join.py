@@ -31,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemlens.llm.arrays import mix64, slices, window_hashes, words
@@ -356,11 +356,16 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
     return x.join(y, "sig").where("ra != rb and a < b").select("a", "b").distinct()
 
 
+def row_key() -> Column:
+    """Names a row by its id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id (the least doc_id
     reachable by links), row_key (a hash of the row's id and text) and root (the
     component, null without n-grams)."""
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    docs = docs.select("doc_id", "text", row_key().alias("row_key"))
     table = materialize(_node_table(docs, width), "ngram-nodes")
     tokens = table.agg(F.sum("n_shingles")).first()[0] or 0
     # About 0.56 signatures a token, of eight bytes.
