@@ -7,30 +7,57 @@
     python -m itemlens top --out DIR [--limit N]
     python -m itemlens recommend --out DIR --users 1,2,3 [--top-n N]
 
-``train`` writes the prepared catalogue, the ALS model, the ranked top list
-and a metrics file under ``--out`` (use a shared folder on a cluster).  The
-other commands read those and print JSON lines; every result they print is
-bounded by its validated limit.
+``train`` writes the prepared catalogue, the ALS model, the ranked top list,
+the user key map (with 64-bit keys) and a metrics file as one version under
+``--out`` (use a shared folder on a cluster); ids of the version before stay.
+The other commands read the last finished version and print JSON lines; every
+result they print is bounded by its validated limit.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
 
 from itemlens.functions import rules as R
 
 
-def _paths(out: str) -> dict[str, str]:
-    out = out.rstrip("/")
-    return {
-        "catalog": f"{out}/catalog",
-        "model": f"{out}/model",
-        "top": f"{out}/top_list",
-        "metrics": f"{out}/metrics",
-    }
+def _paths(base: str) -> dict[str, str]:
+    base = base.rstrip("/")
+    return {name: f"{base}/{name}" for name in ("catalog", "model", "top_list", "metrics", "user_map")}
+
+
+def _hadoop(spark, path: str):
+    """(path object, its file system): the driver's view of the shared folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark, path: str) -> bool:
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def _versions(spark, out: str) -> list[str]:
+    """Finished versions under ``out``, oldest first.
+
+    A version is a folder that ``train`` fills and then marks as finished by an
+    empty file, so a reader never sees artefacts of two runs together.
+    """
+    p, fs = _hadoop(spark, out)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    done = sorted(n for n in names if n.startswith("version-") and _exists(spark, f"{out}/{n}/FINISHED"))
+    return [f"{out}/{n}" for n in done]
+
+
+def _current(spark, args) -> dict[str, str]:
+    found = _versions(spark, args.out.rstrip("/"))
+    if not found:
+        raise FileNotFoundError(f"no trained artefacts under {args.out}")
+    return _paths(found[-1])
 
 
 def _print_rows(df) -> None:
@@ -47,12 +74,16 @@ def _rules(args):
 
 
 def cmd_train(spark, args) -> None:
-    from itemlens.plans.catalog import write_catalog_table
+    from itemlens.plans.catalog import id_map, write_catalog_table
     from itemlens.plans.train import TrainConfig, train
     from itemlens.sources import io as IO
     from itemlens.sources import tables as TB
 
-    p = _paths(args.out)
+    out = args.out.rstrip("/")
+    earlier = _versions(spark, out)
+    old = _paths(earlier[-1]) if earlier else None
+    version = f"{out}/version-{int(earlier[-1].rsplit('-', 1)[1]) + 1 if earlier else 1:08d}"
+    p = _paths(version)
     if args.sf_dir:
         raw = TB.load_catalog(spark, args.sf_dir)
         interactions = TB.load_interactions(spark, args.sf_dir, wide_user_keys=args.wide_user_keys)
@@ -70,18 +101,34 @@ def cmd_train(spark, args) -> None:
         holdout_user_fraction=args.holdout_users,
         ratings_per_user=tuple(args.ratings_per_user) if args.ratings_per_user else None,
     )
-    result = train(spark, raw, interactions, rules, config, model_path=p["model"], top_list_path=p["top"])
+    ids = users = None
+    if old is not None:
+        ids = id_map(spark.read.parquet(old["catalog"]))
+        users = spark.read.parquet(old["user_map"]) if _exists(spark, old["user_map"]) else None
+    result = train(
+        spark,
+        raw,
+        interactions,
+        rules,
+        config,
+        model_path=p["model"],
+        top_list_path=p["top_list"],
+        existing_ids=ids,
+        existing_users=users,
+    )
     write_catalog_table(result.catalog, p["catalog"])
     result.metrics.coalesce(1).write.mode("overwrite").json(p["metrics"])
     if result.user_map is not None:
-        result.user_map.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/user_map")
+        result.user_map.write.mode("overwrite").parquet(p["user_map"])
+    mark, fs = _hadoop(spark, f"{version}/FINISHED")
+    fs.create(mark, True).close()
     _print_rows(spark.read.json(p["metrics"]))
 
 
 def _catalog(spark, args):
     from itemlens.sources.io import guarded_read
 
-    return guarded_read(spark.read.parquet, _paths(args.out)["catalog"], "prepared catalogue")
+    return guarded_read(spark.read.parquet, _current(spark, args)["catalog"], "prepared catalogue")
 
 
 def cmd_browse(spark, args) -> None:
@@ -117,26 +164,37 @@ def cmd_top(spark, args) -> None:
     from itemlens.sources.io import read_top_list
 
     check_int_range("limit", args.limit, 1, R.TOP_LIST_READ_MAX)
-    _print_rows(read_top_list(spark, _paths(args.out)["top"], limit=args.limit).orderBy("rank"))
+    _print_rows(read_top_list(spark, _current(spark, args)["top_list"], limit=args.limit).orderBy("rank"))
 
 
 def cmd_recommend(spark, args) -> None:
-    from pyspark.sql import types as T
+    from pyspark.sql import functions as F
 
     from itemlens.plans.recommend import recommend
     from itemlens.sources.io import load_model
 
     rules = _rules(args)
     ids = [int(x) for x in args.users.split(",") if x.strip()]
-    users = spark.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("user_id", T.IntegerType())]))
-    model = load_model(_paths(args.out)["model"])
-    recs = recommend(users, model, _catalog(spark, args), args.top_n, rules.default_category, rules.area.default)
-    _print_rows(recs.orderBy("user_id", "rank"))
+    p = _current(spark, args)
+    asked = spark.createDataFrame([(i,) for i in ids], "asked long").distinct()
+    if _exists(spark, p["user_map"]):
+        # The model knows users by their dense ids; they are asked for, and
+        # answered, by the keys that they were trained from.
+        known = spark.read.parquet(p["user_map"]).select(F.col("user_key").cast("long").alias("asked"), "user_id")
+        asked = asked.join(known, "asked", "left")
+    else:
+        asked = asked.withColumn("user_id", F.col("asked").try_cast("int"))
+    model = load_model(p["model"])
+    recs = recommend(asked, model, _catalog(spark, args), args.top_n, rules.default_category, rules.area.default)
+    recs = recs.withColumnRenamed("user_id", "known")
+    out = asked.join(recs, F.col("user_id").eqNullSafe(F.col("known"))).drop("user_id", "known")
+    _print_rows(out.withColumnRenamed("asked", "user_id").orderBy("user_id", "rank"))
 
 
 def build_parser() -> argparse.ArgumentParser:
     ap = argparse.ArgumentParser(prog="itemlens", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     ap.add_argument("--master", default=None, help="Spark master (default: from the environment)")
+    ap.add_argument("--shuffle-partitions", type=int, default=None, help="default: from the environment")
     sub = ap.add_subparsers(dest="cmd", required=True)
 
     def common(p):
@@ -191,11 +249,14 @@ def main(argv: list[str] | None = None) -> int:
     args = build_parser().parse_args(argv)
     from pyspark.sql import SparkSession
 
-    from itemlens.session import build_session
+    from itemlens.session import build_session, clear_scratch, ensure_checkpoint_dir
 
     existing = SparkSession.getActiveSession()
-    master = args.master or os.environ.get("SPARK_MASTER") or "local[*]"
-    spark = existing or build_session(master)
+    # Neither master nor shuffle partitions unless asked for: spark-submit decides.
+    spark = existing or build_session(args.master, args.shuffle_partitions)
+    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(f"{args.out.rstrip('/')}/_scratch")
+    ensure_checkpoint_dir(spark)
     try:
         COMMANDS[args.cmd](spark, args)
     except (ValueError, FileNotFoundError) as exc:
@@ -203,5 +264,6 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     finally:
         if existing is None:
+            clear_scratch(spark)
             spark.stop()
     return 0

@@ -38,10 +38,12 @@ def round_half_up(c: Column | str, scale: int) -> Column:
     """Round half-up on the decimal value of a double, back to double.
 
     Rounding through a decimal keeps ties deterministic (plain binary
-    doubles such as 2.675 would otherwise round either way).
+    doubles such as 2.675 would otherwise round either way).  Values beyond
+    the decimal's range have no fraction left and are rounded as doubles.
     """
-    dec = _col(c).try_cast("decimal(38,12)")
-    return F.round(dec, scale).cast("double")
+    x = _col(c)
+    dec = x.try_cast("decimal(38,12)")
+    return F.coalesce(F.round(dec, scale).cast("double"), F.round(x.cast("double"), scale))
 
 
 def clamp(c: Column | str, lo: float, hi: float) -> Column:

@@ -8,6 +8,10 @@ and only the best ``k`` candidates per query leave the group; a final
 ranking per query merges ``k`` candidates per block.  Groups arrive as Arrow
 tables, so vectors reshape into matrices without per-row Python objects.  No pair list is ever
 materialised and no group grows with the data beyond the block size.
+
+Vectors that are NULL, or hold a NULL, NaN or infinite value, have no dot
+products and take no part, as queries or as candidates.  Vectors of
+different lengths are an error.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from itemlens.operators.topk import topk_per_group
 _SCORED_SCHEMA = "query_id long, item_id long, score double"
 
 
-def _block_scorer(k: int, exclude_same_id: bool):
+def _block_scorer(k: int, exclude_same_id: bool, chunk: int = 512):
     """The per-group scoring function.
 
     Self-contained on purpose: it is shipped to Python workers by value and
@@ -32,17 +36,18 @@ def _block_scorer(k: int, exclude_same_id: bool):
     def score(table):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         out_schema = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
 
         def matrix(vectors):
             # list<float> column of equal-length vectors -> 2-D float64 matrix
             # (one copy of the flat values, no per-row Python objects).
-            n = len(vectors)
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if n == 0 or len(flat) % n:
+            lengths = set(pc.list_value_length(vectors).to_pylist())
+            if len(lengths) != 1 or 0 in lengths:
                 raise ValueError("vectors must all have the same, non-zero length")
-            return flat.reshape(n, len(flat) // n)
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            return flat.reshape(len(vectors), lengths.pop())
 
         side = table.column("side").to_numpy()
         ids = table.column("id").to_numpy()
@@ -53,32 +58,44 @@ def _block_scorer(k: int, exclude_same_id: bool):
         q = matrix(vecs.filter(pa.array(qmask)))
         c = matrix(vecs.filter(pa.array(cmask)))
         qid, cid = ids[qmask].astype(np.int64), ids[cmask].astype(np.int64)
-        s = q @ c.T
-        if exclude_same_id:
-            s[qid[:, None] == cid[None, :]] = -np.inf
+        without = table.column("without").combine_chunks().filter(pa.array(qmask)).to_pylist()
         n_c = len(cid)
         kk = min(k, n_c)
-        if kk < n_c:
-            # k-th largest score per row in linear time; every candidate at or
-            # above it survives (ties included), so the cut stays exact.
-            thr = np.partition(s, n_c - kk, axis=1)[:, n_c - kk]
-            rows, cols = np.nonzero(s >= thr[:, None])
-        else:
-            rows, cols = np.nonzero(np.ones(s.shape, dtype=bool))
-        vals = s[rows, cols]
-        # Per row: highest score first, equal scores keep the lower id first.
-        order = np.lexsort((cid[cols], -vals, rows))
-        rows, cols, vals = rows[order], cols[order], vals[order]
-        pos = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-        keep = (pos < kk) & np.isfinite(vals)
-        return pa.table(
-            {"query_id": qid[rows[keep]], "item_id": cid[cols[keep]], "score": vals[keep]},
-            schema=out_schema,
-        )
+        parts = []
+        for lo in range(0, len(qid), chunk):
+            s = q[lo : lo + chunk] @ c.T
+            if exclude_same_id:
+                s[qid[lo : lo + chunk, None] == cid[None, :]] = -np.inf
+            for i, gone in enumerate(without[lo : lo + chunk]):
+                if gone:
+                    s[i, np.isin(cid, np.array(gone))] = -np.inf
+            if kk < n_c:
+                # k-th largest score per row in linear time; every candidate at or
+                # above it survives (ties included), so the cut stays exact.
+                thr = np.partition(s, n_c - kk, axis=1)[:, n_c - kk]
+                rows, cols = np.nonzero(s >= thr[:, None])
+            else:
+                rows, cols = np.nonzero(np.ones(s.shape, dtype=bool))
+            vals = s[rows, cols]
+            # Per row: highest score first, equal scores keep the lower id first.
+            order = np.lexsort((cid[cols], -vals, rows))
+            rows, cols, vals = rows[order], cols[order], vals[order]
+            pos = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+            # Only excluded candidates score minus infinity here.
+            keep = (pos < kk) & (vals > -np.inf)
+            parts.append((qid[lo + rows[keep]], cid[cols[keep]], vals[keep]))
+        ids_, items, vals = (np.concatenate(x) for x in zip(*parts))
+        return pa.table({"query_id": ids_, "item_id": items, "score": vals}, schema=out_schema)
 
     return score
 
 
+def _finite(rows: DataFrame) -> DataFrame:
+    """Rows whose vector can be scored."""
+    ok = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return rows.where(F.col("vec").isNotNull() & F.coalesce(ok, F.lit(False)))
+
+
 def topk_dot_product(
     queries: DataFrame,
     candidates: DataFrame,
@@ -87,22 +104,27 @@ def topk_dot_product(
     query_vec: str = "features",
     cand_id: str = "id",
     cand_vec: str = "features",
-    block_size: int = 2048,
+    block_size: int = 8192,
     exclude_same_id: bool = False,
     rank_col: str = "rank",
+    exclude: DataFrame | None = None,
 ) -> DataFrame:
     """For every query row, the ``k`` candidates with the largest dot product.
 
     Returns ``query_id, item_id, score, rank`` (rank 1..k, ties broken by
     lower candidate id).  ``exclude_same_id`` drops a candidate whose id equals
-    the query's (scoring a table against itself).
+    the query's (scoring a table against itself).  ``exclude`` (``query_id,
+    item_id``) drops those pairs; they travel with their query, so a query with
+    many of them costs no other query anything.
     """
-    q = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vec).alias("vec")).filter(
-        F.col("vec").isNotNull()
-    )
-    c = candidates.select(F.col(cand_id).cast("long").alias("id"), F.col(cand_vec).alias("vec")).filter(
-        F.col("vec").isNotNull()
-    )
+    q = _finite(queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vec).alias("vec")))
+    c = _finite(candidates.select(F.col(cand_id).cast("long").alias("id"), F.col(cand_vec).alias("vec")))
+    none = F.lit(None).cast("array<bigint>").alias("without")
+    if exclude is None:
+        q = q.select("id", "vec", none)
+    else:
+        pairs = exclude.select(F.col("query_id").cast("long").alias("id"), F.col("item_id").cast("long").alias("item"))
+        q = q.join(pairs.groupBy("id").agg(F.collect_set("item").alias("without")), "id", "left")
     spark = queries.sparkSession
     parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Enough blocks per side that the block pairs cover every core, but no
@@ -112,11 +134,13 @@ def topk_dot_product(
     def n_blocks(n: int) -> int:
         return max(1, math.ceil(n / block_size), min(per_side, math.ceil(n / 64)))
 
-    n_qb = n_blocks(q.count())
-    n_cb = n_blocks(c.count())
+    sides = q.select(F.lit(0).alias("side")).unionAll(c.select(F.lit(1).alias("side")))
+    rows = {r["side"]: r["count"] for r in sides.groupBy("side").count().collect()}
+    n_qb, n_cb = n_blocks(rows.get(0, 0)), n_blocks(rows.get(1, 0))
     q_side = q.select(
         "id",
         "vec",
+        "without",
         F.pmod(F.xxhash64("id"), F.lit(n_qb)).alias("qb"),
         F.explode(F.sequence(F.lit(0), F.lit(n_cb - 1))).alias("cb"),
         F.lit(0).alias("side"),
@@ -124,15 +148,15 @@ def topk_dot_product(
     c_side = c.select(
         "id",
         "vec",
+        none,
         F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1))).alias("qb"),
         F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(n_cb)).alias("cb"),
         F.lit(1).alias("side"),
     )
-    # Scoring is compute-bound, not byte-bound: an explicit partition count
-    # (one per block pair, capped) keeps adaptive execution from packing the
-    # block pairs into a handful of tasks; the grouping reuses this layout.
-    n_parts = max(1, min(n_qb * n_cb, 4 * parallel))
-    both = q_side.unionByName(c_side).repartition(n_parts, "qb", "cb")
+    # Scoring is compute-bound, not byte-bound: one partition per block pair
+    # keeps adaptive execution from packing the block pairs into a handful of
+    # tasks and a task's bytes at two blocks; the grouping reuses this layout.
+    both = q_side.unionByName(c_side).repartition(n_qb * n_cb, "qb", "cb")
     scored = both.groupBy("qb", "cb").applyInArrow(_block_scorer(int(k), exclude_same_id), _SCORED_SCHEMA)
     return topk_per_group(
         scored,

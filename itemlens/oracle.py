@@ -128,22 +128,25 @@ ratings AS (
 
 _PAIR = "CAST(user_id AS VARCHAR) || ':' || CAST(item_id AS VARCHAR)"
 
-SPLIT = (
-    RATINGS
-    + f""",
+def split_cte(holdout: float) -> str:
+    return (
+        RATINGS
+        + f""",
 labelled AS (
-  SELECT *, CASE WHEN {bucket_sql("user_id", f"{SEED}:user")} < {int(round(HOLDOUT_USERS * 100))} THEN 'holdout'
-                 WHEN {bucket_sql(_PAIR, str(SEED))} < {int(round(R.TRAIN_FRACTION * 100))} THEN 'train'
+  SELECT *, CASE WHEN {bucket_sql("user_id", f"{SEED}:user", 1_000_000)} < {int(round(holdout * 1_000_000))} THEN 'holdout'
+                 WHEN {bucket_sql(_PAIR, str(SEED), 1_000_000)} < {int(round(R.TRAIN_FRACTION * 1_000_000))} THEN 'train'
                  ELSE 'test' END AS split
   FROM ratings),
 train AS (SELECT user_id, item_id, rating FROM labelled WHERE split = 'train'),
 test AS (SELECT user_id, item_id, rating FROM labelled WHERE split = 'test'),
 users AS (SELECT DISTINCT CAST(c_custkey AS INTEGER) AS user_id FROM customer)"""
-)
+    )
+
+
+SPLIT = split_cte(HOLDOUT_USERS)
+SPLIT_ALL = split_cte(0.0)
 
-BASELINE = (
-    SPLIT
-    + """,
+_BASELINE = """,
 mu AS (SELECT AVG(rating) AS mu FROM train),
 ib AS (SELECT item_id, AVG(rating - (SELECT mu FROM mu)) AS b_item FROM train GROUP BY item_id),
 ub AS (SELECT t.user_id, AVG(t.rating - (SELECT mu FROM mu) - ib.b_item) AS b_user
@@ -151,7 +154,8 @@ ub AS (SELECT t.user_id, AVG(t.rating - (SELECT mu FROM mu) - ib.b_item) AS b_us
 pred AS (SELECT te.user_id, te.item_id, te.rating,
                 (SELECT mu FROM mu) + COALESCE(ib.b_item, 0) + COALESCE(ub.b_user, 0) AS prediction
          FROM test te LEFT JOIN ib ON te.item_id = ib.item_id LEFT JOIN ub ON te.user_id = ub.user_id)"""
-)
+BASELINE = SPLIT + _BASELINE
+BASELINE_ALL = SPLIT_ALL + _BASELINE
 
 
 def with_(ctes: str, body: str) -> str:
@@ -331,8 +335,26 @@ WHERE rank <= {R.TRENDING_K}""",
     q["dedupe_by_key"] = """SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM (
   SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents)
 WHERE rn = 1"""
+    q["catalog_dedupe"] = """SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY total_ratings IS NULL, total_ratings DESC NULLS FIRST,
+    name NULLS FIRST, address, types, rating, price_level, activity_score, lat, lng) AS rn
+  FROM (SELECT CASE WHEN l_suppkey % 10 <> 0 THEN 'P-' || CAST(l_partkey AS VARCHAR) END AS item_key,
+               CASE WHEN l_linenumber % 3 <> 0 THEN l_returnflag END AS name, l_linestatus AS address,
+               l_tax AS lat, l_discount AS lng, l_quantity / CAST(10 AS DOUBLE) AS rating,
+               CASE WHEN l_linenumber % 4 <> 0 THEN CAST(l_linenumber % 2 AS INTEGER) END AS total_ratings,
+               CAST(l_linenumber % 3 AS INTEGER) AS price_level, 'gizmo' AS types, l_extendedprice AS activity_score
+        FROM lineitem))
+WHERE rn = 1"""
+    q["extend_ids"] = """WITH k AS (SELECT CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS user_key, o_orderstatus FROM orders),
+old AS (SELECT user_key, row_number() OVER (ORDER BY user_key NULLS FIRST) AS user_id
+        FROM (SELECT DISTINCT user_key FROM k WHERE o_orderstatus = 'O'))
+SELECT user_key, CAST(user_id AS INTEGER) AS user_id FROM old
+UNION ALL
+SELECT user_key, CAST((SELECT MAX(user_id) FROM old) + row_number() OVER (ORDER BY user_key NULLS FIRST) AS INTEGER) AS user_id
+FROM (SELECT DISTINCT user_key FROM k) n
+WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.user_key IS NOT DISTINCT FROM n.user_key)"""
     q["rmse_bias_baseline"] = with_(
-        BASELINE,
+        BASELINE_ALL,
         f"""SELECT {rnd("sqrt(AVG(power(prediction - rating, 2)))", 4)} AS rmse, COUNT(*) AS n_scored
 FROM pred WHERE prediction IS NOT NULL AND NOT isnan(prediction)""",
     )
@@ -355,7 +377,7 @@ FROM pred WHERE prediction IS NOT NULL AND NOT isnan(prediction)""",
     q["browse_by_price"] = _browse(f"{level_rank_sql('level', RULES.level_labels)} ASC")
     q["cold_start_topn"] = with_(CAT + "," + _FALLBACK, "SELECT * FROM fallback")
     q["rerank_rounded"] = with_(
-        BASELINE,
+        BASELINE_ALL,
         f"""SELECT user_id, rank, item_id, {rnd("score", 4)} AS score FROM (
   SELECT user_id, item_id, prediction AS score,
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY {rnd("prediction", 4)} DESC, {rnd("prediction", 10)} DESC, item_id) AS INTEGER) AS rank
@@ -412,4 +434,25 @@ FROM jb GROUP BY user_id""",
         cat_cte(TB.PART_SERVING_RULES),
         f"SELECT item_id, {cat_cols}, category, area, level FROM cat",
     )
+    # model: what the tables alone determine
+    scored = """FROM test WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)"""
+    q["als_fit_predict"] = with_(SPLIT_ALL, f"SELECT user_id, item_id, rating, true AS finite {scored}")
+    q["als_eval"] = with_(SPLIT_ALL, f"SELECT COUNT(*) AS n_scored, true AS rmse_in_range {scored}")
+    q["als_save_load"] = with_(SPLIT_ALL, "SELECT DISTINCT item_id, true AS same_factors FROM train")
+    ranks = f"(SELECT CAST(rank AS INTEGER) AS rank FROM range(1, {TOP_N} + 1) AS t(rank) WHERE rank <= (SELECT COUNT(DISTINCT item_id) FROM train))"
+    warm = f"FROM users u, {ranks} WHERE u.user_id IN (SELECT user_id FROM train)"
+    q["als_recommend_subset"] = with_(SPLIT, f"SELECT u.user_id, rank {warm}")
+    empty = "NULL AS item_id, NULL AS name, NULL AS category, NULL AS area, NULL AS level, NULL AS predicted_rating, NULL AS activity_score"
+    q["recommend_with_fallback"] = with_(
+        SPLIT + "," + _FALLBACK,
+        f"""SELECT u.user_id, false AS is_cold_start, rank, {empty} {warm}
+UNION ALL
+SELECT u.user_id, true AS is_cold_start, f.rank, f.item_id, f.name, f.category, f.area, f.level, f.predicted_rating, f.activity_score
+FROM users u CROSS JOIN fallback f WHERE u.user_id NOT IN (SELECT user_id FROM train)""",
+    )
+    q["train_pipeline"] = with_(
+        SPLIT_ALL,
+        f"""SELECT (SELECT COUNT(*) {scored}) AS n_test_scored, (SELECT COUNT(*) FROM ratings) AS n_ratings,
+  (SELECT COUNT(DISTINCT user_id) FROM ratings) AS n_users, (SELECT COUNT(DISTINCT item_id) FROM ratings) AS n_items""",
+    )
     return q

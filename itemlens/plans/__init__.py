@@ -3,7 +3,6 @@
 from itemlens.plans.browse import browse, browse_total
 from itemlens.plans.catalog import id_map, label_catalog, prepare_catalog
 from itemlens.plans.ratings import (
-    bias_baseline_predict,
     cap_per_user,
     interaction_ratings,
     join_base_rating,
@@ -19,7 +18,6 @@ from itemlens.plans.trending import busiest_areas, trending_categories
 __all__ = [
     "assemble",
     "attach_fallback",
-    "bias_baseline_predict",
     "browse",
     "browse_total",
     "build_top_list",

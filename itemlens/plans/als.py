@@ -57,7 +57,9 @@ def evaluate(model: ALSModel, test: DataFrame) -> DataFrame:
     return rmse(predict(model, test))
 
 
-def known_scores(model: ALSModel, users: DataFrame, top_n: int, method: str = "blocks") -> DataFrame:
+def known_scores(
+    model: ALSModel, users: DataFrame, top_n: int, method: str = "blocks", exclude: DataFrame | None = None
+) -> DataFrame:
     """``user_id, item_id, score`` for the best ``top_n`` items of each known user.
 
     ``method="blocks"`` (default) scores the model's factor tables with
@@ -65,9 +67,12 @@ def known_scores(model: ALSModel, users: DataFrame, top_n: int, method: str = "b
     product per block pair, ``top_n`` kept per user and block, no cross join
     in the plan.  ``method="ml"`` calls Spark ML's ``recommendForUserSubset``
     (the same blocked idea, float32 scores).  Either way no user x item pair
-    list is built, and users without factors get no rows.
+    list is built, and users without factors get no rows.  ``exclude``
+    (``user_id, item_id``) leaves those pairs out (``blocks`` only).
     """
     if method == "ml":
+        if exclude is not None:
+            raise ValueError("exclude needs the blocks method")
         recs = model.recommendForUserSubset(users.select("user_id"), top_n)
         return recs.select("user_id", F.inline("recommendations")).select(
             "user_id", "item_id", F.col("rating").cast("double").alias("score")
@@ -79,7 +84,9 @@ def known_scores(model: ALSModel, users: DataFrame, top_n: int, method: str = "b
     wanted = model.userFactors.join(
         users.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi"
     )
-    top = topk_dot_product(wanted, model.itemFactors, top_n, "id", "features", "id", "features")
+    if exclude is not None:
+        exclude = exclude.select(F.col("user_id").alias("query_id"), "item_id")
+    top = topk_dot_product(wanted, model.itemFactors, top_n, "id", "features", "id", "features", exclude=exclude)
     return top.select(
         F.col("query_id").cast("int").alias("user_id"),
         F.col("item_id").cast("int").alias("item_id"),

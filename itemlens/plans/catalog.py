@@ -10,19 +10,24 @@ from pyspark.sql import functions as F
 from itemlens.functions import rules as R
 from itemlens.functions.labels import classify_contains, classify_tokens, extract_area, level_label
 from itemlens.operators.dedupe import dedupe_by_key
-from itemlens.operators.dense_ids import assign_dense_ids, extend_id_map
+from itemlens.operators.dense_ids import assign_dense_ids, extend_id_map, join_ids
 from itemlens.session import materialize
 
 def default_dedupe_order() -> list[Column]:
     """Survivor order for duplicate keys: most reviews first (NULL counts
-    last), then by name, address and types, so the pick is the same on every
-    run."""
+    last), then by every other column, so that rows that differ at all have
+    one order and the pick is the same on every run."""
     return [
         F.col("total_ratings").isNull(),
         -F.col("total_ratings"),
         F.col("name"),
         F.col("address"),
         F.col("types"),
+        F.col("rating"),
+        F.col("price_level"),
+        F.col("activity_score"),
+        F.col("lat"),
+        F.col("lng"),
     ]
 
 
@@ -48,17 +53,15 @@ def prepare_catalog(
     raw: DataFrame,
     rules: R.RuleSet = R.ARTEFACT_RULES,
     dedupe_order: Sequence[Column | str] | None = None,
-    rows_per_bucket: int = 2_000_000,
-    checkpoint: bool = True,
+    partitions: int | None = None,
     existing_ids: DataFrame | None = None,
 ) -> DataFrame:
     """Typed raw catalogue -> one row per ``item_key`` with ``item_id`` and labels.
 
     ``item_id`` is the 1-based position of ``item_key`` in ascending key order
-    (NULL key first).  The de-duplicated, labelled rows are written once to
-    the session's shared checkpoint folder before numbering, since numbering
-    reads them several times; persist the result (and its key -> id map)
-    next to any model trained on it.
+    (NULL key first).  Numbering writes the de-duplicated, labelled rows once to
+    the session's shared checkpoint folder; persist the result (and its
+    key -> id map) next to any model trained on it.
 
     With ``existing_ids`` (a previous ``item_key, item_id`` map), known keys
     keep their ids and new keys are numbered after the current maximum, so
@@ -68,13 +71,12 @@ def prepare_catalog(
     # Labels are per-row expressions: derive them while the rows are still
     # spread over all partitions, before numbering regroups them by bucket.
     labelled = label_catalog(deduped, rules)
-    if checkpoint:
-        labelled = materialize(labelled, "catalog-labelled")
     if existing_ids is None:
-        with_ids = assign_dense_ids(labelled, ["item_key"], "item_id", rows_per_bucket=rows_per_bucket)
+        with_ids = assign_dense_ids(labelled, ["item_key"], "item_id", partitions)
     else:
-        ids = extend_id_map(existing_ids, labelled, "item_key", "item_id", rows_per_bucket=rows_per_bucket)
-        with_ids = labelled.join(ids, "item_key", "left")
+        labelled = materialize(labelled, "catalog-labelled")
+        ids = extend_id_map(existing_ids, labelled, "item_key", "item_id", partitions)
+        with_ids = join_ids(labelled, ids, "item_key", "item_id")
     return with_ids.select(
         "item_id",
         "item_key",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from itemlens.functions import rules as R
 from itemlens.functions.values import base_rating, clamp, hash_fraction_bucket, round_half_up
+from itemlens.operators.predicates import check_int_range
 from itemlens.operators.topk import topk_per_group
 from itemlens.session import materialize
 
@@ -89,6 +90,14 @@ def user_offset(ratings: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
+#: Fractions of a split count in millionths.
+SPLIT_BUCKETS = 1_000_000
+
+
+def split_bound(fraction: float) -> int:
+    return int(round(fraction * SPLIT_BUCKETS))
+
+
 def split_labels(
     ratings: DataFrame,
     train_fraction: float = R.TRAIN_FRACTION,
@@ -101,15 +110,12 @@ def split_labels(
     whatever the partitioning.  Held-out users (a hash of the user id) never
     reach training and stand in for users that are new at serving time.
     """
-    pair_bucket = hash_fraction_bucket(
-        F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("item_id").cast("string")), str(seed)
-    )
-    user_bucket = hash_fraction_bucket(F.col("user_id"), f"{seed}:user")
-    label = F.when(pair_bucket < F.lit(int(round(train_fraction * 100))), F.lit("train")).otherwise(F.lit("test"))
+    pair = F.concat(F.col("user_id").cast("string"), F.lit(":"), F.col("item_id").cast("string"))
+    pair_bucket = hash_fraction_bucket(pair, str(seed), SPLIT_BUCKETS)
+    user_bucket = hash_fraction_bucket(F.col("user_id"), f"{seed}:user", SPLIT_BUCKETS)
+    label = F.when(pair_bucket < F.lit(split_bound(train_fraction)), F.lit("train")).otherwise(F.lit("test"))
     if holdout_user_fraction > 0:
-        label = F.when(
-            user_bucket < F.lit(int(round(holdout_user_fraction * 100))), F.lit("holdout")
-        ).otherwise(label)
+        label = F.when(user_bucket < F.lit(split_bound(holdout_user_fraction)), F.lit("holdout")).otherwise(label)
     return ratings.withColumn("split", label)
 
 
@@ -151,12 +157,14 @@ class BiasModel:
         return self.item_bias.orderBy(round_half_up("b_item", 10).desc(), F.col("item_id").asc()).limit(top_n)
 
     def warm_scores(self, users: DataFrame, top_n: int) -> DataFrame:
-        """``user_id, item_id, score`` for every requested user the baseline knows.
+        """``user_id, item_id, score`` for every requested user the baseline knows
+        (``top_n`` within the serving limit).
 
         The item term does not depend on the user, so the best ``top_n``
         items are shared; they travel as one bounded array (a scalar
         subquery), never as a join that multiplies rows.
         """
+        check_int_range("top_n", top_n, 1, R.RECOMMEND_MAX_N)
         packed = self.top_items(top_n).select(F.collect_list(F.struct("item_id", "b_item")).alias("a")).scalar()
         known = users.select("user_id").distinct().join(self.user_bias, "user_id", "inner")
         return known.select("user_id", "b_user", F.inline(packed)).select(
@@ -181,11 +189,6 @@ def fit_bias_baseline(train: DataFrame, checkpoint: bool = True) -> BiasModel:
     return BiasModel(mu, item_bias, user_bias)
 
 
-def bias_baseline_predict(train: DataFrame, rows: DataFrame) -> DataFrame:
-    """Fit the bias baseline on ``train`` and predict ``rows``."""
-    return fit_bias_baseline(train).predict(rows)
-
-
 def rmse(predictions: DataFrame, label: str = "rating", prediction: str = "prediction") -> DataFrame:
     """One row: root mean squared error (4 dp) and the number of scored rows.
 

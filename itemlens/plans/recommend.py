@@ -104,11 +104,9 @@ def recommend(
     users get the cold-start list with ``is_cold_start = true``.
 
     ``exclude_seen`` (``user_id, item_id`` pairs, e.g. the training ratings)
-    removes items a user already rated.  To stay exact the model is asked for
-    ``top_n`` plus the largest number of seen items of any requested user
-    (one aggregated number), and the seen pairs are anti-joined away before
-    ranking, so every warm user still gets ``top_n`` unseen items when the
-    catalogue has them.
+    removes items a user already rated.  Each user's seen items travel with
+    the user into the scoring blocks, so every warm user still gets ``top_n``
+    unseen items when the catalogue has them, whatever others have seen.
     """
     from itemlens.plans.als import known_scores
 
@@ -120,8 +118,7 @@ def recommend(
         scores = known_scores(model, users, top_n)
     else:
         seen = exclude_seen.select("user_id", "item_id").distinct().join(users, "user_id", "left_semi")
-        extra = seen.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
-        scores = known_scores(model, users, top_n + int(extra)).join(seen, ["user_id", "item_id"], "left_anti")
+        scores = known_scores(model, users, top_n, exclude=seen)
         # A known user who has rated every item has no rows left: like a user
         # the model returns nothing for, they get the fallback.  The scores are
         # written once so deciding that does not score twice.

@@ -24,7 +24,7 @@ def build_top_list(
     Order: rating desc, review count desc, ``item_id`` asc (tie-break).
     A NULL review count never passes the threshold.
     """
-    check_int_range("limit", limit, 1, 10_000)
+    check_int_range("limit", limit, 1, 2**31 - 1)
     eligible = catalog.filter(F.col("total_ratings") >= F.lit(int(min_reviews)))
     order = [
         F.col("rating").desc_nulls_last(),

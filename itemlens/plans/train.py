@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemlens.functions import rules as R
-from itemlens.operators.dense_ids import index_keys
+from itemlens.operators.dense_ids import extend_id_map, index_keys
 from itemlens.plans.als import evaluate, fit_als
 from itemlens.plans.catalog import id_map, prepare_catalog
 from itemlens.plans.ratings import cap_per_user, interaction_ratings, split_ratings
@@ -41,6 +41,16 @@ class TrainResult:
     user_map: DataFrame | None = None  # user_key -> user_id, when keys were indexed
 
 
+def rating_counts(ratings: DataFrame) -> DataFrame:
+    """One row: n_ratings, n_users and n_items, by one grouped pass per key."""
+    by_user = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    items = ratings.select("item_id").distinct().agg(F.count("item_id").alias("n"))
+    return by_user.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_ratings"),
+        F.count("user_id").alias("n_users"),
+    ).select("*", items.scalar().alias("n_items"))
+
+
 def train(
     spark: SparkSession,
     raw_catalog: DataFrame,
@@ -50,20 +60,29 @@ def train(
     model_path: str | None = None,
     top_list_path: str | None = None,
     ratings_path: str | None = None,
+    existing_ids: DataFrame | None = None,
+    existing_users: DataFrame | None = None,
 ) -> TrainResult:
     """Run the whole pipeline; write model / top list / ratings where asked.
 
+    ``existing_ids`` (``item_key, item_id``) and ``existing_users``
+    (``user_key, user_id``) of an earlier run keep their ids.
+
     The ratings are persisted (parquet at ``ratings_path`` when given, else
     under the shared checkpoint folder) before the iterative fit, so a lost executor
     recomputes from durable data rather than from the raw interactions.
     """
     # Used three times (id map, top list, the caller's copy): number it once.
-    catalog = materialize(prepare_catalog(raw_catalog, rules), "train-catalog")
+    catalog = materialize(prepare_catalog(raw_catalog, rules, existing_ids=existing_ids), "train-catalog")
     user_map = None
     if "user_key" in interactions.columns:
         # 64-bit user keys: number them densely so ALS gets int ids.
-        interactions, user_map = index_keys(interactions, "user_key", "user_id")
-        user_map = materialize(user_map, "user-map")
+        if existing_users is None:
+            interactions, user_map = index_keys(interactions, "user_key", "user_id")
+        else:
+            keys = interactions.where("user_key is not null")
+            user_map = materialize(extend_id_map(existing_users, keys, "user_key", "user_id"), "user-map")
+            interactions = interactions.join(user_map, "user_key")
     ratings = interaction_ratings(interactions, id_map(catalog))
     if config.ratings_per_user:
         ratings = cap_per_user(ratings, config.ratings_per_user, config.seed)
@@ -84,17 +103,13 @@ def train(
     if model_path:
         save_model(model, model_path)
     scored = evaluate(model, test_df)
-    counts = ratings.agg(
-        F.count(F.lit(1)).alias("n_ratings"),
-        F.countDistinct("user_id").alias("n_users"),
-        F.countDistinct("item_id").alias("n_items"),
-    )
-    metrics = scored.select(
+    counts = rating_counts(ratings)
+    metrics = scored.crossJoin(F.broadcast(counts)).select(  # one row each
         F.col("rmse"),
         F.col("n_scored").alias("n_test_scored"),
-        counts.select("n_ratings").scalar().alias("n_ratings"),
-        counts.select("n_users").scalar().alias("n_users"),
-        counts.select("n_items").scalar().alias("n_items"),
+        "n_ratings",
+        "n_users",
+        "n_items",
         F.lit(config.rank).alias("rank"),
         F.lit(config.max_iter).alias("max_iter"),
         F.lit(config.reg_param).alias("reg_param"),

@@ -19,13 +19,13 @@ from itemlens.functions import rules as R
 from itemlens.functions.labels import classify_contains, classify_tokens, extract_area, level_label
 from itemlens.functions.values import base_rating, number_or, round_half_up, text_or, to_double, to_int
 from itemlens.operators.dedupe import dedupe_by_key
-from itemlens.operators.dense_ids import assign_dense_ids
+from itemlens.operators.dense_ids import assign_dense_ids, extend_id_map
 from itemlens.operators.factors import topk_dot_product
 from itemlens.operators.joins import cold_users, enrich_with_catalog, known_users
 from itemlens.operators.predicates import catalog_filter, scored_area, specific_category
 from itemlens.plans import als as A
 from itemlens.plans.browse import browse, browse_total
-from itemlens.plans.catalog import id_map, prepare_catalog, write_catalog_table
+from itemlens.plans.catalog import default_dedupe_order, id_map, prepare_catalog, write_catalog_table
 from itemlens.plans.ratings import (
     cap_per_user,
     fit_bias_baseline,
@@ -36,9 +36,10 @@ from itemlens.plans.ratings import (
     user_offset,
 )
 from itemlens.plans.recommend import assemble, recommend, rerank_rounded
+from itemlens.plans.train import rating_counts
 from itemlens.plans.toplist import build_top_list, cold_start_list
 from itemlens.plans.trending import busiest_areas, trending_categories
-from itemlens.session import scratch_path
+from itemlens.session import materialize, scratch_path
 from itemlens.sources import io as IO
 from itemlens.sources import tables as TB
 
@@ -57,7 +58,6 @@ CONJ_LEVEL = "Budget"
 CONJ_MIN_RATING = 2.5
 MIN_REVIEWS_FILTER = 30
 FACTOR_K = 10
-SORT_ROWS_PER_BUCKET = 20_000
 
 _cache: dict[tuple, object] = {}
 
@@ -106,21 +106,25 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo(spark, sf_dir, "ratings", build)
 
 
-def labelled_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_ratings(spark: SparkSession, sf_dir: str, holdout: float) -> DataFrame:
     """Ratings with their split label, written once, partitioned by label."""
 
     def build():
         path = scratch_path(spark, "ratings-split")
-        labelled = split_labels(ratings(spark, sf_dir), holdout_user_fraction=HOLDOUT_USERS)
+        labelled = split_labels(ratings(spark, sf_dir), holdout_user_fraction=holdout)
         labelled.write.mode("overwrite").partitionBy("split").parquet(path)
         return spark.read.parquet(path)
 
-    return _memo(spark, sf_dir, "ratings-split", build)
+    return _memo(spark, sf_dir, f"ratings-split-{holdout}", build)
 
 
-def train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows; each read prunes to its own partition directory."""
-    labelled = labelled_ratings(spark, sf_dir)
+def train_test(spark: SparkSession, sf_dir: str, holdout: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows; each read prunes to its own partition directory.
+
+    All users take part, but for ``holdout`` of them (``HOLDOUT_USERS`` in the
+    queries whose feature is users that the model doesn't know).
+    """
+    labelled = labelled_ratings(spark, sf_dir, holdout)
     cols = ["user_id", "item_id", "rating"]
     train = labelled.filter(F.col("split") == "train").select(*cols)
     test = labelled.filter(F.col("split") == "test").select(*cols)
@@ -128,26 +132,26 @@ def train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def trained_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = train_test(spark, sf_dir)
+    train, _ = train_test(spark, sf_dir, HOLDOUT_USERS)
     return train.select("user_id").distinct()
 
 
-def baseline(spark: SparkSession, sf_dir: str):
+def baseline(spark: SparkSession, sf_dir: str, holdout: float = 0.0):
     """Bias baseline fitted once on the training split."""
 
     def build():
-        train, _ = train_test(spark, sf_dir)
+        train, _ = train_test(spark, sf_dir, holdout)
         return fit_bias_baseline(train)
 
-    return _memo(spark, sf_dir, "baseline", build)
+    return _memo(spark, sf_dir, f"baseline-{holdout}", build)
 
 
-def model(spark: SparkSession, sf_dir: str):
+def model(spark: SparkSession, sf_dir: str, holdout: float = 0.0):
     def build():
-        train, _ = train_test(spark, sf_dir)
+        train, _ = train_test(spark, sf_dir, holdout)
         return A.fit_als(train)
 
-    return _memo(spark, sf_dir, "als", build)
+    return _memo(spark, sf_dir, f"als-{holdout}", build)
 
 
 # --- sources and sinks -----------------------------------------------------------
@@ -156,7 +160,7 @@ def model(spark: SparkSession, sf_dir: str):
 def q_csv_scan_typed(spark, sf_dir):
     path = scratch_path(spark, "catalog-csv")
     IO.write_catalog_csv(raw_catalog(spark, sf_dir), path)
-    return IO.read_catalog_csv(spark, path)
+    return IO.read_catalog_csv(spark, path, null_value=IO.CSV_NULL)
 
 
 def q_ratings_scan(spark, sf_dir):
@@ -368,6 +372,41 @@ def q_dedupe_by_key(spark, sf_dir):
     return kept.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
+def lines_as_listings(spark, sf_dir):
+    """Listings with many rows per key: one per order line, keyed by part.
+
+    Parts of every tenth supplier have no key; rows of one key differ in any
+    of the columns that the survivor order names.
+    """
+    lines = TB.read_table(spark, sf_dir, "lineitem")
+    part, line = F.col("l_partkey").cast("string"), F.col("l_linenumber")
+    return lines.select(
+        F.when(F.col("l_suppkey") % 10 != 0, F.concat(F.lit("P-"), part)).alias("item_key"),
+        F.when(line % 3 != 0, F.col("l_returnflag")).alias("name"),
+        F.col("l_linestatus").alias("address"),
+        F.col("l_tax").alias("lat"),
+        F.col("l_discount").alias("lng"),
+        (F.col("l_quantity") / F.lit(10.0)).alias("rating"),
+        F.when(line % 4 != 0, line % 2).cast("int").alias("total_ratings"),
+        (line % 3).cast("int").alias("price_level"),
+        F.lit("gizmo").alias("types"),
+        F.col("l_extendedprice").alias("activity_score"),
+    )
+
+
+def q_catalog_dedupe(spark, sf_dir):
+    return dedupe_by_key(lines_as_listings(spark, sf_dir), ["item_key"], default_dedupe_order())
+
+
+def q_extend_ids(spark, sf_dir):
+    """Ids of the customers of open orders stay; all other customers' follow.  Customers
+    whose key ends in 0 are one customer without a key, which both sides have."""
+    orders = TB.read_table(spark, sf_dir, "orders")
+    key = F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("user_key")
+    old = assign_dense_ids(orders.where("o_orderstatus = 'O'").select(key).distinct(), ["user_key"], "user_id")
+    return extend_id_map(materialize(old, "old-ids"), orders.select(key), "user_key", "user_id")
+
+
 def q_rmse_bias_baseline(spark, sf_dir):
     _, test = train_test(spark, sf_dir)
     return rmse(baseline(spark, sf_dir).predict(test))
@@ -376,11 +415,7 @@ def q_rmse_bias_baseline(spark, sf_dir):
 def q_run_counts(spark, sf_dir):
     cat = catalog(spark, sf_dir)
     rt = ratings(spark, sf_dir)
-    stats = rt.agg(
-        F.count(F.lit(1)).alias("n_ratings"),
-        F.countDistinct("user_id").alias("n_users"),
-        F.countDistinct("item_id").alias("n_items_rated"),
-    )
+    stats = rating_counts(rt).withColumnRenamed("n_items", "n_items_rated")
     return stats.select("*", cat.agg(F.count(F.lit(1))).scalar().alias("n_catalog"))
 
 
@@ -393,9 +428,7 @@ def q_dense_ids(spark, sf_dir):
 
 def q_sort_by_key(spark, sf_dir):
     rt = ratings(spark, sf_dir)
-    return assign_dense_ids(rt, ["user_id", "item_id"], "position", rows_per_bucket=SORT_ROWS_PER_BUCKET).select(
-        "position", "user_id", "item_id"
-    )
+    return assign_dense_ids(rt, ["user_id", "item_id"], "position").select("position", "user_id", "item_id")
 
 
 def q_top_list_build(spark, sf_dir):
@@ -430,7 +463,7 @@ def q_rerank_rounded(spark, sf_dir):
 
 def q_warm_cold_union(spark, sf_dir):
     users = TB.load_users(spark, sf_dir)
-    base = baseline(spark, sf_dir)
+    base = baseline(spark, sf_dir, HOLDOUT_USERS)
     scores = base.warm_scores(users, TOP_N)
     return assemble(users, trained_users(spark, sf_dir), scores, catalog(spark, sf_dir), TOP_N, DEFAULT_CATEGORY, DEFAULT_AREA)
 
@@ -464,32 +497,45 @@ def q_prepare_catalog_serving(spark, sf_dir):
     return prepare_catalog(raw_catalog(spark, sf_dir), TB.PART_SERVING_RULES)
 
 
-# --- model (rows-only checks) ----------------------------------------------------------
+# --- model -----------------------------------------------------------------------------
+# Factors and scores are floating-point results of an iterative fit, which SQL has no
+# form for: the queries return what of them the tables alone determine, and the tests
+# hold the values against invariants.
 
 
 def q_als_fit_predict(spark, sf_dir):
     _, test = train_test(spark, sf_dir)
-    return A.predict(model(spark, sf_dir), test).select("user_id", "item_id", "rating", "prediction")
+    scored = A.predict(model(spark, sf_dir), test)
+    finite = ~F.isnan("prediction") & (F.abs("prediction") < float("inf"))
+    return scored.select("user_id", "item_id", "rating", finite.alias("finite"))
 
 
 def q_als_eval(spark, sf_dir):
     _, test = train_test(spark, sf_dir)
-    return A.evaluate(model(spark, sf_dir), test)
+    scored = A.evaluate(model(spark, sf_dir), test)
+    return scored.select("n_scored", F.col("rmse").between(0.0, 4.5).alias("rmse_in_range"))
 
 
 def q_als_recommend_subset(spark, sf_dir):
-    return A.recommend_known(model(spark, sf_dir), TB.load_users(spark, sf_dir), TOP_N)
+    top = A.recommend_known(model(spark, sf_dir, HOLDOUT_USERS), TB.load_users(spark, sf_dir), TOP_N)
+    return top.select("user_id", "rank")
 
 
 def q_als_save_load(spark, sf_dir):
     path = scratch_path(spark, "als-model")
-    IO.save_model(model(spark, sf_dir), path)
-    loaded = IO.load_model(path)
-    return loaded.itemFactors.select(F.col("id").alias("item_id"), "features")
+    fitted = model(spark, sf_dir)
+    IO.save_model(fitted, path)
+    loaded = IO.load_model(path).itemFactors.withColumnRenamed("features", "loaded")
+    both = fitted.itemFactors.join(loaded, "id", "full")
+    return both.select(F.col("id").alias("item_id"), F.col("features").eqNullSafe(F.col("loaded")).alias("same_factors"))
 
 
 def q_recommend_with_fallback(spark, sf_dir):
-    return recommend(TB.load_users(spark, sf_dir), model(spark, sf_dir), catalog(spark, sf_dir), TOP_N, DEFAULT_CATEGORY, DEFAULT_AREA)
+    users = TB.load_users(spark, sf_dir)
+    known = model(spark, sf_dir, HOLDOUT_USERS)
+    rows = recommend(users, known, catalog(spark, sf_dir), TOP_N, DEFAULT_CATEGORY, DEFAULT_AREA)
+    key = ["user_id", "is_cold_start", "rank"]
+    return rows.select(*key, *[F.when(F.col("is_cold_start"), F.col(c)).alias(c) for c in rows.columns if c not in key])
 
 
 def q_train_pipeline(spark, sf_dir):
@@ -500,12 +546,12 @@ def q_train_pipeline(spark, sf_dir):
         raw_catalog(spark, sf_dir),
         TB.load_interactions(spark, sf_dir),
         RULES,
-        TrainConfig(holdout_user_fraction=HOLDOUT_USERS),
+        TrainConfig(),
         model_path=scratch_path(spark, "pipeline-model"),
         top_list_path=scratch_path(spark, "pipeline-top-list"),
         ratings_path=scratch_path(spark, "pipeline-ratings"),
     )
-    return result.metrics
+    return result.metrics.select("n_test_scored", "n_ratings", "n_users", "n_items")
 
 
 QUERIES: dict[str, Query] = {
@@ -548,6 +594,8 @@ QUERIES: dict[str, Query] = {
     "busiest_areas": q_busiest_areas,
     "browse_total": q_browse_total,
     "dedupe_by_key": q_dedupe_by_key,
+    "catalog_dedupe": q_catalog_dedupe,
+    "extend_ids": q_extend_ids,
     "rmse_bias_baseline": q_rmse_bias_baseline,
     "run_counts": q_run_counts,
     # windows / sorts / limits
@@ -570,7 +618,7 @@ QUERIES: dict[str, Query] = {
     # composite
     "prepare_catalog": q_prepare_catalog,
     "prepare_catalog_serving": q_prepare_catalog_serving,
-    # model (rows-only)
+    # model
     "als_fit_predict": q_als_fit_predict,
     "als_eval": q_als_eval,
     "als_recommend_subset": q_als_recommend_subset,

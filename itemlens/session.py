@@ -1,10 +1,11 @@
 """Session helpers.
 
 Library functions never create sessions: the caller owns the session.
-``build_session`` exists for tests, the bench and the command line.
-Shared scratch space (for round trips, artefacts and lineage cuts) lives
-under the cluster's ``spark.checkpoint.dir``; a local one is only created
-when the session has none configured (local runs and tests).
+``build_session`` exists for tests and the bench; the command line takes the
+session that ``spark-submit`` configures.  Shared scratch space (for round
+trips, artefacts and lineage cuts) lives under the cluster's
+``spark.checkpoint.dir``; a local one is only created on a local master that
+has none configured.
 """
 
 from __future__ import annotations
@@ -26,15 +27,20 @@ DEFAULT_CONF: dict[str, str] = {
 
 
 def build_session(
-    master: str = "local[*]",
-    shuffle_partitions: int = 8,
+    master: str | None = "local[*]",
+    shuffle_partitions: int | None = 8,
     app_name: str = "itemlens",
     driver_memory: str | None = None,
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app_name)
+    """A session with the library's settings; ``master`` and ``shuffle_partitions``
+    None leave both to the environment (``spark-submit``, ``spark-defaults``)."""
+    builder = SparkSession.builder.appName(app_name)
+    if master is not None:
+        builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if driver_memory:
         conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})
@@ -42,29 +48,47 @@ def build_session(
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; set a local one only if unset."""
+    """The session's shared checkpoint folder.
+
+    With none configured, a temporary one is set on a local master; on a
+    cluster this fails, since executors would write to their own disks.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not _one_machine(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="itemlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/itemlens-scratch"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/itemlens-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this session's scratch tables (call once no result reads them)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df, name: str):

@@ -54,15 +54,31 @@ def type_catalog(text_df: DataFrame) -> DataFrame:
     )
 
 
-def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
+#: What ``write_catalog_csv`` writes for NULL, so that empty text stays empty.
+CSV_NULL = "\\N"
+#: Quoted fields may hold line breaks and quotes, and blanks are data.
+_CSV = {
+    "header": "true",
+    "escape": '"',
+    "multiLine": "true",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
+def read_catalog_csv(spark: SparkSession, path: str, null_value: str = "") -> DataFrame:
     """Header CSV with every field as text, then typed.
 
     Columns are matched by header name, not position (no schema inference
     pass: every field is read as text).  The original service's names
     (``place_id``, ``busyness_score``) are accepted; absent columns are NULL.
+    All files of a folder must have the same header; a file with another
+    order of columns is an error.  A field equal to ``null_value`` is NULL.
+    Fields may hold line breaks, so one task reads a file: provide a large
+    catalogue as many files.
     """
     raw = guarded_read(
-        lambda p: spark.read.option("header", "true").option("mode", "PERMISSIVE").csv(p),
+        lambda p: spark.read.options(**_CSV, mode="PERMISSIVE", enforceSchema="false", nullValue=null_value).csv(p),
         path,
         "catalogue CSV",
     )
@@ -85,7 +101,9 @@ def catalog_as_text(df: DataFrame) -> DataFrame:
 
 
 def write_catalog_csv(df: DataFrame, path: str) -> None:
-    catalog_as_text(df).write.mode("overwrite").option("header", "true").csv(path)
+    """Header CSV that ``read_catalog_csv(..., null_value=CSV_NULL)`` reads back unchanged."""
+    options = {k: v for k, v in _CSV.items() if k != "multiLine"}
+    catalog_as_text(df).write.mode("overwrite").options(**options, nullValue=CSV_NULL).csv(path)
 
 
 # --- ratings ---------------------------------------------------------------

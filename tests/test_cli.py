@@ -69,3 +69,39 @@ def test_train_from_files_with_restaurant_rules(spark, tmp_path, capsys):
     assert main(["recommend", "--out", out, "--users", "1,4242", "--top-n", "2"]) == 0
     recs = lines(capsys)
     assert {r["user_id"] for r in recs} == {1, 4242} and len(recs) == 4
+
+
+def test_users_are_served_by_the_keys_they_were_trained_from(spark, tmp_path, capsys):
+    csv = tmp_path / "listings.csv"
+    head = "item_key,name,address,rating,total_ratings,price_level,types,activity_score\n"
+    listing = lambda ks: head + "".join(f"{k},n{k},x,4.0,50,1,cafe,1.0\n" for k in ks)
+    csv.write_text(listing(["b", "d", "f"]))
+    inter = str(tmp_path / "inter")
+    pairs = [(u, k, float(v)) for u in range(100, 900, 100) for k, v in (("b", u // 100 % 5), ("d", 3), ("f", u // 100 % 4 + 1))]
+    spark.createDataFrame(pairs, "user_key long, item_key string, value double").write.parquet(inter)
+    out = str(tmp_path / "art")
+    args = ["train", "--out", out, "--catalog-csv", str(csv), "--interactions", inter, "--rank", "2", "--max-iter", "2"]
+    assert main(args) == 0
+    capsys.readouterr()
+    serve = ["recommend", "--out", out, "--users", "200,2", "--top-n", "2"]
+    assert main(serve) == 0
+    recs = lines(capsys)
+    assert {r["user_id"]: r["is_cold_start"] for r in recs} == {200: False, 2: True} and len(recs) == 4
+
+    # A second run with more items and users keeps all ids and is served next.
+    csv.write_text(listing(["a", "b", "d", "f"]))
+    more = pairs + [(50, "a", 4.0), (50, "b", 2.0)]
+    spark.createDataFrame(more, "user_key long, item_key string, value double").write.mode("overwrite").parquet(inter)
+    assert main(args) == 0
+    ids = {r.item_key: r.item_id for r in spark.read.parquet(f"{out}/version-00000002/catalog").collect()}
+    assert ids == {"b": 1, "d": 2, "f": 3, "a": 4}
+    users = {r.user_key: r.user_id for r in spark.read.parquet(f"{out}/version-00000002/user_map").collect()}
+    assert users[100] == 1 and users[800] == 8 and users[50] == 9
+    capsys.readouterr()
+    assert main(["recommend", "--out", out, "--users", "50", "--top-n", "1"]) == 0
+    assert [r["is_cold_start"] for r in lines(capsys)] == [False]
+
+
+def test_an_unfinished_version_is_not_served(spark, tmp_path, capsys):
+    (tmp_path / "art" / "version-00000001" / "catalog").mkdir(parents=True)
+    assert main(["trending", "--out", str(tmp_path / "art")]) == 2

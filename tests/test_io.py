@@ -110,3 +110,26 @@ def test_csv_with_original_headers_in_any_order(spark, tmp_path):
         "ChIJ1", "Crab", 4.6, 4821, 3, 91.2
     )
     assert row.lat is None and row.address == "1 Fort Rd, Colombo 1" and row.types == "seafood_restaurant,bar"
+
+
+def test_csv_round_trip_keeps_breaks_blanks_and_empty_text(spark, tmp_path):
+    rows = [
+        ("a", "two\nlines", ' "quoted", here', "", None, "cafe"),
+        ("b", "", "  blanks  ", "x", "\\N?", None),
+        ("c", None, "back\\slash", None, "1", "bar\r\nx"),
+    ]
+    schema = "item_key string, name string, address string, lat string, lng string, types string"
+    df = spark.createDataFrame(rows, schema)
+    for c in ("rating", "total_ratings", "price_level", "activity_score"):
+        df = df.withColumn(c, F.lit("1"))
+    path = str(tmp_path / "csv")
+    IO.write_catalog_csv(df, path)
+    got = {r.item_key: (r.name, r.address, r.types) for r in IO.read_catalog_csv(spark, path, null_value=IO.CSV_NULL).collect()}
+    assert got == {k: (n, a, t) for k, n, a, _, _, t in rows}
+
+
+def test_csv_files_with_another_order_of_columns_fail(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("item_key,name,rating,total_ratings\nA,Aname,4.5,100\n")
+    (tmp_path / "2.csv").write_text("name,item_key,total_ratings,rating\nBname,B,200,3.5\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        IO.read_catalog_csv(spark, str(tmp_path)).collect()

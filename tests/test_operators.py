@@ -23,7 +23,7 @@ def test_dense_ids_match_global_row_number(spark):
     keys = [f"K{i:05d}" for i in range(0, 3000, 3)] + ["A", "zz", "K00001x"]
     rows = [(k,) for k in keys] + [(None,)]
     df = spark.createDataFrame(rows, "item_key string").repartition(7)
-    got = assign_dense_ids(df, ["item_key"], "item_id", rows_per_bucket=40, sample_per_bucket=4)
+    got = assign_dense_ids(df, ["item_key"], "item_id", partitions=30)
     want = df.withColumn("want", F.row_number().over(Window.orderBy(F.col("item_key").asc_nulls_first())))
     joined = got.join(want, got["item_key"].eqNullSafe(want["item_key"]))
     assert joined.filter(F.col("item_id") != F.col("want")).count() == 0
@@ -33,7 +33,7 @@ def test_dense_ids_match_global_row_number(spark):
 
 def test_dense_ids_composite_key(spark):
     df = spark.range(0, 2000).select((F.col("id") % 37).alias("a"), (F.col("id") * 7 % 101).alias("b"))
-    got = assign_dense_ids(df, ["a", "b"], "pos", rows_per_bucket=50)
+    got = assign_dense_ids(df, ["a", "b"], "pos", partitions=40)
     want = df.withColumn("want", F.row_number().over(Window.orderBy("a", "b")))
     # (a, b) can repeat: compare the multiset of positions per key
     g = got.groupBy("a", "b").agg(F.sort_array(F.collect_list("pos")).alias("p"))
@@ -90,7 +90,7 @@ def test_index_keys_maps_wide_keys_to_dense_ints(spark):
     df = spark.createDataFrame(
         [(big + 5, 1.0), (big + 1, 2.0), (big + 5, 3.0), (7, 4.0)], "user_key long, v double"
     )
-    out, key_map = index_keys(df, "user_key", "user_id", rows_per_bucket=1)
+    out, key_map = index_keys(df, "user_key", "user_id", partitions=3)
     m = {r.user_key: r.user_id for r in key_map.collect()}
     assert m == {7: 1, big + 1: 2, big + 5: 3}
     assert out.schema["user_id"].dataType.typeName() == "integer"
@@ -108,10 +108,10 @@ def test_ids_stay_stable_when_keys_are_added(spark):
             [(k, f"n{k}", None, None, None, 4.0, 10, 1, "cafe", 1.0) for k in keys], S.CATALOG_SCHEMA
         )
 
-    first = prepare_catalog(cat(["b", "d", "f"]), checkpoint=False)
+    first = prepare_catalog(cat(["b", "d", "f"]))
     m1 = {r.item_key: r.item_id for r in first.collect()}
     assert m1 == {"b": 1, "d": 2, "f": 3}
-    second = prepare_catalog(cat(["a", "b", "d", "e", "f", "g"]), checkpoint=False, existing_ids=first.select("item_key", "item_id"))
+    second = prepare_catalog(cat(["a", "b", "d", "e", "f", "g"]), existing_ids=first.select("item_key", "item_id"))
     m2 = {r.item_key: r.item_id for r in second.collect()}
     assert {k: m2[k] for k in m1} == m1
     assert m2["a"] == 4 and m2["e"] == 5 and m2["g"] == 6
@@ -128,7 +128,7 @@ def test_prepare_catalog_duplicates_and_null_key(spark):
         (None, "null key b", None, None, None, 2.0, 7, None, None, None),
         ("k1", "only", "x, Colombo 7", None, None, 4.5, 9, 4, "indian_restaurant", 3.0),
     ]
-    out = {r.item_key: r for r in prepare_catalog(spark.createDataFrame(rows, S.CATALOG_SCHEMA), checkpoint=False).collect()}
+    out = {r.item_key: r for r in prepare_catalog(spark.createDataFrame(rows, S.CATALOG_SCHEMA)).collect()}
     assert len(out) == 3
     assert out[None].item_id == 1 and out[None].name == "null key b"  # NULL review count sorts last
     assert out["k1"].item_id == 2 and out["k1"].category == "Indian" and out["k1"].area == "Colombo 07"
@@ -153,6 +153,7 @@ def test_block_scorer_ships_without_this_package(tmp_path):
         "assert not any('repo' in p for p in sys.path if p)\n"
         "f = pickle.load(open(sys.argv[1], 'rb'))\n"
         "t = pa.table({'id': [1, 2, 3, 1, 2, 3], 'side': [0, 0, 0, 1, 1, 1],\n"
+        "              'without': pa.array([None] * 6, pa.list_(pa.int64())),\n"
         "              'vec': [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]] * 2})\n"
         "out = f(t)\n"
         "assert out.num_rows == 6, out\n"
@@ -164,3 +165,83 @@ def test_block_scorer_ships_without_this_package(tmp_path):
         [sys.executable, "-c", code, str(blob)], cwd=tmp_path, env=env, capture_output=True, text=True
     )
     assert res.returncode == 0 and res.stdout.strip() == "ok", res.stderr
+
+
+def test_dense_ids_over_many_partitions_and_one_key(spark):
+    # More partitions than a compiled comparison tree would bear, and one key for all rows.
+    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("k"), F.col("id").alias("v"))
+    got = assign_dense_ids(df, ["k"], "i", partitions=1100)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") <= 1  # the offsets, one row per partition
+    assert got.where(F.col("i") != F.col("k") + 1).count() == 0
+    same = assign_dense_ids(spark.range(0, 4000).select(F.lit("x").alias("k"), "id"), ["k"], "i", partitions=8)
+    assert sorted(r.i for r in same.collect()) == list(range(1, 4001))
+    assert assign_dense_ids(df.limit(0), ["k"], "i").count() == 0
+
+
+def test_extend_id_map_keeps_the_null_key(spark):
+    from itemlens.operators.dense_ids import extend_id_map
+
+    old = spark.createDataFrame([(None, 1), ("b", 2)], "k string, i int")
+    keys = spark.createDataFrame([("a",), (None,), ("b",), ("c",), (None,)], "k string")
+    got = sorted(((r.k, r.i) for r in extend_id_map(old, keys, "k", "i").collect()), key=str)
+    assert got == [("a", 3), ("b", 2), ("c", 4), (None, 1)]
+
+
+def test_prepared_rows_keep_the_null_keys_id(spark):
+    from itemlens import schemas as S
+    from itemlens.plans.catalog import prepare_catalog
+
+    rows = [(k, "n", None, None, None, 4.0, 10, 1, "cafe", 1.0) for k in (None, "z")]
+    old = spark.createDataFrame([(None, 7)], "item_key string, item_id int")
+    got = {r.item_key: r.item_id for r in prepare_catalog(spark.createDataFrame(rows, S.CATALOG_SCHEMA), existing_ids=old).collect()}
+    assert got == {None: 7, "z": 8}
+
+
+def test_dedupe_order_is_total(spark):
+    from itemlens import schemas as S
+    from itemlens.plans.catalog import prepare_catalog
+
+    a = ("k", "n", "x", 1.0, 2.0, 5.0, 9, 4, "cafe", 1.0)
+    b = ("k", "n", "x", 1.0, 2.0, 1.0, 9, 1, "cafe", 1.0)
+    seen = set()
+    for rows in ([a, b], [b, a]):
+        df = spark.createDataFrame(rows, S.CATALOG_SCHEMA).repartition(2)
+        seen.add(tuple(prepare_catalog(df).select("rating", "level").first()))
+    assert len(seen) == 1
+
+
+def test_factor_topk_leaves_out_unscorable_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [nan, 1.0]), (4, [inf, 0.0]), (5, None), (6, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    for k in (1, 2, 3):
+        got = topk_dot_product(df, df, k, "id", "v", "id", "v")
+        assert got.groupBy("query_id").count().collect().__len__() == 3
+        assert got.where(F.col("query_id").isin(3, 4, 5) | F.col("item_id").isin(3, 4, 5)).count() == 0
+        assert got.count() == 3 * k
+
+
+def test_factor_topk_rejects_ragged_vectors(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0])], "id long, v array<double>")
+    with pytest.raises(Exception, match="same, non-zero length"):
+        topk_dot_product(df, df, 1, "id", "v", "id", "v").collect()
+
+
+def test_factor_topk_excludes_per_query(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, v array<double>")
+    heavy = spark.createDataFrame([(1, i) for i in range(2, 40)] + [(2, 39)], "query_id long, item_id long")
+    got = topk_dot_product(df, df, 3, "id", "v", "id", "v", block_size=16, exclude=heavy)
+    top = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        top.setdefault(r.query_id, []).append(r.item_id)
+    assert top[1] == [1, 0] and top[2] == [38, 37, 36] and top[3] == [39, 38, 37]
+
+
+def test_rounding_beyond_the_decimals_range(spark):
+    from itemlens.functions.values import round_half_up
+
+    df = spark.createDataFrame([(1e30,), (2.675,), (None,), (-1e27,)], "x double")
+    assert [r[0] for r in df.select(round_half_up("x", 2)).collect()] == [1e30, 2.68, None, -1e27]

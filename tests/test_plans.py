@@ -17,7 +17,7 @@ def plan(df):
 
 def test_catalogue_plan_has_no_python_and_no_single_partition(spark):
     raw = TB.load_catalog(spark, SF_SMALL)
-    cat = prepare_catalog(raw, TB.PART_RULES, checkpoint=False, rows_per_bucket=50)
+    cat = prepare_catalog(raw, TB.PART_RULES, partitions=40)
     p = plan(cat)
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     # numbering runs per bucket; only the bounded offsets table is ordered globally
@@ -34,7 +34,7 @@ def test_scan_pruning_and_pushdown(spark):
 
 def test_browse_and_trending_use_partial_topk(spark):
     raw = TB.load_catalog(spark, SF_SMALL)
-    cat = prepare_catalog(raw, TB.PART_RULES, checkpoint=False)
+    cat = prepare_catalog(raw, TB.PART_RULES)
     assert "TakeOrderedAndProject" in plan(browse(cat, sort_by="rating"))
     tp = plan(trending_categories(cat, 5, TB.PART_DEFAULT_CATEGORY))
     assert "TakeOrderedAndProject" in tp and "partial_count" in tp.replace(" ", "")

@@ -18,6 +18,11 @@ SAMPLE = [
     "cap_per_user",
     "warm_cold_union",
     "factor_topk_per_user",
+    "catalog_dedupe",
+    "extend_ids",
+    "als_save_load",
+    "als_recommend_subset",
+    "recommend_with_fallback",
     "area_intpad_named",
 ]
 
@@ -33,14 +38,7 @@ def test_every_query_has_an_oracle_or_is_model_based():
     assert set(sql) <= set(qs)
     corpus = set(getattr(E, "LLM_QUERIES", {}))
     rows_only = set(qs) - set(sql) - corpus
-    assert rows_only == {
-        "als_fit_predict",
-        "als_eval",
-        "als_recommend_subset",
-        "als_save_load",
-        "recommend_with_fallback",
-        "train_pipeline",
-    }
+    assert not rows_only
 
 
 @pytest.fixture(scope="module")

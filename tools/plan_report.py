@@ -66,7 +66,7 @@ def main(argv):
     # The pipelines behind the shared, materialised inputs.
     builders = {
         "(build) prepared catalogue": lambda spark, d: prepare_catalog(
-            TB.load_catalog(spark, d), Q.RULES, checkpoint=False
+            TB.load_catalog(spark, d), Q.RULES
         ),
         "(build) ratings table": lambda spark, d: interaction_ratings(
             TB.load_interactions(spark, d), id_map(Q.catalog(spark, d))
@@ -88,7 +88,7 @@ def main(argv):
         "a shared materialised table (prepared catalogue, ratings, split, fitted baseline)",
         "show up as scans of that table. `single-partition` exchanges only ever carry",
         "bounded data here: a global aggregate's one row, a top-k's k rows, a scalar",
-        "subquery, or the dense-id bucket offsets (at most `max_buckets` rows).",
+        "subquery, or the dense-id offsets (one row per partition).",
         "The `(build)` rows are the pipelines behind the shared inputs, before they",
         "are written.",
         "",
