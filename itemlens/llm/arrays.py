@@ -105,11 +105,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     size = ends - starts
     first = np.cumsum(size) - size
-    within = np.arange(int(size.sum())) - np.repeat(first, size)
+    total = int(size.sum())
+    kind = np.int32 if max(total, len(data)) < 2**31 else np.int64
+    at = np.arange(total, dtype=kind)
     powers = np.full(int(size.max()), _BASE, np.uint64)
     powers[0] = 1
     powers = np.cumprod(powers)
-    value = (data[within + np.repeat(starts, size)].astype(np.uint64) + np.uint64(1)) * powers[within]
+    value = data[at + np.repeat((starts - first).astype(kind), size)].astype(np.uint64)
+    value += np.uint64(1)
+    at -= np.repeat(first.astype(kind), size)
+    value *= powers[at]
     return mix64(np.add.reduceat(value, first) + size.astype(np.uint64) * _BASE)
 
 

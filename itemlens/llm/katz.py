@@ -45,6 +45,8 @@ from itemlens.session import materialize
 CUT = 5
 HELD_MODULUS, HELD_REMAINDER = 7, 2
 CHUNK_BYTES = 16 << 20
+#: Text bytes that are cut into words at once.
+WORD_BYTES = 2 << 20
 #: Tokens that one bucket's task holds, on average.
 BUCKET_TOKENS = 6_000_000
 #: A history with so many occurrences, or a multiple, is split into more parts.
@@ -126,9 +128,10 @@ def _chunks(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", CHUNK_BYTES):
                 ids = part.column("doc_id").to_pylist()
-                w = words(part.column("text"))
-                n = w.counts()
-                hashes = np.insert(w.hashes, w.offsets[1:], END)
+                pieces = [words(p.column("text")) for p in slices(part, "text", WORD_BYTES)]
+                n = np.concatenate([w.counts() for w in pieces])
+                hashes = np.concatenate([np.insert(w.hashes, w.offsets[1:], END) for w in pieces])
+                del pieces
                 vocab, codes = np.unique(hashes, return_inverse=True)
                 train = np.repeat(~_held(ids), n + 1)
                 counts = np.bincount(codes[train], minlength=len(vocab))
