@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemlens.llm.arrays import mix64, slices, text_buffers
-from itemlens.llm.common import partitions
+from itemlens.llm.common import partitions, release
 from itemlens.session import materialize
 
 SPAN = 50
@@ -46,7 +46,9 @@ REACH = SPAN - GRAM + 1
 BUCKET_BYTES = 32 << 20
 BUCKET_SUFFIXES = 150_000
 #: Suffixes that a task sorts at once.
-RUN_SUFFIXES = 300_000
+RUN_SUFFIXES = 100_000
+#: Text bytes whose anchors are found at once.
+SLICE = 1 << 20
 LAST_ID = 2**63 - 1
 
 
@@ -154,7 +156,7 @@ def _deal_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 data, offsets = text_buffers(part.column("text"))
                 found = Anchors(data, offsets)
                 keys = [key_of(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -312,11 +314,11 @@ class _Sorter:
 
     def __init__(self, own: int):
         self.own = own
-        self.found: dict[tuple[int, bytes, bytes], list[tuple[int, bytes, int]]] = {}
+        self.found: dict[tuple[int, bytes, bytes], set[tuple[int, bytes, int]]] = {}
 
     def add(self, bucket: int, right: bytes, left: bytes, doc_id: int, key: bytes, at: int) -> None:
         """A suffix at an anchor, the bytes before it that its windows cover, its place."""
-        self.found.setdefault((bucket, right, left), []).append((doc_id, key, at))
+        self.found.setdefault((bucket, right, left), set()).add((doc_id, key, at))
 
     def __len__(self) -> int:
         return len(self.found)
@@ -358,7 +360,7 @@ def _runs(texts: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sorter = _Sorter(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 data, offsets = text_buffers(part.column("text"))
                 found = Anchors(data, offsets)
                 shared = np.zeros(len(found.at), bool)
@@ -477,11 +479,14 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     shared = materialize(dealt.groupBy("bucket").applyInArrow(_shared_anchors, "key binary, n long, hashes binary"), "suffix-anchors")
     n = shared.agg(F.sum("n")).first()[0] or 0
     known = shared.groupBy("key").agg(F.collect_list("hashes").alias("shared")).join(classes, "key")
-    # One row of each class: its least id's.
-    texts = rows.join(known, "key").where("order = lowest").dropDuplicates(["key"])
+    # The rows with their class's least id (repeated rows add nothing).
+    texts = rows.join(known, "key").where("order = lowest")
+    release(docs.sparkSession)
     buckets = max(1, n // BUCKET_SUFFIXES, min(floor, n // 10_000))
     merged = _runs(texts, buckets).groupBy("bucket", "own").applyInArrow(_merge_bucket, "key binary, starts binary, ends binary")
-    return materialize(merged, "suffix-ranges")
+    ranges = materialize(merged, "suffix-ranges")
+    release(docs.sparkSession)
+    return ranges
 
 
 def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
