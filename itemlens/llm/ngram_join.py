@@ -89,7 +89,7 @@ def scheme(j: int, percent: int) -> tuple[int, int, int] | None:
         return None
     best = None
     for ones in sorted({0, need // 8, need // 4, need // 2, -(-need // 2)}):
-        for slack in range(0, 25):
+        for slack in sorted({*range(0, 25), *(need * share // 100 for share in range(6, 41, 2))}):
             zeros = need + slack - 2 * ones
             if zeros < 0 or zeros + ones < 1:
                 continue
