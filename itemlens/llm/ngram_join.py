@@ -11,7 +11,8 @@ each set may leave out its worst segments: empty ones, and ones whose signature
 many sets share.
 
 Signatures are dealt into buckets, sets with a common signature become candidate pairs,
-and candidates are verified exactly on the whole sets.  Equal sets are one node
+and candidates are verified exactly on the whole sets, which are made anew from the texts
+(a text takes less room in a shuffle than its set).  Equal sets are one node
 throughout.  A signature that many nodes share is compared with one hub first; only
 what the links found so far leave open, beyond the slack, is compared further.
 
@@ -31,11 +32,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemlens.llm.arrays import mix64, slices, window_hashes, words
-from itemlens.llm.common import partitions
+from itemlens.llm.common import partitions, release
 from itemlens.llm.graph import components
 from itemlens.session import materialize
 
@@ -279,21 +281,21 @@ def _candidates(group: pa.Table) -> pa.Table:
     )
 
 
-def _sets(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(node, tokens) of the rows whose ``row_key`` is in ``rows``."""
+def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, packed text) of the rows (row_key, node); a packed text is a fraction of
+    the size of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for part in slices(batch, "text"):
-                sets = sets_of(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([node_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"]
-                )
+            packed = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "packed"])
 
-    return docs.join(rows, "row_key", "left_semi").select("text").mapInArrow(run, "node binary, tokens binary")
+    found = docs.join(rows, "row_key").select("node", "text")
+    return found.mapInArrow(run, "node binary, packed binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are linked.
 
     Pairs come together by ``a``, in as many groups as a hub has thousands of partners,
@@ -307,10 +309,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = materialize(dealt, "ngram-dealt")
     group = [F.col("g").alias("to_g"), F.col("part").alias("to_part")]
     need = dealt.select(*group, F.col("a").alias("node")).union(dealt.select(*group, "b")).distinct()
-    found = need.join(sets, "node").dropDuplicates(["to_g", "to_part", "node"])
+    found = need.join(texts, "node")
 
-    def check(pairs_: pa.Table, sets_: pa.Table) -> pa.Table:
-        known = {k: np.frombuffer(t, np.uint64) for k, t in zip(sets_.column("node").to_pylist(), sets_.column("tokens").to_pylist(), strict=True)}
+    def check(pairs_: pa.Table, texts_: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        packed = dict(zip(texts_.column("node").to_pylist(), texts_.column("packed").to_pylist(), strict=True))
+        known = {k: sets_of(pa.array([unpack.decompress(t)], pa.binary()), width)[0] for k, t in packed.items()}
         keep = []
         for x, y in zip(pairs_.column("a").to_pylist(), pairs_.column("b").to_pylist(), strict=True):
             p, q = known[x], known[y]
@@ -372,13 +376,15 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     buckets = max(1, int(tokens * 4.5) // BUCKET_BYTES, min(partitions(docs.sparkSession), int(tokens) // 100_000))
     blobs = _signature_blobs(docs, width, percent, buckets)
     found = materialize(blobs.groupBy("bucket").applyInArrow(_candidates, CANDIDATES), "ngram-candidates")
+    release(docs.sparkSession)
     hot = found.where("b is null").select(F.col("a").alias("node"), "sig", "scheme", "slack", "weight")
     pairs = materialize(found.where("b is not null").select("a", "b").distinct(), "ngram-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
-    rows = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key")).select("row_key")
-    sets = materialize(_sets(docs, rows, width), "ngram-sets")
+    rows = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
+    texts = materialize(_texts(docs, rows), "ngram-texts")
+    release(docs.sparkSession)
 
-    links = materialize(_verified(pairs, sets, percent), "ngram-links")
+    links = materialize(_verified(pairs, texts, width, percent), "ngram-links")
     roots = components(links)
     for turn in range(HUB_ROUNDS + 1):
         rest = materialize(_open(hot, roots), "ngram-open")
@@ -387,7 +393,7 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
         more = _hub_pairs(rest) if turn < HUB_ROUNDS else _all_pairs(rest)
         more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
         pairs = pairs.unionByName(more)
-        links = links.unionByName(materialize(_verified(more, sets, percent), "ngram-links"))
+        links = links.unionByName(materialize(_verified(more, texts, width, percent), "ngram-links"))
         roots = components(links)
 
     # Only nodes of several rows or with links differ from their own id.
