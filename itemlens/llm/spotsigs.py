@@ -1,7 +1,7 @@
 """Document fingerprints by spot signatures.
 
 Text is lowered and reduced to words.  Every common word (an anchor) starts a chain: the
-anchor and the next two content words, common words in between left out.  A text's
+two content words that follow it, common words in between left out.  A text's
 fingerprint is the set of hashes of its chains, sorted, in hexadecimal.  A text in which
 no chain starts has its whole word sequence as its one chain; a text without words has
 none.  Likeness is the Jaccard similarity of the sets (1 for two empty sets).
@@ -37,23 +37,33 @@ CHAIN = 2
 #: Text bytes of one ordered bucket, on average.
 BUCKET_BYTES = 16 << 20
 
-_COMMON = "(?:" + "|".join(sorted(ANCHORS, key=lambda w: (-len(w), w))) + ")"
-_SPOT = rf" (?=({_COMMON}{rf'(?: {_COMMON}(?= ))*+ [^ ]++' * CHAIN}) )"
-_INNER = rf" {_COMMON}(?= )"
+#: Stands for an anchor where the words are joined again.
+_MARK = "\x01"
+_CHAIN = rf"{_MARK}(?=((?:{_MARK}*+ [^ {_MARK}]++){{{CHAIN}}}))"
 
 
 def normal(text: Column) -> Column:
-    """Lower-case words with a blank before and after each."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    """Lower-case words, a blank between them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def signature_set(text: Column) -> Column:
-    """Sorted distinct chain hashes of a text."""
-    words = normal(text)
-    chains = F.transform(F.array_distinct(F.regexp_extract_all(words, F.lit(_SPOT), F.lit(1))), lambda s: F.regexp_replace(s, _INNER, ""))
-    hashes = F.array_sort(F.array_distinct(F.transform(chains, lambda s: F.xxhash64(s))))
-    whole = F.when(F.trim(words) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(words)))
-    return F.when(F.size(hashes) > 0, hashes).otherwise(whole)
+def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``: the sorted distinct chain hashes of a text.
+
+    Each step is a column of its own, so that none is evaluated twice.
+    """
+    words, chains, hashes = f"_{out}_words", f"_{out}_chains", f"_{out}_hashes"
+    marked = F.transform(F.split(words, " "), lambda w: F.when(w.isin(ANCHORS), F.lit(_MARK)).otherwise(F.concat(F.lit(" "), w)))
+    found = F.regexp_extract_all(F.array_join(marked, ""), F.lit(_CHAIN), F.lit(1))
+    hashed = F.transform(F.array_distinct(found), lambda s: F.xxhash64(F.translate(s, _MARK, "")))
+    whole = F.when(F.col(words) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(words)))
+    return (
+        df.withColumn(words, normal(F.col(text)))
+        .withColumn(chains, hashed)
+        .withColumn(hashes, F.array_sort(F.array_distinct(chains)))
+        .withColumn(out, F.when(F.size(hashes) > 0, F.col(hashes)).otherwise(whole))
+        .drop(words, chains, hashes)
+    )
 
 
 def fingerprint(signatures: Column) -> Column:
@@ -89,8 +99,8 @@ def _bucket(order: Column, bounds: list[int], width: int = 64) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, own (its signature set), next_text and next_own of the row that
-    follows in descending order of doc_id; the first row follows the last.
+    """doc_id, text and next_text, the text of the row that follows in descending order
+    of doc_id; the first row follows the last.
 
     The rows are cut into ranges of ids; the greatest ids of each range are copied to
     the end of the range above, so that every row meets its follower in its own range.
@@ -103,15 +113,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     bounds = _bounds(rows, n)
     if not bounds:
         bounds = [0]
-    rows = rows.withColumn("bucket", _bucket(F.col("order"), bounds)).withColumn("own", signature_set(F.col("text")))
+    rows = rows.withColumn("bucket", _bucket(F.col("order"), bounds))
     copy = F.when(F.col("order").isin(bounds), F.pmod(F.col("bucket") + 1, F.lit(len(bounds))))
     places = F.array_compact(F.array(F.struct(F.col("bucket").alias("at"), F.lit(0).alias("copied")), F.when(copy.isNotNull(), F.struct(copy.alias("at"), F.lit(1).alias("copied")))))
-    rows = rows.withColumn("place", F.explode(places)).select("doc_id", "text", "own", "order", "place.at", "place.copied")
+    rows = rows.withColumn("place", F.explode(places)).select("doc_id", "text", "order", "place.at", "place.copied")
     following = W.partitionBy("at").orderBy("copied", F.desc("order"), F.xxhash64("text"))
     return (
-        rows.withColumn("next", F.lead(F.struct("text", "own")).over(following))
-        .where("copied = 0")
-        .select("doc_id", "text", "own", F.col("next.text").alias("next_text"), F.col("next.own").alias("next_own"))
+        rows.withColumn("next_text", F.lead("text").over(following)).where("copied = 0").select("doc_id", "text", "next_text")
     )
 
 
@@ -121,7 +129,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.withColumn("edited", edited).withColumn("edited_own", signature_set(F.col("edited")))
+    rows = rows.withColumn("edited", edited)
+    for name, text in (("own", "text"), ("edited_own", "edited"), ("next_own", "next_text")):
+        rows = with_signatures(rows, text, name)
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
@@ -140,7 +150,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     A class is named by its fingerprint's hash.  Signatures are ordered by how few
     classes have them, so that prefixes hold the rare ones and common ones aren't joined.
     """
-    own = docs.select("doc_id", signature_set(F.coalesce("text", F.lit(""))).alias("own"))
+    own = with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "own").drop("text")
     own = own.withColumn("class", F.xxhash64(F.concat_ws(",", F.col("own").cast("array<string>"))))
     sets = own.where(F.size("own") > 0).groupBy("class").agg(F.min("own").alias("own"))
     sets = sets.withColumn("n", F.size("own"))
