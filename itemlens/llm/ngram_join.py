@@ -26,6 +26,7 @@ it has no other; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -108,6 +109,10 @@ def _too_sparse(size: int, zeros: int, ones: int, slack: int) -> float:
     m = zeros + ones
     empty = (1 - 1 / m) ** size
     single = size / m * (1 - 1 / m) ** (size - 1)
+    if slack > 200:  # near enough to a normal law; only costs hang on it
+        p = min(1.0, empty + single)
+        mean, spread = zeros * empty + 2 * ones * p, zeros * empty * (1 - empty) + 4 * ones * p * (1 - p)
+        return 0.5 * math.erfc((slack + 0.5 - mean) / math.sqrt(2 * max(spread, 1e-9)))
     rest = np.zeros(slack + 1)
     rest[0] = 1.0
     for count, p, weight in ((zeros, empty, 1), (ones, min(1.0, empty + single), 2)):
