@@ -44,7 +44,7 @@ GRAM = 24
 REACH = SPAN - GRAM + 1
 #: Anchor bytes, and suffixes, that one bucket's task holds on average.
 BUCKET_BYTES = 32 << 20
-BUCKET_SUFFIXES = 150_000
+BUCKET_SUFFIXES = 400_000
 #: Suffixes that a task sorts at once.
 RUN_SUFFIXES = 100_000
 #: Text bytes whose anchors are found at once.
