@@ -38,7 +38,7 @@ def test_the_map_is_versioned_and_edits_are_few(spark, frame, tmp_path):
     S.shard(frame(rows), n_shards=4, n_slots=256, map_path=str(tmp_path / "map")).count()
     old = {(r.vslot, r.part): r.shard for r in S.load_map(spark, str(tmp_path / "map"), 1).collect()}
     new = {(r.vslot, r.part): r.shard for r in S.load_map(spark, str(tmp_path / "map"), 2).collect()}
-    assert set(old) == set(new) and len(old) == 256
+    assert set(old) <= set(new) and len(old) == 256  # a heavy slot has parts of its own
     assert 0 < sum(old[e] != new[e] for e in old) < 64
 
 
