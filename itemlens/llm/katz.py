@@ -13,7 +13,7 @@ of counts don't allow it), and alpha(h) makes each history's probabilities add u
 exactly one over the known words and one unknown word.
 
 The corpus is cut into chunks of texts.  A chunk asks the unigram table, which is dealt
-into buckets by word, for its words' counts; then it deals its bigrams to buckets by
+into buckets by word, for its words' counts and numbers; then it deals its bigrams to buckets by
 history, where all bigrams of a history meet, are counted and stored as a partitioned
 table.  Once the counts of counts are known, every bucket evaluates its tokens and sends
 sums per text back.  Every table row holds many entries as arrays, so that shuffles move
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemlens.llm.arrays import mix64, slices, words
-from itemlens.llm.common import partitions
+from itemlens.llm.common import partitions, release
 from itemlens.session import materialize
 
 CUT = 5
@@ -66,6 +66,15 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def pack_rising(x: np.ndarray) -> bytes:
+    """Rising integers as packed steps, about a byte each where they lie close."""
+    return pack(np.diff(x.astype(np.int64), prepend=0))
+
+
+def unpack_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.int64))
+
+
 def bucket_of(x: np.ndarray, n: int) -> np.ndarray:
     """Range buckets of uniform hashes: sorted hashes have sorted buckets."""
     return ((x >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -144,12 +153,13 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CHUNK)
 
 
-REPLY = "bucket int, chunk long, counts binary, tokens long, types long, of_counts array<long>"
+REPLY = "bucket int, chunk long, counts binary, numbers binary, words binary, size long, tokens long, types long, of_counts array<long>"
 
 
 def _unigram_counts(chunks: DataFrame, buckets: int) -> DataFrame:
-    """For every chunk and bucket the training counts of the chunk's words there; and for
-    every bucket (chunk null) its totals and counts of counts."""
+    """For every chunk and bucket the training counts of the chunk's words there, and
+    their numbers in the bucket's table, which rise with the words' hashes; and for every
+    bucket (chunk null) the table itself, its totals and counts of counts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,14 +183,17 @@ def _unigram_counts(chunks: DataFrame, buckets: int) -> DataFrame:
         table, place = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(place, weights=np.concatenate([unpack(x, np.int32) for x in group.column("counts").to_pylist()]), minlength=len(table)).astype(np.int64)
         ends = np.cumsum([len(x) for x in asked])
-        replies = [pack(total[place[b - len(x) : b]]) for x, b in zip(asked, ends.tolist(), strict=True)]
-        n = len(replies)
+        mine = [place[b - len(x) : b] for x, b in zip(asked, ends.tolist(), strict=True)]
+        n = len(mine)
         of = [0, *(int((total == r).sum()) for r in range(1, CUT + 2))]
         return pa.table(
             {
                 "bucket": pa.array([bucket] * (n + 1), pa.int32()),
                 "chunk": pa.array([*group.column("chunk").to_pylist(), None], pa.int64()),
-                "counts": pa.array([*replies, None], pa.binary()),
+                "counts": pa.array([*(pack(total[x]) for x in mine), pack(total)], pa.binary()),
+                "numbers": pa.array([*(pack_rising(x) for x in mine), None], pa.binary()),
+                "words": pa.array([None] * n + [table.tobytes()], pa.binary()),
+                "size": pa.array([None] * n + [len(table)], pa.int64()),
                 "tokens": pa.array([None] * n + [int(total.sum())], pa.int64()),
                 "types": pa.array([None] * n + [int((total > 0).sum())], pa.int64()),
                 "of_counts": pa.array([None] * n + [of], pa.list_(pa.int64())),
@@ -196,12 +209,14 @@ _DEALT_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.lis
 _DEALT_NAMES = [c.split()[0] for c in DEALT.split(", ")]
 
 
-def _deal(chunks: DataFrame, model: Unigrams, buckets: int, texts: int) -> DataFrame:
+def _deal(chunks: DataFrame, model: Unigrams, sizes: list[int], texts: int) -> DataFrame:
     """Bigrams of every chunk by history: per bucket the histories and how many bigrams
-    each has (``fan``), the bigrams' words (numbers into ``words``, with their p), how
+    each has (``fan``), the bigrams' words (places in ``words``, with their p), how
     often each occurs (``times``) and in which text of the chunk (``docs``).  Bucket -1
     rows carry the texts' own figures.  A history with very many occurrences is dealt to
-    several buckets, by the word that follows."""
+    several buckets, by the word that follows.  Words go by their numbers in the whole
+    unigram table, whose buckets hold ``sizes`` words; the start of a text comes last."""
+    buckets, offsets = len(sizes), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +224,10 @@ def _deal(chunks: DataFrame, model: Unigrams, buckets: int, texts: int) -> DataF
             for chunk, ids, vocab, lengths, codes, replies in zip(*(batch.column(c).to_pylist() for c in cols), strict=True):
                 vocab = np.frombuffer(vocab, np.uint64)
                 lengths, codes = unpack(lengths, np.int32), unpack(codes, np.int32)
-                counts = np.concatenate([unpack(r["counts"], np.int64) for r in sorted(replies, key=lambda r: r["bucket"])])
+                replies = sorted(replies, key=lambda r: r["bucket"])
+                counts = np.concatenate([unpack(r["counts"], np.int64) for r in replies])
+                numbers = np.concatenate([offsets[r["bucket"]] + unpack_rising(r["numbers"]) for r in replies])
+                numbers = np.append(numbers, offsets[-1])
                 doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
                 known = np.bincount(doc, weights=counts[codes] > 0, minlength=len(ids)).astype(np.int64)
                 base = np.bincount(doc, weights=model.base(counts)[codes], minlength=len(ids))
@@ -245,9 +263,9 @@ def _deal(chunks: DataFrame, model: Unigrams, buckets: int, texts: int) -> DataF
                             None,
                             chunk,
                             *[None] * 4,
-                            hashes[h[new_h]].tobytes(),
+                            pack_rising(numbers[h[new_h]]),
                             pack(fan.astype(np.int32)),
-                            vocab[own].tobytes(),
+                            pack_rising(numbers[own]),
                             pack(p[own]),
                             pack(number.astype(np.int32)),
                             pack(np.diff(np.append(first, y - x)).astype(np.int32)),
@@ -284,8 +302,8 @@ def _count(group: pa.Table) -> pa.Table:
         own = {c: group.column(c) for c in ("bucket", "chunk", "known", "base", "doc_ids", "lengths")}
         return pa.table({f.name: own[f.name] if f.name in own else pa.nulls(group.num_rows, f.type) for f in fields}, schema=fields)
     cols = {c: group.column(c).to_pylist() for c in ("history", "fan", "words", "p", "word", "times", "docs", "held", "chunk", "split")}
-    histories = [np.frombuffer(x, np.uint64) for x in cols["history"]]
-    owned = [np.frombuffer(x, np.uint64) for x in cols["words"]]
+    histories = [unpack_rising(x) for x in cols["history"]]
+    owned = [unpack_rising(x) for x in cols["words"]]
     history, h_first, h_no = np.unique(np.concatenate(histories), return_index=True, return_inverse=True)
     known, w_first, w_no = np.unique(np.concatenate(owned), return_index=True, return_inverse=True)
     p = np.concatenate([unpack(x, np.float64) for x in cols["p"]])[w_first]
@@ -308,8 +326,8 @@ def _count(group: pa.Table) -> pa.Table:
     stats = history_stats(h, r, p[w], len(history))
     row = {
         "bucket": bucket,
-        "history": history.tobytes(),
-        "words": known.tobytes(),
+        "history": pack_rising(history),
+        "words": pack_rising(known),
         "p": pack(p),
         "h": pack(h.astype(np.int32)),
         "w": pack(w.astype(np.int32)),
@@ -319,7 +337,7 @@ def _count(group: pa.Table) -> pa.Table:
         "entry": pack(entry),
         "docs": pack(np.concatenate(docs)),
         "of_counts": [0, *(int((r == k).sum()) for k in range(1, CUT + 2))],
-        "split": [{"number": i, "history": int(history[i].view(np.int64)), "stats": stats[i].tolist()} for i in np.flatnonzero(split).tolist()],
+        "split": [{"number": i, "history": int(history[i]), "stats": stats[i].tolist()} for i in np.flatnonzero(split).tolist()],
     }
     return pa.table({f.name: pa.array([row.get(f.name)], f.type) for f in fields}, schema=fields)
 
@@ -358,7 +376,7 @@ def _evaluate(table: DataFrame, d: np.ndarray, absolute: float) -> DataFrame:
                 row = {c: batch.column(c)[i].as_py() for c in wanted}
                 h, w, r = (unpack(row[c], np.int32) for c in ("h", "w", "r"))
                 r, p = r.astype(np.int64), unpack(row["p"], np.float64)[w]
-                stats = history_stats(h, r, p, len(row["history"]) // 8)
+                stats = history_stats(h, r, p, len(unpack_rising(row["history"])))
                 for whole in row["whole"] or []:
                     stats[whole["number"]] = whole["stats"]
                 score = log_probabilities(h, r, p, stats, d, absolute)
@@ -409,9 +427,15 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     totals = replies.where("chunk is null").select(F.sum("tokens").alias("n"), F.sum("types").alias("v"), *of).first()
     model = Unigrams(totals.n or 0, totals.v or 0, {r: totals[f"n{r}"] or 0 for r in range(1, CUT + 2)})
 
-    by_chunk = replies.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("replies"))
-    dealt = _deal(chunks.drop("counts", "texts", "tokens").join(by_chunk, "chunk"), model, buckets, texts)
+    found = {r.bucket: r["size"] for r in replies.where("chunk is null").select("bucket", "size").collect()}
+    sizes = [found.get(b, 0) for b in range(buckets)]
+    release(spark)
+
+    answers = F.collect_list(F.struct("bucket", "counts", "numbers")).alias("replies")
+    by_chunk = replies.where("chunk is not null").groupBy("chunk").agg(answers)
+    dealt = _deal(chunks.drop("counts", "texts", "tokens").join(by_chunk, "chunk"), model, sizes, texts)
     table = materialize(dealt.groupBy("bucket", "own").applyInArrow(_count, TABLE), "katz-bigrams")
+    release(spark)
     bigrams = table.where("bucket >= 0")
     row = bigrams.select(*of).first()
     d, absolute = discounts({r: row[f"n{r}"] or 0 for r in range(1, CUT + 2)})
