@@ -48,6 +48,8 @@ PERCENT = 80
 BUCKET_BYTES = 32 << 20
 #: Pairs verified in one group, on average.
 PAIRS_PER_GROUP = 4000
+#: Texts whose sets are made together when pairs are verified.
+TEXTS_AT_ONCE = 256
 #: Up to so many nodes with a common signature are paired at once; beyond, by hubs.
 SMALL_GROUP = 8
 HUB_ROUNDS = 3
@@ -319,7 +321,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     def check(pairs_: pa.Table, texts_: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
         packed = dict(zip(texts_.column("node").to_pylist(), texts_.column("packed").to_pylist(), strict=True))
-        known = {k: sets_of(pa.array([unpack.decompress(t)], pa.binary()), width)[0] for k, t in packed.items()}
+        known: dict[bytes, np.ndarray] = {}
+        keys = list(packed)
+        for lo in range(0, len(keys), TEXTS_AT_ONCE):
+            some = keys[lo : lo + TEXTS_AT_ONCE]
+            plain = pa.RecordBatch.from_arrays([pa.array([unpack.decompress(packed[k]) for k in some], pa.binary())], names=["text"])
+            found = [s for part in slices(plain, "text") for s in sets_of(part.column("text"), width)]
+            known.update(zip(some, found, strict=True))
         keep = []
         for x, y in zip(pairs_.column("a").to_pylist(), pairs_.column("b").to_pylist(), strict=True):
             p, q = known[x], known[y]
