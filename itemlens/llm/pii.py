@@ -5,12 +5,16 @@ trees score every candidate by its format and its surroundings, and a threshold
 kind, calibrated on candidates kept from training, selects the spans to redact.
 Spans of the exact base patterns (email, ip, card, phone) are always selected.
 
-There are no labels for personal data, so the trees learn from the base patterns at a
-distance: a candidate that is a base span is a positive example, one that touches none a
-negative one, and the marks by which the base patterns decide (the check digit, the
-plus sign, the exact form) are no features.  Training reads at most about
-``TRAIN_DOCS`` documents, chosen by a hash of the text; the trees become one column
-expression, so that scoring takes place within each row and nothing is shuffled.
+There are no labels for personal data, so the trees learn at a distance.  Positive
+examples are base spans, account numbers with right check digits, strings of IPv6 form,
+phone-like numbers right behind a word for phone, and the base e-mails rewritten in
+disguise ("name (at) host (dot) com").  Ambiguous candidates (part of a base span, a cue
+word nearby, a disguised e-mail as found) are no examples; the others are negative.  The
+marks that decide on labels (check digits, the plus sign, the exact form) are no
+features, but for the cue words.  Training reads at most about ``TRAIN_DOCS`` documents,
+chosen by a hash of the text; thresholds are set on the candidates of all documents that
+training didn't see (a kind without a positive there: on all its candidates).  The trees
+become one column expression, so that scoring takes place within each row.
 
 All work on texts is DataFrame code.  Offsets are code points, ends exclusive.
 
@@ -46,13 +50,29 @@ BASE = {
 }
 #: What a text must hold for a pattern to match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+#: IBAN countries by the length of their numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    25: "LY|PT|ST", 26: "IS|TR", 27: "FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU", 31: "MT|SC", 32: "LC",
+}
+_IBANS = "|".join(rf"(?:{c})[0-9]{{2}}(?: ?+[A-Z0-9]){{{n - 4}}}(?![A-Z0-9])" for n, c in IBAN_LENGTHS.items())
+_AT, _DOT = r"(?:\((?i:at)\)|\[(?i:at)\])", r"(?:\((?i:dot)\)|\[(?i:dot)\])"
+#: An e-mail with blanks only beside spelt-out signs.
+TIGHT_EMAIL = rf"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{{1,64}}+(?:@| ?{_AT} ?)[A-Za-z0-9-]++(?:(?:\.| ?{_DOT} ?)[A-Za-z0-9-]++)++"
+#: How training rewrites the signs of an e-mail.
+DISGUISES = ((" (at) ", " (dot) "), ("(at)", "(dot)"), (" [at] ", " [dot] "), ("[at]", "."), (" (at) ", "."), (" @ ", "."))
+#: What a text must hold for a generator to match.
+EMAIL_SIGN = r"@|[(\[](?i:at)[)\]]"
+ANY_SIGN = rf"[0-9]|{EMAIL_SIGN}"
 #: The generators; they propose far more than the base patterns accept.
 GENERATORS = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++",
+    "email": rf"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{{1,64}}+ ?(?:@|{_AT}) ?[A-Za-z0-9-]++(?: ?(?:\.|{_DOT}) ?[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9A-Fa-f:.])|\G)(?:[0-9]{1,3}+(?:\.[0-9]{1,3}+){3,5}+|[0-9A-Fa-f]{1,4}+(?::{1,2}+[0-9A-Fa-f]{1,4}+){4,7}+)",
     "card": r"(?:(?<![0-9])|\G)[0-9]{3,6}+(?:[ -]?+[0-9]{2,6}+){2,6}+",
     "phone": r"(?:(?<![0-9])|\G)[+(]{0,2}+[0-9]{1,4}+\)?+(?:[ ().-]{1,2}+[0-9]{2,5}+){2,5}+",
-    "account": r"(?:(?<![A-Z0-9])|\G)[A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]{4}){3,7}+",
+    "account": rf"(?:(?<![A-Z0-9])|\G)(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}(?: ?+[A-Z0-9]{{4}}){{3,7}}+)",
 }
 #: Words before a span that speak for a kind.
 CUES = {
@@ -62,7 +82,7 @@ CUES = {
     "phone": "phone|tel|call|mobile|fax|anruf",
     "account": "iban|account|konto|compte|cuenta|bank",
 }
-FEATURES = ("length", "digits", "letters", "blanks", "dots", "dashes", "brackets", "parts", "longest", "kind", "cue", "before", "after")
+FEATURES = ("length", "digits", "letters", "blanks", "dots", "dashes", "colons", "brackets", "parts", "longest", "kind", "cue", "before", "after")
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -93,6 +113,24 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
+def iban(value: Column) -> Column:
+    """Whether an account number has right check digits (mod 97)."""
+    marks = F.replace(value, F.lit(" "), F.lit(""))
+    codes = F.transform(F.split(F.concat(F.substring(marks, 5, 64), F.substring(marks, 1, 4)), "(?!^)(?=.)"), F.ascii)
+    digits = F.aggregate(codes, F.lit(0), lambda a, c: F.when(c < 58, a * 10 + c - 48).otherwise(a * 100 + c - 55) % 97)
+    return digits == 1
+
+
+def ipv6(value: Column) -> Column:
+    """True for strings of IPv6 form, null for eight short groups (which other numbers
+    have, too), else false."""
+    gaps = F.size(F.split(value, "::", -1)) - 1
+    groups = F.size(F.split(value, "::?", -1))
+    short = ~value.rlike("[0-9A-Fa-f]{3}")
+    whole = F.when(gaps == 0, F.when(groups == 8, F.when(~short, True)).otherwise(False))
+    return F.when(gaps > 0, (gaps == 1) & (groups < 8)).otherwise(whole)
+
+
 def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(value, r"\."), lambda p: p.cast("double") <= 255)
@@ -104,11 +142,14 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _if_present(text: Column, kind: str, spans: Column) -> Column:
+def _if(has: Column, spans: Column) -> Column:
     """No pattern is tried on a text without the sign that it needs."""
-    has = F.contains(text, F.lit(NEEDS[kind])) if NEEDS.get(kind) else F.lit(True)
-    none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
-    return F.when(has & text.rlike("[0-9@]"), spans).otherwise(none)
+    return F.when(has, spans).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>"))
+
+
+def _if_present(text: Column, kind: str, spans: Column) -> Column:
+    has = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
+    return _if(has & text.rlike("[0-9@]"), spans)
 
 
 def _spans(text: Column, kind: str, pattern: str, check: bool) -> Column:
@@ -125,20 +166,37 @@ def base_spans(text: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """What the generators propose, overlapping spans and all kinds."""
-    return F.concat(*[_if_present(text, k if k == "email" else "", _spans(text, k, p, False)) for k, p in GENERATORS.items()])
+    made = [_if(text.rlike("[0-9]"), _spans(text, k, p, False)) for k, p in GENERATORS.items() if k != "email"]
+    loose = F.filter(_spans(text, "email", GENERATORS["email"], False), lambda s: ~s["value"].rlike(f"^{TIGHT_EMAIL}$"))
+    tight = _spans(text, "email", TIGHT_EMAIL, False)
+    return F.concat(_if(text.rlike(EMAIL_SIGN), F.concat(tight, loose)), *made)
 
 
 def _count(value: Column, kept: str) -> Column:
     return F.length(F.regexp_replace(value, f"[^{kept}]", "")).cast("double")
 
 
+def _before(text: Column, span: Column, n: int = CONTEXT) -> Column:
+    return F.substring(text, F.greatest(span["start"] - n, F.lit(0)) + 1, F.least(span["start"], F.lit(n)))
+
+
+def _cue(text: Column, span: Column) -> Column:
+    """2 for a cue word right before a span, 1 for one near, else 0."""
+    before = F.lower(_before(text, span))
+
+    def strength(k: str) -> Column:
+        close = before.rlike(rf"\b(?:{CUES[k]})\b[^\p{{L}}\p{{N}}]*$")
+        return F.when(close, 2).when(before.rlike(CUES[k]), 1).otherwise(0)
+
+    return reduce(lambda rest, k: F.when(span["kind"] == KINDS.index(k), strength(k)).otherwise(rest), CUES, F.lit(0))
+
+
 def features(text: Column, span: Column) -> Column:
     """struct of the features of a candidate."""
     value = span["value"]
-    before = F.lower(F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT))))
+    before = F.lower(_before(text, span))
     after = F.substring(text, span["end"] + 1, F.lit(1))
     digits = F.split(value, "[^0-9]+")
-    cue = reduce(lambda rest, k: F.when(span["kind"] == KINDS.index(k), before.rlike(CUES[k])).otherwise(rest), CUES, F.lit(False))
     made = {
         "length": F.length(value).cast("double"),
         "digits": _count(value, "0-9"),
@@ -146,11 +204,12 @@ def features(text: Column, span: Column) -> Column:
         "blanks": _count(value, " "),
         "dots": _count(value, "."),
         "dashes": _count(value, "-"),
-        "brackets": _count(value, "()"),
+        "colons": _count(value, ":"),
+        "brackets": _count(value, r"()\[\]"),
         "parts": F.size(F.filter(digits, lambda p: p != "")).cast("double"),
         "longest": F.coalesce(F.array_max(F.transform(digits, lambda p: F.length(p))), F.lit(0)).cast("double"),
         "kind": span["kind"].cast("double"),
-        "cue": cue.cast("double"),
+        "cue": _cue(text, span).cast("double"),
         "before": before.rlike(r"[\p{L}\p{N}]$").cast("double"),
         "after": after.rlike(r"[\p{L}\p{N}]").cast("double"),
     }
@@ -190,33 +249,100 @@ class Detector:
         return F.transform(kept, lambda x: x["s"])
 
 
+def _disguised(text: Column, base: Column) -> Column:
+    """array<struct<text,start,end>>: every base e-mail in disguise, with what is around it."""
+    style = [F.lit([d[i] for d in DISGUISES]) for i in (0, 1)]
+
+    def remade(s: Column) -> Column:
+        at, dot = (F.get(x, F.pmod(F.xxhash64(s["value"]), F.lit(len(DISGUISES))).cast("int")) for x in style)
+        before = _before(text, s, 2 * CONTEXT)
+        value = F.concat(F.substring_index(s["value"], "@", 1), at, F.replace(F.substring_index(s["value"], "@", -1), F.lit("."), dot))
+        after = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
+        start = F.length(before)
+        return F.struct(F.concat(before, value, after).alias("text"), start.alias("start"), (start + F.length(value)).alias("end"))
+
+    return F.transform(F.filter(base, lambda s: s["kind"] == KINDS.index("email")), remade)
+
+
+def _label(text: Column, base: Column, c: Column) -> Column:
+    """1, 0 or null (ambiguous) for a candidate of a text."""
+    kind, value = c["kind"], c["value"]
+    is_kind = {k: kind == i for i, k in enumerate(KINDS)}
+    same = F.exists(base, lambda b: (b["kind"] == kind) & (b["start"] == c["start"]) & (b["end"] == c["end"]))
+    touch = F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+    within = F.exists(base, lambda b: (b["kind"] == kind) & (b["start"] >= c["start"]) & (b["end"] <= c["end"]))
+    cue = _cue(text, c)
+    number = F.length(F.regexp_replace(value, "[^0-9]", "")).between(7, 15)
+    # A base e-mail and more, without any spelt-out sign, runs into the next sentence.
+    email = F.when(within & ~value.rlike(r"[(\[]"), 0.0)
+    six = F.when(ipv6(value), 1.0).when(~ipv6(value) & (cue == 0), 0.0)
+    label = F.when(same, 1.0).when(is_kind["email"], email).when(is_kind["ip"] & F.contains(value, F.lit(":")), six)
+    label = label.when(is_kind["account"] & iban(value), 1.0).when(is_kind["phone"] & ~touch & (cue == 2) & number, 1.0)
+    return label.when(~touch & (cue == 0), 0.0)
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    """label, fold, trained and features of the examples of texts (text, h, trained)."""
+    text = F.col("text")
+    whole = F.array(F.struct(text.alias("text"), F.lit(-1).alias("start"), F.lit(-1).alias("end")))
+    views = rows.withColumn("base", base_spans(text)).select("h", "trained", "base", F.explode(F.concat(whole, _disguised(text, F.col("base")))).alias("v"))
+    v = F.col("v")
+    # In a rewritten text, only what reaches over the rewritten e-mail is an example.
+    over = lambda c: (c["kind"] == KINDS.index("email")) & (c["start"] <= v["start"]) & (c["end"] >= v["end"])
+    exact = lambda c: (c["start"] == v["start"]) & (c["end"] == v["end"])
+    remade = lambda c: F.when(over(c), exact(c).cast("double"))
+    made = F.transform(
+        candidates(v["text"]),
+        lambda c: F.struct(
+            F.when(v["start"] < 0, _label(v["text"], F.col("base"), c)).otherwise(remade(c)).alias("label"),
+            F.pmod(F.xxhash64("h", c["start"], v["start"]), F.lit(10)).alias("fold"),
+            features(v["text"], c).alias("f"),
+        ),
+    )
+    found = views.select("trained", F.explode(F.filter(made, lambda x: x["label"].isNotNull())).alias("x"))
+    return found.select("x.label", "x.fold", "trained", "x.f.*")
+
+
+def _texts(docs: DataFrame, train_docs: int) -> DataFrame:
+    """text, h and whether a text is one of those that training reads."""
+    share = max(1, -(-docs.count() // train_docs))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike(ANY_SIGN)).withColumn("h", F.xxhash64("text"))
+    return rows.withColumn("trained", F.pmod("h", F.lit(share)) == 0)
+
+
 def examples(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """label, fold (2 of 10: calibration) and features of candidates of sampled texts."""
-    n = docs.count()
-    share = max(1, -(-n // train_docs))
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(share)) == 0)
-    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("c", F.explode(candidates(F.col("text"))))
-    same = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end")))
-    touch = F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))
-    label = F.when(same, 1.0).when(~touch, 0.0)
-    rows = rows.withColumn("label", label).where("label is not null")
-    return rows.select("label", F.pmod(F.xxhash64("h", "c.start"), F.lit(10)).alias("fold"), features(F.col("text"), F.col("c")).alias("f")).select("label", "fold", "f.*")
+    return _labelled(_texts(docs, train_docs).where("trained")).drop("trained")
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, precision: float = PRECISION) -> Detector:
     rows = materialize(examples(docs, train_docs), "pii-examples")
-    counts = {r.label: r.n for r in rows.where("fold >= 2").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
+    counts = {(r.kind, r.label): r.n for r in rows.where("fold >= 2").groupBy("kind", "label").agg(F.count("*").alias("n")).collect()}
+    if len({label for _, label in counts}) < 2:
         return Detector()
-    # Rare labels weigh as much as frequent ones.
+    # Rare kinds and labels weigh as much as frequent ones.
     total = sum(counts.values())
-    weight = F.when(F.col("label") == 1, total / (2.0 * counts[1.0])).otherwise(total / (2.0 * counts[0.0]))
+    weight = reduce(
+        lambda rest, x: F.when((F.col("kind") == x[0][0]) & (F.col("label") == x[0][1]), total / (len(counts) * x[1])).otherwise(rest), counts.items(), F.lit(0.0)
+    )
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.withColumn("weight", weight))
     gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, stepSize=0.3, weightCol="weight", cacheNodeIds=False, checkpointInterval=-1)
     model = gbt.fit(data.where("fold >= 2").select("features", "label", "weight"))
-    kept = rows.where("fold < 2").withColumn("p", F.floor(probability(margin(model, F.col)) * 50) / 50)
-    bins = kept.groupBy("kind", "p").agg(F.sum("label").alias("hit"), F.count("*").alias("n")).collect()
-    return Detector(model, calibrated([(KINDS[int(r.kind)], r.p, r.hit, r.n) for r in bins], precision))
+    every = _labelled(_texts(docs, train_docs)).withColumn("seen", F.col("trained") & (F.col("fold") >= 2))
+    every = every.withColumn("p", F.floor(probability(margin(model, F.col)) * 50) / 50)
+    bins = every.groupBy("kind", "p", "seen").agg(F.sum("label").alias("hit"), F.count("*").alias("n")).collect()
+    kept = {r.kind for r in bins if not r.seen and r.hit}
+    return Detector(model, calibrated(_merged([r for r in bins if not r.seen or r.kind not in kept]), precision))
+
+
+def _merged(bins: list) -> list[tuple[str, float, float, int]]:
+    """(kind, score, positives, examples) by kind and score."""
+    out: dict[tuple[str, float], tuple[float, int]] = {}
+    for r in bins:
+        key = KINDS[int(r.kind)], r.p
+        hit, n = out.get(key, (0.0, 0))
+        out[key] = hit + r.hit, n + r.n
+    return [(*key, *x) for key, x in out.items()]
 
 
 def calibrated(bins: list[tuple[str, float, float, int]], precision: float) -> dict[str, float]:
@@ -240,7 +366,7 @@ def find_pii(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     if detector.model is not None:
         chosen = detector.selected(text, candidates(text))
         chosen = F.filter(chosen, lambda c: ~F.exists("base", lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])))
-        rows = rows.withColumn("more", F.when(text.rlike("[0-9@]"), chosen).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")))
+        rows = rows.withColumn("more", F.when(text.rlike(ANY_SIGN), chosen).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")))
         rows = rows.withColumn("all", F.concat("base", "more"))
     else:
         rows = rows.withColumn("all", F.col("base"))

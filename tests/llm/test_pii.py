@@ -75,3 +75,42 @@ def test_calibration_and_empty_corpora(frame):
     assert P.calibrated(bins, 0.9) == {"ip": 0.9}
     assert P.find_pii(frame([(1, "a")]).limit(0)).count() == 0
     assert P.find_pii(frame([(1, "no data here"), (2, None)])).count() == 2
+
+
+def with_check_digits(country, rest):
+    digits = "".join(str(int(c, 36)) for c in f"{rest}{country}00")
+    return f"{country}{98 - int(digits) % 97:02d}{rest}"
+
+
+def test_accounts_ipv6_and_disguised_emails_are_selected(frame):
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        number = with_check_digits("DE", "".join(rng.choice("0123456789") for _ in range(18)))
+        number = " ".join(number[k : k + 4] for k in range(0, 22, 4)) if i % 2 else number
+        six = ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(8))
+        good = rng.choice([f"mail ann{i}.b@mail{i % 7}.example.com today", f"iban {number} please", f"from {six} came", "plain words"])
+        bad = rng.choice([f"at 12:30:45:{rng.randrange(10, 60)}:10 sharp", f"order 12-34-56-{i % 90 + 10}", f"id 4111 1111 1111 {1000 + i} y"])
+        rows.append((i, f"n{i} {good} . {bad}"))
+    detector = P.train(frame(rows))
+    account = "GB82 WEST 1234 5698 7654 32"
+    six = "2001:db8:85a3:8d3:1319:8a2e:370:7348"
+    texts = {
+        1: ("account", f"my iban {account} thanks", account),
+        2: ("email", "write to bob.c (at) mail.example (dot) com today", "bob.c (at) mail.example (dot) com"),
+        3: ("email", "write to bob.c[at]mail.example.com. Thanks", "bob.c[at]mail.example.com"),
+        4: ("ip", f"from {six} came", six),
+    }
+    out = {r.doc_id: r for r in P.find_pii(frame([(k, t) for k, (_, t, _) in texts.items()]), detector).collect()}
+    for k, (kind, text, value) in texts.items():
+        assert not [s for s in out[k].base if s.kind == kind]
+        assert (kind, value) in [(s.kind, text[s.start : s.end]) for s in out[k].spans], (k, detector.thresholds)
+
+
+def test_account_check_digits_and_ipv6_form(spark):
+    values = {"GB82 WEST 1234 5698 7654 32": True, "GB82WEST12345698765432": True, "GB82 WEST 1234 5698 7654 33": False, "NO9386011117947": True}
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", P.iban(F.col("v")).alias("ok")).collect()
+    assert {r.v: r.ok for r in got} == values
+    forms = {"2001:db8:85a3:8d3:1319:8a2e:370:7348": True, "fe80::1:2:3:4": True, "00:1a:2b:3c:4d:5e": False, "1::2::3:4:5": False, "00:11:22:33:44:55:66:77": None}
+    got = spark.createDataFrame([(v,) for v in forms], "v string").select("v", P.ipv6(F.col("v")).alias("ok")).collect()
+    assert {r.v: r.ok for r in got} == forms
