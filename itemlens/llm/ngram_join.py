@@ -130,6 +130,10 @@ def _too_sparse(size: int, zeros: int, ones: int, slack: int) -> float:
 def signatures(sets: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """For each scheme in use: (signature, set number, slack by set number, scheme).
 
+    The slack is what is left of it beside the segments that a set leaves out.  Sets that
+    leave out more than all of it get 0: a partner may leave out as many as the slack, so
+    that one weight more than nothing is all that is sure to be common.
+
     The low bit of a signature tells the weight (allowance + 1) of its segment, less one.
     """
     by_scheme: dict[int, list[int]] = {}
@@ -172,7 +176,7 @@ def signatures(sets: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarra
         nothing = _tagged(salt[sparse_segment] ^ seed, sparse_segment >= zeros)
         sig = np.concatenate([whole, deleted, nothing])
         who = np.concatenate([row_of, row_of[cell_no], sparse_row])
-        yield sig, np.array(members)[who], dict(zip(members, np.where(sparse, slack, slack - left_out).tolist(), strict=True)), j
+        yield sig, np.array(members)[who], dict(zip(members, np.where(sparse, 0, slack - left_out).tolist(), strict=True)), j
 
 
 def _tagged(x: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -220,7 +224,7 @@ def _signature_blobs(docs: DataFrame, width: int, percent: int, buckets: int) ->
                         rows["bucket"].append(int(bucket[a]))
                         rows["scheme"].append(j)
                         rows["nodes"].append(b"".join(keys[i] for i in some.tolist()))
-                        rows["slack"].append(np.array([slack[i] for i in some.tolist()], np.int16).tobytes())
+                        rows["slack"].append(np.array([slack[i] for i in some.tolist()], np.int32).tobytes())
                         rows["counts"].append(count.astype(np.int32).tobytes())
                         rows["sigs"].append(sig[a:b].tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -243,7 +247,7 @@ def _candidates(group: pa.Table) -> pa.Table:
         ids = np.array([code.setdefault(keys[i : i + 16], len(code)) for i in range(0, len(keys), 16)])
         sig.append(np.frombuffer(sigs, np.uint64))
         node.append(np.repeat(ids, n))
-        slack.append(np.repeat(np.frombuffer(left, np.int16), n))
+        slack.append(np.repeat(np.frombuffer(left, np.int32), n))
         kind.append(np.full(int(n.sum()), j, np.int32))
     sig, node, slack, kind = (np.concatenate(x) for x in (sig, node, slack, kind))
     order = np.lexsort((node, sig))

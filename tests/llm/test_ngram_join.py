@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from itemlens.llm import ngram_join as N
@@ -98,3 +100,34 @@ def test_schemes_add_up(percent):
             assert plan[0] + 2 * plan[1] - plan[2] == N.most_different(2 * high, percent) + 1
         low = N.band_start(j, percent)
         assert 100 * low // percent < N.band_start(j + 2, percent)
+
+
+def test_slack_of_a_very_large_set(monkeypatch):
+    tokens = np.unique(np.random.default_rng(3).integers(0, 2**64, 2_700_000, np.uint64))
+    monkeypatch.setattr(N, "sets_of", lambda column, width: [tokens] * len(column))
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run([pa.RecordBatch.from_arrays([pa.array(["one text"])], names=["text"])]))
+
+    batches = N._signature_blobs(Docs(), 5, 80, 1)
+    slack = {j: s for b in batches for j, s in zip(b.column("scheme").to_pylist(), (np.frombuffer(x, np.int32) for x in b.column("slack").to_pylist()), strict=True)}
+    exact = {j: s[0] for _, _, s, j in N.signatures([tokens], 80)}
+    assert {j: s.tolist() for j, s in slack.items()} == {j: [x] for j, x in exact.items()}
+    assert max(exact.values()) > 32_767
+
+
+def test_sparse_sets_have_no_slack(monkeypatch):
+    # The scheme leaves both sets hardly any filled segment beyond the slack.
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**64, 100, np.uint64)) for _ in range(20)]
+    monkeypatch.setattr(N, "scheme", lambda j, percent: (40, 0, 4))
+    low = [np.bincount((N.mix64(s ^ np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(32)).astype(np.int64) * 40 >> 32, minlength=40) for s in sets for j in [N.band_of(100, 80)]]
+    empty = [int((x == 0).sum()) for x in low]
+    assert min(empty) <= 4 < max(empty)
+    first = next(N.signatures(sets, 80))
+    assert first[3] == N.band_of(100, 80)
+    assert [first[2][i] for i in range(len(sets))] == [0 if e > 4 else 4 - e for e in empty]
