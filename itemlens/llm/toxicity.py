@@ -40,8 +40,9 @@ SELECTED = 4096
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 HELD_MODULUS, HELD_REMAINDER = 4, 2
-MAX_WORD = 32
 CACHE = 50_000
+#: Longer words are decoded anew each time.
+CACHED_WORD = 64
 
 #: Letters that a sign imitates.
 LEET = {
@@ -65,11 +66,13 @@ LEET = {
 }
 #: Log costs of the channel.
 AS_LETTER, DROPPED, KEPT_TWICE = -0.7, -9.0, -1.0
+#: At a word's end a sign may be a sign: punctuation at no cost, others seldom.
+PUNCTUATION, AS_SIGN = "!|+(*", -3.0
 
 _SIGNS = "".join(re.escape(c) for c in LEET)
 
 _TOKEN = re.compile(rf"[\w{_SIGNS}]+")
-_APART = re.compile(rf"(?<!\w)[^\W_](?:[ .\-_*](?:[^\W_]|[{_SIGNS}])){{3,}}(?!\w)")
+_APART = re.compile(rf"(?<![\w{_SIGNS}])(?:[^\W_]|[{_SIGNS}])(?:[\x20\t\n\r.\-_*]++(?:[^\W_]|[{_SIGNS}])(?![^\W_])){{2,}}(?!\w)")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -127,7 +130,7 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def _spots(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _spots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes at which a word looks disguised, and at which letters stand apart."""
     kind = _BYTE_KIND[data]
     letter, sign, blank = kind == 1, kind == 2, (kind == 3) | (data == 0x2A)
@@ -136,8 +139,17 @@ def _spots(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(data) > 2:
         odd[1:-1] = (sign[1:-1] & letter[:-2] & some[2:]) | (letter[1:-1] & (data[1:-1] == data[:-2]) & (data[1:-1] == data[2:]))
         odd[:-2] |= sign[:-2] & some[1:-1] & letter[2:]
-    if len(data) > 6:
-        apart[:-6] = some[:-6] & blank[1:-5] & some[2:-4] & blank[3:-3] & some[4:-2] & blank[5:-1] & some[6:]
+        odd[1:] |= (kind[1:] == 2) & letter[:-1] & ~_PUNCTUATION[data[1:]]
+        euro = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x82) & (data[2:] == 0xAC))
+        odd[euro] = True
+    # Single characters: at least three, with any run of separators between them.
+    edge = np.zeros(len(data) + 1, np.int64)
+    edge[offsets] = 1
+    at = np.flatnonzero(~blank & ((data & 0xC0) != 0x80))
+    if len(at) > 2:
+        far = np.diff(np.cumsum(blank + edge[:-1])[at], prepend=-1, append=np.iinfo(np.int64).max) > 0
+        lone = some[at] & far[:-1] & far[1:]
+        apart[at[1:-1][lone[:-2] & lone[1:-1] & lone[2:]]] = True
     return odd, apart
 
 
@@ -147,8 +159,9 @@ for _c in range(256):
         _BYTE_KIND[_c] = 1
     elif chr(_c) in LEET:
         _BYTE_KIND[_c] = 2
-    elif _c in b" .-_":
+    elif _c in b" \t\n\r.-_":
         _BYTE_KIND[_c] = 3
+_PUNCTUATION = np.array([chr(c) in PUNCTUATION for c in range(256)])
 
 
 class Restorer:
@@ -156,12 +169,12 @@ class Restorer:
 
     def __init__(self, model: CharModel):
         self.log = model.log
-        self.cache: dict[str, str] = {}
+        self.cache: dict[str, tuple[str, float]] = {}
         self.words: dict[str, str] = {}
 
     def lattice(self, word: str) -> list[list[tuple[str, float]]]:
         out: list[list[tuple[str, float]]] = []
-        i = 0
+        i, tail = 0, len(word.rstrip(_TAIL))
         while i < len(word):
             c, j = word[i], i
             while j < len(word) and word[j] == c:
@@ -169,54 +182,79 @@ class Restorer:
             if char_code(c):
                 options = [(word[i:j], 0.0)] if j - i < 3 else [(c, 0.0), (c + c, KEPT_TWICE)]
             else:
-                options = [(x, AS_LETTER) for x in LEET.get(c, "")]
-                options += [(x + x, AS_LETTER + KEPT_TWICE) for x in LEET.get(c, "")] if j - i > 1 else []
+                # Two signs rather stand for two letters, more for a stretched one.
+                one, two = (KEPT_TWICE, 0.0) if j - i == 2 else (0.0, KEPT_TWICE)
+                options = [(x, AS_LETTER + one) for x in LEET.get(c, "")]
+                options += [(x + x, AS_LETTER + two) for x in LEET.get(c, "")] if j - i > 1 else []
+                if i >= tail:
+                    options.append((word[i:j], 0.0 if c in PUNCTUATION else AS_SIGN))
                 options.append(("", DROPPED))
             out.append(options)
             i = j
         return out
 
     def decode(self, word: str) -> str:
+        return self.reading(word)[0]
+
+    def reading(self, word: str) -> tuple[str, float]:
         """Viterbi over the lattice; the state is the last two characters."""
         if (known := self.cache.get(word)) is not None:
             return known
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for options in [*self.lattice(word), [(" ", 0.0)]]:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in best.items():
                 for letters, cost in options:
                     s, x, y = score + cost, a, b
                     for c in letters:
                         k = char_code(c)
-                        s += self.log[x][y][k]
+                        if k or y:  # signs behind a word's end are free
+                            s += self.log[x][y][k]
                         x, y = y, k
                     if (x, y) not in after or s > after[x, y][0]:
-                        after[x, y] = s, text + letters
+                        after[x, y] = s, (path, letters)
             best = after
-        out = max(best.values())[1].strip() or word
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        self.cache[word] = out
+        score, path = max(best.values(), key=lambda v: v[0])
+        letters = []
+        while path is not None:
+            path, some = path
+            letters.append(some)
+        out = "".join(reversed(letters)).strip() or word, score
+        if len(word) <= CACHED_WORD:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            self.cache[word] = out
         return out
 
     def word(self, word: str) -> str:
         """A word without blanks, with its disguised parts restored."""
         if (known := self.words.get(word)) is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            known = self.words[word] = _TOKEN.sub(self._token, word.lower())
+            known = _TOKEN.sub(self._token, word.lower())
+            if len(word) <= CACHED_WORD:
+                if len(self.words) >= CACHE:
+                    self.words.clear()
+                self.words[word] = known
         return known
 
     def _apart(self, m: re.Match) -> str:
-        return self.decode(_BETWEEN.sub("", m[0]).lower())
+        """Letters set apart as one word, if that is likelier than single letters."""
+        joined = _BETWEEN.sub("", m[0]).lower()
+        codes = [k for k in map(char_code, joined) if k]
+        if not codes:
+            return m[0]
+        text, score = self.reading(joined)
+        single = sum(self.log[0][0][k] + self.log[0][k][0] for k in codes)
+        return text if score > single else m[0]
 
     def _token(self, m: re.Match) -> str:
-        word = m[0].rstrip(_TAIL)
-        if len(word) > MAX_WORD or not any(map(char_code, word)) or not all(char_code(c) or c in LEET for c in word):
-            return m[0]
+        word = m[0]
+        if not any(map(char_code, word)) or not all(char_code(c) or c in LEET for c in word):
+            return word
         if all(map(char_code, word)) and not _THRICE.search(word):
-            return m[0]
-        return self.decode(word) + m[0][len(word) :]
+            return word
+        if all(c in PUNCTUATION for c in word[len(word.rstrip(_TAIL)) :]) and all(map(char_code, word.rstrip(_TAIL))) and not _THRICE.search(word):
+            return word
+        return self.decode(word)
 
     def restore(self, text: str) -> str:
         return _BLANKS.sub(lambda m: self.word(m[0]), _APART.sub(self._apart, text))
@@ -224,13 +262,13 @@ class Restorer:
 
 _TAIL = "".join(LEET)
 _BLANKS = re.compile(r"[^\x20\x09-\x0D]+")
-_BETWEEN = re.compile(r"(?<=.)[ .\-_*](?=.)", re.DOTALL)
+_BETWEEN = re.compile(r"(?<=.)[\x20\t\n\r.\-_*]+(?=.)", re.DOTALL)
 
 
 def restored(column: pa.Array, restorer: Restorer) -> pa.Array:
     """The column with disguised words restored; other words stay as they are."""
     data, offsets = text_buffers(column)
-    odd, apart = _spots(data)
+    odd, apart = _spots(data, offsets)
     odd_at, apart_at = np.flatnonzero(odd), np.flatnonzero(apart)
     if not len(odd_at) and not len(apart_at):
         return column

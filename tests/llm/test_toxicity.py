@@ -77,3 +77,21 @@ def test_no_labels_and_no_rows(spark, frame):
     scores = {r.score for r in T.score_toxicity(frame([(1, "a"), (2, None)]), none).collect()}
     assert len(scores) == 1 and scores.pop() < T.THRESHOLD
     assert T.score_toxicity(frame([(1, "a")]).limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,plain",
+    [
+        ("you " + "i" * 20 + "d" + "i" * 9 + "o" * 30 + "t", "you idiot"),
+        ("you idi0tidi0tidi0tidi0tidi0tidi0tidi0t", "you idiotidiotidiotidiotidiotidiotidiot"),
+        ("worthle55 people", "worthless people"),
+        ("worthle$$ people", "worthless people"),
+        ("los€r", "loser"),
+        ("you i  d  i o\tt", "you idiot"),
+        ("t h e house", "the house"),
+        ("good people!! 1 2 3", "good people!! 1 2 3"),
+    ],
+)
+def test_disguises_behind_the_gates(restorer, text, plain):
+    assert T.restored(pa.array([text]), restorer).to_pylist() == [plain]
+    assert T.restored(pa.array(["x", text, None]), restorer).to_pylist() == ["x", plain, None]
