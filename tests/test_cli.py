@@ -4,7 +4,7 @@ import json
 
 from itemlens.cli import main
 
-from conftest import SF_SMALL
+from sample_data import SF_SMALL
 
 
 def lines(capsys):

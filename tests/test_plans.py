@@ -8,7 +8,7 @@ from itemlens.plans.catalog import prepare_catalog
 from itemlens.plans.trending import trending_categories
 from itemlens.sources import tables as TB
 
-from conftest import SF_SMALL
+from sample_data import SF_SMALL
 
 
 def plan(df):

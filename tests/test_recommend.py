@@ -9,7 +9,7 @@ from itemlens.plans.ratings import cap_per_user, interaction_ratings, split_labe
 from itemlens.plans.recommend import recommend
 from itemlens.sources import tables as TB
 
-from conftest import SF_SMALL
+from sample_data import SF_SMALL
 
 N = 5
 

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as E
 from itemlens.sources.tables import TABLES
 
-from conftest import SF_SMALL
+from sample_data import SF_SMALL
 
 SAMPLE = [
     "trending_categories",
