@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemlens.llm.bpe import roundtrip
+from itemlens.llm.collocations import collocations
 from itemlens.llm.common import documents, table
 from itemlens.llm.decontaminate import decontaminate, items_digest
 from itemlens.llm.katz import katz_scores
+from itemlens.llm.langid import identify, language_profiles
 from itemlens.llm.ngram_join import ngram_join
 from itemlens.llm.pii import BASE_KINDS as PII_KINDS
 from itemlens.llm.pii import find_pii
+from itemlens.llm.runs import edit_number, periodic_runs
 from itemlens.llm.secrets import BASE_KINDS, count_of, find_secrets, joined
 from itemlens.llm.sharding import shard
 from itemlens.llm.spotsigs import fingerprints
 from itemlens.llm.suffix_dedup import suffix_dedup
 from itemlens.llm.toxicity import THRESHOLD, held_out, score_toxicity
+from itemlens.session import materialize
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +85,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    return periodic_runs(documents(spark, sf_dir), edit=edit_number(), keep=columns)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = materialize(language_profiles(docs.where(~held_out())), "language-profiles")
+    found = identify(docs, profiles)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_katz_backoff": op2_katz_backoff,
@@ -92,4 +112,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
+    "op11_collocations": op11_collocations,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_language_id": op13_language_id,
 }
