@@ -223,7 +223,8 @@ class Profiles:
         found, head, many = np.unique(row, return_index=True, return_counts=True)
         name, at = np.unique(gram, return_inverse=True)
         places = self.table(name)
-        distance = np.stack([np.add.reduceat(np.abs(p[at] - rank), head) for p in places])
+        apart = (np.where(p[at] < self.size, np.abs(p[at] - rank), self.size) for p in places)
+        distance = np.stack([np.add.reduceat(a, head) for a in apart])
         best[found] = distance.argmin(axis=0)
         least = np.sort(distance, axis=0)
         near[found] = least[0]
