@@ -64,9 +64,16 @@ def _parts(text: str) -> Iterator[str]:
         at = to
 
 
-def _count(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, n-gram, count), ascending by the first two, of lowered texts."""
-    none = (np.zeros(0, np.int64),) * 3
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different values as they first come, number of each value among them)."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+
+
+def _count(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number of its n-gram, count), ascending by the first two, of lowered texts,
+    and the n-grams in the order of their numbers, which is ascending."""
+    none = (np.zeros(0, np.int64),) * 4
     c = np.frombuffer(" ".join(texts).encode("utf-32-le"), np.uint32)
     solid = _letters()[c]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8)))
@@ -79,7 +86,9 @@ def _count(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.cumsum(size) - size
     step = np.arange(int(size.sum())) - np.repeat(first, size)
     letters = mix64(c[np.repeat(start, size) + step].astype(np.uint64) * np.uint64(0x100000001B3) + step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, one, word = np.unique(np.add.reduceat(letters, first) + size.astype(np.uint64), return_index=True, return_inverse=True)
+    different, word = _numbered(np.add.reduceat(letters, first) + size.astype(np.uint64))
+    one = np.empty(len(different), np.int64)
+    one[word[::-1]] = np.arange(len(word))[::-1]
     padded = size[one] + 2
     head = np.cumsum(padded) - padded
     inner = np.arange(int(padded.sum())) - np.repeat(head, padded)
@@ -93,7 +102,11 @@ def _count(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pairs = owner[1:] == owner[:-1]
     grams = np.concatenate([x[inside], two[pairs], three[inside[1:-1]]])
     owner = np.concatenate([owner[inside], owner[:-1][pairs], owner[1:-1][inside[1:-1]]])
-    name, gram = np.unique(grams, return_inverse=True)
+    name, gram = _numbered(grams)
+    place = np.argsort(name)
+    name = name[place]
+    place[place.copy()] = np.arange(len(place))
+    gram = place[gram]
     order = np.argsort(owner, kind="stable")
     gram, many = gram[order], np.bincount(owner, minlength=len(one))
     begin = np.cumsum(many) - many
@@ -109,8 +122,8 @@ def _count(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cell = np.repeat(text[a:b] - lo, k) * len(name) + gram[place]
         total = np.bincount(cell, weights=np.repeat(n[a:b], k))
         full = np.flatnonzero(total)
-        out.append((full // len(name) + lo, name[full % len(name)], total[full].astype(np.int64)))
-    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+        out.append((full // len(name) + lo, full % len(name), total[full].astype(np.int64)))
+    return *(np.concatenate(v) for v in zip(*out, strict=True)), name
 
 
 def _summed(*keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -124,16 +137,16 @@ def _summed(*keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     return *(k[at] for k in keys), np.add.reduceat(n, at) if len(at) else n
 
 
-def count_grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, n-gram, count) of whole texts, ascending by text and n-gram."""
+def _counted(texts: Sequence[str | None]) -> tuple[np.ndarray, ...]:
+    """What ``_count`` gives, of whole texts."""
     rows, out = [], []
     held = 0
     pieces: list[str] = []
 
     def flush() -> None:
         if pieces:
-            row, gram, n = _count(pieces)
-            out.append((np.array(rows, np.int64)[row], gram, n))
+            row, gram, n, name = _count(pieces)
+            out.append((np.array(rows, np.int64)[row], gram, n, name))
             rows.clear()
             pieces.clear()
 
@@ -146,10 +159,18 @@ def count_grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np
             pieces.append(part)
             held += len(part)
     flush()
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    row, gram, n = (np.concatenate(v) for v in zip(*out, strict=True))
-    return _summed(row, gram, n=n) if len(out) > 1 else (row, gram, n)
+    if len(out) < 2:
+        return out[0] if out else (np.zeros(0, np.int64),) * 4
+    row, gram, n = (np.concatenate(v) for v in zip(*((row, name[gram], n) for row, gram, n, name in out), strict=True))
+    row, gram, n = _summed(row, gram, n=n)
+    name, gram = np.unique(gram, return_inverse=True)
+    return row, gram, n, name
+
+
+def count_grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, n-gram, count) of whole texts, ascending by text and n-gram."""
+    row, gram, n, name = _counted(texts)
+    return row, name[gram], n
 
 
 def language_profiles(docs: DataFrame, size: int = PROFILE, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -211,19 +232,26 @@ class Profiles:
         and the next one's (the largest that there is, if there is no next one)."""
         best = np.full(len(texts), -1, np.int64)
         near, far = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        row, gram, n = count_grams(texts)
+        row, gram, n, name = _counted(texts)
         if not len(row):
             return best, near, far
-        order = np.lexsort((gram, -n, row))
-        row, gram = row[order], gram[order]
-        found, head = np.unique(row, return_index=True)
-        rank = np.arange(len(row)) - np.repeat(head, np.diff(np.append(head, len(row))))
+        # By text, the most frequent first; ties by n-gram.
+        most, wide = int(n.max()) + 1, len(name)
+        if len(texts) * most * wide < 2**63:
+            row, rest = np.divmod(np.sort((row * most + most - 1 - n) * wide + gram), most * wide)
+            gram = rest % wide
+        else:
+            order = np.lexsort((gram, -n, row))
+            row, gram = row[order], gram[order]
+        head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        size = np.diff(np.append(head, len(row)))
+        rank = np.arange(len(row)) - np.repeat(head, size)
         use = rank < self.size
-        row, gram, rank = row[use], gram[use], rank[use]
-        found, head, many = np.unique(row, return_index=True, return_counts=True)
-        name, at = np.unique(gram, return_inverse=True)
+        gram, rank = gram[use], rank[use]
+        found, many = row[head], np.minimum(size, self.size)
+        head = np.cumsum(many) - many
         places = self.table(name)
-        apart = (np.where(p[at] < self.size, np.abs(p[at] - rank), self.size) for p in places)
+        apart = (np.where(p[gram] < self.size, np.abs(p[gram] - rank), self.size) for p in places)
         distance = np.stack([np.add.reduceat(a, head) for a in apart])
         best[found] = distance.argmin(axis=0)
         least = np.sort(distance, axis=0)
