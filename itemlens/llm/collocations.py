@@ -41,10 +41,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemlens.llm.arrays import slices, text_buffers
-from itemlens.llm.common import release
+from itemlens.llm.common import discard, release
 from itemlens.operators.dense_ids import assign_dense_ids
 from itemlens.operators.topk import topk_per_group
-from itemlens.session import materialize
+from itemlens.session import materialize, scratch_path
 
 LEAST = 30
 LONGEST = 4
@@ -289,13 +289,14 @@ def longer(index: Index, counts: np.ndarray, known: np.ndarray, depth: int = LON
 # Steps over all shards -----------------------------------------------------------
 
 
-def _frequent_words(shards: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def _frequent_words(shards: DataFrame, least: int, path: str) -> tuple[DataFrame, DataFrame]:
     """(word, lang, text, f) of frequent words, and (shard, place, word): where each is
-    among a shard's words."""
+    among a shard's words.  The second reads what is written to ``path``."""
     rows = shards.select("shard", "lang", "sign", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "of"))
     total = F.sum(F.col("of.counts") * F.col("sign")).over(Window.partitionBy("lang", "of.words"))
     rows = rows.select("shard", "lang", "place", F.col("of.words").alias("text"), total.alias("f")).where(F.col("f") >= least)
-    rows = materialize(rows, "colloc-words")
+    rows.write.parquet(path)
+    rows = shards.sparkSession.read.parquet(path)
     words = materialize(assign_dense_ids(rows.select("lang", "text", "f").distinct(), ["lang", "text"], "word"), "colloc-vocabulary")
     return words, rows.join(words.select("lang", "text", "word"), ["lang", "text"]).select("shard", "place", "word")
 
@@ -379,11 +380,14 @@ def frequent_phrases(
     occurrences in their language; (word, lang, text, f) of the words; (lang, n), all
     occurrences of words."""
     spark = docs.sparkSession
-    shards = materialize(_shards(docs, shard_words, text, lang), "colloc-shards")
+    cut, placed = scratch_path(spark, "colloc-shards"), scratch_path(spark, "colloc-words")
+    _shards(docs, shard_words, text, lang).write.parquet(cut)
+    shards = spark.read.parquet(cut)
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x) * F.col("sign")
     sizes = materialize(shards.groupBy("lang").agg(F.sum(total).alias("n")), "colloc-sizes")
-    vocabulary, places = _frequent_words(shards, least)
+    vocabulary, places = _frequent_words(shards, least, placed)
     indexes = materialize(_build(shards, places), "colloc-index")
+    discard(spark, cut, placed)
     release(spark)
     two = materialize(_frequent_pairs(indexes, least), "colloc-pairs")
     release(spark)

@@ -38,6 +38,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that no later step reads."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[pa.Array], Sequence[pa.Array]]],
