@@ -152,10 +152,13 @@ def test_block_scorer_ships_without_this_package(tmp_path):
         "import pickle, sys, pyarrow as pa\n"
         "assert not any('repo' in p for p in sys.path if p)\n"
         "f = pickle.load(open(sys.argv[1], 'rb'))\n"
-        "t = pa.table({'id': [1, 2, 3, 1, 2, 3], 'side': [0, 0, 0, 1, 1, 1],\n"
-        "              'without': pa.array([None] * 6, pa.list_(pa.int64())),\n"
-        "              'vec': [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]] * 2})\n"
-        "out = f(t)\n"
+        "import numpy as np\n"
+        "v = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]])\n"
+        "row = {'n': 3, 'norm': 2 ** 0.5, 'ids': np.array([1, 2, 3]).tobytes(), 'vecs': v.tobytes(), 'without': None}\n"
+        "rows = [row | {'side': 0}, row | {'side': 1}]\n"
+        "kinds = pa.schema([('n', pa.int32()), ('norm', pa.float64()), ('ids', pa.binary()), ('vecs', pa.binary()),\n"
+        "                   ('without', pa.list_(pa.list_(pa.int64()))), ('side', pa.int32())])\n"
+        "out = pa.Table.from_batches(f(pa.RecordBatch.from_pylist([r], kinds) for r in rows))\n"
         "assert out.num_rows == 6, out\n"
         "assert 'itemlens' not in sys.modules\n"
         "print('ok')\n"
@@ -230,6 +233,57 @@ def test_factor_topk_rejects_ragged_vectors(spark):
         topk_dot_product(df, df, 1, "id", "v", "id", "v").collect()
 
 
+def test_factor_topk_skips_blocks_by_norm(spark):
+    """Blocks whose bound no query reaches are neither unpacked nor multiplied."""
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(600, 4)) * (0.97 ** np.arange(600))[:, None]
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, v array<double>").repartition(5)
+    asked = rng.normal(size=(90, 4))
+    users = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "id long, v array<double>").repartition(3)
+    scored, skipped = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    got = topk_dot_product(users, items, 4, "id", "v", "id", "v", block_size=20, scored=scored, skipped=skipped).collect()
+    want = {(q, r + 1): int(i) for q in range(90) for r, i in enumerate(np.argsort(-(vecs @ asked[q]), kind="stable")[:4])}
+    assert {(r.query_id, r["rank"]): r.item_id for r in got} == want
+    assert skipped.value > scored.value > 0
+
+
+def test_factor_topk_equal_norms_and_ties_skip_nothing_that_counts(spark):
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    got = topk_dot_product(df, df, 3, "id", "v", "id", "v", block_size=16).collect()
+    top = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        top.setdefault(r.query_id, []).append(r.item_id)
+    assert top == {i: [1, 3, 5] if i % 2 else [0, 2, 4] for i in range(300)}
+
+
+def test_factor_topk_empty_sides(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0])], "id long, v array<double>")
+    none = df.limit(0)
+    for q, c in ((df, none), (none, df), (none, none)):
+        assert topk_dot_product(q, c, 2, "id", "v", "id", "v").collect() == []
+
+
+def test_factor_grid_follows_bytes_not_rows():
+    from itemlens.operators.factors import grid
+
+    mb = 1 << 20
+    # 100 M users against 10 M items at rank 10: neither blocks squared nor one task.
+    parts, lanes = grid(48_829, 7630 * mb, 4_883, 763 * mb, 1000)
+    assert 1000 <= parts * lanes <= 2000 and parts > lanes
+    # Three users against all items: the items' blocks are dealt, the users copied.
+    assert grid(1, 240, 4_883, 763 * mb, 64) == (1, 64)
+    assert grid(8, mb, 3, mb, 8) == (8, 1)
+    assert grid(0, 0, 0, 0, 8) == (1, 1)
+
+
+def test_factor_topk_plan_copies_blocks_only(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(100)], "id long, v array<double>")
+    plan = topk_dot_product(df, df, 3, "id", "v", "id", "v", block_size=10)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "FlatMapGroups" not in plan and "WindowGroupLimit" in plan
+
+
 def test_factor_topk_excludes_per_query(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, v array<double>")
     heavy = spark.createDataFrame([(1, i) for i in range(2, 40)] + [(2, 39)], "query_id long, item_id long")
