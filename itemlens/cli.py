@@ -7,9 +7,11 @@
     python -m itemlens top --out DIR [--limit N]
     python -m itemlens recommend --out DIR --users 1,2,3 [--top-n N]
 
-``train`` writes the prepared catalogue, the ALS model, the ranked top list,
+``train`` writes the prepared catalogue, the ratings, the ALS model, the ranked top list,
 the user key map (with 64-bit keys) and a metrics file as one version under
-``--out`` (use a shared folder on a cluster); ids of the version before stay.
+``--out`` (use a shared folder on a cluster).  Ids come from registries beside the
+versions: every key keeps its id, also one that left and returns.  A run that was ended
+goes on, with the same arguments, after its last finished stage.
 The other commands read the last finished version and print JSON lines; every
 result they print is bounded by its validated limit.
 """
@@ -25,17 +27,13 @@ from itemlens.functions import rules as R
 
 def _paths(base: str) -> dict[str, str]:
     base = base.rstrip("/")
-    return {name: f"{base}/{name}" for name in ("catalog", "model", "top_list", "metrics", "user_map")}
-
-
-def _hadoop(spark, path: str):
-    """(path object, its file system): the driver's view of the shared folder."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {name: f"{base}/{name}" for name in ("catalog", "ratings", "model", "top_list", "metrics", "user_map")}
 
 
 def _exists(spark, path: str) -> bool:
-    p, fs = _hadoop(spark, path)
+    from itemlens.session import hadoop_path
+
+    p, fs = hadoop_path(spark, path)
     return fs.exists(p)
 
 
@@ -45,7 +43,9 @@ def _versions(spark, out: str) -> list[str]:
     A version is a folder that ``train`` fills and then marks as finished by an
     empty file, so a reader never sees artefacts of two runs together.
     """
-    p, fs = _hadoop(spark, out)
+    from itemlens.session import hadoop_path
+
+    p, fs = hadoop_path(spark, out)
     if not fs.exists(p):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(p)]
@@ -74,16 +74,16 @@ def _rules(args):
 
 
 def cmd_train(spark, args) -> None:
-    from itemlens.plans.catalog import id_map, write_catalog_table
+    from itemlens.operators.id_registry import IdRegistry
+    from itemlens.plans.catalog import id_map
+    from itemlens.plans.stages import StageLog, fingerprint
     from itemlens.plans.train import TrainConfig, train
+    from itemlens.session import hadoop_path
     from itemlens.sources import io as IO
     from itemlens.sources import tables as TB
 
     out = args.out.rstrip("/")
     earlier = _versions(spark, out)
-    old = _paths(earlier[-1]) if earlier else None
-    version = f"{out}/version-{int(earlier[-1].rsplit('-', 1)[1]) + 1 if earlier else 1:08d}"
-    p = _paths(version)
     if args.sf_dir:
         raw = TB.load_catalog(spark, args.sf_dir)
         interactions = TB.load_interactions(spark, args.sf_dir, wide_user_keys=args.wide_user_keys)
@@ -101,28 +101,38 @@ def cmd_train(spark, args) -> None:
         holdout_user_fraction=args.holdout_users,
         ratings_per_user=tuple(args.ratings_per_user) if args.ratings_per_user else None,
     )
+    last = int(earlier[-1].rsplit("-", 1)[1]) if earlier else 0
+    version = f"{out}/version-{last + 1:08d}"
+    p = _paths(version)
+    log = StageLog(spark, version, fingerprint(config, rules, args.sf_dir, args.catalog_csv, args.interactions, args.wide_user_keys))
+
+    # Ids come from registries that keep the keys of all versions, also of those that left.
+    old = _paths(earlier[-1]) if earlier else None
+    items = IdRegistry(spark, f"{out}/registry/items", "item_key", "item_id")
+    if old is not None and not items.versions():
+        items.seed(id_map(spark.read.parquet(old["catalog"])))
     ids = users = None
-    if old is not None:
-        ids = id_map(spark.read.parquet(old["catalog"]))
-        users = spark.read.parquet(old["user_map"]) if _exists(spark, old["user_map"]) else None
+    if log.facts("catalog") is None:
+        ids = items.register(raw.select("item_key"))
+    if "user_key" in interactions.columns and log.facts("user_map") is None:
+        keys = IdRegistry(spark, f"{out}/registry/users", "user_key", "user_id", interactions.schema["user_key"].dataType)
+        if old is not None and not keys.versions() and _exists(spark, old["user_map"]):
+            keys.seed(spark.read.parquet(old["user_map"]))
+        users = keys.register(interactions.select("user_key").where("user_key is not null")).drop("since")
     result = train(
         spark,
         raw,
         interactions,
         rules,
         config,
-        model_path=p["model"],
-        top_list_path=p["top_list"],
         existing_ids=ids,
         existing_users=users,
+        log=log,
+        **{f"{name}_path": path for name, path in p.items()},
     )
-    write_catalog_table(result.catalog, p["catalog"])
-    result.metrics.coalesce(1).write.mode("overwrite").json(p["metrics"])
-    if result.user_map is not None:
-        result.user_map.write.mode("overwrite").parquet(p["user_map"])
-    mark, fs = _hadoop(spark, f"{version}/FINISHED")
+    mark, fs = hadoop_path(spark, f"{version}/FINISHED")
     fs.create(mark, True).close()
-    _print_rows(spark.read.json(p["metrics"]))
+    _print_rows(result.metrics)
 
 
 def _catalog(spark, args):

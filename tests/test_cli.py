@@ -105,3 +105,45 @@ def test_users_are_served_by_the_keys_they_were_trained_from(spark, tmp_path, ca
 def test_an_unfinished_version_is_not_served(spark, tmp_path, capsys):
     (tmp_path / "art" / "version-00000001" / "catalog").mkdir(parents=True)
     assert main(["trending", "--out", str(tmp_path / "art")]) == 2
+
+
+def test_a_run_that_was_ended_goes_on_without_a_second_fit(spark, tmp_path, capsys, monkeypatch):
+    from itemlens.plans import train as T
+
+    out = str(tmp_path / "art")
+    args = ["train", "--out", out, "--sf-dir", SF_SMALL, "--rank", "2", "--max-iter", "2"]
+    fits = []
+    fit = T.fit_als
+    monkeypatch.setattr(T, "fit_als", lambda *a, **k: fits.append(1) or fit(*a, **k))
+
+    def ended(*_, **__):
+        raise ValueError("ended")
+
+    write = T.write_top_list
+    monkeypatch.setattr(T, "write_top_list", ended)
+    assert main(args) == 2 and len(fits) == 1
+    assert main(["trending", "--out", out]) == 2  # nothing to serve yet
+    monkeypatch.setattr(T, "write_top_list", write)
+    capsys.readouterr()
+    assert main(args) == 0 and len(fits) == 1
+    metrics = lines(capsys)[0]
+    assert metrics["n_catalog"] == spark.read.parquet(f"{out}/version-00000001/catalog").count()
+    assert metrics["n_ratings"] == spark.read.parquet(f"{out}/version-00000001/ratings").count()
+
+    # Other parameters are another run: nothing unfinished of this one is taken.
+    monkeypatch.setattr(T, "write_top_list", ended)
+    assert main([*args[:-1], "3"]) == 2 and len(fits) == 2
+    monkeypatch.setattr(T, "write_top_list", write)
+    assert main([*args[:-1], "4"]) == 0 and len(fits) == 3
+
+
+def test_an_item_that_left_returns_with_its_id(spark, tmp_path, capsys):
+    csv, inter, out = tmp_path / "listings.csv", str(tmp_path / "inter"), str(tmp_path / "art")
+    head = "item_key,name,address,rating,total_ratings,price_level,types,activity_score\n"
+    pairs = [(u, k, float(u % 5 + 1)) for u in range(1, 9) for k in "abc"]
+    spark.createDataFrame(pairs, "user_id int, item_key string, value double").write.parquet(inter)
+    for version, ks in enumerate(["abc", "abd", "abcd"], start=1):
+        csv.write_text(head + "".join(f"{k},n{k},x,4.0,50,1,cafe,1.0\n" for k in ks))
+        assert main(["train", "--out", out, "--catalog-csv", str(csv), "--interactions", inter, "--rank", "2", "--max-iter", "2"]) == 0
+        got = {r.item_key: r.item_id for r in spark.read.parquet(f"{out}/version-{version:08d}/catalog").collect()}
+        assert got == {k: {"a": 1, "b": 2, "c": 3, "d": 4}[k] for k in ks}
