@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from itemlens.functions import rules as R
 from itemlens.functions.values import number_or, text_or
+from itemlens.operators.hot_join import join_heavy
 
 
 def enrich_with_catalog(
@@ -15,12 +16,15 @@ def enrich_with_catalog(
     item_col: str = "item_id",
     default_category: str = R.DEFAULT_CATEGORY,
     default_area: str = R.DEFAULT_AREA,
+    spread_heavy: bool = False,
 ) -> DataFrame:
     """Left-join item metadata onto scored rows; unknown items get defaults.
 
     Only the metadata columns are read from the catalogue.  No broadcast is
     forced: AQE turns this into a broadcast join when the catalogue side is
-    measured small at run time and keeps a shuffled join otherwise.
+    measured small at run time and keeps a shuffled join otherwise.  With
+    ``spread_heavy``, items with a large share of the rows are found by a sketch
+    (one more pass) and their rows spread (``operators.hot_join``).
     """
     meta = catalog.select(
         F.col("item_id").alias("_mid"),
@@ -30,7 +34,10 @@ def enrich_with_catalog(
         F.col("level").alias("_level"),
         F.col("activity_score").alias("_activity"),
     )
-    joined = scored.join(meta, scored[item_col] == meta["_mid"], "left")
+    if spread_heavy:
+        joined = join_heavy(scored, meta, item_col, "_mid", "left")
+    else:
+        joined = scored.join(meta, scored[item_col] == meta["_mid"], "left")
     return joined.select(
         *[F.col(c) for c in scored.columns],
         text_or("_name", R.DEFAULT_NAME).alias("name"),

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 
 def _cols(cs: Sequence[Column | str]) -> list[Column]:
@@ -37,6 +38,19 @@ def topk_per_group(
     return ranked
 
 
+def first_and_count(df: DataFrame, order: Sequence[Column], fields: Sequence[str], k: int, list_col: str, count_col: str) -> DataFrame:
+    """One row: the number of rows, and the first ``k`` of them by ``order`` as an array
+    of ``fields`` (all ascending; ``fields`` end the order).
+
+    A bounded queue per task and a merge of the queues: one scan gives both, and a
+    task passes on at most ``k`` rows.
+    """
+    keys = [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    row = F.struct(*keys, F.struct(*fields).alias("_row"))
+    top = InternalFunction.collect_top_k(row, int(k), True)
+    return df.agg(F.count(F.lit(1)).alias(count_col), F.transform(top, lambda x: x["_row"]).alias(list_col))
+
+
 def global_topk(
     df: DataFrame,
     order: Sequence[Column | str],

@@ -9,7 +9,7 @@ from itemlens.functions import rules as R
 from itemlens.functions.labels import level_rank
 from itemlens.functions.values import number_or, round_half_up, text_or
 from itemlens.operators.predicates import catalog_filter, check_choice, check_int_range
-from itemlens.operators.topk import global_topk
+from itemlens.operators.topk import first_and_count, global_topk
 
 
 def _projected(df: DataFrame, default_category: str, default_area: str) -> DataFrame:
@@ -64,6 +64,35 @@ def browse(
     )
 
 
+def browse_page(
+    catalog: DataFrame,
+    category: str | None = None,
+    area: str | None = None,
+    level: str | None = None,
+    min_rating: float | None = None,
+    sort_by: str = "rating",
+    limit: int = R.BROWSE_DEFAULT_LIMIT,
+    level_labels=R.LEVEL_LABELS_ARTEFACT,
+    default_category: str = R.DEFAULT_CATEGORY,
+    default_area: str = R.DEFAULT_AREA,
+) -> DataFrame:
+    """One row, from one scan: ``total``, the number of rows that match, and ``page``, an
+    array of what ``browse`` returns as rows (empty if nothing matches)."""
+    check_int_range("limit", limit, 1, R.BROWSE_MAX_LIMIT)
+    check_choice("sort_by", sort_by, R.SORT_KEYS)
+    rows = _projected(catalog.filter(catalog_filter(category, area, level, min_rating)), default_category, default_area)
+    falling = {"rating": "rating", "popularity": "activity_score", "reviews": "total_ratings"}
+    if sort_by == "price":
+        head = [level_rank("level", level_labels)]
+    else:
+        column = F.col(falling[sort_by])
+        # Falling order by a rising key: NULL last, NaN first.
+        head = [column.isNull(), ~F.isnan(column.cast("double")), -column]
+    found = first_and_count(rows, [*head, F.col("item_key")], rows.columns, limit, "page", "total")
+    numbered = F.transform("page", lambda x, i: F.struct((i + 1).cast("int").alias("rank"), *[x[c].alias(c) for c in rows.columns]))
+    return found.select("total", numbered.alias("page"))
+
+
 def browse_total(
     catalog: DataFrame,
     category: str | None = None,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from itemlens.functions import rules as R
 from itemlens.functions.values import base_rating, clamp, hash_fraction_bucket, round_half_up
+from itemlens.operators.hot_join import join_heavy
 from itemlens.operators.predicates import check_int_range
 from itemlens.operators.topk import topk_per_group
 from itemlens.session import materialize
@@ -20,15 +21,22 @@ def interaction_ratings(
     id_map: DataFrame,
     lo: float = R.RATING_MIN,
     hi: float = R.RATING_MAX,
+    spread_heavy: bool = False,
 ) -> DataFrame:
     """One rating per (user, item): mean interaction value, clamped, 1 dp.
 
     ``interactions`` has ``user_id, item_key, value``; ``id_map`` maps
     ``item_key`` to the catalogue's ``item_id``.  Aggregating first (with
-    map-side partial aggregation) shrinks the data before the id join.
+    map-side partial aggregation) shrinks the data before the id join.  With
+    ``spread_heavy``, the pairs are written once and those of items that a large
+    share of all users rated are spread over the join's tasks.
     """
     pairs = interactions.groupBy("user_id", "item_key").agg(F.avg("value").alias("_v"))
-    joined = pairs.join(id_map.select("item_key", "item_id"), "item_key", "inner")
+    if spread_heavy:
+        ids = id_map.select(F.col("item_key").alias("_key"), "item_id")
+        joined = join_heavy(materialize(pairs, "rating-pairs"), ids, "item_key", "_key")
+    else:
+        joined = pairs.join(id_map.select("item_key", "item_id"), "item_key", "inner")
     return joined.select(
         F.col("user_id").cast("int").alias("user_id"),
         F.col("item_id").cast("int").alias("item_id"),
@@ -75,10 +83,14 @@ def item_base(catalog: DataFrame) -> DataFrame:
     return catalog.select("item_id", base_rating("rating").alias("base_rating"))
 
 
-def join_base_rating(ratings: DataFrame, catalog: DataFrame) -> DataFrame:
-    return ratings.join(item_base(catalog), "item_id", "inner").select(
-        "user_id", "item_id", "rating", "base_rating"
-    )
+def join_base_rating(ratings: DataFrame, catalog: DataFrame, spread_heavy: bool = False) -> DataFrame:
+    """Ratings with their item's base rating; ``spread_heavy`` as in ``interaction_ratings``."""
+    base = item_base(catalog)
+    if spread_heavy:
+        joined = join_heavy(ratings, base.withColumnRenamed("item_id", "_item"), "item_id", "_item")
+    else:
+        joined = ratings.join(base, "item_id", "inner")
+    return joined.select("user_id", "item_id", "rating", "base_rating")
 
 
 def user_offset(ratings: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ turn a missing path into ``FileNotFoundError`` with a clear message.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql import types as T
 
 from itemlens import schemas as S
 from itemlens.functions.values import to_double, to_int
+from itemlens.session import materialize
 
 
 def _missing_path(exc: AnalysisException) -> bool:
@@ -82,6 +83,11 @@ def read_catalog_csv(spark: SparkSession, path: str, null_value: str = "") -> Da
         path,
         "catalogue CSV",
     )
+    return _typed_catalog(raw)
+
+
+def _typed_catalog(raw: DataFrame) -> DataFrame:
+    """Text columns under either set of names -> typed catalogue; absent ones are NULL."""
     present = {c: c for c in raw.columns}
     for old, new in S.LEGACY_CATALOG_FIELDS.items():
         if old in present and new not in present:
@@ -95,6 +101,50 @@ def read_catalog_csv(spark: SparkSession, path: str, null_value: str = "") -> Da
     return type_catalog(text)
 
 
+def split_catalog_csv(
+    spark: SparkSession, path: str, rejects_path: str, null_value: str = "", header: bool = True
+) -> tuple[DataFrame, int]:
+    """(typed catalogue of the well-formed records, number of the others).
+
+    A record with more or fewer fields than the header is put, as it stands, into the
+    table at ``rejects_path`` (``file, record``) instead of being filled up or cut.  The
+    files are parsed once, into a scratch table that both sides are read from; bad
+    numbers in well-formed records stay tolerant, as in ``read_catalog_csv``.  Without a
+    header the fields are those of ``schemas.CATALOG_TEXT_FIELDS`` in their order.
+    """
+    bad = "_record"
+    options = {**_CSV, "header": str(header).lower()}
+    if header:
+        first = guarded_read(lambda p: spark.read.options(**options).csv(p), path, "catalogue CSV")
+        names = first.columns
+    else:
+        names = list(S.CATALOG_TEXT_FIELDS)
+    if bad in names:
+        raise ValueError(f"a field is called {bad}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, bad]])
+    # Only whole records show whether they are well-formed, so no column is pruned.
+    parsed = guarded_read(
+        lambda p: spark.read.options(
+            **options, mode="PERMISSIVE", enforceSchema="true", nullValue=null_value, columnNameOfCorruptRecord=bad, columnPruning="false"
+        )
+        .schema(schema)
+        .csv(p),
+        path,
+        "catalogue CSV",
+    )
+    rows = materialize(parsed.withColumn("_file", F.input_file_name()), "catalog-parsed")
+    rejects = rows.where(F.col(bad).isNotNull()).select(F.col("_file").alias("file"), F.col(bad).alias("record"))
+    seen = Observation()
+    rejects.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(rejects_path)
+    good = rows.where(F.col(bad).isNull()).drop(bad, "_file")
+    return _typed_catalog(good), seen.get["rows"]
+
+
+def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """What ``split_catalog_csv`` put aside: ``file, record``."""
+    return guarded_read(spark.read.parquet, path, "rejected records")
+
+
 def catalog_as_text(df: DataFrame) -> DataFrame:
     """Typed catalogue -> all-text columns (what a CSV export holds)."""
     return df.select(*[F.col(c).cast("string").alias(c) for c in S.CATALOG_TEXT_FIELDS])
@@ -131,6 +181,22 @@ def write_top_list(df: DataFrame, path: str) -> None:
     S.conform(df, S.TOP_LIST_SCHEMA).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_top_list_array(df: DataFrame, path: str, legacy: bool = False) -> None:
+    """Write the ranked list as one JSON array in rank order, without ``rank`` fields.
+
+    The layout that the original service writes and serves, with its field names if
+    ``legacy``.  NULL fields are written; an empty list is ``[]``.  The list is bounded
+    by its builder's limit, so it is put together in one row and one file.
+    """
+    new = [f.name for f in S.TOP_LIST_SCHEMA.fields if f.name != "rank"]
+    names = {v: k for k, v in S.LEGACY_TOP_LIST_FIELDS.items()} if legacy else {c: c for c in new}
+    rows = S.conform(df, S.TOP_LIST_SCHEMA)
+    ordered = F.sort_array(F.collect_list(F.struct("rank", F.struct(*new).alias("entry"))))
+    entries = F.transform(ordered, lambda x: F.struct(*[x["entry"][c].alias(names[c]) for c in new if c in names]))
+    text = rows.agg(F.to_json(entries, {"ignoreNullFields": "false"}).alias("value"))
+    text.coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_top_list(
     spark: SparkSession,
     path: str,
@@ -146,8 +212,6 @@ def read_top_list(
     (``schemas.LEGACY_TOP_LIST_FIELDS``).
     """
     if array_file or legacy:
-        from pyspark.sql import types as T
-
         by_name = {f.name: f for f in S.TOP_LIST_SCHEMA.fields}
         if legacy:
             fields = [T.StructField(old, by_name[new].dataType, True) for old, new in S.LEGACY_TOP_LIST_FIELDS.items()]

@@ -75,3 +75,59 @@ def test_enrich_hot_item_keeps_every_row(spark):
     out = enrich_with_catalog(scored, cat)
     assert out.count() == N
     assert out.filter("item_id = 0 AND name = 'n0'").count() == N // 3
+
+
+def test_heavy_keys_by_sketch(spark):
+    from itemlens.operators.hot_join import heavy_keys
+
+    df = spark.range(N).select(hot(F.col("id")).alias("k"))
+    found = heavy_keys(df.withColumn("k", F.when(F.col("k") != 7, F.col("k"))), "k", share=0.05, partitions=40)
+    assert found == {0: 54}  # four for each of a third of 40 partitions
+    assert heavy_keys(spark.range(N).select((F.col("id") % 999).alias("k")), "k") == {}
+    assert heavy_keys(spark.range(0).select("id"), "id") == {}
+
+
+def _spread(df, key):
+    """Rows of each task of a join that isn't turned into a broadcast or merged."""
+    return [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+
+
+def test_join_of_a_hot_item_is_whole_and_even(spark):
+    from itemlens.operators.hot_join import join_heavy
+
+    rows = spark.range(N).select(F.col("id").alias("row"), hot(F.col("id")).alias("k")).withColumn("k", F.when(F.col("row") % 50 != 1, F.col("k")))
+    items = spark.range(0, 900).select(F.col("id").alias("item"), (F.col("id") * 2).alias("value"))
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        for how in ("inner", "left"):
+            got = join_heavy(rows, items, "k", "item", how)
+            want = rows.join(items, F.col("k") == F.col("item"), how)
+            assert got.columns == want.columns
+            assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+        plain = sorted(_spread(rows.join(items, F.col("k") == F.col("item")), "k"))
+        even = sorted(_spread(join_heavy(rows, items, "k", "item"), "k"))
+        assert plain[-1] > 8 * plain[len(plain) // 2]
+        assert even[-1] < 3 * even[len(even) // 2]
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
+
+
+def test_enrich_ratings_and_base_with_a_hot_item(spark):
+    from itemlens.plans.ratings import join_base_rating
+
+    cat = spark.range(1000).select(
+        F.col("id").cast("int").alias("item_id"),
+        F.concat(F.lit("P-"), F.col("id").cast("string")).alias("item_key"),
+        F.lit("n").alias("name"), F.lit("c").alias("category"), F.lit("a").alias("area"), F.lit("l").alias("level"),
+        F.lit(1.0).alias("activity_score"), F.when(F.col("id") % 2 == 0, 4.0).alias("rating"),
+    )
+    rows = spark.range(N).select(F.col("id").cast("int").alias("user_id"), hot(F.col("id")).cast("int").alias("item_id"), F.lit(3.0).alias("rating"))
+    same = lambda a, b: sorted(a.collect()) == sorted(b.collect())
+    assert same(enrich_with_catalog(rows, cat, spread_heavy=True), enrich_with_catalog(rows, cat))
+    assert same(join_base_rating(rows, cat, spread_heavy=True), join_base_rating(rows, cat))
+    inter = rows.select("user_id", F.concat(F.lit("P-"), F.col("item_id").cast("string")).alias("item_key"), F.col("rating").alias("value"))
+    assert same(interaction_ratings(inter, cat, spread_heavy=True), interaction_ratings(inter, cat))
