@@ -223,6 +223,10 @@ def oracle_sql() -> dict[str, str]:
     q["users_relation"] = "SELECT DISTINCT CAST(c_custkey AS INTEGER) AS user_id FROM customer"
     q["temp_view_scan"] = with_(CAT, "SELECT item_id, item_key, category, area, level FROM cat")
     q["json_artefact_roundtrip"] = _top_list(R.TOP_LIST_SIZE)
+    q["top_list_array"] = _top_list(R.TOP_LIST_SIZE)
+    q["csv_rejects"] = """WITH k AS (SELECT p_partkey, p_partkey % 7 = 0 OR p_partkey % 11 = 0 AS bad FROM part)
+SELECT 'P-' || CAST(p_partkey AS VARCHAR) AS item_key, (SELECT COUNT(*) FROM k WHERE bad) AS n_rejects,
+  (SELECT COUNT(*) FROM k WHERE NOT bad) AS n_kept FROM k WHERE bad"""
     q["top_list_prefix"] = _top_list(R.TOP_LIST_READ_DEFAULT)
     # projections
     q["cast_tolerant"] = r"""SELECT event_id,
@@ -276,6 +280,7 @@ FROM cat""",
         f"""SELECT item_id, category, level, rating FROM cat
 WHERE category = {lit(CONJ_CATEGORY)} AND level = {lit(CONJ_LEVEL)} AND rating >= {CONJ_MIN_RATING}""",
     )
+    q["filter_clustered"] = q["filter_conjunction"]
     q["filter_min_reviews"] = with_(
         CAT, f"SELECT item_id, total_ratings FROM cat WHERE total_ratings >= {MIN_REVIEWS_FILTER}"
     )
@@ -297,6 +302,15 @@ FROM ratings r LEFT JOIN cat c ON r.item_id = c.item_id""",
     jb = f"""SELECT r.user_id, r.item_id, r.rating,
   CASE WHEN c.rating IS NULL OR c.rating = 0 THEN CAST(3.0 AS DOUBLE) ELSE c.rating END AS base_rating
 FROM ratings r JOIN cat c ON r.item_id = c.item_id"""
+    q["hot_item_enrich"] = with_(
+        CAT,
+        f"""SELECT l.l_orderkey, l.l_linenumber, l.item_key, c.item_id,
+  CASE WHEN c.item_id IS NULL THEN NULL WHEN c.rating IS NULL OR c.rating = 0 THEN CAST(3.0 AS DOUBLE) ELSE c.rating END AS base_rating,
+  {_meta('c.')}, COALESCE(c.activity_score, 0.0) AS activity_score
+FROM (SELECT l_orderkey, l_linenumber,
+        'P-' || CAST(CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_partkey END AS VARCHAR) AS item_key FROM lineitem) l
+LEFT JOIN cat c ON l.item_key = c.item_key""",
+    )
     q["join_base_rating"] = with_(RATINGS, jb)
     q["semi_known_users"] = with_(
         SPLIT, "SELECT user_id FROM users u WHERE EXISTS (SELECT 1 FROM train t WHERE t.user_id = u.user_id)"
@@ -353,6 +367,11 @@ UNION ALL
 SELECT user_key, CAST((SELECT MAX(user_id) FROM old) + row_number() OVER (ORDER BY user_key NULLS FIRST) AS INTEGER) AS user_id
 FROM (SELECT DISTINCT user_key FROM k) n
 WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.user_key IS NOT DISTINCT FROM n.user_key)"""
+    q["id_registry"] = """WITH k AS (SELECT CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS user_key,
+  CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS version FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')),
+firsts AS (SELECT user_key, MIN(version) AS since FROM k GROUP BY user_key)
+SELECT user_key, CAST(since AS INTEGER) AS since,
+  CAST(row_number() OVER (ORDER BY since, user_key NULLS FIRST) AS INTEGER) AS user_id FROM firsts"""
     q["rmse_bias_baseline"] = with_(
         BASELINE_ALL,
         f"""SELECT {rnd("sqrt(AVG(power(prediction - rating, 2)))", 4)} AS rmse, COUNT(*) AS n_scored
@@ -374,6 +393,16 @@ FROM pred WHERE prediction IS NOT NULL AND NOT isnan(prediction)""",
     q["browse_by_rating"] = _browse("rating DESC NULLS LAST")
     q["browse_by_popularity"] = _browse("activity_score DESC NULLS LAST")
     q["browse_by_reviews"] = _browse("total_ratings DESC NULLS LAST")
+    wanted = f"category = {lit(CONJ_CATEGORY)} AND rating >= {CONJ_MIN_RATING}"
+    q["browse_page_total"] = with_(
+        CAT,
+        f"""SELECT t.total, p.* FROM (SELECT COUNT(*) AS total FROM cat WHERE {wanted}) t LEFT JOIN (
+  SELECT CAST(row_number() OVER (ORDER BY total_ratings DESC, item_key) AS INTEGER) AS rank, * FROM (
+    SELECT item_key, {_meta()}, {rnd("COALESCE(rating, 0.0)", 2)} AS rating,
+      CAST(COALESCE(total_ratings, 0) AS INTEGER) AS total_ratings, {rnd("COALESCE(activity_score, 0.0)", 1)} AS activity_score
+    FROM cat WHERE {wanted})
+  QUALIFY rank <= {R.BROWSE_DEFAULT_LIMIT}) p ON true""",
+    )
     q["browse_by_price"] = _browse(f"{level_rank_sql('level', RULES.level_labels)} ASC")
     q["cold_start_topn"] = with_(CAT + "," + _FALLBACK, "SELECT * FROM fallback")
     q["rerank_rounded"] = with_(
@@ -420,11 +449,13 @@ SELECT * FROM cold""",
   FROM ratings)
 WHERE rn <= {lo} + {bucket_sql("user_id", f"{SEED}:k", hi - lo + 1)}""",
     )
+    q["bucketed_cap"] = q["cap_per_user"]
     q["user_offset"] = with_(
         RATINGS + f",\njb AS ({jb})",
         f"""SELECT user_id, {rnd("AVG(rating - base_rating)", 4)} AS user_offset, COUNT(*) AS n_ratings
 FROM jb GROUP BY user_id""",
     )
+    q["bucketed_offset"] = q["user_offset"]
     q["hash_split"] = with_(SPLIT, "SELECT user_id, item_id, split FROM labelled")
     q["prepare_catalog"] = with_(
         CAT,
@@ -438,10 +469,10 @@ FROM jb GROUP BY user_id""",
     scored = """FROM test WHERE user_id IN (SELECT user_id FROM train) AND item_id IN (SELECT item_id FROM train)"""
     q["als_fit_predict"] = with_(SPLIT_ALL, f"SELECT user_id, item_id, rating, true AS finite {scored}")
     q["als_eval"] = with_(SPLIT_ALL, f"SELECT COUNT(*) AS n_scored, true AS rmse_in_range {scored}")
-    q["als_save_load"] = with_(SPLIT_ALL, "SELECT DISTINCT item_id, true AS same_factors FROM train")
+    q["als_save_load"] = with_(SPLIT_ALL, "SELECT DISTINCT item_id, true AS same_factors, true AS nonnegative FROM train")
     ranks = f"(SELECT CAST(rank AS INTEGER) AS rank FROM range(1, {TOP_N} + 1) AS t(rank) WHERE rank <= (SELECT COUNT(DISTINCT item_id) FROM train))"
     warm = f"FROM users u, {ranks} WHERE u.user_id IN (SELECT user_id FROM train)"
-    q["als_recommend_subset"] = with_(SPLIT, f"SELECT u.user_id, rank {warm}")
+    q["als_recommend_subset"] = with_(SPLIT, f"SELECT u.user_id, rank, true AS in_order, true AS has_item {warm}")
     empty = "NULL AS item_id, NULL AS name, NULL AS category, NULL AS area, NULL AS level, NULL AS predicted_rating, NULL AS activity_score"
     q["recommend_with_fallback"] = with_(
         SPLIT + "," + _FALLBACK,

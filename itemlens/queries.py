@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from itemlens import schemas as S
 from itemlens.functions import rules as R
@@ -21,15 +22,18 @@ from itemlens.functions.values import base_rating, number_or, round_half_up, tex
 from itemlens.operators.dedupe import dedupe_by_key
 from itemlens.operators.dense_ids import assign_dense_ids, extend_id_map
 from itemlens.operators.factors import topk_dot_product
+from itemlens.operators.hot_join import heavy_keys, join_heavy
+from itemlens.operators.id_registry import IdRegistry
 from itemlens.operators.joins import cold_users, enrich_with_catalog, known_users
 from itemlens.operators.predicates import catalog_filter, scored_area, specific_category
 from itemlens.plans import als as A
-from itemlens.plans.browse import browse, browse_total
+from itemlens.plans.browse import browse, browse_page, browse_total
 from itemlens.plans.catalog import default_dedupe_order, id_map, prepare_catalog, write_catalog_table
 from itemlens.plans.ratings import (
     cap_per_user,
     fit_bias_baseline,
     interaction_ratings,
+    item_base,
     join_base_rating,
     rmse,
     split_labels,
@@ -41,6 +45,7 @@ from itemlens.plans.toplist import build_top_list, cold_start_list
 from itemlens.plans.trending import busiest_areas, trending_categories
 from itemlens.session import materialize, scratch_path
 from itemlens.sources import io as IO
+from itemlens.sources import layout as LAY
 from itemlens.sources import tables as TB
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +168,22 @@ def q_csv_scan_typed(spark, sf_dir):
     return IO.read_catalog_csv(spark, path, null_value=IO.CSV_NULL)
 
 
+def q_csv_rejects(spark, sf_dir):
+    """The catalogue as CSV lines of which every seventh part's has lost two fields and
+    every eleventh's has one more; the records put aside, by their keys."""
+    text = IO.catalog_as_text(raw_catalog(spark, sf_dir))
+    number = F.substring_index("item_key", "-", -1).cast("long")
+    line = F.to_csv(F.struct(*text.columns))
+    line = F.when(number % 7 == 0, F.to_csv(F.struct(*text.columns[:-2]))).when(number % 11 == 0, F.concat(line, F.lit(",more"))).otherwise(line)
+    path, rejects = scratch_path(spark, "damaged-csv"), scratch_path(spark, "csv-rejects")
+    text.select(line.alias("value")).write.text(path)
+    good, n = IO.split_catalog_csv(spark, path, rejects, header=False)
+    aside = IO.read_rejects(spark, rejects)
+    key = F.substring_index(F.trim("record"), ",", 1).alias("item_key")
+    kept = good.agg(F.count(F.lit(1))).scalar()
+    return aside.select(key, F.lit(n).cast("long").alias("n_rejects"), kept.alias("n_kept"))
+
+
 def q_ratings_scan(spark, sf_dir):
     return ratings(spark, sf_dir)
 
@@ -193,6 +214,26 @@ def q_top_list_prefix(spark, sf_dir):
     return IO.read_top_list(spark, _written_top_list(spark, sf_dir), limit=R.TOP_LIST_READ_DEFAULT)
 
 
+def q_top_list_array(spark, sf_dir):
+    path = scratch_path(spark, "top-list-array")
+    top = build_top_list(catalog(spark, sf_dir), R.MIN_REVIEWS, R.TOP_LIST_SIZE, DEFAULT_CATEGORY, DEFAULT_AREA)
+    IO.write_top_list_array(top, path, legacy=True)
+    return IO.read_top_list(spark, path, array_file=True, legacy=True)
+
+
+def ratings_layout(spark: SparkSession, sf_dir: str) -> LAY.RatingsLayout:
+    """The ratings in buckets by user and by item, written once."""
+    return _memo(spark, sf_dir, "ratings-layout", lambda: LAY.write_ratings_layout(ratings(spark, sf_dir), scratch_path(spark, "ratings-layout")))
+
+
+def q_bucketed_cap(spark, sf_dir):
+    return cap_per_user(ratings_layout(spark, sf_dir).by_user)
+
+
+def q_bucketed_offset(spark, sf_dir):
+    return user_offset(ratings_layout(spark, sf_dir).by_item, catalog(spark, sf_dir))
+
+
 # --- projections and derived columns -----------------------------------------------
 
 
@@ -310,6 +351,19 @@ def q_filter_conjunction(spark, sf_dir):
     return catalog(spark, sf_dir).filter(pred).select("item_id", "category", "level", "rating")
 
 
+def q_filter_clustered(spark, sf_dir):
+    """The conjunction over the catalogue in files clustered by its labels."""
+
+    def build():
+        path = scratch_path(spark, "catalog-clustered")
+        LAY.write_clustered_catalog(catalog(spark, sf_dir), path)
+        return path
+
+    cat = spark.read.parquet(_memo(spark, sf_dir, "catalog-clustered", build))
+    pred = catalog_filter(category=CONJ_CATEGORY, level=CONJ_LEVEL, min_rating=CONJ_MIN_RATING)
+    return cat.filter(pred).select("item_id", "category", "level", "rating")
+
+
 def q_filter_min_reviews(spark, sf_dir):
     return catalog(spark, sf_dir).filter(F.col("total_ratings") >= MIN_REVIEWS_FILTER).select("item_id", "total_ratings")
 
@@ -331,6 +385,25 @@ def q_enrich_left_join(spark, sf_dir):
     )
 
 
+def hot_lines(spark, sf_dir):
+    """Order lines as scored rows; those of every third order are of one item."""
+    lines = TB.read_table(spark, sf_dir, "lineitem")
+    part = F.when(F.col("l_orderkey") % 3 == 0, F.lit(1)).otherwise(F.col("l_partkey"))
+    rows = lines.select("l_orderkey", "l_linenumber", F.concat(F.lit("P-"), part.cast("string")).alias("item_key"))
+    ids = id_map(catalog(spark, sf_dir)).select(F.col("item_key").alias("_key"), "item_id")
+    return join_heavy(rows, ids, "item_key", "_key", "left").drop("_key")
+
+
+def q_hot_item_enrich(spark, sf_dir):
+    """Every line with its item's metadata and base rating, an item with a third of them spread."""
+    cat = catalog(spark, sf_dir)
+    rows = materialize(hot_lines(spark, sf_dir), "hot-lines")
+    heavy = heavy_keys(rows, "item_id")
+    base = item_base(cat).withColumnRenamed("item_id", "_item")
+    rated = join_heavy(rows, base, "item_id", "_item", "left", heavy=heavy).drop("_item")
+    return enrich_with_catalog(rated, cat, default_category=DEFAULT_CATEGORY, default_area=DEFAULT_AREA, spread_heavy=True)
+
+
 def q_join_base_rating(spark, sf_dir):
     return join_base_rating(ratings(spark, sf_dir), catalog(spark, sf_dir))
 
@@ -366,6 +439,18 @@ def q_browse_total(spark, sf_dir):
     return browse_total(catalog(spark, sf_dir), category=CONJ_CATEGORY, min_rating=CONJ_MIN_RATING)
 
 
+def q_browse_page_total(spark, sf_dir):
+    page = browse_page(
+        catalog(spark, sf_dir),
+        category=CONJ_CATEGORY,
+        min_rating=CONJ_MIN_RATING,
+        sort_by="reviews",
+        default_category=DEFAULT_CATEGORY,
+        default_area=DEFAULT_AREA,
+    )
+    return page.select("total", F.inline_outer("page"))
+
+
 def q_dedupe_by_key(spark, sf_dir):
     docs = TB.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     kept = dedupe_by_key(docs, ["text"], [F.col("doc_id")])
@@ -407,6 +492,17 @@ def q_extend_ids(spark, sf_dir):
     return extend_id_map(materialize(old, "old-ids"), orders.select(key), "user_key", "user_id")
 
 
+def q_id_registry(spark, sf_dir):
+    """Customers register three times, as those of finished, open and pending orders; many
+    leave and return.  Customers whose key ends in 0 are one customer without a key."""
+    orders = TB.read_table(spark, sf_dir, "orders")
+    key = F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("user_key")
+    registry = IdRegistry(spark, scratch_path(spark, "id-registry"), "user_key", "user_id", T.LongType())
+    for status in ("F", "O", "P"):
+        registry.register(orders.where(F.col("o_orderstatus") == status).select(key))
+    return registry.read()
+
+
 def q_rmse_bias_baseline(spark, sf_dir):
     _, test = train_test(spark, sf_dir)
     return rmse(baseline(spark, sf_dir).predict(test))
@@ -518,7 +614,10 @@ def q_als_eval(spark, sf_dir):
 
 def q_als_recommend_subset(spark, sf_dir):
     top = A.recommend_known(model(spark, sf_dir, HOLDOUT_USERS), TB.load_users(spark, sf_dir), TOP_N)
-    return top.select("user_id", "rank")
+    # Along the ranks, no score may rise (as displayed).
+    before = F.lag(round_half_up("score", 4)).over(Window.partitionBy("user_id").orderBy("rank"))
+    falls = F.coalesce(round_half_up("score", 4) <= before, F.lit(True))
+    return top.select("user_id", "rank", falls.alias("in_order"), F.col("item_id").isNotNull().alias("has_item"))
 
 
 def q_als_save_load(spark, sf_dir):
@@ -527,7 +626,10 @@ def q_als_save_load(spark, sf_dir):
     IO.save_model(fitted, path)
     loaded = IO.load_model(path).itemFactors.withColumnRenamed("features", "loaded")
     both = fitted.itemFactors.join(loaded, "id", "full")
-    return both.select(F.col("id").alias("item_id"), F.col("features").eqNullSafe(F.col("loaded")).alias("same_factors"))
+    usable = F.forall("features", lambda x: (x >= 0) & ~F.isnan(x) & (x < float("inf"))) & (F.size("features") == R.ALS_RANK)
+    return both.select(
+        F.col("id").alias("item_id"), F.col("features").eqNullSafe(F.col("loaded")).alias("same_factors"), usable.alias("nonnegative")
+    )
 
 
 def q_recommend_with_fallback(spark, sf_dir):
@@ -557,11 +659,15 @@ def q_train_pipeline(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     # sources / sinks
     "csv_scan_typed": q_csv_scan_typed,
+    "csv_rejects": q_csv_rejects,
     "ratings_scan": q_ratings_scan,
     "users_relation": q_users_relation,
     "temp_view_scan": q_temp_view_scan,
     "json_artefact_roundtrip": q_json_artefact_roundtrip,
     "top_list_prefix": q_top_list_prefix,
+    "top_list_array": q_top_list_array,
+    "bucketed_cap": q_bucketed_cap,
+    "bucketed_offset": q_bucketed_offset,
     # projections
     "cast_tolerant": q_cast_tolerant,
     "project_pruned": q_project_pruned,
@@ -580,11 +686,13 @@ QUERIES: dict[str, Query] = {
     "filter_equality": q_filter_equality,
     "filter_min_rating": q_filter_min_rating,
     "filter_conjunction": q_filter_conjunction,
+    "filter_clustered": q_filter_clustered,
     "filter_min_reviews": q_filter_min_reviews,
     "filter_specific_category": q_filter_specific_category,
     "filter_scored_area": q_filter_scored_area,
     # joins
     "enrich_left_join": q_enrich_left_join,
+    "hot_item_enrich": q_hot_item_enrich,
     "join_base_rating": q_join_base_rating,
     "semi_known_users": q_semi_known_users,
     "anti_cold_users": q_anti_cold_users,
@@ -593,9 +701,11 @@ QUERIES: dict[str, Query] = {
     "trending_categories": q_trending_categories,
     "busiest_areas": q_busiest_areas,
     "browse_total": q_browse_total,
+    "browse_page_total": q_browse_page_total,
     "dedupe_by_key": q_dedupe_by_key,
     "catalog_dedupe": q_catalog_dedupe,
     "extend_ids": q_extend_ids,
+    "id_registry": q_id_registry,
     "rmse_bias_baseline": q_rmse_bias_baseline,
     "run_counts": q_run_counts,
     # windows / sorts / limits
