@@ -21,8 +21,9 @@ different lengths are an error.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemlens.operators.topk import topk_per_group
@@ -123,9 +124,11 @@ def _block_scorer(k: int, exclude_same_id: bool, chunk: int = 512, scored=None,
                     for i, q in enumerate(own.tolist()):
                         if q in self.without:
                             s[i, np.isin(ids, self.without[q])] = -np.inf
-                    # What reaches both the block's own and the query's k-th score (ties
-                    # included) can be among the best.
-                    cut = np.maximum(self.best[own, -1], np.partition(s, len(ids) - kk, axis=1)[:, len(ids) - kk])
+                    # What reaches the query's k-th score (ties included) can be among the
+                    # best; while there are none, also the block's own k-th.
+                    cut = self.best[own, -1]
+                    if np.isneginf(cut).any():
+                        cut = np.maximum(cut, np.partition(s, len(ids) - kk, axis=1)[:, len(ids) - kk])
                     rows, cols = np.nonzero((s >= cut[:, None]) & (s > -np.inf))
                     rows = np.concatenate([np.repeat(np.arange(len(own)), k), rows])
                     vals = np.concatenate([self.best[own].ravel(), s[rows[len(own) * k :], cols]])
@@ -173,19 +176,19 @@ def _finite(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, name: str, block_size: int, block_bytes: int) -> DataFrame:
-    """The packed blocks of ``rows``, written once, numbered by falling norm."""
+    """The packed blocks of ``rows``, written once; ``no``: partition plus place in it, by
+    which they are dealt in turn."""
     packed = rows.mapInArrow(_packer(block_size, block_bytes), _BLOCK_SCHEMA)
-    written = materialize(packed.withColumn("block", F.monotonically_increasing_id()), name)
-    # One row per block: a global window and a broadcast are bounded.
-    number = F.row_number().over(Window.orderBy(F.col("norm").desc(), "block")) - 1
-    numbers = written.select("block", number.alias("no"))
-    return written.join(F.broadcast(numbers), "block").drop("block")
+    at = F.monotonically_increasing_id()
+    number = F.shiftright(at, 33) + at.bitwiseAND(F.lit((1 << 33) - 1))
+    return materialize(packed.withColumn("no", number).withColumn("bytes", F.length("vecs").cast("long")), name)
 
 
-def _sizes(blocks: DataFrame) -> tuple[int, int]:
-    """(number of blocks, bytes of their vectors)."""
-    row = blocks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("vecs")), F.lit(0)).alias("bytes")).first()
-    return row["n"], row["bytes"]
+def _sizes(*sides: DataFrame) -> list[int]:
+    """Number of blocks and bytes of their vectors, for each side, by one job."""
+    rows = [s.select(F.lit(i).alias("side"), "bytes") for i, s in enumerate(sides)]
+    found = {r["side"]: r for r in reduce(DataFrame.unionAll, rows).groupBy("side").agg(F.count("bytes").alias("n"), F.sum("bytes").alias("b")).collect()}
+    return [found[i][c] if i in found else 0 for i in range(len(sides)) for c in ("n", "b")]
 
 
 def grid(q_blocks: int, q_bytes: int, c_blocks: int, c_bytes: int, parallel: int, task_bytes: int = TASK_BYTES) -> tuple[int, int]:
@@ -244,7 +247,7 @@ def topk_dot_product(
     c_blocks = _blocks(c.drop("norm"), "candidate-blocks", block_size, block_bytes)
     spark = queries.sparkSession
     parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts, lanes = grid(*_sizes(q_blocks), *_sizes(c_blocks), parallel)
+    parts, lanes = grid(*_sizes(q_blocks, c_blocks), parallel)
 
     def cells(blocks: DataFrame, side: int, own: int, others: int, cell) -> DataFrame:
         copies = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
