@@ -1,9 +1,11 @@
 """BPE encoding and decoding of whole texts with a public tokenizer file.
 
 Ids are those of the ``tokenizers`` library (no added special tokens, truncation or
-padding).  A text is cut before every blank that a non-blank follows; such a place is
-always a border between pre-tokens, so pieces encode independently and equal pieces
-of a task's texts are encoded once (a cache of bounded size).
+padding).  A text is cut before every blank that something else than white space follows
+(whatever might count as such, as a no-break space, included); such a place is always a
+border between pre-tokens, so pieces encode independently.  The different pieces of a
+slice are encoded once (a cache of bounded size keeps short ones); ids, their digits and
+their bytes are put together by Arrow.
 
 Long texts go another way, by tree concatenation.  They are cut into segments that
 different tasks encode.  Where a run has no border for more than ``PIECE`` characters
@@ -19,16 +21,19 @@ special token's literal in a text is that token, as in the library.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 from array import array
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemlens.llm.arrays import text_buffers
 from itemlens.llm.common import map_texts
 from itemlens.session import materialize
 
@@ -36,11 +41,15 @@ LONG = 32768
 SEGMENT = 16384
 PIECE = 4096
 CACHE = 200_000
-CACHED_CHARS = 64
+CACHED_BYTES = 64
 
-_BORDER = re.compile(r" (?=\S)")
-#: Blank forms on which this module's idea of white space could differ from the library's.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
+#: White space and whatever may or may not count as such: no border is sure before these.
+_ODD_SPACE = "\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff"
+_BORDER = re.compile(f" (?=[^{_ODD_SPACE}])")
+#: The same by UTF-8 bytes: a blank before one of these is no sure border (the lead bytes
+#: also begin other characters, before which a border is merely not used).
+_UNSURE = np.zeros(256, bool)
+_UNSURE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -57,11 +66,6 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-#: What is kept of a piece: number of ids, ids joined by commas, bytes of the decoded
-#: ids, ids as 32-bit integers.
-Entry = tuple[int, str, bytes, bytes]
-
-
 class Codec:
     """Encoder and decoder of one task."""
 
@@ -74,49 +78,80 @@ class Codec:
         self.tok.no_padding()
         self.specials = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.special_re = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
-        back = {c: b for b, c in byte_chars().items()}
-        self.names = {i: s for s, i in self.tok.get_vocab(with_added_tokens=False).items()}
-        self.bytes = {i: bytes(back[c] for c in s) for i, s in self.names.items()}
-        self.bytes |= {i: s.encode() for s, i in self.specials.items()}
-        self.cache: dict[str, Entry] = {}
+        #: 32-bit ids, as bytes, of pieces seen before.
+        self.cache: dict[bytes, bytes] = {}
 
-    # whole texts -------------------------------------------------------------
+    @cached_property
+    def names(self) -> dict[int, str]:
+        """Tokens in byte characters."""
+        return {i: s for s, i in self.tok.get_vocab(with_added_tokens=False).items()}
 
-    def pieces(self, text: str) -> list[str]:
-        """Texts that encode independently and add up to ``text``; blanks lead."""
-        if _ODD_SPACE.search(text) or any(s in text for s in self.specials):
-            return [text]
-        cut = text.split(" ")
-        if "" in cut or " \n" in text or " \t" in text or " \r" in text:
-            cut = _BORDER.split(text)
-        return cut[:1] + [" " + c for c in cut[1:]]
+    @cached_property
+    def bytes(self) -> pa.Array:
+        """What each id decodes to."""
+        back = {c: b for b, c in byte_chars().items()}
+        known = {i: bytes(back[c] for c in s) for i, s in self.names.items()}
+        known |= {i: s.encode() for s, i in self.specials.items()}
+        return pa.array([known.get(i, b"") for i in range(max(known) + 1)], pa.binary())
+
+    @cached_property
+    def decimals(self) -> pa.Array:
+        """Each id in decimal digits and a comma."""
+        return pa.array([b"%d," % i for i in range(len(self.bytes))], pa.binary())
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join([self.bytes[i] for i in ids])
+    # whole texts -------------------------------------------------------------
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def pieces(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Pieces that encode independently and add up to the texts, and the number of
+        the first piece of each text (and their total)."""
+        data, offsets = text_buffers(column)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        border = np.zeros(len(data), bool)
+        border[:-1] = (data[:-1] == 32) & ~_UNSURE[data[1:]] & ~edge[1:-1]
+        raw = data.tobytes()
+        for special in self.specials:
+            at = raw.find(special.encode())
+            while at >= 0:  # a text with such a literal is one piece
+                text = int(np.searchsorted(offsets, at, side="right")) - 1
+                border[offsets[text] : offsets[text + 1]] = False
+                at = raw.find(special.encode(), int(offsets[text + 1]))
+        starts = np.flatnonzero(border | edge[:-1])
+        ends = np.append(starts, len(data)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw)]), np.searchsorted(starts, offsets)
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of the texts among them); a piece that comes often
+        is encoded once."""
+        pieces, first = self.pieces(column)
+        if not len(pieces):
+            return np.zeros(0, np.int32), first
+        coded = pieces.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        found = [self.cache.get(p) for p in different]
+        fresh = [i for i, ids in enumerate(found) if ids is None]
+        for lo in range(0, len(fresh), 4096):
+            part = fresh[lo : lo + 4096]
+            for i, e in zip(part, self.tok.encode_batch_fast([different[i].decode() for i in part], add_special_tokens=False), strict=True):
+                found[i] = array("i", e.ids).tobytes()
+        if len(self.cache) + len(fresh) > CACHE:
+            self.cache.clear()
+        self.cache.update((different[i], found[i]) for i in fresh[:CACHE] if len(different[i]) <= CACHED_BYTES)
+        size = np.array([len(f) for f in found]) // 4
+        lists = pa.ListArray.from_arrays(_offsets(size), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        number = coded.indices.to_numpy()
+        ids = lists.take(coded.indices).flatten().to_numpy()
+        return ids, np.concatenate([[0], np.cumsum(size[number])])[first]
+
+    def decode_bytes(self, ids: Sequence[int]) -> bytes:
+        return b"".join(self.bytes.take(pa.array(ids, pa.int32())).to_pylist())
+
+    def decode(self, ids: Sequence[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
     def encode(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def prepare(self, texts: list[list[str]]) -> dict[str, Entry]:
-        """The entry of every piece."""
-        need = set().union(*texts) if texts else set()
-        known = self.cache
-        out = {p: known[p] for p in need if p in known}
-        fresh = [p for p in need if p not in out and p]
-        out[""] = (0, "", b"", b"")
-        for lo in range(0, len(fresh), 4096):
-            part = fresh[lo : lo + 4096]
-            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                out[p] = (len(ids), ",".join(map(str, ids)), self.decode_bytes(ids), array("i", ids).tobytes())
-        if len(known) + len(fresh) > CACHE:
-            known.clear()
-        known.update((p, out[p]) for p in fresh[:CACHE] if len(p) <= CACHED_CHARS)
-        return out
-
     # tree concatenation ------------------------------------------------------
 
     def fragment(self, chars: str) -> list[int]:
@@ -162,10 +197,8 @@ class Codec:
             if special:
                 out.append((len(out), 0, "special", part))
                 continue
-            odd = _ODD_SPACE.search(part)
-            borders = [] if odd else [m.start() for m in _BORDER.finditer(part)]
             at, last = 0, 0
-            for b in [*borders, len(part)]:
+            for b in [*(m.start() for m in _BORDER.finditer(part)), len(part)]:
                 if b - at > SEGMENT and last > at:
                     self._add(out, part[at:last])
                     at = last
@@ -179,20 +212,29 @@ class Codec:
                 out.append((len(out), 0, "text", part))
             return
         short: list[str] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            if short:
+                out.append((len(out), 0, "pretokens", " ".join(short)))
+                short.clear()
+            size = 0
+
         for chars, _ in self.tok.pre_tokenizer.pre_tokenize_str(part):
             if len(chars) <= PIECE:
+                if size + len(chars) > SEGMENT:
+                    flush()
                 short.append(chars)
+                size += len(chars)
                 continue
-            if short:
-                out.append((len(out), 0, "pretokens", " ".join(short)))
-                short = []
+            flush()
             step = len(chars)
             while step > PIECE:
                 step = -(-step // 2)
             run = len(out)
             out += [(run, i // step, "half", chars[i : i + step]) for i in range(0, len(chars), step)]
-        if short:
-            out.append((len(out), 0, "pretokens", " ".join(short)))
+        flush()
 
     def encode_segment(self, kind: str, content: str) -> list[int]:
         if kind == "special":
@@ -219,8 +261,23 @@ def _sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def _digests(n: int, ids: str, decoded: bytes) -> tuple[int, str, str]:
-    return n, _sha(ids.encode()), _sha(decoded.decode("utf-8", "replace").encode())
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+
+
+def _joined(names: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+    """The names of each text's ids, one after the other."""
+    data, at = text_buffers(names.take(pa.array(ids)))
+    bounds = at[offsets].tolist()
+    data = memoryview(data)
+    return (data[a:b] for a, b in itertools.pairwise(bounds))
+
+
+def _digests(codec: Codec, ids: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    """n_tokens, ids_sha256 and decoded_sha256 of texts, whose ids lie one after the other."""
+    listed = [_sha(text[:-1]) for text in _joined(codec.decimals, ids, offsets)]
+    decoded = [_sha(str(text, "utf-8", "replace").encode()) for text in _joined(codec.bytes, ids, offsets)]
+    return [pa.array(np.diff(offsets), pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())]
 
 
 def _long_ids(rows: DataFrame, path: str) -> DataFrame:
@@ -282,25 +339,14 @@ def roundtrip(docs: DataFrame, path: str | None = None, long: int = LONG) -> Dat
 
     def short():
         codec = Codec(path)
-
-        def work(texts: pa.Array):
-            cut = [codec.pieces(t) if t else [] for t in texts.to_pylist()]
-            known = codec.prepare(cut)
-            out = []
-            for pieces in cut:
-                entries = [known[p] for p in pieces if p]
-                out.append(_digests(sum(e[0] for e in entries), ",".join([e[1] for e in entries]), b"".join([e[2] for e in entries])))
-            n, ids, text = zip(*out, strict=True)
-            return [pa.array(n, pa.int64()), pa.array(ids), pa.array(text)]
-
-        return work
+        return lambda texts: _digests(codec, *codec.encode_column(texts))
 
     def digest(batches):
         codec = Codec(path)
         for batch in batches:
-            made = [_digests(len(i), ",".join(map(str, i)), codec.decode_bytes(i)) for i in batch.column("ids").to_pylist()]
-            n, ids, text = zip(*made, strict=True) if made else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["row", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids = batch.column("ids")
+            made = _digests(codec, ids.flatten().to_numpy(), _offsets(ids.value_lengths().to_numpy()).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *made], names=["row", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
     small, big = _split(docs, ["doc_id"], long)
@@ -316,11 +362,8 @@ def encode(docs: DataFrame, carry: Sequence[str] = ("doc_id",), path: str | None
         codec = Codec(path)
 
         def work(texts: pa.Array):
-            cut = [codec.pieces(t) if t else [] for t in texts.to_pylist()]
-            known = codec.prepare(cut)
-            size = [sum(known[p][0] for p in pieces) for pieces in cut]
-            ids = np.frombuffer(b"".join([known[p][3] for pieces in cut for p in pieces]), np.int32)
-            return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids))]
+            ids, offsets = codec.encode_column(texts)
+            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
 
         return work
 
