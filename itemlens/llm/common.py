@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from itemlens.llm.arrays import SLICE_BYTES, slices
+from itemlens.session import scratch_path
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -38,6 +39,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a scratch table, and the path by which ``discard`` deletes it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that no later step reads."""
     for path in paths:

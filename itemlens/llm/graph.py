@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemlens.session import materialize
+from itemlens.llm.common import discard, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -25,13 +25,15 @@ def _step(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b) that isn't a root itself; the root
-    of a component is its least node.  Each round is written to the shared folder."""
+    of a component is its least node.  Each round is written to the shared folder, and
+    the one before goes."""
     edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = materialize(edges, "components")
+    edges, path = written(edges, "components")
     state = None
     while True:
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == tuple(new):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = tuple(new)
-        edges = materialize(_step(edges), "components")
+        state, old = tuple(new), path
+        edges, path = written(_step(edges), "components")
+        discard(links.sparkSession, old)

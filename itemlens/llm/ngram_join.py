@@ -34,11 +34,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemlens.llm.arrays import mix64, slices, window_hashes, words
-from itemlens.llm.common import partitions, release
+from itemlens.llm.common import discard, partitions, release, written
 from itemlens.llm.graph import components
 from itemlens.session import materialize
 
@@ -185,7 +185,7 @@ def _tagged(x: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 def _node_table(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, row_key, n_shingles and node (null without n-grams) of every row."""
-    out = "doc_id long, row_key long, n_shingles long, node binary"
+    out = "doc_id long, row_key binary, n_shingles long, node binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,7 +307,7 @@ def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are linked.
+    """The pairs (a, b) whose whole sets are linked, as a written table.
 
     Pairs come together by ``a``, in as many groups as a hub has thousands of partners,
     and each set goes to a group once.
@@ -317,7 +317,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     dealt = pairs.join(heavy, "a").select(
         "a", "b", F.pmod(F.xxhash64("a"), F.lit(n_groups)).alias("g"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")
     )
-    dealt = materialize(dealt, "ngram-dealt")
+    dealt, path = written(dealt, "ngram-dealt")
     group = [F.col("g").alias("to_g"), F.col("part").alias("to_part")]
     need = dealt.select(*group, F.col("a").alias("node")).union(dealt.select(*group, "b")).distinct()
     found = need.join(texts, "node")
@@ -345,12 +345,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             keep.append(100 * same >= percent * (len(p) + len(q) - same))
         return pairs_.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return dealt.groupBy("g", "part").cogroup(found.groupBy("to_g", "to_part")).applyInArrow(check, "a binary, b binary")
+    checked = dealt.groupBy("g", "part").cogroup(found.groupBy("to_g", "to_part")).applyInArrow(check, "a binary, b binary")
+    links = materialize(checked, "ngram-links")
+    discard(pairs.sparkSession, path)
+    return links
 
 
 def _open(hot: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of ``hot`` that links could still be missing for: their signature spans
-    several components, and their node has more such weight than its slack."""
+    """Rows of ``hot`` that links could still be missing for.
+
+    Their signature spans several components.  Nodes of a link that hasn't been found
+    have in common more such weight than the slack of either.  So each node leaves out
+    its most frequent signatures, as much weight as its slack allows: the rarest one that
+    two such nodes have in common stays with both (beyond it, in the order of
+    frequency, all the common weight would have to fit in the slack).
+    """
     rows = hot.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     def spanning(x: DataFrame) -> DataFrame:
@@ -358,8 +367,10 @@ def _open(hot: DataFrame, roots: DataFrame) -> DataFrame:
         return x.join(several, "sig", "left_semi")
 
     rows = spanning(rows)
-    over = rows.groupBy("node", "scheme").agg(F.sum("weight").alias("w"), F.first("slack").alias("s")).where("w > s").select("node", "scheme")
-    return spanning(rows.join(over, ["node", "scheme"], "left_semi"))
+    rows = rows.join(rows.groupBy("sig").agg(F.count("*").alias("often")), "sig")
+    frequent_first = Window.partitionBy("node", "scheme").orderBy(F.col("often").desc(), F.col("sig").desc())
+    rows = rows.withColumn("so_far", F.sum("weight").over(frequent_first.rowsBetween(Window.unboundedPreceding, 0)))
+    return spanning(rows.where("so_far > slack").drop("often", "so_far"))
 
 
 def _hub_pairs(rows: DataFrame) -> DataFrame:
@@ -378,8 +389,9 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
 
 
 def row_key() -> Column:
-    """Names a row by its id and text."""
-    return F.xxhash64("doc_id", "text")
+    """Names a row by its id and text, in 128 bits."""
+    parts = [F.lpad(F.hex(F.xxhash64(*more, "doc_id", "text")), 16, "0") for more in ([], [F.lit("again")])]
+    return F.unhex(F.concat(*parts))
 
 
 def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -401,17 +413,20 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     texts = materialize(_texts(docs, rows), "ngram-texts")
     release(docs.sparkSession)
 
-    links = materialize(_verified(pairs, texts, width, percent), "ngram-links")
+    links = _verified(pairs, texts, width, percent)
     roots = components(links)
+    release(docs.sparkSession)
     for turn in range(HUB_ROUNDS + 1):
-        rest = materialize(_open(hot, roots), "ngram-open")
+        rest, path = written(_open(hot, roots), "ngram-open")
         if rest.isEmpty():
             break
         more = _hub_pairs(rest) if turn < HUB_ROUNDS else _all_pairs(rest)
         more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
+        discard(docs.sparkSession, path)
         pairs = pairs.unionByName(more)
-        links = links.unionByName(materialize(_verified(more, texts, width, percent), "ngram-links"))
+        links = links.unionByName(_verified(more, texts, width, percent))
         roots = components(links)
+        release(docs.sparkSession)
 
     # Only nodes of several rows or with links differ from their own id.
     least = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
