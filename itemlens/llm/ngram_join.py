@@ -53,6 +53,10 @@ TEXTS_AT_ONCE = 256
 #: Up to so many nodes with a common signature are paired at once; beyond, by hubs.
 SMALL_GROUP = 8
 HUB_ROUNDS = 3
+#: Open signatures of up to so many nodes are paired in groups of about so many rows.
+FAMILY = 512
+FAMILY_ROWS = 20_000
+PAIRS_AT_ONCE = 1 << 20
 
 
 def sets_of(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -234,12 +238,15 @@ def _signature_blobs(docs: DataFrame, width: int, percent: int, buckets: int) ->
     return docs.select("text").mapInArrow(run, "bucket int, scheme int, nodes binary, slack binary, counts binary, sigs binary")
 
 
-CANDIDATES = "a binary, b binary, sig long, scheme int, slack int, weight int"
+CANDIDATES = "a binary, b binary, sig long, scheme int, slack int, weight int, hub int"
 
 
 def _candidates(group: pa.Table) -> pa.Table:
-    """Pairs of nodes with a common signature; rows without ``b`` are the nodes of a
-    signature that more than ``SMALL_GROUP`` have."""
+    """Pairs of nodes with a common signature, per scheme, with the weight that they have
+    in common here in signatures of up to ``SMALL_GROUP`` nodes, and (``hub``) in others
+    whose hub one of them is; ``slack`` is the larger of both nodes'.  Rows without ``b``
+    are the nodes of a signature that more have.
+    """
     code: dict[bytes, int] = {}
     sig, node, slack, kind = [], [], [], []
     for j, keys, left, count, sigs in zip(*(group.column(c).to_pylist() for c in ("scheme", "nodes", "slack", "counts", "sigs")), strict=True):
@@ -251,47 +258,82 @@ def _candidates(group: pa.Table) -> pa.Table:
         kind.append(np.full(int(n.sum()), j, np.int32))
     sig, node, slack, kind = (np.concatenate(x) for x in (sig, node, slack, kind))
     order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
+    sig, node, slack, kind = sig[order], node[order], slack[order], kind[order]
     new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
-    order, sig, node = order[new], sig[new], node[new]
+    sig, node, slack, kind = sig[new], node[new], slack[new], kind[new]
+    weight = 1 + (sig & np.uint64(1)).astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.append(start, len(sig)))
     names = sorted(code, key=code.get)
-    left_, right_ = [], []
+    left_, right_ = [], []  # rows
     for g in range(2, SMALL_GROUP + 1):
-        rows = node[start[size == g][:, None] + np.arange(g)]
+        rows = start[size == g][:, None] + np.arange(g)
         for x in range(g):
             for y in range(x + 1, g):
                 left_.append(rows[:, x])
                 right_.append(rows[:, y])
+    n_small = sum(map(len, left_))
     big = size > SMALL_GROUP
     hot = np.repeat(big, size)
     if big.any():
         rank = np.empty(len(names), np.int64)
         rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
         back = np.argsort(rank)
-        hub = back[np.minimum.reduceat(rank[node[hot]], np.concatenate([[0], np.cumsum(size[big])[:-1]]))]
-        left_.append(np.repeat(hub, size[big]))
-        right_.append(node[hot])
-    pairs = np.zeros((0, 2), np.int64)
-    if left_:
-        both = np.stack([np.concatenate(left_), np.concatenate(right_)], 1)
-        pairs = np.unique(np.sort(both[both[:, 0] != both[:, 1]], 1), axis=0)
-    key = lambda ids: [names[i] for i in ids.tolist()]
-    ordered = [tuple(sorted((names[x], names[y]))) for x, y in pairs.tolist()]
-    n = len(ordered)
+        least = np.minimum.reduceat(rank[node[hot]], np.concatenate([[0], np.cumsum(size[big])[:-1]]))
+        rows = np.flatnonzero(hot)
+        own = rows[rank[node[rows]] == np.repeat(least, size[big])]
+        left_.append(np.repeat(own, size[big]))
+        right_.append(rows)
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left_, right_))
+    small = np.arange(len(x)) < n_small
+    there = node[x] != node[y]
+    x, y, small = x[there], y[there], small[there]
+    lo, hi = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+    order = np.lexsort((kind[x], hi, lo))
+    x, y, small, lo, hi = x[order], y[order], small[order], lo[order], hi[order]
+    first = np.ones(len(x), bool)
+    first[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (kind[x][1:] != kind[x][:-1])
+    first = np.flatnonzero(first)
+    total = lambda v: np.add.reduceat(v, first) if len(first) else v
+    ordered = [tuple(sorted((names[i], names[j]))) for i, j in zip(lo[first].tolist(), hi[first].tolist(), strict=True)]
+    some = node[hot].tolist()
+
+    def column(of_pairs: np.ndarray | None, of_hot: np.ndarray | None, kind_: pa.DataType) -> pa.Array:
+        parts = [pa.nulls(n, kind_) if v is None else pa.array(v, kind_) for v, n in ((of_pairs, len(ordered)), (of_hot, len(some)))]
+        return pa.concat_arrays(parts)
+
     return pa.table(
         {
-            "a": pa.array([x for x, _ in ordered] + key(node[hot]), pa.binary()),
-            "b": pa.array([y for _, y in ordered] + [None] * int(hot.sum()), pa.binary()),
-            "sig": pa.array([None] * n + sig[hot].view(np.int64).tolist(), pa.int64()),
-            "scheme": pa.array([None] * n + kind[order][hot].tolist(), pa.int32()),
-            "slack": pa.array([None] * n + slack[order][hot].tolist(), pa.int32()),
-            "weight": pa.array([None] * n + (1 + (sig[hot] & np.uint64(1)).astype(np.int64)).tolist(), pa.int32()),
+            "a": pa.array([p for p, _ in ordered] + [names[i] for i in some], pa.binary()),
+            "b": pa.array([q for _, q in ordered] + [None] * len(some), pa.binary()),
+            "sig": column(None, sig[hot].view(np.int64), pa.int64()),
+            "scheme": column(kind[x][first], kind[hot], pa.int32()),
+            "slack": column(np.maximum(slack[x], slack[y])[first], slack[hot], pa.int32()),
+            "weight": column(total(np.where(small, weight[x], 0)), weight[hot], pa.int32()),
+            "hub": column(total(np.where(small, 0, weight[x])), None, pa.int32()),
         }
     )
 
 
+def _worth_checking(found: DataFrame, hot: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can be linked by the weight that they have in common.
+
+    A linked pair has more weight in common than the slack of either, in small and
+    frequent signatures together.  Of the latter it has at most what either has; pairs
+    met by a hub alone are checked now only if what is known of them passes the slack,
+    and else are left to what stays open.
+    """
+    pairs = found.where("b is not null").groupBy("a", "b", "scheme")
+    pairs = pairs.agg(F.sum("weight").alias("w"), F.sum("hub").alias("h"), F.max("slack").alias("s"))
+    sure, rest = pairs.where("w + h > s"), pairs.where("w + h <= s and w > 0")
+    most = hot.groupBy("node", "scheme").agg(F.sum("weight").alias("most"))
+    for side in ("a", "b"):
+        of = most.select(F.col("node").alias(side), "scheme", F.col("most").alias(f"most_{side}"))
+        rest = rest.join(of, [side, "scheme"])
+    rest = rest.where("w + least(most_a, most_b) > s")
+    return sure.select("a", "b").union(rest.select("a", "b")).distinct()
+
+
 def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, packed text) of the rows (row_key, node); a packed text is a fraction of
     the size of its set."""
@@ -381,11 +423,47 @@ def _hub_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
+def _family_pairs(group: pa.Table) -> pa.Table:
+    """All pairs across components in the signatures of a group, each once."""
+    names, node = np.unique(np.array(group.column("node").to_pylist(), object), return_inverse=True)
+    _, root = np.unique(np.array(group.column("root").to_pylist(), object), return_inverse=True)
+    sig = group.column("sig").to_numpy()
+    order = np.lexsort((node, sig))
+    node, root, sig = node[order], root[order], sig[order]
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.append(start, len(sig)))
+    found = np.zeros(0, np.int64)
+    for n in np.unique(size[size > 1]).tolist():
+        x, y = np.triu_indices(n, 1)
+        begins = start[size == n]
+        step = max(1, PAIRS_AT_ONCE // len(x))
+        for lo in range(0, len(begins), step):
+            at = begins[lo : lo + step, None]
+            a, b = (at + x).ravel(), (at + y).ravel()
+            apart = root[a] != root[b]
+            found = np.union1d(found, node[a[apart]] * len(names) + node[b[apart]])
+    a, b = np.divmod(found, max(1, len(names)))
+    return pa.table({"a": pa.array(names[a].tolist(), pa.binary()), "b": pa.array(names[b].tolist(), pa.binary())})
+
+
 def _all_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs across components in open signatures."""
-    x = rows.select("sig", F.col("node").alias("a"), F.col("root").alias("ra"))
-    y = rows.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
-    return x.join(y, "sig").where("ra != rb and a < b").select("a", "b").distinct()
+    """All pairs across components in open signatures.
+
+    Texts that have one of their signatures in common have most of them, so signatures
+    with the same least node are paired together, which gives a pair few times instead
+    of once a signature.  Such groups are cut at ``FAMILY_ROWS`` rows on average, and
+    signatures of more than ``FAMILY`` nodes are paired by a join.
+    """
+    sizes = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    parts = sizes.where(F.col("n") <= FAMILY).groupBy("first").agg(F.ceil(F.sum("n") / FAMILY_ROWS).alias("parts"))
+    some = rows.join(sizes.join(parts, "first"), "sig").where(F.col("n") <= FAMILY)
+    some = some.select("sig", "node", "root", "first", F.pmod(F.xxhash64("sig"), F.col("parts")).alias("part"))
+    near = some.groupBy("first", "part").applyInArrow(_family_pairs, "a binary, b binary")
+    wide = rows.join(sizes.where(F.col("n") > FAMILY).select("sig"), "sig", "left_semi")
+    x = wide.select("sig", F.col("node").alias("a"), F.col("root").alias("ra"))
+    y = wide.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
+    far = x.join(y, "sig").where("ra != rb and a < b").select("a", "b")
+    return near.union(far).distinct()
 
 
 def row_key() -> Column:
@@ -407,7 +485,7 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     found = materialize(blobs.groupBy("bucket").applyInArrow(_candidates, CANDIDATES), "ngram-candidates")
     release(docs.sparkSession)
     hot = found.where("b is null").select(F.col("a").alias("node"), "sig", "scheme", "slack", "weight")
-    pairs = materialize(found.where("b is not null").select("a", "b").distinct(), "ngram-pairs")
+    pairs = materialize(_worth_checking(found, hot), "ngram-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
     rows = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
     texts = materialize(_texts(docs, rows), "ngram-texts")

@@ -131,3 +131,14 @@ def test_sparse_sets_have_no_slack(monkeypatch):
     first = next(N.signatures(sets, 80))
     assert first[3] == N.band_of(100, 80)
     assert [first[2][i] for i in range(len(sets))] == [0 if e > 4 else 4 - e for e in empty]
+
+
+@pytest.mark.parametrize("family", [512, 3])
+def test_families_of_half_alike_texts(frame, monkeypatch, family):
+    """Texts that share most signatures without being linked, and some that are."""
+    monkeypatch.setattr(N, "FAMILY", family)
+    monkeypatch.setattr(N, "FAMILY_ROWS", 60)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, " ".join(edited(rng, base, 0.06 if i % 3 else 0.01))) for i in range(40)]
+    assert found(frame, rows, monkeypatch, 3) == brute(rows)
