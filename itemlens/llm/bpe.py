@@ -40,7 +40,9 @@ from itemlens.session import materialize
 LONG = 32768
 SEGMENT = 16384
 PIECE = 4096
-CACHE = 200_000
+CACHE = 100_000
+#: Text bytes that are encoded together.
+SLICE = 1 << 20
 CACHED_BYTES = 64
 
 #: White space and whatever may or may not count as such: no border is sure before these.
@@ -351,7 +353,7 @@ def roundtrip(docs: DataFrame, path: str | None = None, long: int = LONG) -> Dat
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
     small, big = _split(docs, ["doc_id"], long)
     big_done = _long_ids(big, path).mapInArrow(digest, f"row long, {schema}")
-    return map_texts(small, short, schema).unionByName(big.select("row", "doc_id").join(big_done, "row").drop("row"))
+    return map_texts(small, short, schema, limit=SLICE).unionByName(big.select("row", "doc_id").join(big_done, "row").drop("row"))
 
 
 def encode(docs: DataFrame, carry: Sequence[str] = ("doc_id",), path: str | None = None, long: int = LONG) -> DataFrame:
@@ -369,7 +371,7 @@ def encode(docs: DataFrame, carry: Sequence[str] = ("doc_id",), path: str | None
 
     small, big = _split(docs, carry, long)
     big_done = big.drop("text") if "text" not in carry else big
-    return map_texts(small, short, "ids array<int>", carry=carry).unionByName(big_done.join(_long_ids(big, path), "row").select(*carry, "ids"))
+    return map_texts(small, short, "ids array<int>", carry=carry, limit=SLICE).unionByName(big_done.join(_long_ids(big, path), "row").select(*carry, "ids"))
 
 
 def decode(rows: DataFrame, carry: Sequence[str] = ("doc_id",), path: str | None = None) -> DataFrame:

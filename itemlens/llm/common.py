@@ -80,5 +80,7 @@ def map_texts(
             for part in slices(batch, text, limit):
                 made = list(work(part.column(text)))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in carry] + made, names=out.names)
+        # The worker lives on for other stages' tasks.
+        pa.default_memory_pool().release_unused()
 
     return df.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, out)
