@@ -42,7 +42,7 @@ SEGMENT = 16384
 PIECE = 4096
 CACHE = 100_000
 #: Text bytes that are encoded together.
-SLICE = 1 << 20
+SLICE = 2 << 20
 CACHED_BYTES = 64
 
 #: White space and whatever may or may not count as such: no border is sure before these.
@@ -80,8 +80,9 @@ class Codec:
         self.tok.no_padding()
         self.specials = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.special_re = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
-        #: 32-bit ids, as bytes, of pieces seen before.
+        #: 32-bit ids, as bytes, of pieces seen lately, and of those seen before them.
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @cached_property
     def names(self) -> dict[int, str]:
@@ -130,15 +131,15 @@ class Codec:
             return np.zeros(0, np.int32), first
         coded = pieces.dictionary_encode()
         different = coded.dictionary.to_pylist()
-        found = [self.cache.get(p) for p in different]
+        found = [self.cache.get(p) or self.older.get(p) for p in different]
         fresh = [i for i, ids in enumerate(found) if ids is None]
         for lo in range(0, len(fresh), 4096):
             part = fresh[lo : lo + 4096]
             for i, e in zip(part, self.tok.encode_batch_fast([different[i].decode() for i in part], add_special_tokens=False), strict=True):
                 found[i] = array("i", e.ids).tobytes()
-        if len(self.cache) + len(fresh) > CACHE:
-            self.cache.clear()
-        self.cache.update((different[i], found[i]) for i in fresh[:CACHE] if len(different[i]) <= CACHED_BYTES)
+        if len(self.cache) > CACHE:
+            self.cache, self.older = {}, self.cache
+        self.cache.update((p, ids) for p, ids in zip(different[:CACHE], found, strict=False) if len(p) <= CACHED_BYTES)
         size = np.array([len(f) for f in found]) // 4
         lists = pa.ListArray.from_arrays(_offsets(size), pa.array(np.frombuffer(b"".join(found), np.int32)))
         number = coded.indices.to_numpy()
