@@ -9,9 +9,12 @@ The law that holds is ``bytes``: the shards' sizes are near equal.  A slot that
 weighs more than ``1 / hot_share`` of a shard's fair share (a key that a large part
 of the rows have) is split into parts by the records' place in the stored input;
 each part then has an entry of its own in the map, so that no key can unbalance it.
+The number of parts of a slot is a power of two and never falls.  When it doubles, each
+part leaves half of its records to a new part, which starts on the same shard.
 
 All work on records is DataFrame code.  The driver sees one row per slot and part,
-at most ``n_slots + hot_share * n_shards`` of them.
+at most ``n_slots + 2 * hot_share * n_shards`` of them in a first run.  A record's place
+is its row in its partition of the input: it stays while the input is read alike.
 
 Defined cases: a null text has no bytes (size 8); null ids hash like any value;
 repeated rows are rows of their own; an empty table gives an empty result.
@@ -20,12 +23,14 @@ repeated rows are rows of their own; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from itemlens.session import materialize, scratch_path
+from itemlens.session import hadoop_path, materialize, scratch_path
 
 N_SLOTS = 8192
 N_SHARDS = 24
@@ -55,6 +60,9 @@ def rebalance(slot_map: dict, weight: dict, n_shards: int) -> dict:
     held: dict[int, list] = {s: [] for s in range(n_shards)}
     new = dict(slot_map)
     loose = [e for e in weight if slot_map.get(e) is None or slot_map[e] >= n_shards]
+    for e, s in slot_map.items():
+        if e not in weight and s is not None and s >= n_shards:
+            new[e] = s % n_shards  # without records yet: any shard that remains
     for e, s in slot_map.items():
         if s is not None and s < n_shards and weight.get(e):
             load[s] += weight[e]
@@ -94,11 +102,39 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{path}/version={version}")
 
 
+def map_versions(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(newest whole version of a stored map, newest version of any state), 0 for none."""
+    place, fs = hadoop_path(spark, path)
+    if not fs.exists(place):
+        return 0, 0
+    names = [f.getPath().getName() for f in fs.listStatus(place)]
+    found = [int(n.removeprefix("version=")) for n in names if re.fullmatch("version=[0-9]+", n)]
+    whole = [v for v in found if fs.exists(hadoop_path(spark, f"{path}/version={v}/_SUCCESS")[0])]
+    return max(whole, default=0), max(found, default=0)
+
+
+def split_map(slot_map: dict, parts: dict[int, int]) -> dict:
+    """The map once slots have so many parts: new parts start on the shard of the part
+    that their records leave."""
+    held = Counter(s for s, _ in slot_map)
+    new = dict(slot_map)
+    for s, n in parts.items():
+        for part in range(held[s], n):
+            new[s, part] = slot_map[s, part % held[s]]
+    return new
+
+
 def shard(
     docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (the row's place in its shard, gapless
-    from 0), grown_shard (null under this law), virtual_slot and map_version."""
+    from 0), grown_shard (null under this law), virtual_slot, part (of the virtual slot)
+    and map_version.
+
+    With ``map_path`` the newest whole version of the map there is edited, and the result
+    goes by the version that is added; without, by a map of its own.  ``n_slots`` must be
+    that of the stored map.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = materialize(
@@ -108,35 +144,43 @@ def shard(
             F.crc32(text.cast("binary")).alias("text_crc32"),
         ).withColumn("vslot", slot_of(["doc_id", "text_crc32", "size"], n_slots)),
         "sharding-records",
-    ).withColumn("place", F.xxhash64("_metadata.file_name", "_metadata.row_index"))
+    ).withColumn("place", F.xxhash64(F.regexp_extract("_metadata.file_name", "^part-[0-9]+", 0), "_metadata.row_index"))
+
+    path = map_path or scratch_path(spark, "slot-map")
+    whole, newest = map_versions(spark, path)
+    if whole:
+        old = {(r.vslot, r.part): r.shard for r in load_map(spark, path, whole).select("vslot", "part", "shard").collect()}
+        if {s for s, _ in old} != set(range(n_slots)):
+            raise ValueError(f"the map at {path} has another number of slots than {n_slots}")
+    else:
+        old, newest = {(s, 0): k for s, k in first_map(n_slots, n_shards).items()}, newest + 1
+        store_map(spark, path, newest, [(*e, s, 0, 0, 0) for e, s in old.items()])
 
     per_slot = {r.vslot: (r.b, r.n) for r in sized.groupBy("vslot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
     total = sum(b for b, _ in per_slot.values())
     limit = max(1, total // (n_shards * HOT_SHARE))
-    hot = {s: -(-b // limit) for s, (b, n) in per_slot.items() if b > limit and n > 1}
-    weight = {(s, 0): b for s, (b, _) in per_slot.items() if s not in hot}
-    count = {(s, 0): n for s, (_, n) in per_slot.items() if s not in hot}
-    split = F.lit(0)
-    if hot:
-        parts = F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])
-        split = F.coalesce(F.pmod(F.col("place"), parts[F.col("vslot")].cast("long")), F.lit(0)).cast("int")
-        sized = sized.withColumn("part", split)
-        for r in sized.where(F.col("vslot").isin(list(hot))).groupBy("vslot", "part").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():
+    parts = {s: n for s, n in Counter(s for s, _ in old).items() if n > 1}
+    for s, (b, n) in per_slot.items():
+        if b > limit and n > 1:
+            parts[s] = max(parts.get(s, 1), 1 << (-(-b // limit) - 1).bit_length())
+    old = split_map(old, parts)
+    weight = {(s, 0): b for s, (b, _) in per_slot.items() if s not in parts}
+    count = {(s, 0): n for s, (_, n) in per_slot.items() if s not in parts}
+    sized = sized.withColumn("part", F.lit(0))
+    if parts:
+        of = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])
+        sized = sized.withColumn("part", F.coalesce(F.pmod("place", of[F.col("vslot")].cast("long")), F.lit(0)).cast("int"))
+        for r in sized.where(F.col("vslot").isin(list(parts))).groupBy("vslot", "part").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():
             weight[r.vslot, r.part], count[r.vslot, r.part] = r.b, r.n
-    else:
-        sized = sized.withColumn("part", split)
 
-    old = {(s, 0): k for s, k in first_map(n_slots, n_shards).items()}
     new = rebalance(old, weight, n_shards)
     start, filled = {}, dict.fromkeys(range(n_shards), 0)
     for e in sorted(count):
         start[e] = filled[new[e]]
         filled[new[e]] += count[e]
-    path = map_path or scratch_path(spark, "slot-map")
-    for version, slot_map in ((1, old), (2, new)):
-        rows = [(*e, s, weight.get(e, 0), count.get(e, 0), start.get(e, 0) if version == 2 else 0) for e, s in slot_map.items()]
-        store_map(spark, path, version, rows)
-    entries = load_map(spark, path, 2).select("vslot", "part", "shard", "start")
+    version = newest + 1
+    store_map(spark, path, version, [(*e, s, weight.get(e, 0), count.get(e, 0), start.get(e, 0)) for e, s in new.items()])
+    entries = load_map(spark, path, version).select("vslot", "part", "shard", "start")
 
     # Rows are numbered in cells of bounded size, and the cells of an entry follow each other.
     cells = max(1, -(-sum(count.values()) // (ROWS_PER_CELL * max(1, len(count)))))
@@ -156,5 +200,6 @@ def shard(
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("vslot").alias("virtual_slot"),
-        F.lit(2).alias("map_version"),
+        "part",
+        F.lit(version).alias("map_version"),
     )
