@@ -24,6 +24,7 @@ or negative examples adds no spans; a text may hold any number of spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -40,6 +41,8 @@ TREES, DEPTH = 12, 3
 #: Share of selected held-out candidates of a kind that must be positive.
 PRECISION = 0.9
 CONTEXT = 24
+#: Elements of an array that running results are built up over at once.
+BLOCK = 128
 
 #: The base patterns, in forms that read a text of any length in one pass.
 BASE = {
@@ -85,25 +88,75 @@ CUES = {
 FEATURES = ("length", "digits", "letters", "blanks", "dots", "dashes", "colons", "brackets", "parts", "longest", "kind", "cue", "before", "after")
 
 
+def bound(x: Column, made: Callable[[Column], Column]) -> Column:
+    """``made(x)`` with x evaluated once, whatever number of times lambdas in it refer to it."""
+    return F.get(F.transform(F.array(x), made), F.lit(0))
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """The running results of ``step`` over an array, each element included.
+
+    Blocks of ``BLOCK`` elements run by themselves, then the blocks' last results, so that
+    no array longer than a block, or than the number of blocks, grows by an element a time.
+    """
+
+    def run(part: Column, shifted: bool) -> Column:
+        empty = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def add(acc: Column, x: Column) -> Column:
+            new = step(acc["at"], x)
+            return F.struct(new.alias("at"), F.concat(acc["out"], F.array(acc["at"] if shifted else new)).alias("out"))
+
+        return F.aggregate(part, empty, add, lambda acc: acc["out"])
+
+    def blocks(all_values: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor((F.size(all_values) - 1) / BLOCK).cast("int"))
+        return F.transform(cuts, lambda i: run(F.slice(all_values, i * BLOCK + 1, F.lit(BLOCK)), False))
+
+    def joined(parts: Column) -> Column:
+        heads = run(F.transform(parts, lambda part: F.element_at(part, -1)), True)
+        return F.flatten(F.zip_with(parts, heads, lambda part, head: F.transform(part, lambda x: step(head, x))))
+
+    some = bound(values, lambda v: bound(blocks(v), joined))
+    return F.when(F.size(values) > 0, some).otherwise(F.array().cast("array<int>"))
+
+
 def found(text: Column, pattern: str) -> Column:
     """array<struct<start,end,value>> of a pattern's matches, left to right.
 
-    What lies between the matches comes from a split by the same pattern; starts are
+    What lies between the matches comes from a split by the same pattern; ends are
     running sums of the lengths of both.
     """
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.arrays_zip(values.alias("value"), gaps.alias("gap"))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        first = acc["at"] + F.length(x["gap"])
-        last = first + F.length(x["value"])
-        new = F.array(F.struct(first.alias("start"), last.alias("end"), x["value"].alias("value")))
-        return F.when(x["value"].isNull(), acc).otherwise(F.struct(last.alias("at"), F.concat(acc["out"], new).alias("out")))
+    def placed(values: Column) -> Column:
+        sizes = F.zip_with(values, F.slice(F.split(text, pattern, -1), 1, F.size(values)), lambda v, gap: F.length(v) + F.length(gap))
+        ends = running(sizes, lambda a, b: a + b, F.lit(0))
+        return F.zip_with(values, ends, lambda v, end: F.struct((end - F.length(v)).alias("start"), end.alias("end"), v.alias("value")))
+
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.when(F.size(v) > 0, placed(v)).otherwise(empty))
+
+
+def uncovered(spans: Column, base: Column) -> Column:
+    """(start, end, kind, value) of the spans that lie in no base span, by start.
+
+    Both are sorted together, longer spans and base spans first: a span is covered if a
+    base span before it reaches as far.
+    """
+
+    def mark(s: Column, more: int) -> Column:
+        return F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(more).alias("more"), s["kind"].alias("kind"), s["value"].alias("value"))
+
+    def chosen(both: Column) -> Column:
+        reach = running(F.transform(both, lambda x: F.when(x["more"] == 0, -x["back"]).otherwise(-1)), F.greatest, F.lit(-1))
+        marked = F.zip_with(both, reach, lambda x, far: F.struct(x.alias("x"), far.alias("far")))
+        kept = F.filter(marked, lambda m: (m["x"]["more"] == 1) & (m["far"] < -m["x"]["back"]))
+        return F.transform(
+            kept, lambda m: F.struct(m["x"]["kind"].alias("kind"), m["x"]["start"].alias("start"), (-m["x"]["back"]).alias("end"), m["x"]["value"].alias("value"))
+        )
 
-    return F.when(F.size(values) > 0, F.aggregate(both, start, add, lambda acc: acc["out"])).otherwise(empty)
+    both = F.concat(F.transform(base, lambda s: mark(s, 0)), F.transform(spans, lambda s: mark(s, 1)))
+    return bound(F.sort_array(both), chosen)
 
 
 def luhn(digits: Column) -> Column:
@@ -365,7 +418,7 @@ def find_pii(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("base", base_spans(text))
     if detector.model is not None:
         chosen = detector.selected(text, candidates(text))
-        chosen = F.filter(chosen, lambda c: ~F.exists("base", lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])))
+        chosen = uncovered(chosen, F.col("base"))
         rows = rows.withColumn("more", F.when(text.rlike(ANY_SIGN), chosen).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")))
         rows = rows.withColumn("all", F.concat("base", "more"))
     else:
@@ -373,7 +426,8 @@ def find_pii(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     names = F.lit(list(KINDS))
 
     def named(spans: str) -> Column:
-        ordered = F.array_sort(F.array_distinct(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("k"), s["end"].alias("end")))))
-        return F.transform(ordered, lambda s: F.struct(F.get(names, s["k"]).alias("kind"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")))
+        ordered = F.sort_array(F.transform(F.col(spans), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("k"), s["end"].alias("end"))))
+        once = bound(ordered, lambda o: F.filter(o, lambda s, i: (i == 0) | (s != F.get(o, i - 1))))
+        return F.transform(once, lambda s: F.struct(F.get(names, s["k"]).alias("kind"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end")))
 
     return rows.select("doc_id", named("base").alias("base"), named("all").alias("spans"))

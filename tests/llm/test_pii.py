@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -114,3 +115,34 @@ def test_account_check_digits_and_ipv6_form(spark):
     forms = {"2001:db8:85a3:8d3:1319:8a2e:370:7348": True, "fe80::1:2:3:4": True, "00:1a:2b:3c:4d:5e": False, "1::2::3:4:5": False, "00:11:22:33:44:55:66:77": None}
     got = spark.createDataFrame([(v,) for v in forms], "v string").select("v", P.ipv6(F.col("v")).alias("ok")).collect()
     assert {r.v: r.ok for r in got} == forms
+
+
+def test_running_results_over_many_blocks(spark):
+    rows = [([],), ([5],), (list(range(1, 700)),), ([3, -1, 7, 2] * 300,)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    got = df.select("v", P.running(F.col("v"), lambda a, b: a + b, F.lit(0)).alias("s"), P.running(F.col("v"), F.greatest, F.lit(0)).alias("m")).collect()
+    assert len(got) == 4
+    for r in got:
+        assert r.s == [sum(r.v[: i + 1]) for i in range(len(r.v))]
+        assert r.m == [max([0, *r.v[: i + 1]]) for i in range(len(r.v))]
+
+
+def test_uncovered_spans(spark):
+    rng = random.Random(11)
+    some = lambda n: [(rng.randint(0, 4), a, a + rng.randint(1, 9), "v") for a in (rng.randint(0, 60) for _ in range(n))]
+    rows = [(some(rng.randint(0, 12)), some(rng.randint(0, 12))) for _ in range(60)]
+    span = "array<struct<kind:int,start:int,end:int,value:string>>"
+    df = spark.createDataFrame(rows, f"base {span}, spans {span}")
+    for r in df.select("*", P.uncovered(F.col("spans"), F.col("base")).alias("kept")).collect():
+        want = [s for s in r.spans if not any(b.start <= s.start and s.end <= b.end for b in r.base)]
+        assert sorted(r.kept) == sorted(want)
+
+
+def test_base_spans_of_a_dense_text_take_linear_time(spark):
+    text = "".join(f"user{i}@host{i % 7}.example 10.{i % 256}.0.{i % 99}, " for i in range(28_000))
+    assert len(text) > 1_000_000
+    df = spark.createDataFrame([(text,)], "text string").select(F.transform(P.base_spans(F.col("text")), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("s"))
+    start = time.monotonic()
+    (row,) = df.collect()
+    assert time.monotonic() - start < 30
+    assert sorted((P.KINDS[s.kind], s.start, s.end) for s in row.s) == sorted(brute(text))
