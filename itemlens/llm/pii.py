@@ -117,8 +117,7 @@ def running(values: Column, step: Callable[[Column, Column], Column], zero: Colu
         heads = run(F.transform(parts, lambda part: F.element_at(part, -1)), True)
         return F.flatten(F.zip_with(parts, heads, lambda part, head: F.transform(part, lambda x: step(head, x))))
 
-    some = bound(values, lambda v: bound(blocks(v), joined))
-    return F.when(F.size(values) > 0, some).otherwise(F.array().cast("array<int>"))
+    return bound(values, lambda v: F.when(F.size(v) > 0, bound(blocks(v), joined)).otherwise(F.array().cast("array<int>")))
 
 
 def found(text: Column, pattern: str) -> Column:
