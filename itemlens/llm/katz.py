@@ -1,25 +1,31 @@
-"""Katz backoff language model over word bigrams, trained and evaluated in one flow.
+"""Katz backoff language model over word n-grams, trained and evaluated in one flow.
 
 Tokens are white-space words (A-Z lowered) and one end per text.  With r the count of
-(h, w) in the training texts and c the count of h:
-
-    p(w | h) = d(r) * r / c        if r > 0
-             = alpha(h) * p(w)     if r = 0 and c > 0
-             = p(w)                if c = 0
-    p(w)     = d(r) * r / N        for known words, the mass left for the unknown word
-
-d is the Good-Turing discount for r up to ``CUT`` (an absolute discount where the counts
-of counts don't allow it), and alpha(h) makes each history's probabilities add up to
-exactly one over the known words and one unknown word.
-
-The corpus is cut into chunks of texts.  A chunk asks the unigram table, which is dealt
-into buckets by word, for its words' counts and numbers; then it deals its bigrams to buckets by
-history, where all bigrams of a history meet, are counted and stored as a partitioned
-table.  Once the counts of counts are known, every bucket evaluates its tokens and sends
-sums per text back.  Every table row holds many entries as arrays, so that shuffles move
-few bytes, and no key can be hot: what leaves a chunk is already aggregated, and a
-history that has too many bigrams for one bucket's task is split by word (its count and
-backoff mass are then added up over the parts).
+h w in the training texts, c the count of the history h there, and h' the history
+without its first word (a text's first words have the shorter histories that there are,
+from the start of the text on):
+
+    p(w | h) = d(r) * r / c           if r > 0
+             = alpha(h) * p(w | h')   if r = 0 and c > 0
+             = p(w | h')              if c = 0
+    p(w)     = d(r) * r / N           for known words, the mass left for the unknown word
+
+d is an order's Good-Turing discount for r up to ``CUT`` (an absolute discount where the
+counts of counts don't allow it), and alpha(h) makes each history's probabilities add up
+to exactly one over the known words and one unknown word.
+
+The corpus is cut into chunks of texts.  Order by order, a chunk deals its different
+n-grams to buckets by history.  In a bucket all n-grams of a history meet, are counted and
+stored as one row of the order's table, and every chunk is told the counts and numbers of
+its own n-grams (an n-gram's number is the history of the next order) and the sums behind
+the backoff weights of those histories that it must leave.  With the answers of
+all orders a chunk evaluates its texts token by token, from the words up.  Every row holds
+many entries as packed arrays, so that shuffles move few bytes, and no key can be hot: what
+leaves a chunk is already aggregated, and a history that occurs too often for one bucket's
+task is split by word (the sums of its parts are then added up by a join).
+
+A task holds one chunk (``CHUNK_BYTES`` of text, or one longer text) or one bucket
+(``BUCKET_TOKENS`` tokens' n-grams on average).
 
 Defined cases: a null text is empty (one token, the end); a null id counts as the empty
 text in the choice of training rows; without training texts every token is the unknown
@@ -30,6 +36,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,35 +51,44 @@ from itemlens.session import materialize
 
 CUT = 5
 HELD_MODULUS, HELD_REMAINDER = 7, 2
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+#: Words in an n-gram at most, if the caller doesn't say.
+ORDER = 3
 #: Text bytes that are cut into words at once.
 WORD_BYTES = 2 << 20
 #: Tokens that one bucket's task holds, on average.
-BUCKET_TOKENS = 6_000_000
+BUCKET_TOKENS = 2_000_000
 #: A history with so many occurrences, or a multiple, is split into more parts.
-SPLIT_TOKENS = 750_000
+SPLIT_TOKENS = 250_000
 MIN_BUCKETS = 24
-#: Split histories' figures are broadcast up to so many rows, else joined.
-BROADCAST_ROWS = 100_000
-START = np.uint64(0x5357A5357A5357A1)
 END = np.uint64(0xE0DE0DE0DE0DE0D3)
 
 
+#: How a history's n-grams are discounted: as usual, by a fixed part (no count is small
+#: enough for a Good-Turing discount), not at all (nothing is left to back off to); by the
+#: sums over its parts; or no training text has the history.
+USUAL, FLAT, FULL, SPLIT, UNSEEN = range(5)
+
+
 def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes())
+    """Whole numbers from zero on in as few bytes as the largest takes, equal places together."""
+    width = next(n for n in (1, 2, 4, 8) if n == 8 or int(x.max(initial=0)) < 256**n)
+    planes = x.astype(f"u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def unpack(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"u{data[0]}").ravel().astype(np.int64)
 
 
 def pack_rising(x: np.ndarray) -> bytes:
-    """Rising integers as packed steps, about a byte each where they lie close."""
+    """Rising whole numbers as packed steps, about a byte each where they lie close."""
     return pack(np.diff(x.astype(np.int64), prepend=0))
 
 
 def unpack_rising(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data, np.int64))
+    return np.cumsum(unpack(data))
 
 
 def bucket_of(x: np.ndarray, n: int) -> np.ndarray:
@@ -125,12 +141,18 @@ def _held(doc_ids: list) -> np.ndarray:
     return np.array([zlib.crc32(str("" if i is None else i).encode()) % HELD_MODULUS == HELD_REMAINDER for i in doc_ids], bool)
 
 
-CHUNK = "chunk long, texts long, tokens long, doc_ids array<long>, vocab binary, counts binary, lengths binary, codes binary"
+CHUNK = "chunk long, texts long, tokens long, doc_ids array<long>, vocab binary, counts binary, others binary, lengths binary, codes binary"
+_CHUNK_TYPES = [*[pa.int64()] * 3, pa.list_(pa.int64()), *[pa.binary()] * 5]
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """One row per chunk: its words (sorted), their counts in training texts, and the
-    texts as word numbers (the end included)."""
+    """One row per chunk: its words (sorted), how often each occurs in training and in
+    other texts, the number of training texts, and the texts as places in the words (the
+    end included)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -142,29 +164,56 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 hashes = np.concatenate([np.insert(w.hashes, w.offsets[1:], END) for w in pieces])
                 del pieces
                 vocab, codes = np.unique(hashes, return_inverse=True)
-                train = np.repeat(~_held(ids), n + 1)
-                counts = np.bincount(codes[train], minlength=len(vocab))
-                row = [[number], [len(ids)], [len(codes)], [ids], [vocab.tobytes()], [pack(counts.astype(np.int32))], [pack((n + 1).astype(np.int32))], [pack(codes.astype(np.int32))]]
-                types = [*[pa.int64()] * 3, pa.list_(pa.int64()), *[pa.binary()] * 4]
-                names = ["chunk", "texts", "tokens", "doc_ids", "vocab", "counts", "lengths", "codes"]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=names)
+                held = _held(ids)
+                train = np.repeat(~held, n + 1)
+                counts, others = (np.bincount(codes[x], minlength=len(vocab)) for x in (train, ~train))
+                row = [number, int((~held).sum()), len(codes), ids, vocab.tobytes(), pack(counts), pack(others), pack(n + 1), pack(codes)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _CHUNK_TYPES, strict=True)], names=_names(CHUNK))
                 number += 1
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CHUNK)
 
 
-REPLY = "bucket int, chunk long, counts binary, numbers binary, words binary, size long, tokens long, types long, of_counts array<long>"
+#: What a chunk is told by a bucket of one order.  ``mode``, ``sums`` and ``mass`` are of
+#: its histories there: all of them, or those that it must leave.
+_TOLD = "level int, bucket int, chunk long, counts binary, others binary, numbers binary, mode binary, sums binary, mass binary"
+_SUMS = "array<struct<history:long,sums:array<double>>>"
+_TABLE = "history binary, fan binary, words binary, r binary, seen_mass binary, tokens long, types long, of_counts array<long>"
+#: One row per chunk and bucket, and the bucket's own table where ``chunk`` is null.
+REPLY = f"{_TOLD}, split array<long>, {_TABLE}, parts {_SUMS}"
+_REPLY_FIELDS = pa.schema(
+    [("level", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64())]
+    + [(c, pa.binary()) for c in ("counts", "others", "numbers", "mode", "sums", "mass")]
+    + [("split", pa.list_(pa.int64()))]
+    + [(c, pa.binary()) for c in ("history", "fan", "words", "r", "seen_mass")]
+    + [("tokens", pa.int64()), ("types", pa.int64()), ("of_counts", pa.list_(pa.int64()))]
+    + [("parts", pa.list_(pa.struct([("history", pa.int64()), ("sums", pa.list_(pa.float64()))])))]
+)
+
+
+def _replies(rows: list[dict]) -> pa.Table:
+    return pa.table({f.name: pa.array([r.get(f.name) for r in rows], f.type) for f in _REPLY_FIELDS}, schema=_REPLY_FIELDS)
+
+
+def _of_counts(r: np.ndarray) -> list[int]:
+    return [0, *(int((r == k).sum()) for k in range(1, CUT + 2))]
+
+
+def numbered(bucket: int, place: np.ndarray) -> np.ndarray:
+    """Numbers of a bucket's entries: they rise with the buckets and the places there."""
+    return (np.int64(bucket) << np.int64(32)) + place
 
 
 def _unigram_counts(chunks: DataFrame, buckets: int) -> DataFrame:
-    """For every chunk and bucket the training counts of the chunk's words there, and
-    their numbers in the bucket's table, which rise with the words' hashes; and for every
-    bucket (chunk null) the table itself, its totals and counts of counts."""
+    """The table of words, and for every chunk and bucket the counts of the chunk's words
+    there and their numbers, which rise with the words' hashes."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, vocab, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "vocab", "counts")), strict=True):
-                vocab, counts = np.frombuffer(vocab, np.uint64), unpack(counts, np.int32)
+            for i in range(batch.num_rows):
+                chunk, vocab, counts, others = (batch.column(c)[i].as_py() for c in ("chunk", "vocab", "counts", "others"))
+                vocab, counts, others = np.frombuffer(vocab, np.uint64), unpack(counts), unpack(others)
                 cut = np.searchsorted(bucket_of(vocab, buckets), np.arange(buckets + 1))
                 rows = [(b, cut[b], cut[b + 1]) for b in range(buckets) if cut[b] < cut[b + 1]]
                 yield pa.RecordBatch.from_arrays(
@@ -173,281 +222,319 @@ def _unigram_counts(chunks: DataFrame, buckets: int) -> DataFrame:
                         pa.array([chunk] * len(rows), pa.int64()),
                         pa.array([vocab[x:y].tobytes() for _, x, y in rows], pa.binary()),
                         pa.array([pack(counts[x:y]) for _, x, y in rows], pa.binary()),
+                        pa.array([pack(others[x:y]) for _, x, y in rows], pa.binary()),
                     ],
-                    names=["bucket", "chunk", "words", "counts"],
+                    names=["bucket", "chunk", "words", "counts", "others"],
                 )
 
     def answer(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         asked = [np.frombuffer(x, np.uint64) for x in group.column("words").to_pylist()]
         table, place = np.unique(np.concatenate(asked), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([unpack(x, np.int32) for x in group.column("counts").to_pylist()]), minlength=len(table)).astype(np.int64)
-        ends = np.cumsum([len(x) for x in asked])
-        mine = [place[b - len(x) : b] for x, b in zip(asked, ends.tolist(), strict=True)]
-        n = len(mine)
-        of = [0, *(int((total == r).sum()) for r in range(1, CUT + 2))]
-        return pa.table(
-            {
-                "bucket": pa.array([bucket] * (n + 1), pa.int32()),
-                "chunk": pa.array([*group.column("chunk").to_pylist(), None], pa.int64()),
-                "counts": pa.array([*(pack(total[x]) for x in mine), pack(total)], pa.binary()),
-                "numbers": pa.array([*(pack_rising(x) for x in mine), None], pa.binary()),
-                "words": pa.array([None] * n + [table.tobytes()], pa.binary()),
-                "size": pa.array([None] * n + [len(table)], pa.int64()),
-                "tokens": pa.array([None] * n + [int(total.sum())], pa.int64()),
-                "types": pa.array([None] * n + [int((total > 0).sum())], pa.int64()),
-                "of_counts": pa.array([None] * n + [of], pa.list_(pa.int64())),
-            }
-        )
-
-    asked = chunks.select("chunk", "vocab", "counts").mapInArrow(ask, "bucket int, chunk long, words binary, counts binary")
+        r, o = (_added(group, c, place, len(table)) for c in ("counts", "others"))
+        rows, at = [], 0
+        for chunk, own in zip(group.column("chunk").to_pylist(), asked, strict=True):
+            mine = place[at : at + len(own)]
+            at += len(own)
+            rows.append({"level": 1, "bucket": bucket, "chunk": chunk, "counts": pack(r[mine]), "others": pack(o[mine]), "numbers": pack_rising(numbered(bucket, mine))})
+        rows.append({"level": 1, "bucket": bucket, "words": table.tobytes(), "r": pack(r), "tokens": int(r.sum()), "types": int((r > 0).sum()), "of_counts": _of_counts(r)})
+        return _replies(rows)
+
+    asked = chunks.select("chunk", "vocab", "counts", "others").mapInArrow(ask, "bucket int, chunk long, words binary, counts binary, others binary")
     return asked.groupBy("bucket").applyInArrow(answer, REPLY)
 
 
-DEALT = "bucket int, own long, chunk long, known array<long>, base array<double>, doc_ids array<long>, lengths binary, history binary, fan binary, words binary, p binary, word binary, times binary, docs binary, held binary, split binary"
-_DEALT_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64()), *[pa.binary()] * 10]
-_DEALT_NAMES = [c.split()[0] for c in DEALT.split(", ")]
+def _added(group: pa.Table, column: str, place: np.ndarray, n: int) -> np.ndarray:
+    each = np.concatenate([unpack(x) for x in group.column(column).to_pylist()])
+    return np.bincount(place, weights=each, minlength=n).astype(np.int64)
 
 
-def _deal(chunks: DataFrame, model: Unigrams, sizes: list[int], texts: int) -> DataFrame:
-    """Bigrams of every chunk by history: per bucket the histories and how many bigrams
-    each has (``fan``), the bigrams' words (places in ``words``, with their p), how
-    often each occurs (``times``) and in which text of the chunk (``docs``).  Bucket -1
-    rows carry the texts' own figures.  A history with very many occurrences is dealt to
-    several buckets, by the word that follows.  Words go by their numbers in the whole
-    unigram table, whose buckets hold ``sizes`` words; the start of a text comes last."""
-    buckets, offsets = len(sizes), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+@dataclass
+class Level:
+    """A chunk's different n-grams of one order, by bucket, history and word, and what the
+    tables say of them.  A run is a history's n-grams in one bucket."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = ("chunk", "doc_ids", "vocab", "lengths", "codes", "replies")
-            for chunk, ids, vocab, lengths, codes, replies in zip(*(batch.column(c).to_pylist() for c in cols), strict=True):
-                vocab = np.frombuffer(vocab, np.uint64)
-                lengths, codes = unpack(lengths, np.int32), unpack(codes, np.int32)
-                replies = sorted(replies, key=lambda r: r["bucket"])
-                counts = np.concatenate([unpack(r["counts"], np.int64) for r in replies])
-                numbers = np.concatenate([offsets[r["bucket"]] + unpack_rising(r["numbers"]) for r in replies])
-                numbers = np.append(numbers, offsets[-1])
-                doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
-                known = np.bincount(doc, weights=counts[codes] > 0, minlength=len(ids)).astype(np.int64)
-                base = np.bincount(doc, weights=model.base(counts)[codes], minlength=len(ids))
-                rows = [[-1, chunk, chunk, known.tolist(), base.tolist(), ids, pack(lengths), *[None] * 9]]
-                held = np.packbits(_held(ids)).tobytes()
-                p = model.p(counts)
-                # Number of the word before, len(vocab) for the start of a text.
-                before = np.empty_like(codes)
-                before[1:] = codes[:-1]
-                before[np.cumsum(lengths) - lengths] = len(vocab)
-                hashes = mix64(np.append(vocab, START))
-                parts = 1 + np.append(counts, texts) // SPLIT_TOKENS
-                spread = hashes[before]
-                if (parts > 1).any():
-                    spread = mix64(spread + mix64(vocab)[codes] % parts[before].astype(np.uint64))
-                place = bucket_of(spread, buckets)
-                order = np.lexsort((doc, codes, before, place))
-                place, before, codes, doc = place[order], before[order], codes[order], doc[order]
-                cut = np.searchsorted(place, np.arange(buckets + 1))
-                for b in range(buckets):
-                    x, y = int(cut[b]), int(cut[b + 1])
-                    if x == y:
-                        continue
-                    h, w = before[x:y], codes[x:y]
-                    new_h = np.concatenate([[True], h[1:] != h[:-1]])
-                    new = new_h | np.concatenate([[True], w[1:] != w[:-1]])
-                    first = np.flatnonzero(new)
-                    fan = np.diff(np.append(np.flatnonzero(new_h[first]), len(first)))
-                    own, number = np.unique(w[first], return_inverse=True)
-                    rows.append(
-                        [
-                            b,
-                            None,
-                            chunk,
-                            *[None] * 4,
-                            pack_rising(numbers[h[new_h]]),
-                            pack(fan.astype(np.int32)),
-                            pack_rising(numbers[own]),
-                            pack(p[own]),
-                            pack(number.astype(np.int32)),
-                            pack(np.diff(np.append(first, y - x)).astype(np.int32)),
-                            pack(doc[x:y]),
-                            held,
-                            pack(parts[h[new_h]] > 1),
-                        ]
-                    )
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _DEALT_TYPES, strict=True)], names=_DEALT_NAMES)
-
-    return chunks.mapInArrow(run, DEALT)
-
-
-_OWN = "chunk long, known array<long>, base array<double>, doc_ids array<long>, lengths binary"
-_SPLIT = "array<struct<number:int,history:long,stats:array<double>>>"
-TABLE = (
-    f"bucket int, {_OWN}, history binary, words binary, p binary, h binary, w binary, r binary, "
-    f"chunks array<long>, sizes binary, entry binary, docs binary, of_counts array<long>, split {_SPLIT}"
-)
-_LONGS, _DOUBLES = pa.list_(pa.int64()), pa.list_(pa.float64())
-_SPLIT_TYPE = pa.list_(pa.struct([("number", pa.int32()), ("history", pa.int64()), ("stats", _DOUBLES)]))
-_TABLE_FIELDS = pa.schema(
-    [("bucket", pa.int32()), ("chunk", pa.int64()), ("known", _LONGS), ("base", _DOUBLES), ("doc_ids", _LONGS), ("lengths", pa.binary())]
-    + [(c, pa.binary()) for c in ("history", "words", "p", "h", "w", "r")]
-    + [("chunks", _LONGS), ("sizes", pa.binary()), ("entry", pa.binary()), ("docs", pa.binary()), ("of_counts", _LONGS), ("split", _SPLIT_TYPE)]
-)
+    local: np.ndarray  # per token: its n-gram, -1 where the text is too short for one
+    number: np.ndarray
+    count: np.ndarray
+    other: np.ndarray
+    low: np.ndarray | None = None  # per n-gram: the one of the order below (its first word gone)
+    history: np.ndarray | None = None  # per n-gram: its history, an n-gram of the order below
+    word: np.ndarray | None = None  # per n-gram: its last word
+    bucket: np.ndarray | None = None
+    run: np.ndarray | None = None
+    head: np.ndarray | None = None  # per run: its first n-gram
+    c: np.ndarray | None = None  # per run: the history's count
+    mode: np.ndarray | None = None
+    left: np.ndarray | None = None  # runs that have figures for a backoff weight,
+    sums: np.ndarray | None = None  # and these: words seen by count 1 to CUT, words seen, their p one order below
 
 
-def _count(group: pa.Table) -> pa.Table:
-    """The bigram table of one bucket, and where its bigrams occur (or a chunk's own row)."""
-    fields = _TABLE_FIELDS
-    bucket = group.column("bucket")[0].as_py()
-    if bucket < 0:
-        own = {c: group.column(c) for c in ("bucket", "chunk", "known", "base", "doc_ids", "lengths")}
-        return pa.table({f.name: own[f.name] if f.name in own else pa.nulls(group.num_rows, f.type) for f in fields}, schema=fields)
-    cols = {c: group.column(c).to_pylist() for c in ("history", "fan", "words", "p", "word", "times", "docs", "held", "chunk", "split")}
-    histories = [unpack_rising(x) for x in cols["history"]]
-    owned = [unpack_rising(x) for x in cols["words"]]
-    history, h_first, h_no = np.unique(np.concatenate(histories), return_index=True, return_inverse=True)
-    known, w_first, w_no = np.unique(np.concatenate(owned), return_index=True, return_inverse=True)
-    p = np.concatenate([unpack(x, np.float64) for x in cols["p"]])[w_first]
-    split = np.concatenate([unpack(x, bool) for x in cols["split"]])[h_first]
-    key, times, docs, train, sizes = [], [], [], [], []
-    h_at = w_at = 0
-    for i, (fan, word, time, doc, held) in enumerate(zip(*(cols[c] for c in ("fan", "word", "times", "docs", "held")), strict=True)):
-        fan, word, time, doc = (unpack(x, np.int32) for x in (fan, word, time, doc))
-        h = np.repeat(h_no[h_at : h_at + len(histories[i])], fan)
-        key.append(h * len(known) + w_no[w_at : w_at + len(owned[i])][word])
-        h_at, w_at = h_at + len(histories[i]), w_at + len(owned[i])
-        times.append(time)
-        docs.append(doc)
-        sizes.append(len(doc))
-        train.append(np.unpackbits(np.frombuffer(held, np.uint8))[doc] == 0)
-    bigrams, entry = np.unique(np.concatenate(key), return_inverse=True)
-    entry = np.repeat(entry.astype(np.int32), np.concatenate(times))
-    r = np.bincount(entry[np.concatenate(train)], minlength=len(bigrams))
-    h, w = np.divmod(bigrams, len(known))
-    stats = history_stats(h, r, p[w], len(history))
-    row = {
-        "bucket": bucket,
-        "history": pack_rising(history),
-        "words": pack_rising(known),
-        "p": pack(p),
-        "h": pack(h.astype(np.int32)),
-        "w": pack(w.astype(np.int32)),
-        "r": pack(r.astype(np.int32)),
-        "chunks": cols["chunk"],
-        "sizes": pack(np.array(sizes, np.int64)),
-        "entry": pack(entry),
-        "docs": pack(np.concatenate(docs)),
-        "of_counts": [0, *(int((r == k).sum()) for k in range(1, CUT + 2))],
-        "split": [{"number": i, "history": int(history[i]), "stats": stats[i].tolist()} for i in np.flatnonzero(split).tolist()],
-    }
-    return pa.table({f.name: pa.array([row.get(f.name)], f.type) for f in fields}, schema=fields)
-
-
-def history_stats(h: np.ndarray, r: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
-    """Per history: occurrences, p of the words seen, words seen, and words by count up
-    to ``CUT``.  The figures of a history's parts add up."""
-    cols = [np.bincount(h, weights=r, minlength=n), np.bincount(h, weights=np.where(r > 0, p, 0), minlength=n), np.bincount(h, weights=r > 0, minlength=n)]
-    cols += [np.bincount(h, weights=r == k, minlength=n) for k in range(1, CUT + 1)]
-    return np.stack(cols, 1)
-
-
-def log_probabilities(h: np.ndarray, r: np.ndarray, p: np.ndarray, stats: np.ndarray, d: np.ndarray, absolute: float) -> np.ndarray:
-    """log10 p(w | h) of bigrams (history number, training count, p of the word), from
-    the figures of their whole histories."""
-    c, lower, seen = stats[:, 0], stats[:, 1], stats[:, 2]
-    left = (stats[:, 3:] * (np.arange(1, CUT + 1) * (1 - d[1:]))).sum(1)
-    # Histories whose counts are all too large to be discounted lose a fixed part of each,
-    # and where every word has been seen there is nothing to back off to.
-    flat = (c > 0) & (left <= 0)
-    full = (c > 0) & (1 - lower <= 1e-12)
-    left = np.where(full, 0.0, np.where(flat, absolute * seen, left))
-    star = np.where(full[h], r, np.where(flat[h], r - absolute, discounted(r, d)))
+def seen_p(r: np.ndarray, c: np.ndarray, mode: np.ndarray, d: np.ndarray, absolute: float) -> np.ndarray:
+    """p(w | h) of n-grams that training texts have."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        alpha = np.where(c > 0, left / c / (1 - lower), 1.0)
-        return np.log10(np.where(r > 0, star / c[h], alpha[h] * p))
+        return np.where(mode == FULL, r, np.where(mode == FLAT, r - absolute, discounted(r, d))) / c
+
+
+def modes(sums: np.ndarray) -> np.ndarray:
+    few, seen, mass = sums[:, :CUT].sum(1), sums[:, CUT], sums[:, CUT + 1]
+    return np.where(seen == 0, UNSEEN, np.where(1 - mass <= 1e-12, FULL, np.where(few == 0, FLAT, USUAL)))
+
+
+class Chunk:
+    """A chunk's tokens, and its n-grams of every order that has been answered."""
+
+    def __init__(self, own: pa.Table, told: pa.Table, texts: int, buckets: int, split_tokens: int):
+        row = {c: own.column(c)[0].as_py() for c in ("doc_ids", "vocab", "lengths", "codes")}
+        self.buckets, self.split_tokens = buckets, split_tokens
+        self.ids, self.lengths, self.codes = row["doc_ids"], unpack(row["lengths"]), unpack(row["codes"])
+        self.words = len(row["vocab"]) // 8
+        self.held = _held(self.ids)
+        self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
+        self.place = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        rows = told.to_pylist()
+        answers = sorted((r for r in rows if r["level"] == 1), key=lambda r: r["bucket"])
+        number, count, other = (np.concatenate([f(r[c]) for r in answers]) for f, c in ((unpack_rising, "numbers"), (unpack, "counts"), (unpack, "others")))
+        # The start of a text comes after all words.
+        start = numbered(buckets, 0)
+        self.levels = [Level(self.codes, np.append(number, start), np.append(count, texts), np.append(other, 0))]
+        for k in range(2, max(r["level"] for r in rows) + 1):
+            self.add_level()
+            self.learn([r for r in rows if r["level"] == k])
+
+    def add_level(self) -> None:
+        """The n-grams of the next order, which no bucket has answered yet."""
+        below, base, k = self.levels[-1], self.levels[0], len(self.levels) + 1
+        at = np.flatnonzero(self.place >= k - 2)
+        history = np.where(self.place[at] == 0, self.words, below.local[at - 1])
+        keys, each = np.unique(history * self.words + self.codes[at], return_inverse=True)
+        h, w = np.divmod(keys, max(self.words, 1))
+        spread = mix64(below.number[h].astype(np.uint64))
+        parts = 1 + (below.count + below.other)[h] // self.split_tokens
+        if (parts > 1).any():
+            spread = np.where(parts > 1, mix64(spread + mix64(base.number[w].astype(np.uint64)) % parts.astype(np.uint64)), spread)
+        bucket = bucket_of(spread, self.buckets)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        each, h, w, bucket = rank[each], h[order], w[order], bucket[order]
+        local = np.full(len(self.codes), -1)
+        local[at] = each
+        low = np.empty(len(keys), np.int64)
+        low[each] = below.local[at]
+        train = ~self.held[self.doc[at]]
+        new = np.ones(len(keys), bool)
+        new[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
+        count, other = (np.bincount(each[x], minlength=len(keys)) for x in (train, ~train))
+        head = np.flatnonzero(new)
+        self.levels.append(Level(local, None, count, other, low, h, w, bucket, np.cumsum(new) - 1, head, below.count[h[head]]))
+
+    def asks(self) -> list[dict]:
+        """Rows for the buckets, from the newest order's n-grams: histories, how many
+        n-grams each has, their words, how often they occur in training and other texts
+        and, of the n-grams one order below, the counts and their histories' figures."""
+        level, below, base = self.levels[-1], self.levels[-2], self.levels[0]
+        cut = np.searchsorted(level.bucket, np.arange(self.buckets + 1))
+        runs = np.searchsorted(level.head, cut)
+        split = (below.count + below.other)[level.history[level.head]] >= self.split_tokens
+        rows = []
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            x, y, heads = cut[b], cut[b + 1], slice(runs[b], runs[b + 1])
+            head = level.head[heads]
+            lower = below.run[level.low[head]] if below.run is not None else None
+            rows.append(
+                {
+                    "bucket": b,
+                    "history": pack_rising(below.number[level.history[head]]),
+                    "fan": pack(np.diff(np.append(head, y))),
+                    "words": pack(base.number[level.word[x:y]]),
+                    "counts": pack(level.count[x:y]),
+                    "others": pack(level.other[x:y]),
+                    "low": pack(below.count[level.low[x:y]]),
+                    "low_c": None if lower is None else pack(below.c[lower]),
+                    "low_mode": None if lower is None else pack(below.mode[lower]),
+                    "split": pack(split[heads]),
+                }
+            )
+        return rows
+
+    def learn(self, rows: list[dict]) -> None:
+        """Take the buckets' answers for the newest order."""
+        level, below = self.levels[-1], self.levels[-2]
+        answers = sorted((r for r in rows if r["bucket"] is not None), key=lambda r: r["bucket"])
+        level.count, level.other, level.mode = (np.concatenate([np.zeros(0, np.int64), *(unpack(r[c]) for r in answers)]) for c in ("counts", "others", "mode"))
+        level.number = np.concatenate([np.zeros(0, np.int64), *(unpack_rising(r["numbers"]) for r in answers if r["numbers"])])
+        told = [np.column_stack([unpack(r["sums"]).reshape(-1, CUT + 1), np.frombuffer(r["mass"])]) for r in answers]
+        level.left = np.flatnonzero(self.leaving())
+        level.sums = np.concatenate([np.zeros((0, CUT + 2)), *told])
+        whole = {s["history"]: s["sums"] for r in rows for s in r["whole"] or ()}
+        if whole:
+            split = np.flatnonzero(level.mode == SPLIT)
+            sums = np.array([whole[h] for h in below.number[level.history[level.head[split]]].tolist()])
+            level.mode[split] = modes(sums)
+            level.left, level.sums = np.append(level.left, split), np.concatenate([level.sums, sums])
+
+    def leaving(self) -> np.ndarray:
+        """Which of the newest order's runs a text leaves for the order below."""
+        level = self.levels[-1]
+        return leaving(level.run, level.count, level.mode)
+
+    def scores(self, model: Unigrams, discounts_of: list[tuple[np.ndarray, float]]) -> np.ndarray:
+        """log10 probability of every text."""
+        total = np.log10(model.p(self.levels[0].count))[self.codes]
+        for level, (d, absolute) in zip(self.levels[1:], discounts_of, strict=True):
+            n, seen, mass = level.sums[:, :CUT], level.sums[:, CUT], level.sums[:, CUT + 1]
+            mode = level.mode[level.left]
+            left = np.where(mode == FLAT, absolute * seen, (n * (np.arange(1, CUT + 1) * (1 - d[1:]))).sum(1))
+            weight = np.zeros(len(level.head))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                weight[level.left] = np.log10(np.where(mode == FULL, 0.0, left / level.c[level.left] / (1 - mass)))
+                weight[level.mode == UNSEEN] = 0.0
+                found = np.log10(seen_p(level.count, level.c[level.run], level.mode[level.run], d, absolute))
+            at = np.flatnonzero(level.local >= 0)
+            gram = level.local[at]
+            total[at] = np.where(level.count[gram] > 0, found[gram], weight[level.run[gram]] + total[at])
+        return np.bincount(self.doc, weights=total, minlength=len(self.ids))
+
+
+def leaving(run: np.ndarray, count: np.ndarray, mode: np.ndarray) -> np.ndarray:
+    """Runs with an n-gram that no training text has, and a weight of their own for it."""
+    return (np.bincount(run, weights=count == 0, minlength=len(mode)) > 0) & ((mode == USUAL) | (mode == FLAT))
+
+
+ASK = "bucket int, chunk long, history binary, fan binary, words binary, counts binary, others binary, low binary, low_c binary, low_mode binary, split binary"
+_ASK_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 9]
+
+
+def _counts(asked: DataFrame, level: int, last: bool, model: Unigrams, below: tuple[np.ndarray, float] | None) -> DataFrame:
+    """The table of an order, and the answers to the chunks."""
 
+    def answer(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        cols = {c: [None if x is None else unpack(x) for x in group.column(c).to_pylist()] for c in ("fan", "words", "low_c", "low_mode", "split")}
+        histories = [unpack_rising(x) for x in group.column("history").to_pylist()]
+        history, first, h_no = np.unique(np.concatenate(histories), return_index=True, return_inverse=True)
+        split = np.concatenate(cols["split"])[first] > 0
+        known, word = np.unique(np.concatenate(cols["words"]), return_inverse=True)
+        fans = np.concatenate(cols["fan"])
+        grams, entry = np.unique(np.repeat(h_no, fans) * len(known) + word, return_inverse=True)
+        h, w = np.divmod(grams, len(known))
+        del word
+        r, o = (_added(group, c, entry, len(grams)) for c in ("counts", "others"))
+        low = np.empty(len(grams), np.int64)
+        low[entry] = np.concatenate([unpack(x) for x in group.column("low").to_pylist()])
+        if below is None:
+            p = model.p(low)
+        else:
+            c, mode = (np.concatenate(cols[x])[first] for x in ("low_c", "low_mode"))
+            p = seen_p(low, c[h], mode[h], *below)
+        n = len(history)
+        sums = np.stack([*(np.bincount(h[r == k], minlength=n) for k in range(1, CUT + 1)), np.bincount(h[r > 0], minlength=n), np.bincount(h, weights=np.where(r > 0, p, 0), minlength=n)], 1).astype(float)
+        mode = np.where(split, SPLIT, modes(sums))
+        rows, at, run_at = [], 0, 0
+        for i, chunk in enumerate(group.column("chunk").to_pylist()):
+            runs = h_no[run_at : run_at + len(histories[i])]
+            mine = entry[at : at + len(cols["words"][i])]
+            leave = runs[leaving(np.repeat(np.arange(len(runs)), cols["fan"][i]), r[mine], mode[runs])]
+            rows.append(
+                {
+                    "level": level,
+                    "bucket": bucket,
+                    "chunk": chunk,
+                    "counts": pack(r[mine]),
+                    "others": pack(o[mine] if not last else np.zeros(0, np.int64)),
+                    "numbers": None if last else pack_rising(numbered(bucket, mine)),
+                    "mode": pack(mode[runs]),
+                    "sums": pack(sums[leave, : CUT + 1].ravel()),
+                    "mass": sums[leave, CUT + 1].tobytes(),
+                    "split": history[runs[split[runs]]].tolist(),
+                }
+            )
+            at, run_at = at + len(mine), run_at + len(runs)
+        kept = r > 0
+        of = np.flatnonzero(sums[:, CUT] > 0)
+        rows.append(
+            {
+                "level": level,
+                "bucket": bucket,
+                "history": pack_rising(history[of]),
+                "fan": pack(sums[of, CUT]),
+                "words": pack(known[w[kept]]),
+                "r": pack(r[kept]),
+                "seen_mass": sums[of, CUT + 1].tobytes(),
+                "tokens": int(r.sum()),
+                "types": int(kept.sum()),
+                "of_counts": _of_counts(r),
+                "parts": [{"history": int(history[i]), "sums": sums[i].tolist()} for i in np.flatnonzero(split).tolist()],
+            }
+        )
+        pa.default_memory_pool().release_unused()
+        return _replies(rows)
 
-def _evaluate(table: DataFrame, d: np.ndarray, absolute: float) -> DataFrame:
-    """(chunk, docs, sums): log probabilities added up per text of a chunk and bucket."""
-    wanted = ["history", "p", "h", "w", "r", "chunks", "sizes", "entry", "docs", "whole"]
+    return asked.groupBy("bucket").applyInArrow(answer, REPLY)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in wanted}
-                h, w, r = (unpack(row[c], np.int32) for c in ("h", "w", "r"))
-                r, p = r.astype(np.int64), unpack(row["p"], np.float64)[w]
-                stats = history_stats(h, r, p, len(unpack_rising(row["history"])))
-                for whole in row["whole"] or []:
-                    stats[whole["number"]] = whole["stats"]
-                score = log_probabilities(h, r, p, stats, d, absolute)
-                entry, docs, at = unpack(row["entry"], np.int32), unpack(row["docs"], np.int32), 0
-                out = []
-                for chunk, size in zip(row["chunks"], unpack(row["sizes"], np.int64).tolist(), strict=True):
-                    some = docs[at : at + size]
-                    total = np.bincount(some, weights=score[entry[at : at + size]])
-                    there = np.flatnonzero(np.bincount(some))
-                    out.append((chunk, pack(there.astype(np.int32)), total[there].tobytes()))
-                    at += size
-                chunk, there, total = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(there, pa.binary()), pa.array(total, pa.binary())], names=["chunk", "docs", "sums"])
-
-    return table.select(*wanted).mapInArrow(run, "chunk long, docs binary, sums binary")
+
+def _told(replies: DataFrame) -> DataFrame:
+    """What chunks are told: the answers, and the sums of split histories' parts."""
+    told = replies.where("chunk is not null")
+    parts = replies.where("chunk is null").select(F.explode("parts").alias("part")).select("part.*")
+    total = parts.groupBy("history").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(CUT + 2)]).alias("sums"))
+    # A history is told once, however many buckets its parts are in.
+    wanted = told.select("level", "chunk", F.explode("split").alias("history")).distinct()
+    whole = wanted.join(total, "history").groupBy("level", "chunk").agg(F.collect_list(F.struct("history", "sums")).alias("whole"))
+    return told.select(*_names(_TOLD)).unionByName(whole, allowMissingColumns=True)
+
+
+def _discounts(replies: DataFrame) -> tuple[int, int, dict[int, int]]:
+    """An order's tokens, types and counts of counts."""
+    of = [F.sum(F.get("of_counts", F.lit(r))).alias(f"n{r}") for r in range(1, CUT + 2)]
+    row = replies.where("chunk is null").select(F.sum("tokens").alias("n"), F.sum("types").alias("v"), *of).first()
+    return row.n or 0, row.v or 0, {r: row[f"n{r}"] or 0 for r in range(1, CUT + 2)}
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _texts(own: pa.Table, sums: pa.Table) -> pa.Table:
-    ids = own.column("doc_ids")[0].as_py()
-    score = np.zeros(len(ids))
-    for docs, total in zip(sums.column("docs").to_pylist(), sums.column("sums").to_pylist(), strict=True):
-        score[unpack(docs, np.int32)] += np.frombuffer(total)
-    return pa.table(
-        {
-            "doc_id": pa.array(ids, pa.int64()),
-            "held_out": pa.array(_held(ids)),
-            "n_tokens": pa.array(unpack(own.column("lengths")[0].as_py(), np.int32).astype(np.int64)),
-            "n_known": pa.array(own.column("known")[0].as_py(), pa.int64()),
-            "base_score": pa.array(own.column("base")[0].as_py(), pa.float64()),
-            "score": pa.array(score),
-        }
-    )
-
-
-def katz_scores(docs: DataFrame) -> DataFrame:
+def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of
-    every text, by a model of the texts that aren't held out."""
+    every text, by a model of n-grams up to ``order`` words from the texts that aren't
+    held out."""
+    if order < 1:
+        raise ValueError(f"order must be at least 1, not {order}")
     spark = docs.sparkSession
+    split_tokens = SPLIT_TOKENS
     chunks = materialize(_chunks(docs), "katz-chunks")
     size = chunks.agg(F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts")).first()
     tokens, texts = size.tokens or 0, size.texts or 0
     buckets = max(1, min(partitions(spark), MIN_BUCKETS), tokens // BUCKET_TOKENS)
-    replies = materialize(_unigram_counts(chunks, buckets), "katz-unigrams")
-    of = [F.sum(F.get("of_counts", F.lit(r))).alias(f"n{r}") for r in range(1, CUT + 2)]
-    totals = replies.where("chunk is null").select(F.sum("tokens").alias("n"), F.sum("types").alias("v"), *of).first()
-    model = Unigrams(totals.n or 0, totals.v or 0, {r: totals[f"n{r}"] or 0 for r in range(1, CUT + 2)})
-
-    found = {r.bucket: r["size"] for r in replies.where("chunk is null").select("bucket", "size").collect()}
-    sizes = [found.get(b, 0) for b in range(buckets)]
+    replies = materialize(_unigram_counts(chunks, buckets), "katz-1")
+    model = Unigrams(*_discounts(replies))
+    told = _told(replies)
+    own = chunks.select("chunk", "doc_ids", "vocab", "lengths", "codes").groupBy("chunk")
+    found: list[tuple[np.ndarray, float]] = []
+    for level in range(2, order + 1):
+        release(spark)
+
+        def ask(mine: pa.Table, answers: pa.Table) -> pa.Table:
+            chunk = Chunk(mine, answers, texts, buckets, split_tokens)
+            chunk.add_level()
+            rows = [r | {"chunk": mine.column("chunk")[0].as_py()} for r in chunk.asks()]
+            pa.default_memory_pool().release_unused()
+            return pa.table({c: pa.array([r[c] for r in rows], t) for c, t in zip(_names(ASK), _ASK_TYPES, strict=True)})
+
+        asked = own.cogroup(told.groupBy("chunk")).applyInArrow(ask, ASK)
+        replies = materialize(_counts(asked, level, level == order, model, found[-1] if found else None), f"katz-{level}")
+        found.append(discounts(_discounts(replies)[2]))
+        told = told.unionByName(_told(replies))
     release(spark)
 
-    answers = F.collect_list(F.struct("bucket", "counts", "numbers")).alias("replies")
-    by_chunk = replies.where("chunk is not null").groupBy("chunk").agg(answers)
-    dealt = _deal(chunks.drop("counts", "texts", "tokens").join(by_chunk, "chunk"), model, sizes, texts)
-    table = materialize(dealt.groupBy("bucket", "own").applyInArrow(_count, TABLE), "katz-bigrams")
-    release(spark)
-    bigrams = table.where("bucket >= 0")
-    row = bigrams.select(*of).first()
-    d, absolute = discounts({r: row[f"n{r}"] or 0 for r in range(1, CUT + 2)})
-
-    # Histories in several buckets get the figures of all their parts.
-    part = materialize(bigrams.select("bucket", F.explode("split").alias("s")).select("bucket", "s.*"), "katz-split")
-    n_split = part.count()
-    stats = [F.sum(F.get("stats", F.lit(i))).alias(f"x{i}") for i in range(CUT + 3)]
-    total = part.groupBy("history").agg(*stats).select("history", F.array(*[f"x{i}" for i in range(CUT + 3)]).alias("stats"))
-    whole = part.drop("stats").join(total, "history").groupBy("bucket").agg(F.collect_list(F.struct("number", "stats")).alias("whole"))
-    whole = F.broadcast(whole) if n_split <= BROADCAST_ROWS else whole
-    sums = _evaluate(bigrams.join(whole, "bucket", "left"), d, absolute)
-    own = table.where("bucket < 0").select("chunk", "known", "base", "doc_ids", "lengths")
-    scored = own.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_texts, SCORED)
+    def score(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = Chunk(mine, answers, texts, buckets, split_tokens)
+        counts, n = chunk.levels[0].count[:-1], len(chunk.ids)
+        known, base = (np.bincount(chunk.doc, weights=x[chunk.codes], minlength=n) for x in (counts > 0, model.base(counts)))
+        cols = [chunk.ids, chunk.held, chunk.lengths, known.astype(np.int64), base, chunk.scores(model, found)]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(_names(SCORED), cols, types, strict=True)})
+
+    scored = own.cogroup(told.groupBy("chunk")).applyInArrow(score, SCORED)
     return scored.withColumn("train_tokens", F.lit(int(model.tokens)).cast("long"))

@@ -17,44 +17,53 @@ def tokens(t):
 
 
 class Brute:
-    def __init__(self, rows):
-        self.uni, self.bi = Counter(), Counter()
+    def __init__(self, rows, order=3):
+        self.order = order
+        self.count = [Counter() for _ in range(order + 1)]
         for i, t in rows:
             if not held(i):
-                ws = tokens(t)
-                self.uni.update(ws)
-                self.bi.update(zip([None, *ws], ws))
-        self.n, self.v = sum(self.uni.values()), len(self.uni)
-        self.model = K.Unigrams(self.n, self.v, Counter(self.uni.values()))
-        self.d, self.absolute = K.discounts(Counter(self.bi.values()))
+                for gram in self.grams(tokens(t)):
+                    for k in range(1, len(gram) + 1):
+                        self.count[k][gram[-k:]] += 1
+        uni = self.count[1]
+        self.n, self.v = sum(uni.values()), len(uni)
+        self.model = K.Unigrams(self.n, self.v, Counter(uni.values()))
+        self.d = [K.discounts(Counter(c.values())) for c in self.count]
         self.after = defaultdict(dict)
-        for (h, w), r in self.bi.items():
-            self.after[h][w] = r
+        for c in self.count[2:]:
+            for gram, r in c.items():
+                self.after[gram[:-1]][gram[-1]] = r
 
-    def p1(self, w):
-        return float(self.model.p(np.array([self.uni[w]]))[0])
+    def grams(self, ws):
+        """Per token its longest n-gram; a text begins with one mark."""
+        marked = [None, *ws]
+        return [tuple(marked[max(0 if self.order > 1 else i, i - self.order + 1) : i + 1]) for i in range(1, len(marked))]
 
     def p(self, h, w):
+        if not h:
+            return float(self.model.p(np.array([self.count[1][(w,)]]))[0])
         seen = self.after.get(h)
         if not seen:
-            return self.p1(w)
-        c, low = sum(seen.values()), sum(map(self.p1, seen))
-        left = sum((1 - self.d[r]) * r for r in seen.values() if r <= K.CUT)
+            return self.p(h[1:], w)
+        d, absolute = self.d[len(h) + 1]
+        c, low = sum(seen.values()), sum(self.p(h[1:], x) for x in seen)
+        left = sum((1 - d[r]) * r for r in seen.values() if r <= K.CUT)
         flat, full = left <= 0, 1 - low <= 1e-12
         if full:
             return seen[w] / c
-        left = self.absolute * len(seen) if flat else left
+        left = absolute * len(seen) if flat else left
         if w in seen:
-            return (seen[w] - self.absolute if flat else (self.d[seen[w]] if seen[w] <= K.CUT else 1) * seen[w]) / c
-        return left / c / (1 - low) * self.p1(w)
+            return (seen[w] - absolute if flat else (d[seen[w]] if seen[w] <= K.CUT else 1) * seen[w]) / c
+        return left / c / (1 - low) * self.p(h[1:], w)
 
     def rows(self, rows):
         out = []
         for i, t in rows:
             ws = tokens(t)
-            base = sum(math.log10((self.uni[w] + 1) / (self.n + self.v + 1)) for w in ws)
-            score = sum(math.log10(self.p(h, w)) for h, w in zip([None, *ws], ws))
-            out.append((i, held(i), len(ws), sum(self.uni[w] > 0 for w in ws), self.n, round(base, 6), round(score, 6)))
+            uni = [self.count[1][(w,)] for w in ws]
+            base = sum(math.log10((c + 1) / (self.n + self.v + 1)) for c in uni)
+            score = sum(math.log10(self.p(g[:-1], g[-1])) for g in self.grams(ws))
+            out.append((i, held(i), len(ws), sum(c > 0 for c in uni), self.n, round(base, 6), round(score, 6)))
         return sorted(out, key=repr)
 
 
@@ -62,26 +71,39 @@ ROWS = [(i, " ".join(f"w{(i * k * k) % (5 + i % 9)}" for k in range(i % 40))) fo
 ROWS += [(None, "w1 W2"), (None, None), (5, "w1 w1 w1"), (5, "w1 w1 w1"), (700, "new\twords " + "x" * 3000), (701, "")]
 
 
-def scored(frame, rows):
-    got = K.katz_scores(frame(rows)).collect()
+def scored(frame, rows, order=3):
+    got = K.katz_scores(frame(rows), order).collect()
     cols = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
     return sorted(((*(r[c] for c in cols), round(r.base_score, 6), round(r.score, 6)) for r in got), key=repr)
 
 
-@pytest.mark.parametrize("split", [750_000, 20])
-def test_equals_brute_force(frame, monkeypatch, split):
+@pytest.mark.parametrize(("order", "split"), [(1, 250_000), (2, 20), (3, 250_000), (3, 20), (4, 5)])
+def test_equals_brute_force(frame, monkeypatch, order, split):
     # With a small bound, frequent histories are split over buckets.
     monkeypatch.setattr(K, "SPLIT_TOKENS", split)
-    assert scored(frame, ROWS) == Brute(ROWS).rows(ROWS)
+    monkeypatch.setattr(K, "CHUNK_BYTES", 1500)
+    assert scored(frame, ROWS, order) == Brute(ROWS, order).rows(ROWS)
 
 
 def test_histories_are_exactly_normalised():
     model = Brute(ROWS)
-    words = [*model.uni, b"never seen"]
-    for h in [*list(model.after)[:40], b"unknown"]:
+    words = [*(w for (w,) in model.count[1]), b"never seen"]
+    for h in [*list(model.after)[:30], *list(model.after)[-30:], (b"unknown",), (b"unknown", b"w1")]:
         assert abs(sum(model.p(h, w) for w in words) - 1) < 1e-9
 
 
+def test_longer_histories_predict_repeated_passages_better(frame):
+    # Every pair of letters goes on in two ways, three words decide.
+    rows = [(i, " ".join(["a b c", "b b d", "a c b", "b c e"][i % 4 :][:1] * 6)) for i in range(200)]
+    total = [sum(r.score for r in K.katz_scores(frame(rows), k).collect() if r.held_out) for k in (1, 2, 3)]
+    assert total[0] < total[1] < total[2]
+
+
+def test_order_must_be_positive(frame):
+    with pytest.raises(ValueError, match="order"):
+        K.katz_scores(frame(ROWS), 0)
+
+
 def test_without_training_rows(spark, frame):
     only_held = [(i, "a b") for i in range(60) if held(i)]
     assert {(r.train_tokens, r.score) for r in K.katz_scores(frame(only_held)).collect()} == {(0, 0.0)}
