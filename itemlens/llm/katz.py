@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemlens.llm.arrays import mix64, slices, words
-from itemlens.llm.common import partitions, release
+from itemlens.llm.common import discard, partitions, release, written
 from itemlens.session import materialize
 
 CUT = 5
@@ -91,6 +91,17 @@ def unpack_rising(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data))
 
 
+def pack_doubles(x: np.ndarray) -> bytes:
+    """Numbers of which many are equal: the different ones, and a place among them for each."""
+    values, place = np.unique(x, return_inverse=True)
+    return len(values).to_bytes(8, "little") + values.tobytes() + pack(place)
+
+
+def unpack_doubles(data: bytes) -> np.ndarray:
+    end = 8 + 8 * int.from_bytes(data[:8], "little")
+    return np.frombuffer(data[8:end])[unpack(data[end:])]
+
+
 def bucket_of(x: np.ndarray, n: int) -> np.ndarray:
     """Range buckets of uniform hashes: sorted hashes have sorted buckets."""
     return ((x >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -207,7 +218,7 @@ def numbered(bucket: int, place: np.ndarray) -> np.ndarray:
 
 def _unigram_counts(chunks: DataFrame, buckets: int) -> DataFrame:
     """The table of words, and for every chunk and bucket the counts of the chunk's words
-    there and their numbers, which rise with the words' hashes."""
+    there and their numbers.  In a bucket frequent words have low numbers, which pack well."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,12 +243,15 @@ def _unigram_counts(chunks: DataFrame, buckets: int) -> DataFrame:
         asked = [np.frombuffer(x, np.uint64) for x in group.column("words").to_pylist()]
         table, place = np.unique(np.concatenate(asked), return_inverse=True)
         r, o = (_added(group, c, place, len(table)) for c in ("counts", "others"))
+        order = np.argsort(-(r + o), kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
         rows, at = [], 0
         for chunk, own in zip(group.column("chunk").to_pylist(), asked, strict=True):
             mine = place[at : at + len(own)]
             at += len(own)
-            rows.append({"level": 1, "bucket": bucket, "chunk": chunk, "counts": pack(r[mine]), "others": pack(o[mine]), "numbers": pack_rising(numbered(bucket, mine))})
-        rows.append({"level": 1, "bucket": bucket, "words": table.tobytes(), "r": pack(r), "tokens": int(r.sum()), "types": int((r > 0).sum()), "of_counts": _of_counts(r)})
+            rows.append({"level": 1, "bucket": bucket, "chunk": chunk, "counts": pack(r[mine]), "others": pack(o[mine]), "numbers": pack(rank[mine])})
+        rows.append({"level": 1, "bucket": bucket, "words": table[order].tobytes(), "r": pack(r[order]), "tokens": int(r.sum()), "types": int((r > 0).sum()), "of_counts": _of_counts(r)})
         return _replies(rows)
 
     asked = chunks.select("chunk", "vocab", "counts", "others").mapInArrow(ask, "bucket int, chunk long, words binary, counts binary, others binary")
@@ -285,19 +299,24 @@ class Chunk:
     """A chunk's tokens, and its n-grams of every order that has been answered."""
 
     def __init__(self, own: pa.Table, told: pa.Table, texts: int, buckets: int, split_tokens: int):
-        row = {c: own.column(c)[0].as_py() for c in ("doc_ids", "vocab", "lengths", "codes")}
+        row = {c: own.column(c)[0].as_py() for c in ("doc_ids", "lengths", "codes")}
         self.buckets, self.split_tokens = buckets, split_tokens
-        self.ids, self.lengths, self.codes = row["doc_ids"], unpack(row["lengths"]), unpack(row["codes"])
-        self.words = len(row["vocab"]) // 8
+        self.ids, self.lengths, codes = row["doc_ids"], unpack(row["lengths"]), unpack(row["codes"])
+        rows = told.to_pylist()
+        answers = sorted((r for r in rows if r["level"] == 1), key=lambda r: r["bucket"])
+        number = np.concatenate([numbered(r["bucket"], unpack(r["numbers"])) for r in answers])
+        count, other = (np.concatenate([unpack(r[c]) for r in answers]) for c in ("counts", "others"))
+        # From here on a word's place is by its number.
+        order = np.argsort(number)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.codes, self.words = place[codes], len(order)
         self.held = _held(self.ids)
         self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
         self.place = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        rows = told.to_pylist()
-        answers = sorted((r for r in rows if r["level"] == 1), key=lambda r: r["bucket"])
-        number, count, other = (np.concatenate([f(r[c]) for r in answers]) for f, c in ((unpack_rising, "numbers"), (unpack, "counts"), (unpack, "others")))
         # The start of a text comes after all words.
         start = numbered(buckets, 0)
-        self.levels = [Level(self.codes, np.append(number, start), np.append(count, texts), np.append(other, 0))]
+        self.levels = [Level(self.codes, np.append(number[order], start), np.append(count[order], texts), np.append(other[order], 0))]
         for k in range(2, max(r["level"] for r in rows) + 1):
             self.add_level()
             self.learn([r for r in rows if r["level"] == k])
@@ -331,8 +350,9 @@ class Chunk:
 
     def asks(self) -> list[dict]:
         """Rows for the buckets, from the newest order's n-grams: histories, how many
-        n-grams each has, their words, how often they occur in training and other texts
-        and, of the n-grams one order below, the counts and their histories' figures."""
+        n-grams each has, their words, how often they occur in training and other texts,
+        and, of the n-grams one order below, the counts (of words: each word's once) and
+        their histories' figures."""
         level, below, base = self.levels[-1], self.levels[-2], self.levels[0]
         cut = np.searchsorted(level.bucket, np.arange(self.buckets + 1))
         runs = np.searchsorted(level.head, cut)
@@ -342,6 +362,7 @@ class Chunk:
             x, y, heads = cut[b], cut[b + 1], slice(runs[b], runs[b + 1])
             head = level.head[heads]
             lower = below.run[level.low[head]] if below.run is not None else None
+            own = np.unique(level.word[x:y]) if lower is None else None
             rows.append(
                 {
                     "bucket": b,
@@ -350,7 +371,8 @@ class Chunk:
                     "words": pack(base.number[level.word[x:y]]),
                     "counts": pack(level.count[x:y]),
                     "others": pack(level.other[x:y]),
-                    "low": pack(below.count[level.low[x:y]]),
+                    "own": None if own is None else pack_rising(base.number[own]),
+                    "low": pack(below.count[level.low[x:y] if own is None else own]),
                     "low_c": None if lower is None else pack(below.c[lower]),
                     "low_mode": None if lower is None else pack(below.mode[lower]),
                     "split": pack(split[heads]),
@@ -402,8 +424,8 @@ def leaving(run: np.ndarray, count: np.ndarray, mode: np.ndarray) -> np.ndarray:
     return (np.bincount(run, weights=count == 0, minlength=len(mode)) > 0) & ((mode == USUAL) | (mode == FLAT))
 
 
-ASK = "bucket int, chunk long, history binary, fan binary, words binary, counts binary, others binary, low binary, low_c binary, low_mode binary, split binary"
-_ASK_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 9]
+ASK = "bucket int, chunk long, history binary, fan binary, words binary, counts binary, others binary, own binary, low binary, low_c binary, low_mode binary, split binary"
+_ASK_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 10]
 
 
 def _counts(asked: DataFrame, level: int, last: bool, model: Unigrams, below: tuple[np.ndarray, float] | None) -> DataFrame:
@@ -421,11 +443,13 @@ def _counts(asked: DataFrame, level: int, last: bool, model: Unigrams, below: tu
         h, w = np.divmod(grams, len(known))
         del word
         r, o = (_added(group, c, entry, len(grams)) for c in ("counts", "others"))
-        low = np.empty(len(grams), np.int64)
-        low[entry] = np.concatenate([unpack(x) for x in group.column("low").to_pylist()])
+        counts = np.concatenate([unpack(x) for x in group.column("low").to_pylist()])
         if below is None:
-            p = model.p(low)
+            _, own = np.unique(np.concatenate([unpack_rising(x) for x in group.column("own").to_pylist()]), return_index=True)
+            p = model.p(counts[own])[w]
         else:
+            low = np.empty(len(grams), np.int64)
+            low[entry] = counts
             c, mode = (np.concatenate(cols[x])[first] for x in ("low_c", "low_mode"))
             p = seen_p(low, c[h], mode[h], *below)
         n = len(history)
@@ -461,7 +485,7 @@ def _counts(asked: DataFrame, level: int, last: bool, model: Unigrams, below: tu
                 "fan": pack(sums[of, CUT]),
                 "words": pack(known[w[kept]]),
                 "r": pack(r[kept]),
-                "seen_mass": sums[of, CUT + 1].tobytes(),
+                "seen_mass": pack_doubles(sums[of, CUT + 1]),
                 "tokens": int(r.sum()),
                 "types": int(kept.sum()),
                 "of_counts": _of_counts(r),
@@ -503,14 +527,16 @@ def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         raise ValueError(f"order must be at least 1, not {order}")
     spark = docs.sparkSession
     split_tokens = SPLIT_TOKENS
-    chunks = materialize(_chunks(docs), "katz-chunks")
+    chunks, path = written(_chunks(docs), "katz-chunks")
     size = chunks.agg(F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts")).first()
     tokens, texts = size.tokens or 0, size.texts or 0
     buckets = max(1, min(partitions(spark), MIN_BUCKETS), tokens // BUCKET_TOKENS)
     replies = materialize(_unigram_counts(chunks, buckets), "katz-1")
     model = Unigrams(*_discounts(replies))
     told = _told(replies)
-    own = chunks.select("chunk", "doc_ids", "vocab", "lengths", "codes").groupBy("chunk")
+    # The words' hashes have done their work and needn't travel with the texts.
+    own = materialize(chunks.select("chunk", "doc_ids", "lengths", "codes"), "katz-texts").groupBy("chunk")
+    discard(spark, path)
     found: list[tuple[np.ndarray, float]] = []
     for level in range(2, order + 1):
         release(spark)

@@ -99,6 +99,14 @@ def test_longer_histories_predict_repeated_passages_better(frame):
     assert total[0] < total[1] < total[2]
 
 
+@pytest.mark.parametrize("x", [[], [0], [255, 256], [2**40, 3, 2**62]])
+def test_packed_numbers_return(x):
+    x = np.array(x, np.int64)
+    assert K.unpack(K.pack(x)).tolist() == x.tolist()
+    assert K.unpack_rising(K.pack_rising(np.sort(x))).tolist() == np.sort(x).tolist()
+    assert K.unpack_doubles(K.pack_doubles(x / 3)).tolist() == (x / 3).tolist()
+
+
 def test_order_must_be_positive(frame):
     with pytest.raises(ValueError, match="order"):
         K.katz_scores(frame(ROWS), 0)
