@@ -7,14 +7,15 @@
    word under channel costs and the character model.
 3. A logistic model over words and word beginnings, present or not, scores the
    restored text.  It learns from a sample of the labelled rows, at most about
-   ``TRAIN_ROWS`` of them, chosen by a hash of the id; labels of held-out rows are
+   ``TRAIN_ROWS`` of them, chosen by a hash of the id (by a hash of id and text, and at
+   most about twice as many, where ids have many rows); labels of held-out rows are
    never read, and id, language, source and labels are no inputs of a score.
 
 What reaches the driver is bounded: ``ALPHABET ** 3`` counts, ``SELECTED`` features
 and the sample's selected features.
 
 Defined cases: null and empty texts have no features and get the model's base score;
-repeated label rows count as one row, toxic if any is; null labels are ignored; with
+repeated label rows count as one row, toxic if any is; equal rows are one example; null labels are ignored; with
 no labels of both kinds every score is the smoothed share of toxic labels.
 """
 
@@ -346,7 +347,13 @@ def fit(docs: DataFrame, labels: DataFrame, model, train_rows: int = TRAIN_ROWS)
     share = max(1, -(-known.count() // train_rows))
     # At most about train_rows small rows: bounded, whatever the size of the labels.
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # An id may have many rows.  Equal ones are one example; of more than twice train_rows
+    # different ones a share by hash stays.
+    text_key = F.xxhash64("doc_id", "text")
+    share = max(1, rows.agg(F.approx_count_distinct(text_key)).first()[0] // train_rows)
+    rows = rows.where(F.pmod(text_key, F.lit(share)) == 0)
+    rows = rows.groupBy("doc_id", "text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model.value)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pyarrow as pa
@@ -95,3 +96,22 @@ def test_no_labels_and_no_rows(spark, frame):
 def test_disguises_behind_the_gates(restorer, text, plain):
     assert T.restored(pa.array([text]), restorer).to_pylist() == [plain]
     assert T.restored(pa.array(["x", text, None]), restorer).to_pylist() == ["x", plain, None]
+
+
+def test_rows_of_one_id_are_bounded_and_copies_count_once(spark, frame):
+    model = spark.sparkContext.broadcast(T.CharModel(T._trigrams(pa.array([" ".join(WORDS)]))))
+    train = next(i for i in range(9) if not T.crc_held(i))
+    toxic = spark.createDataFrame([(train, 1)], "doc_id long, toxic int")
+
+    def examples(rows, train_rows):
+        # With toxic examples alone the bias tells their number.
+        return round(math.exp(T.fit(frame(rows), toxic, model, train_rows).bias) * 0.9 - 0.1)
+
+    assert examples([(train, "stupid idiot")] * 700 + [(train, None)], 1000) == 2
+    assert 0 < examples([(train, f"text {k}") for k in range(1500)], 100) <= 200
+
+    docs, labels = labelled(200)
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    once, often = (T.fit(frame(rows), labels, model) for rows in (docs, docs + docs[:3] * 300))
+    # Equal up to the order in which the examples are added up.
+    assert once.bias == pytest.approx(often.bias) and sorted(once.weights) == pytest.approx(sorted(often.weights))
