@@ -9,16 +9,17 @@ and literals over the threshold are reported with their own place.
 
 The work is linear in a text.  A name passes the strongest target that it reaches on to
 all its values, each name once, strongest targets first.  Where an expression joins
-several terms, its names stand for their first values, each put together once; their
-further values are scored by themselves.
+several terms, its names stand for their first values; their further values are scored by
+themselves.  Values of any length count whole: what is put together is scored from the
+shapes of its parts (counts of characters, words, edges), each name's shape made once, and
+the bare values that end one run of characters are scored in one pass over it.
 
 Three plain patterns (``assign``, ``access``, ``hex``) are always reported as well.
 Offsets are code points, ends exclusive.
 
 Defined cases: a null text is empty; an empty text has no spans; names that are
-assigned in a circle have no value where they are met again; a text of any length is lexed in one pass.  A bare
-value or joined names of more than ``VALUE_CHARS`` characters are data, not a secret;
-quoted literals may have any length.
+assigned in a circle have no value where they are met again; a text of any length is lexed in one pass, and
+bare values, quoted literals, names and what names are joined to may have any length.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Sequence
 from itertools import accumulate
 
@@ -36,14 +37,16 @@ from pyspark.sql import functions as F
 
 from itemlens.llm.common import map_texts
 
-Term = tuple[str, int, int, bool]
-Literal = tuple[str, int, int]
+#: Value (none for a long bare value, which is read in the text), start, end, quoted.
+Term = tuple[str | None, int, int, bool]
+#: Start and end of a literal, or a name that stands for its first value.
+Part = tuple[int, int] | str
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "literal")
 SCHEMA = "spans array<struct<kind:string,start:long,end:long,score:double,name:string>>"
 THRESHOLD = 0.5
-#: Longest bare value and longest value of a name that can be part of a secret.
+#: Longest bare value that is taken out of the text (names are at any length).
 VALUE_CHARS = 2048
 _SPAN_TYPE = pa.list_(
     pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("name", pa.string())])
@@ -64,6 +67,7 @@ _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>#+]+""")
 _BARE_END = re.compile(r"""[\s"'`,;(){}\[\]<>#+]|\Z""")
 _PLUS = re.compile(r"[\x20\t]*(?:\+|\.\.|&)[\x20\t]*(?:\\?\n[\x20\t]*)?|[\x20\t]+(?=[\"'])")
 _TYPED = re.compile(r"[\x20\t]*+(?:\[[^\]\n]*\])?[\x20\t]*+=(?!=)[\x20\t]*")
+_WHOLE_NAME = re.compile(_NAME, re.ASCII)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
 
 #: How strongly a word in a target's name speaks for a secret.
@@ -100,15 +104,61 @@ def name_score(name: str) -> float:
     return min(1.0, sum(NAME_WEIGHTS.get(p, 0.0) for p in dict.fromkeys(parts)))
 
 
+_KINDS_OF_CHARACTERS = tuple(re.compile(p, re.ASCII) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w\s]"))
+#: Characters at either end by which a placeholder across two parts is found.
+_EDGE = max(map(len, PLACEHOLDERS)) - 1
+#: From so many words on, prose outweighs all else.
+_MANY_WORDS = 1000
+
+
+def _weighed(n: int, bits: float, kinds: int, words: int) -> float:
+    return max(0.0, min(1.0, bits / 4 * 0.6 + kinds * 0.15 + (n >= 16) * 0.15 - 0.3 * (words - 1)))
+
+
+class Shape:
+    """What the score of a text depends on, for texts that are put together."""
+
+    __slots__ = ("n", "counts", "kinds", "words", "blank", "placeholder", "head", "tail")
+
+    def __init__(self, value: str = ""):
+        low = value.lower()
+        self.n, self.counts = len(value), Counter(value)
+        self.kinds = frozenset(i for i, p in enumerate(_KINDS_OF_CHARACTERS) if p.search(value))
+        self.words = len(value.split())
+        self.blank = value[:1].isspace(), value[-1:].isspace()
+        self.placeholder = any(p in low for p in PLACEHOLDERS)
+        self.head, self.tail = low[:_EDGE], low[-_EDGE:]
+
+    def add(self, other: Shape, before: bool = False) -> None:
+        """Become the shape of this text with the other behind (or before) it."""
+        if not other.n:
+            return
+        a, b = (other, self) if before else (self, other)
+        across = a.n > 0 and b.n > 0 and not a.blank[1] and not b.blank[0]
+        words = min(_MANY_WORDS, a.words + b.words - across)
+        placeholder = a.placeholder or b.placeholder or any(p in a.tail + b.head for p in PLACEHOLDERS)
+        blank = (a if a.n else b).blank[0], (b if b.n else a).blank[1]
+        head, tail = (a.head + b.head)[:_EDGE], (a.tail + b.tail)[-_EDGE:]
+        self.kinds |= other.kinds
+        self.counts.update(other.counts)
+        self.n += other.n
+        self.words, self.placeholder, self.blank, self.head, self.tail = words, placeholder, blank, head, tail
+
+    def score(self, bits: float | None = None) -> float:
+        """0 to 1 by length, variety of characters and absence of prose or placeholders."""
+        if self.n < 6 or self.placeholder:
+            return 0.0
+        if bits is None:  # names doubled often make counts that only divide as integers
+            bits = -sum(p * math.log2(p) for c in self.counts.values() if (p := c / self.n))
+        return _weighed(self.n, bits, len(self.kinds), self.words)
+
+
 def literal_score(value: str) -> float:
-    """0 to 1 by length, variety of characters and absence of prose or placeholders."""
     if len(value) < 6 or any(p in value.lower() for p in PLACEHOLDERS):
         return 0.0
     n = len(value)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value, re.ASCII)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w\s]"))
-    prose = 0.3 * (len(value.split()) - 1)
-    return max(0.0, min(1.0, bits / 4 * 0.6 + kinds * 0.15 + (n >= 16) * 0.15 - prose))
+    return _weighed(n, bits, sum(bool(p.search(value)) for p in _KINDS_OF_CHARACTERS), len(value.split()))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -125,7 +175,8 @@ def _expression(text: str, at: int, ends: list[int]) -> tuple[list[Term], int]:
     """Terms (value, start, end, quoted) of the expression at an offset, and its end.
 
     ``ends`` holds the end of the last run of bare characters: a run that many targets
-    lie in is measured once, and is taken out of the text only up to ``VALUE_CHARS``.
+    lie in is measured once, and is taken out of the text only up to ``VALUE_CHARS`` or
+    if it is a name (no other target lies in a name, so names are read once).
     """
     terms: list[Term] = []
     while True:
@@ -139,7 +190,8 @@ def _expression(text: str, at: int, ends: list[int]) -> tuple[list[Term], int]:
             end = ends[0]
             if text[end : end + 1] in ("(", "["):
                 return [], end  # a call or a look-up is no literal
-            terms.append((text[at:end] if end - at <= VALUE_CHARS else "", at, end, False))
+            whole = end - at <= VALUE_CHARS or ((name := _WHOLE_NAME.match(text, at)) and name.end() == end)
+            terms.append((text[at:end] if whole else None, at, end, False))
             at = end
         else:
             return terms, at
@@ -166,34 +218,108 @@ def _names(terms: list[Term], known: dict[str, list[list[Term]]]) -> list[str]:
     return [value for value, _, _, quoted in terms if not quoted and value in known]
 
 
-def _first_values(known: dict[str, list[list[Term]]], wanted: list[str]) -> dict[str, list[Literal]]:
-    """Per name the literals (value, start, end) that its first expression is made of once
-    names are replaced; none for names that stand for themselves in the end, or for more
-    than ``VALUE_CHARS`` characters."""
-    done: dict[str, list[Literal]] = {}
-    waiting, open_names = list(reversed(wanted)), set()
-    while waiting:
-        name = waiting[-1]
-        if name in done:
-            waiting.pop()
-            continue
-        terms = known[name][0]
-        if name not in open_names:
-            open_names.add(name)
-            if more := [n for n in _names(terms, known) if n not in done and n not in open_names]:
-                waiting.extend(reversed(more))
-                continue
-        parts, size = [], 0
+def _long_values(text: str, single: list[Term], joined: list[Term]) -> tuple[dict[tuple[int, int], float], dict[tuple[int, int], Shape]]:
+    """By place, the scores of long bare values, and the shapes of those in ``joined``.
+
+    Values with one end are suffixes of each other: from the last on, each adds only the
+    characters before the one behind it.
+    """
+    kept = {(start, end) for value, start, end, _ in joined if value is None}
+    runs: dict[int, set[int]] = defaultdict(set)
+    for value, start, end, _ in (*single, *joined):
+        if value is None:
+            runs[end].add(start)
+    scores, shapes = {}, {}
+    for end, starts in runs.items():
+        shape, total, cut = Shape(), 0.0, end  # total: sum of count * log2(count)
+        for start in sorted(starts, reverse=True):
+            piece = Shape(text[start:cut])
+            for c, more in piece.counts.items():
+                had = shape.counts.get(c, 0)
+                total += (had + more) * math.log2(had + more) - (had * math.log2(had) if had else 0.0)
+            shape.add(piece, before=True)
+            cut = start
+            scores[start, end] = shape.score(math.log2(shape.n) - total / shape.n)
+            if (start, end) in kept:
+                shapes[start, end] = copy = Shape()
+                copy.add(shape)
+    return scores, shapes
+
+
+class _FirstValues:
+    """What joined names stand for: the shapes of their first values, once names in them
+    are replaced, and the parts that these are made of.
+
+    Shapes are let go after their last use, by ``names`` and ``joins`` (all expressions
+    to be asked for).
+    """
+
+    def __init__(self, known: dict[str, list[list[Term]]], names: set[str], joins: list[list[Term]], long: dict[tuple[int, int], Shape]):
+        self.known, self.long = known, long
+        self.parts: dict[str, list[Part]] = {}
+        self.shapes: dict[str, Shape] = {}
+        self.uses = Counter(n for terms in joins for n in _names(terms, known))
+        for name in names:
+            self.uses.update(_names(known[name][0], known))
+
+    def put_together(self, terms: list[Term]) -> tuple[Shape, list[Part]]:
+        shape, parts = Shape(), []
         for value, start, end, quoted in terms:
-            some = [(value, start, end)] if quoted or value not in known else done.get(value, [])
-            size += sum(len(v) for v, _, _ in some)
-            if size > VALUE_CHARS or len(parts) > VALUE_CHARS:
-                parts = []
-                break
-            parts.extend(some)
-        done[name] = parts
-        waiting.pop()
-    return done
+            if quoted or value not in self.known:
+                shape.add(self.long[start, end] if value is None else Shape(value))
+                parts.append((start, end))
+                continue
+            if value in self.shapes:
+                shape.add(self.shapes[value])
+                parts.append(value)
+            self.uses[value] -= 1
+            if not self.uses[value]:
+                self.shapes.pop(value, None)
+        return shape, parts
+
+    def of(self, terms: list[Term], once: list[Term]) -> tuple[Shape, list[Part]]:
+        """Shape and parts of an expression, given whole and without names that come again;
+        names that stand for themselves in the end have no value where they are met again."""
+        for wanted in _names(terms, self.known):
+            waiting, open_names = [wanted], set()
+            while waiting:
+                name = waiting[-1]
+                if name in self.parts:
+                    waiting.pop()
+                    continue
+                first = self.known[name][0]
+                if name not in open_names:
+                    open_names.add(name)
+                    if more := [n for n in _names(first, self.known) if n not in self.parts and n not in open_names]:
+                        waiting.extend(reversed(more))
+                        continue
+                shape, self.parts[name] = self.put_together(first)
+                if self.uses[name]:
+                    self.shapes[name] = shape
+                waiting.pop()
+        return self.put_together(once)
+
+
+def _once(name: str, terms: list[Term], known: dict[str, list[list[Term]]]) -> list[Term]:
+    """The terms of what a target receives: itself, and a name that comes again, left out."""
+    seen, out = {name}, []
+    for term in terms:
+        if term[3] or term[0] not in known:
+            out.append(term)
+        elif term[0] not in seen:
+            seen.add(term[0])
+            out.append(term)
+    return out
+
+
+def _reachable(known: dict[str, list[list[Term]]], names: list[str]) -> set[str]:
+    """The names, and those that their first values are made of."""
+    found, waiting = set(names), list(names)
+    while waiting:
+        more = [n for n in dict.fromkeys(_names(known[waiting.pop()][0], known)) if n not in found]
+        found.update(more)
+        waiting.extend(more)
+    return found
 
 
 def _strengths(known: dict[str, list[list[Term]]]) -> dict[str, tuple[float, str]]:
@@ -220,26 +346,35 @@ def literal_spans(text: str) -> list[tuple[str, int, int, float, str]]:
     for name, terms in pairs:
         known.setdefault(name, []).append(terms)
     reached = _strengths(known)
-    joins = [terms for name, terms in pairs if name in reached and len(terms) > 1]
-    first = _first_values(known, list(dict.fromkeys(n for terms in joins for n in _names(terms, known))))
-    best: dict[tuple[int, int], tuple[float, str]] = {}
-    for name, terms in pairs:
-        if name not in reached or (len(terms) == 1 and _names(terms, known)):
-            continue  # a lone name's values are scored where they are assigned
+    asked = [(name, terms) for name, terms in pairs if name in reached and not (len(terms) == 1 and _names(terms, known))]
+    joins = [(terms, _once(name, terms, known)) for name, terms in asked if len(terms) > 1]
+    inner = _reachable(known, list(dict.fromkeys(n for terms, _ in joins for n in _names(terms, known))))
+    in_joins = [t for terms in (*(once for _, once in joins), *(known[n][0] for n in inner)) for t in terms]
+    scores, shapes = _long_values(text, [t for _, terms in asked for t in terms if len(terms) == 1], in_joins)
+    first = _FirstValues(known, inner, [once for _, once in joins], shapes)
+    each = iter(joins)
+    found: list[tuple[float, str, list[Part]]] = []
+    for name, terms in asked:  # a lone name's values are scored where they are assigned
         weight, target = reached[name]
-        parts: list[Literal] = []
-        seen = {name}
-        for value, start, end, quoted in terms:
-            if quoted or value not in known:
-                parts.append((value, start, end))
-            elif value not in seen:
-                seen.add(value)
-                parts += first[value]
-        score = weight * (0.5 + 0.5 * s) if (s := literal_score("".join(v for v, _, _ in parts))) else 0.0
-        if score >= THRESHOLD:
-            for _, start, end in parts:
-                if end > start and score > best.get((start, end), (0.0, ""))[0]:
-                    best[start, end] = score, target
+        if len(terms) > 1:
+            shape, parts = first.of(*next(each))
+            s = shape.score()
+        else:
+            ((value, start, end, _),) = terms
+            s, parts = scores[start, end] if value is None else literal_score(value), [(start, end)]
+        if s and (score := weight * (0.5 + 0.5 * s)) >= THRESHOLD:
+            found.append((score, target, parts))
+    best: dict[tuple[int, int], tuple[float, str]] = {}
+    opened: set[str] = set()
+    for score, target, waiting in sorted(found, key=lambda x: -x[0]):  # the best score of a part comes first
+        while waiting:
+            part = waiting.pop()
+            if not isinstance(part, str):
+                if part[1] > part[0]:
+                    best.setdefault(part, (score, target))
+            elif part not in opened:
+                opened.add(part)
+                waiting.extend(first.parts[part])
     return [("literal", a, b, score, name) for (a, b), (score, name) in best.items()]
 
 

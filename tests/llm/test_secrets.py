@@ -163,3 +163,48 @@ def test_recall_of_planted_literals():
         caught += any(s["start"] <= text.index(value) and text.index(value) + len(value) <= s["end"] for s in spans(text))
         clean += not spans(text.replace(name, "title"))
     assert caught >= 0.9 * len(names) and clean == len(names)
+
+
+def test_values_of_any_length():
+    """Long bare values, long names and long joined values reach their targets."""
+    signs = string.ascii_letters + string.digits + "!$%&*/?_-"
+    long = "".join(random.Random(3).choices(signs, k=5000))
+    name = "n" * 3000
+    assert literals(f"db_pwd = /{long}") == [f"/{long}"]
+    assert literals(f'{name} = "Zx9kk22pqAA"\ndb_pwd = {name}') == ["Zx9kk22pqAA"]
+    assert literals(f'{name} = "Zx9kk"\nb = {name} + "22pqAA"\ndb_pwd = b') == ["Zx9kk", "22pqAA"]
+    parts = [long[i : i + 50] for i in range(0, 5000, 50)]
+    chain = "".join(f'k{i + 1} = k{i} + "{p}"\n' for i, p in enumerate(parts))
+    assert literals(f'k0 = ""\n{chain}db_pwd = k100 + "x1"') == [*parts, "x1"]
+    assert literals(f'b = /{long}\ndb_pwd = b + "Zx9kk22pqAA"') == [f"/{long}", "Zx9kk22pqAA"]
+    # By itself the long part is one; with a placeholder that two parts make, or prose, it isn't.
+    assert literals(f'b = /{long}\ndb_pwd = b + "chang" + "eme"') == [f"/{long}"]
+    assert literals(f'b = /{long}\ndb_pwd = b + "{"many words " * 20}"') == [f"/{long}"]
+
+
+def test_long_values_are_scored_as_if_taken_out(monkeypatch):
+    from itemlens.llm import secrets
+
+    rng = random.Random(8)
+    names = ["a", "b", "c", "pwd", "db_token", "salt", "x.y"]
+    texts = ["a=" * 50 + "pwd=Zx9kk22pqAA!" * 9, "token:" * 40]
+    for _ in range(3000):
+        lines = []
+        for _ in range(rng.randint(1, 8)):
+            terms = [rng.choice([rng.choice(names), f'"{"".join(rng.choices("aZ9x! $é", k=rng.randint(0, 9)))}"', "".join(rng.choices("aZ9x!/=é", k=rng.randint(1, 40)))]) for _ in range(rng.randint(1, 4))]
+            lines.append(rng.choice(names) + rng.choice([" = ", "=", ": "]) + " + ".join(terms))
+        texts.append("\n".join(lines))
+    taken = [spans(t) for t in texts]
+    monkeypatch.setattr(secrets, "VALUE_CHARS", 2)
+    for text, want in zip(texts, taken):
+        got = spans(text)
+        assert [(s["kind"], s["start"], s["end"], s["name"]) for s in got] == [(s["kind"], s["start"], s["end"], s["name"]) for s in want]
+        assert [s["score"] for s in got] == pytest.approx([s["score"] for s in want], abs=1e-9)
+
+
+def test_names_joined_to_themselves_take_linear_time():
+    start = time.process_time()
+    text = 'k0 = "Zx9kk22pqAA"\n' + "".join(f"k{i + 1} = k{i} + k{i}\n" for i in range(5000)) + 'db_pwd = k5000 + "x"'
+    assert literals(text) == ["Zx9kk22pqAA", "x"]
+    spans("".join(f"a{i}=" for i in range(100_000)) + "x")
+    assert time.process_time() - start < 30
