@@ -22,6 +22,7 @@ def interaction_ratings(
     lo: float = R.RATING_MIN,
     hi: float = R.RATING_MAX,
     spread_heavy: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """One rating per (user, item): mean interaction value, clamped, 1 dp.
 
@@ -29,8 +30,12 @@ def interaction_ratings(
     ``item_key`` to the catalogue's ``item_id``.  Aggregating first (with
     map-side partial aggregation) shrinks the data before the id join.  With
     ``spread_heavy``, the pairs are written once and those of items that a large
-    share of all users rated are spread over the join's tasks.
+    share of all users rated are spread over the join's tasks.  ``partitions`` deals the
+    interactions to so many tasks before they are aggregated (large tables, whose pairs
+    are nearly all different, would fill the hash tables of the session's tasks).
     """
+    if partitions:
+        interactions = interactions.repartition(partitions, "user_id", "item_key")
     pairs = interactions.groupBy("user_id", "item_key").agg(F.avg("value").alias("_v"))
     if spread_heavy:
         ids = id_map.select(F.col("item_key").alias("_key"), "item_id")

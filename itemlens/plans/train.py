@@ -72,6 +72,7 @@ def train(
     user_map_path: str | None = None,
     metrics_path: str | None = None,
     log: StageLog | None = None,
+    partitions: int | None = None,
 ) -> TrainResult:
     """Run the whole pipeline; write its tables where asked, else as scratch tables.
 
@@ -81,7 +82,8 @@ def train(
     Catalogue and ratings are written before the iterative fit, so a lost executor
     recomputes from durable data rather than from the raw interactions; their rows are
     counted by the jobs that write them.  With ``log`` and paths for all tables, a run
-    that was ended goes on after its last finished stage.
+    that was ended goes on after its last finished stage.  ``partitions``: as in
+    ``interaction_ratings``.
     """
     named = {
         "catalog": catalog_path,
@@ -123,7 +125,7 @@ def train(
         interactions = interactions.join(user_map, "user_key")
 
     def write_all_ratings() -> dict:
-        made = interaction_ratings(interactions, id_map(catalog))
+        made = interaction_ratings(interactions, id_map(catalog), partitions=partitions)
         if config.ratings_per_user:
             made = cap_per_user(made, config.ratings_per_user, config.seed)
         return {"rows": counted_write(made, lambda df: write_ratings(df, paths["ratings"]))}

@@ -100,12 +100,17 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo(spark, sf_dir, "catalog", build)
 
 
+def _interaction_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = TB.interaction_partitions(spark, sf_dir)
+    return interaction_ratings(TB.load_interactions(spark, sf_dir), id_map(catalog(spark, sf_dir)), partitions=parts)
+
+
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings table derived from orders and lines, written once to parquet."""
 
     def build():
         path = scratch_path(spark, "ratings")
-        IO.write_ratings(interaction_ratings(TB.load_interactions(spark, sf_dir), id_map(catalog(spark, sf_dir))), path)
+        IO.write_ratings(_interaction_ratings(spark, sf_dir), path)
         return IO.read_ratings(spark, path)
 
     return _memo(spark, sf_dir, "ratings", build)
@@ -568,7 +573,7 @@ def q_warm_cold_union(spark, sf_dir):
 
 
 def q_interaction_ratings(spark, sf_dir):
-    return interaction_ratings(TB.load_interactions(spark, sf_dir), id_map(catalog(spark, sf_dir)))
+    return _interaction_ratings(spark, sf_dir)
 
 
 def q_cap_per_user(spark, sf_dir):
@@ -652,6 +657,7 @@ def q_train_pipeline(spark, sf_dir):
         model_path=scratch_path(spark, "pipeline-model"),
         top_list_path=scratch_path(spark, "pipeline-top-list"),
         ratings_path=scratch_path(spark, "pipeline-ratings"),
+        partitions=TB.interaction_partitions(spark, sf_dir),
     )
     return result.metrics.select("n_test_scored", "n_ratings", "n_users", "n_items")
 

@@ -96,6 +96,23 @@ def clear_scratch(spark: SparkSession) -> None:
     fs.delete(path, True)
 
 
+#: Rows that a task holds at once in a sort or a hash table.
+TASK_ROWS = 1_000_000
+
+
+def partitions_for(spark: SparkSession, rows: int, task_rows: int = TASK_ROWS) -> int | None:
+    """The number of partitions (more than the session's shuffle partitions) by which
+    ``rows`` fit their tasks; None if they fit one.
+
+    For steps whose shuffled bytes are small against what a task makes of them: there
+    the session's partitions are too few on large tables, or are put together (with
+    the session's own number Spark would take a shuffle before it instead, and do so).
+    """
+    if rows <= task_rows:
+        return None
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")) + 1, -(-rows // task_rows))
+
+
 def materialize(df, name: str):
     """Write ``df`` once as parquet under the shared checkpoint folder and
     return a DataFrame reading it back.

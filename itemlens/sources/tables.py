@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from itemlens.functions.rules import LEVEL_LABELS_ARTEFACT, LEVEL_LABELS_SERVING, AreaRules, RuleSet
 from itemlens.functions.values import round_half_up, to_int_id
+from itemlens.session import partitions_for
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -138,6 +139,12 @@ def load_interactions(spark: SparkSession, sf_dir: str, wide_user_keys: bool = F
     )
 
 
+def interaction_partitions(spark: SparkSession, sf_dir: str) -> int | None:
+    """Partitions by which the interactions (one per line; counted by the files' footers)
+    fit their tasks; None if they fit one."""
+    return partitions_for(spark, read_table(spark, sf_dir, "lineitem").count())
+
+
 def load_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users to serve: every customer (a relation, deduplicated)."""
     return read_table(spark, sf_dir, "customer").select(to_int_id("c_custkey", "user key").alias("user_id")).distinct()

@@ -209,3 +209,23 @@ def test_rmse_matches_regression_evaluator(spark, setup):
     preds = predict(model, test)
     ml = RegressionEvaluator(metricName="rmse", labelCol="rating", predictionCol="prediction").evaluate(preds)
     assert abs(ours - ml) < 5e-5
+
+
+def test_partitions_for_rows(spark):
+    from itemlens.session import TASK_ROWS, partitions_for
+
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert partitions_for(spark, TASK_ROWS) is None
+    assert partitions_for(spark, TASK_ROWS + 1) == own + 1
+    assert partitions_for(spark, 100 * TASK_ROWS - 1) == max(own + 1, 100)
+
+
+def test_ratings_are_dealt_to_tasks_by_their_number(spark, capsys):
+    rows = [(u, f"k{i % 7}", float(u + i)) for u in range(40) for i in range(20)] + [(None, "k1", 2.0), (1, None, 2.0), (1, "k1", None)]
+    inter = spark.createDataFrame(rows, "user_id int, item_key string, value double")
+    ids = spark.createDataFrame([(f"k{i}", i) for i in range(6)], "item_key string, item_id int")
+    plain, dealt = interaction_ratings(inter, ids), interaction_ratings(inter, ids, partitions=23)
+    assert plain.count() == 41 * 6 - 5 and plain.exceptAll(dealt).count() == dealt.exceptAll(plain).count() == 0
+    dealt.explain()
+    text = capsys.readouterr().out
+    assert ", 23), REPARTITION_BY_NUM" in text and text.count("hashpartitioning(user_id") == 1
