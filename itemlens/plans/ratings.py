@@ -13,7 +13,7 @@ from itemlens.functions.values import base_rating, clamp, hash_fraction_bucket,
 from itemlens.operators.hot_join import join_heavy
 from itemlens.operators.predicates import check_int_range
 from itemlens.operators.topk import topk_per_group
-from itemlens.session import materialize
+from itemlens.session import materialize, partitions_for
 
 
 def interaction_ratings(
@@ -184,6 +184,9 @@ class BiasModel:
         check_int_range("top_n", top_n, 1, R.RECOMMEND_MAX_N)
         packed = self.top_items(top_n).select(F.collect_list(F.struct("item_id", "b_item")).alias("a")).scalar()
         known = users.select("user_id").distinct().join(self.user_bias, "user_id", "inner")
+        # The few bytes of the users become ``top_n`` rows each, which are sorted per user.
+        if n := partitions_for(users.sparkSession, self.user_bias.count() * top_n):
+            known = known.repartition(n, "user_id")
         return known.select("user_id", "b_user", F.inline(packed)).select(
             "user_id", "item_id", (F.lit(self.mu) + F.col("b_item") + F.col("b_user")).alias("score")
         )

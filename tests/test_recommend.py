@@ -229,3 +229,18 @@ def test_ratings_are_dealt_to_tasks_by_their_number(spark, capsys):
     dealt.explain()
     text = capsys.readouterr().out
     assert ", 23), REPARTITION_BY_NUM" in text and text.count("hashpartitioning(user_id") == 1
+
+
+def test_warm_rows_of_many_users_lie_in_many_tasks(spark, monkeypatch):
+    """Few bytes of users, put together into one task, would all become rows there."""
+    from itemlens.plans import ratings as R
+    from itemlens.plans.ratings import fit_bias_baseline
+
+    train = spark.range(2000).selectExpr("cast(id % 500 as int) user_id", "cast(id % 7 as int) item_id", "cast(id % 5 as double) rating")
+    base = fit_bias_baseline(train)
+    users = train.select("user_id")
+    plain = base.warm_scores(users, 5)
+    monkeypatch.setattr(R, "partitions_for", lambda spark, rows: 11 if rows == 2500 else None)
+    dealt = base.warm_scores(users, 5)
+    assert dealt.rdd.getNumPartitions() == 11
+    assert plain.count() == 2500 and plain.exceptAll(dealt).count() == 0
