@@ -10,6 +10,9 @@ from itemlens.functions import rules as R
 from itemlens.operators.topk import topk_per_group
 from itemlens.plans.ratings import rmse
 
+#: Fewest user and item blocks of a fit by default.
+MIN_BLOCKS = 4
+
 
 def fit_als(
     train: DataFrame,
@@ -27,11 +30,13 @@ def fit_als(
     iterations (its default), which bounds lineage on long fits.
 
     ``num_blocks`` sets the user and item block counts, i.e. the task count
-    of every ALS stage.  Spark ML's default of 10 would leave a large cluster
-    idle, so by default it follows the cluster's parallelism (at least 10).
+    of every ALS stage.  Each iteration sends every user's and item's factors to
+    nearly every block of the other side, so what a fit shuffles grows with the
+    number of blocks: fewer keep fewer cores busy, but move less.  By default half the
+    cluster's parallelism (at least ``MIN_BLOCKS``).
     """
     if num_blocks is None:
-        num_blocks = max(10, train.sparkSession.sparkContext.defaultParallelism)
+        num_blocks = max(MIN_BLOCKS, train.sparkSession.sparkContext.defaultParallelism // 2)
     als = ALS(
         rank=rank,
         maxIter=max_iter,

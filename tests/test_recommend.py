@@ -244,3 +244,22 @@ def test_warm_rows_of_many_users_lie_in_many_tasks(spark, monkeypatch):
     dealt = base.warm_scores(users, 5)
     assert dealt.rdd.getNumPartitions() == 11
     assert plain.count() == 2500 and plain.exceptAll(dealt).count() == 0
+
+
+def test_blocks_of_a_fit_by_default(spark, setup, monkeypatch):
+    from itemlens.plans import als
+
+    made = []
+
+    class Recorder:
+        def __init__(self, **kw):
+            made.append((kw["numUserBlocks"], kw["numItemBlocks"]))
+
+        def fit(self, train):
+            return None
+
+    monkeypatch.setattr(als, "ALS", Recorder)
+    fit_als(setup[2])
+    fit_als(setup[2], num_blocks=3)
+    n = max(4, spark.sparkContext.defaultParallelism // 2)
+    assert made == [(n, n), (3, 3)]
