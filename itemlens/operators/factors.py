@@ -32,6 +32,8 @@ from itemlens.session import materialize
 #: Most bytes of vectors in a block, and of either side in a task.
 BLOCK_BYTES = 8 << 20
 TASK_BYTES = 64 << 20
+#: Bytes of a scored row (query, candidate, score).
+ROW_BYTES = 24
 
 _SCORED_SCHEMA = "query_id long, item_id long, score double"
 _BLOCK_SCHEMA = "n int, norm double, ids binary, vecs binary, without array<array<bigint>>"
@@ -185,22 +187,25 @@ def _blocks(rows: DataFrame, name: str, block_size: int, block_bytes: int) -> Da
 
 
 def _sizes(*sides: DataFrame) -> list[int]:
-    """Number of blocks and bytes of their vectors, for each side, by one job."""
-    rows = [s.select(F.lit(i).alias("side"), "bytes") for i, s in enumerate(sides)]
-    found = {r["side"]: r for r in reduce(DataFrame.unionAll, rows).groupBy("side").agg(F.count("bytes").alias("n"), F.sum("bytes").alias("b")).collect()}
-    return [found[i][c] if i in found else 0 for i in range(len(sides)) for c in ("n", "b")]
+    """Number of blocks, bytes of their vectors and number of these, for each side, by one job."""
+    rows = [s.select(F.lit(i).alias("side"), "bytes", "n") for i, s in enumerate(sides)]
+    sums = [F.count("bytes").alias("blocks"), F.sum("bytes").alias("bytes"), F.sum("n").alias("rows")]
+    found = {r["side"]: r for r in reduce(DataFrame.unionAll, rows).groupBy("side").agg(*sums).collect()}
+    return [found[i][c] if i in found else 0 for i in range(len(sides)) for c in ("blocks", "bytes", "rows")]
 
 
-def grid(q_blocks: int, q_bytes: int, c_blocks: int, c_bytes: int, parallel: int, task_bytes: int = TASK_BYTES) -> tuple[int, int]:
+def grid(q_blocks: int, q_bytes: int, c_blocks: int, c_bytes: int, parallel: int, task_bytes: int = TASK_BYTES, out_bytes: int = 0) -> tuple[int, int]:
     """(partitions of query blocks, lanes of candidate blocks).
 
     As many as keep either side of a task within ``task_bytes``; then, while there are
-    fewer tasks than cores, more of the side that makes fewer copies.
+    fewer tasks than cores, more of the side that makes fewer copies.  Another lane
+    copies the queries and makes their best rows (``out_bytes``) once more, and each lane
+    has to find its own best before it can skip blocks.
     """
     parts = min(q_blocks, max(1, math.ceil(q_bytes / task_bytes)))
     lanes = min(c_blocks, max(1, math.ceil(c_bytes / task_bytes)))
     while parts * lanes < parallel and (parts < q_blocks or lanes < c_blocks):
-        if parts < q_blocks and (lanes == c_blocks or c_bytes <= q_bytes):
+        if parts < q_blocks and (lanes == c_blocks or c_bytes <= q_bytes + out_bytes):
             parts += 1
         else:
             lanes += 1
@@ -247,7 +252,8 @@ def topk_dot_product(
     c_blocks = _blocks(c.drop("norm"), "candidate-blocks", block_size, block_bytes)
     spark = queries.sparkSession
     parallel = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts, lanes = grid(*_sizes(q_blocks, c_blocks), parallel)
+    q_n, q_bytes, q_rows, c_n, c_bytes, _ = _sizes(q_blocks, c_blocks)
+    parts, lanes = grid(q_n, q_bytes, c_n, c_bytes, parallel, out_bytes=q_rows * int(k) * ROW_BYTES)
 
     def cells(blocks: DataFrame, side: int, own: int, others: int, cell) -> DataFrame:
         copies = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))

@@ -277,6 +277,15 @@ def test_factor_grid_follows_bytes_not_rows():
     assert grid(0, 0, 0, 0, 8) == (1, 1)
 
 
+def test_factor_grid_counts_the_rows_of_a_lane():
+    from itemlens.operators.factors import ROW_BYTES, grid
+
+    mb, users = 1 << 20, 270_000
+    # More bytes of items than of users: a lane more would make ten rows of each user more.
+    assert grid(132, 21 * mb, 176, 29 * mb, 12, out_bytes=users * 10 * ROW_BYTES) == (12, 1)
+    assert grid(132, 21 * mb, 176, 29 * mb, 12) == (1, 12)
+
+
 def test_factor_topk_plan_copies_blocks_only(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(100)], "id long, v array<double>")
     plan = topk_dot_product(df, df, 3, "id", "v", "id", "v", block_size=10)._jdf.queryExecution().executedPlan().toString()
