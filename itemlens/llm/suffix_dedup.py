@@ -52,12 +52,15 @@ SLICE = 1 << 20
 LAST_ID = 2**63 - 1
 
 
+_compressor, _decompressor = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes())
+    return _compressor.compress(np.ascontiguousarray(x).tobytes())
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    return np.frombuffer(_decompressor.decompress(data), kind)
 
 
 def bucket_of(x: np.ndarray, n: int) -> np.ndarray:
@@ -219,12 +222,15 @@ def common_prefix(a: bytes, b: bytes) -> int:
 
 def front_code(strings: list[bytes]) -> tuple[bytes, bytes, bytes]:
     """(prefix lengths shared with the one before, lengths, tails) of sorted strings."""
-    shared, tails, before = bytearray(), [], b""
+    longest = max(map(len, strings), default=0)
+    shared, tails, before, size = bytearray(), [], 0, 0
     for s in strings:
-        k = common_prefix(before, s)
+        # As whole numbers, filled up with zeros to one length.
+        number = int.from_bytes(s.ljust(longest, b"\0"))
+        k = min(longest - (((number ^ before).bit_length() + 7) >> 3), size, len(s))
         shared.append(k)
         tails.append(s[k:])
-        before = s
+        before, size = number, len(s)
     return bytes(shared), bytes(map(len, strings)), b"".join(tails)
 
 
@@ -247,24 +253,17 @@ def merge_runs(runs: list[list[bytes]], shared: list[bytes]) -> tuple[list[int],
     width = 1
     while width < max(1, len(runs)):
         width *= 2
+    longest = max((len(s) for r in runs for s in r), default=0)
     place = [0] * width
-    head: list[bytes | None] = [r[0] if r else None for r in runs] + [None] * (width - len(runs))
-    known = [0] * width
-
-    def play(x: int, y: int) -> tuple[int, int]:
-        """(winner, loser); the loser's known prefix becomes the one with the winner."""
-        a, b = head[x], head[y]
-        if a is None or b is None:
-            return (y, x) if a is None else (x, y)
-        p, q = known[x], known[y]
-        if p != q:
-            return (x, y) if p > q else (y, x)
-        k = p + common_prefix(a[p:], b[p:])
-        if k < len(a) and (k >= len(b) or a[k] > b[k]):
-            known[x] = k
-            return y, x
-        known[y] = k
-        return x, y
+    # Heads as whole numbers, filled up with zeros to one length; a run without one has -1.
+    head = [int.from_bytes(r[0].ljust(longest, b"\0")) if r else -1 for r in runs] + [-1] * (width - len(runs))
+    size = [len(r[0]) if r else 0 for r in runs] + [0] * (width - len(runs))
+    known = [0 if h >= 0 else -1 for h in head]
+
+    def differ(x: int, y: int) -> tuple[bool, int]:
+        """(whether y's head is smaller, their common prefix)."""
+        k, n = longest - (((head[x] ^ head[y]).bit_length() + 7) >> 3), min(size[x], size[y])
+        return (head[x] > head[y], k) if k < n else (size[x] > n, n)
 
     loser = [0] * width
     level = list(range(width))
@@ -273,25 +272,51 @@ def merge_runs(runs: list[list[bytes]], shared: list[bytes]) -> tuple[list[int],
         nodes //= 2
         after = []
         for i in range(nodes):
-            w, lost = play(level[2 * i], level[2 * i + 1])
+            w, lost = level[2 * i], level[2 * i + 1]
+            if known[w] < known[lost]:
+                w, lost = lost, w
+            elif known[w] == known[lost] >= 0:
+                smaller, k = differ(w, lost)
+                if smaller:
+                    w, lost = lost, w
+                known[lost] = k
             loser[nodes + i] = lost
             after.append(w)
         level = after
     w = level[0]
     out_run, out_place, out_shared = [], [], []
-    while head[w] is not None:
+    while known[w] >= 0:
         out_run.append(w)
         out_place.append(place[w])
         out_shared.append(known[w])
-        place[w] += 1
-        if place[w] < len(runs[w]):
-            head[w], known[w] = runs[w][place[w]], shared[w][place[w]]
+        place[w] = at = place[w] + 1
+        if at < len(runs[w]):
+            s = runs[w][at]
+            head[w], size[w], known[w] = int.from_bytes(s.ljust(longest, b"\0")), len(s), shared[w][at]
         else:
-            head[w] = None
-        node = (w + width) // 2
+            known[w] = -1
+        node = (w + width) >> 1
+        p = known[w]
         while node:
-            w, loser[node] = play(w, loser[node])
-            node //= 2
+            y = loser[node]
+            q = known[y]
+            if p == q:
+                if p >= 0:
+                    # As in ``differ``, without a call.
+                    a, b = size[w], size[y]
+                    n = a if a < b else b
+                    x, z = head[w], head[y]
+                    k = longest - (((x ^ z).bit_length() + 7) >> 3)
+                    if (x > z) if k < n else (a > n):
+                        known[w] = k if k < n else n
+                        loser[node] = w
+                        w = y
+                    else:
+                        known[y] = k if k < n else n
+            elif p < q:
+                loser[node] = w
+                w, p = y, q
+            node >>= 1
     return out_run, out_place, out_shared
 
 
@@ -328,6 +353,9 @@ class _Sorter:
         rows: list[list] = []
         by_bucket: dict[int, list] = {}
         for (bucket, right, left), members in self.found.items():
+            if len(members) == 1:
+                by_bucket.setdefault(bucket, []).append((right, left, *next(iter(members))))
+                continue
             lowest = min(members)
             # The same surroundings in a text with a larger id: every window repeats.
             for doc_id, key, at in members:
@@ -341,10 +369,9 @@ class _Sorter:
             shared, lengths, tails = front_code([s[0] for s in suffixes])
             keys = {k: i for i, k in enumerate(dict.fromkeys(s[3] for s in suffixes))}
             left = b"".join(s[1] for s in suffixes)
-            zero = np.array([[len(s[1]), SPAN - len(s[0])] for s in suffixes], np.uint8)
             rows.append(
                 [
-                    bucket, None, None, None, None, shared, lengths, tails, left, zero[:, 0].tobytes(), zero[:, 1].tobytes(),
+                    bucket, None, None, None, None, shared, lengths, tails, left, bytes(len(s[1]) for s in suffixes), bytes(SPAN - n for n in lengths),
                     pack(np.array([s[2] for s in suffixes], np.int64)), pack(np.array([keys[s[3]] for s in suffixes], np.int32)),
                     pack(np.array([s[4] for s in suffixes], np.int64)), b"".join(keys),
                 ]
@@ -411,6 +438,8 @@ def _merge_bucket(group: pa.Table) -> pa.Table:
     left_end = np.cumsum(before)[order]
     before = before[order]
 
+    # A window is one number, with a gap between texts.
+    wide = int(at.max(initial=0)) + 2
     first: list[np.ndarray] = []
     left = np.zeros(len(order), np.uint64)
     for d in range(REACH):
@@ -420,21 +449,25 @@ def _merge_bucket(group: pa.Table) -> pa.Table:
             left[has] = mix64(left[has] * np.uint64(0x9E3779B97F4A7C15) + byte + np.uint64(1))
         # The window that starts d bytes before the anchor ends SPAN - d bytes behind it.
         right = np.cumsum(prefix < SPAN - d)
-        some = np.flatnonzero((before >= d) & (least <= d))
+        here = (before >= d) & (least <= d)
+        some = np.flatnonzero(here & (np.bincount(right, weights=here)[right] > 1))
         if not len(some):
             continue
-        by = some[np.lexsort((ids[some], left[some], right[some]))]
-        new = np.concatenate([[True], (right[by][1:] != right[by][:-1]) | (left[by][1:] != left[by][:-1])])
-        lowest = ids[by[new]][np.cumsum(new) - 1]
+        both = mix64(left[some] + mix64(right[some]))
+        order = np.argsort(both)
+        both, by = both[order], some[order]
+        new = np.concatenate([[True], (both[1:] != both[:-1]) | (right[by[1:]] != right[by[:-1]])])
+        lowest = np.minimum.reduceat(ids[by], np.flatnonzero(new))[np.cumsum(new) - 1]
         gone = by[ids[by] > lowest]
-        first.append(np.stack([text[gone], at[gone] - d], 1))
+        first.append(text[gone] * wide + at[gone] - d)
     removed: dict[bytes, list[tuple[int, int]]] = {}
     if first:
-        spots = np.unique(np.concatenate(first), axis=0)
+        spots = np.sort(np.concatenate(first))
         if len(spots):
-            new = np.flatnonzero(np.concatenate([[True], (spots[1:, 0] != spots[:-1, 0]) | (spots[1:, 1] != spots[:-1, 1] + 1)]))
+            spots = spots[np.concatenate([[True], spots[1:] != spots[:-1]])]
+            new = np.flatnonzero(np.concatenate([[True], spots[1:] != spots[:-1] + 1]))
             stop = np.append(new[1:], len(spots)) - 1
-            for t, a, b in zip(spots[new, 0].tolist(), spots[new, 1].tolist(), spots[stop, 1].tolist(), strict=True):
+            for t, a, b in zip((spots[new] // wide).tolist(), (spots[new] % wide).tolist(), (spots[stop] % wide).tolist(), strict=True):
                 removed.setdefault(keys[t], []).append((a, b))
     rows = [r[2:5] for r in _ranges(removed, 0, 0)]
     columns = zip(*rows, strict=True) if rows else ((), (), ())

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import pytest
 
@@ -66,3 +67,22 @@ def test_empty_table_and_kept_bytes(frame):
     text = "q" * 60
     kept = {r.doc_id: bytes(r.kept) for r in S.suffix_dedup(frame([(1, text), (2, "ab" + text + "cd")]), with_text=True).collect()}
     assert kept == {1: text.encode(), 2: b"abcd"}
+
+
+def test_merging_takes_few_calls_for_a_suffix():
+    rng = random.Random(6)
+    runs = [sorted(bytes(rng.choice(b"ab") for _ in range(50)) for _ in range(200)) for _ in range(24)]
+    coded = [S.front_code(r) for r in runs]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        _, _, shared = S.merge_runs(runs, [c[0] for c in coded])
+    finally:
+        sys.setprofile(None)
+    assert len(shared) == 24 * 200
+    assert calls < 15 * len(shared)
