@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemlens.llm.arrays import SLICE_BYTES, mix64, slices, span_hashes, text_buffers, words
+from itemlens.llm.arrays import mix64, slices, span_hashes, text_buffers, words
 from itemlens.llm.common import map_texts
 
 ALPHABET = 61
@@ -42,6 +42,8 @@ PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 HELD_MODULUS, HELD_REMAINDER = 4, 2
 CACHE = 50_000
+#: Text bytes whose words are cut and restored at once (a task holds some 40 times as many).
+SLICE = 1 << 20
 #: Longer words are decoded anew each time.
 CACHED_WORD = 64
 
@@ -119,7 +121,7 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ALPHABET**3, np.int64)
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES // 2):
+            for part in slices(batch, "text", SLICE):
                 total += _trigrams(part.column("text"))
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
@@ -360,7 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, model, train_rows: int = TRAIN_ROWS)
         total = np.zeros((2, BUCKETS), np.int64)
         size = np.zeros(2, np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 doc, ids = features(restored(part.column("text"), restorer))
                 y = np.array(part.column("toxic").to_pylist(), np.int64) > 0
                 size += np.bincount(y.astype(int), minlength=2)
@@ -392,7 +394,7 @@ def fit(docs: DataFrame, labels: DataFrame, model, train_rows: int = TRAIN_ROWS)
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model.value)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 doc, place = picker.value.present(restored(part.column("text"), restorer))
                 cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(place, pa.int32()))
@@ -434,7 +436,7 @@ def score_toxicity(
         restorer = Restorer(model.value)
         return lambda texts: [pa.array(scorer.value.scores(restored(texts, restorer)), pa.float64())]
 
-    return map_texts(docs, make, "score double", carry=carry)
+    return map_texts(docs, make, "score double", carry=carry, limit=SLICE)
 
 
 def crc_held(doc_id) -> bool:

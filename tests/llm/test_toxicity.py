@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -115,3 +116,14 @@ def test_rows_of_one_id_are_bounded_and_copies_count_once(spark, frame):
     once, often = (T.fit(frame(rows), labels, model) for rows in (docs, docs + docs[:3] * 300))
     # Equal up to the order in which the examples are added up.
     assert once.bias == pytest.approx(often.bias) and sorted(once.weights) == pytest.approx(sorted(often.weights))
+
+
+def test_a_slice_takes_little_memory(restorer):
+    text = " ".join(WORDS * 100)
+    column = pa.array([text] * (T.SLICE // len(text)))
+    T.restored(column, restorer)
+    tracemalloc.start()
+    T.features(T.restored(column, restorer))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 << 20
