@@ -25,7 +25,8 @@ leaves a chunk is already aggregated, and a history that occurs too often for on
 task is split by word (the sums of its parts are then added up by a join).
 
 A task holds one chunk (``CHUNK_BYTES`` of text, or one longer text) or one bucket
-(``BUCKET_TOKENS`` tokens' n-grams on average).
+(``BUCKET_TOKENS`` tokens' n-grams on average).  Chunks, and then buckets, take turns, so
+that only a share of what goes from one to the other lies on disk twice.
 
 Defined cases: a null text is empty (one token, the end); a null id counts as the empty
 text in the choice of training rows; without training texts every token is the unknown
@@ -37,6 +38,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,7 @@ from pyspark.sql import functions as F
 
 from itemlens.llm.arrays import mix64, slices, words
 from itemlens.llm.common import discard, partitions, release, written
-from itemlens.session import materialize
+from itemlens.session import materialize, scratch_path
 
 CUT = 5
 HELD_MODULUS, HELD_REMAINDER = 7, 2
@@ -61,6 +63,9 @@ BUCKET_TOKENS = 2_000_000
 #: A history with so many occurrences, or a multiple, is split into more parts.
 SPLIT_TOKENS = 250_000
 MIN_BUCKETS = 24
+#: Turns that chunks, and buckets, are dealt to at most, and the tokens that ask for one more.
+TURNS = 6
+TURN_TOKENS = 20_000_000
 END = np.uint64(0xE0DE0DE0DE0DE0D3)
 
 
@@ -187,15 +192,16 @@ def _chunks(docs: DataFrame) -> DataFrame:
 
 
 #: What a chunk is told by a bucket of one order.  ``mode``, ``sums`` and ``mass`` are of
-#: its histories there: all of them, or those that it must leave.
-_TOLD = "level int, bucket int, chunk long, counts binary, others binary, numbers binary, mode binary, sums binary, mass binary"
+#: its histories there: all of them, or those that it must leave.  ``more`` is how many
+#: further parts an n-gram has as a history.
+_TOLD = "level int, bucket int, chunk long, counts binary, more binary, numbers binary, mode binary, sums binary, mass binary"
 _SUMS = "array<struct<history:long,sums:array<double>>>"
 _TABLE = "history binary, fan binary, words binary, r binary, seen_mass binary, tokens long, types long, of_counts array<long>"
 #: One row per chunk and bucket, and the bucket's own table where ``chunk`` is null.
 REPLY = f"{_TOLD}, split array<long>, {_TABLE}, parts {_SUMS}"
 _REPLY_FIELDS = pa.schema(
     [("level", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64())]
-    + [(c, pa.binary()) for c in ("counts", "others", "numbers", "mode", "sums", "mass")]
+    + [(c, pa.binary()) for c in ("counts", "more", "numbers", "mode", "sums", "mass")]
     + [("split", pa.list_(pa.int64()))]
     + [(c, pa.binary()) for c in ("history", "fan", "words", "r", "seen_mass")]
     + [("tokens", pa.int64()), ("types", pa.int64()), ("of_counts", pa.list_(pa.int64()))]
@@ -216,7 +222,7 @@ def numbered(bucket: int, place: np.ndarray) -> np.ndarray:
     return (np.int64(bucket) << np.int64(32)) + place
 
 
-def _unigram_counts(chunks: DataFrame, buckets: int) -> DataFrame:
+def _unigram_counts(chunks: DataFrame, buckets: int, split_tokens: int) -> DataFrame:
     """The table of words, and for every chunk and bucket the counts of the chunk's words
     there and their numbers.  In a bucket frequent words have low numbers, which pack well."""
 
@@ -250,7 +256,7 @@ def _unigram_counts(chunks: DataFrame, buckets: int) -> DataFrame:
         for chunk, own in zip(group.column("chunk").to_pylist(), asked, strict=True):
             mine = place[at : at + len(own)]
             at += len(own)
-            rows.append({"level": 1, "bucket": bucket, "chunk": chunk, "counts": pack(r[mine]), "others": pack(o[mine]), "numbers": pack(rank[mine])})
+            rows.append({"level": 1, "bucket": bucket, "chunk": chunk, "counts": pack(r[mine]), "more": pack((r + o)[mine] // split_tokens), "numbers": pack(rank[mine])})
         rows.append({"level": 1, "bucket": bucket, "words": table[order].tobytes(), "r": pack(r[order]), "tokens": int(r.sum()), "types": int((r > 0).sum()), "of_counts": _of_counts(r)})
         return _replies(rows)
 
@@ -272,6 +278,7 @@ class Level:
     number: np.ndarray
     count: np.ndarray
     other: np.ndarray
+    more: np.ndarray | None = None  # per n-gram: how many further parts it has as a history
     low: np.ndarray | None = None  # per n-gram: the one of the order below (its first word gone)
     history: np.ndarray | None = None  # per n-gram: its history, an n-gram of the order below
     word: np.ndarray | None = None  # per n-gram: its last word
@@ -300,12 +307,12 @@ class Chunk:
 
     def __init__(self, own: pa.Table, told: pa.Table, texts: int, buckets: int, split_tokens: int):
         row = {c: own.column(c)[0].as_py() for c in ("doc_ids", "lengths", "codes")}
-        self.buckets, self.split_tokens = buckets, split_tokens
+        self.buckets = buckets
         self.ids, self.lengths, codes = row["doc_ids"], unpack(row["lengths"]), unpack(row["codes"])
         rows = told.to_pylist()
         answers = sorted((r for r in rows if r["level"] == 1), key=lambda r: r["bucket"])
         number = np.concatenate([numbered(r["bucket"], unpack(r["numbers"])) for r in answers])
-        count, other = (np.concatenate([unpack(r[c]) for r in answers]) for c in ("counts", "others"))
+        count, more = (np.concatenate([unpack(r[c]) for r in answers]) for c in ("counts", "more"))
         # From here on a word's place is by its number.
         order = np.argsort(number)
         place = np.empty_like(order)
@@ -316,7 +323,7 @@ class Chunk:
         self.place = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         # The start of a text comes after all words.
         start = numbered(buckets, 0)
-        self.levels = [Level(self.codes, np.append(number[order], start), np.append(count[order], texts), np.append(other[order], 0))]
+        self.levels = [Level(self.codes, np.append(number[order], start), np.append(count[order], texts), None, np.append(more[order], texts // split_tokens))]
         for k in range(2, max(r["level"] for r in rows) + 1):
             self.add_level()
             self.learn([r for r in rows if r["level"] == k])
@@ -329,7 +336,7 @@ class Chunk:
         keys, each = np.unique(history * self.words + self.codes[at], return_inverse=True)
         h, w = np.divmod(keys, max(self.words, 1))
         spread = mix64(below.number[h].astype(np.uint64))
-        parts = 1 + (below.count + below.other)[h] // self.split_tokens
+        parts = 1 + below.more[h]
         if (parts > 1).any():
             spread = np.where(parts > 1, mix64(spread + mix64(base.number[w].astype(np.uint64)) % parts.astype(np.uint64)), spread)
         bucket = bucket_of(spread, self.buckets)
@@ -346,7 +353,7 @@ class Chunk:
         new[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
         count, other = (np.bincount(each[x], minlength=len(keys)) for x in (train, ~train))
         head = np.flatnonzero(new)
-        self.levels.append(Level(local, None, count, other, low, h, w, bucket, np.cumsum(new) - 1, head, below.count[h[head]]))
+        self.levels.append(Level(local, None, count, other, None, low, h, w, bucket, np.cumsum(new) - 1, head, below.count[h[head]]))
 
     def asks(self) -> list[dict]:
         """Rows for the buckets, from the newest order's n-grams: histories, how many
@@ -356,7 +363,7 @@ class Chunk:
         level, below, base = self.levels[-1], self.levels[-2], self.levels[0]
         cut = np.searchsorted(level.bucket, np.arange(self.buckets + 1))
         runs = np.searchsorted(level.head, cut)
-        split = (below.count + below.other)[level.history[level.head]] >= self.split_tokens
+        split = below.more[level.history[level.head]] > 0
         rows = []
         for b in np.flatnonzero(np.diff(cut)).tolist():
             x, y, heads = cut[b], cut[b + 1], slice(runs[b], runs[b + 1])
@@ -381,19 +388,22 @@ class Chunk:
         return rows
 
     def learn(self, rows: list[dict]) -> None:
-        """Take the buckets' answers for the newest order."""
+        """Take the buckets' answers for the newest order, with or without the sums."""
         level, below = self.levels[-1], self.levels[-2]
         answers = sorted((r for r in rows if r["bucket"] is not None), key=lambda r: r["bucket"])
-        level.count, level.other, level.mode = (np.concatenate([np.zeros(0, np.int64), *(unpack(r[c]) for r in answers)]) for c in ("counts", "others", "mode"))
+        level.count, level.more, level.mode = (np.concatenate([np.zeros(0, np.int64), *(unpack(r[c]) for r in answers)]) for c in ("counts", "more", "mode"))
+        level.other = None
         level.number = np.concatenate([np.zeros(0, np.int64), *(unpack_rising(r["numbers"]) for r in answers if r["numbers"])])
-        told = [np.column_stack([unpack(r["sums"]).reshape(-1, CUT + 1), np.frombuffer(r["mass"])]) for r in answers]
-        level.left = np.flatnonzero(self.leaving())
-        level.sums = np.concatenate([np.zeros((0, CUT + 2)), *told])
+        if with_sums := all("sums" in r for r in rows):
+            told = [np.column_stack([unpack(r["sums"]).reshape(-1, CUT + 1), np.frombuffer(r["mass"])]) for r in answers]
+            level.left = np.flatnonzero(self.leaving())
+            level.sums = np.concatenate([np.zeros((0, CUT + 2)), *told])
         whole = {s["history"]: s["sums"] for r in rows for s in r["whole"] or ()}
         if whole:
             split = np.flatnonzero(level.mode == SPLIT)
             sums = np.array([whole[h] for h in below.number[level.history[level.head[split]]].tolist()])
             level.mode[split] = modes(sums)
+        if whole and with_sums:
             level.left, level.sums = np.append(level.left, split), np.concatenate([level.sums, sums])
 
     def leaving(self) -> np.ndarray:
@@ -428,7 +438,7 @@ ASK = "bucket int, chunk long, history binary, fan binary, words binary, counts
 _ASK_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 10]
 
 
-def _counts(asked: DataFrame, level: int, last: bool, model: Unigrams, below: tuple[np.ndarray, float] | None) -> DataFrame:
+def _counts(asked: DataFrame, level: int, last: bool, model: Unigrams, below: tuple[np.ndarray, float] | None, split_tokens: int) -> DataFrame:
     """The table of an order, and the answers to the chunks."""
 
     def answer(group: pa.Table) -> pa.Table:
@@ -466,7 +476,7 @@ def _counts(asked: DataFrame, level: int, last: bool, model: Unigrams, below: tu
                     "bucket": bucket,
                     "chunk": chunk,
                     "counts": pack(r[mine]),
-                    "others": pack(o[mine] if not last else np.zeros(0, np.int64)),
+                    "more": pack((r + o)[mine] // split_tokens if not last else np.zeros(0, np.int64)),
                     "numbers": None if last else pack_rising(numbered(bucket, mine)),
                     "mode": pack(mode[runs]),
                     "sums": pack(sums[leave, : CUT + 1].ravel()),
@@ -516,6 +526,16 @@ def _discounts(replies: DataFrame) -> tuple[int, int, dict[int, int]]:
     return row.n or 0, row.v or 0, {r: row[f"n{r}"] or 0 for r in range(1, CUT + 2)}
 
 
+def _in_turn(chunks: DataFrame, turn: int, turns: int) -> DataFrame:
+    """A share of the chunks, whose numbers are of tasks and of chunks in a task."""
+    number = F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(2**32 - 1)
+    return chunks.where(F.pmod(number, F.lit(turns)) == turn)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -531,13 +551,20 @@ def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     size = chunks.agg(F.sum("tokens").alias("tokens"), F.sum("texts").alias("texts")).first()
     tokens, texts = size.tokens or 0, size.texts or 0
     buckets = max(1, min(partitions(spark), MIN_BUCKETS), tokens // BUCKET_TOKENS)
-    replies = materialize(_unigram_counts(chunks, buckets), "katz-1")
+    turns = min(TURNS, 1 + tokens // TURN_TOKENS)
+    replies = materialize(_unigram_counts(chunks, buckets, split_tokens), "katz-1")
     model = Unigrams(*_discounts(replies))
     told = _told(replies)
     # The words' hashes have done their work and needn't travel with the texts.
-    own = materialize(chunks.select("chunk", "doc_ids", "lengths", "codes"), "katz-texts").groupBy("chunk")
+    own = materialize(chunks.select("chunk", "doc_ids", "lengths", "codes"), "katz-texts")
     discard(spark, path)
     found: list[tuple[np.ndarray, float]] = []
+
+    def chunk_by_chunk(told: DataFrame, work, schema: str) -> list[DataFrame]:
+        """What ``work`` makes of every chunk and what it is told, one table a turn."""
+        shares = [[_in_turn(x, turn, turns).groupBy("chunk") for x in (own, told)] for turn in range(turns)]
+        return [mine.cogroup(answers).applyInArrow(work, schema) for mine, answers in shares]
+
     for level in range(2, order + 1):
         release(spark)
 
@@ -548,8 +575,19 @@ def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
             pa.default_memory_pool().release_unused()
             return pa.table({c: pa.array([r[c] for r in rows], t) for c, t in zip(_names(ASK), _ASK_TYPES, strict=True)})
 
-        asked = own.cogroup(told.groupBy("chunk")).applyInArrow(ask, ASK)
-        replies = materialize(_counts(asked, level, level == order, model, found[-1] if found else None), f"katz-{level}")
+        # The sums are for the scores.
+        asks = chunk_by_chunk(told.drop("sums", "mass"), ask, ASK)
+        path = scratch_path(spark, f"katz-asked-{level}")
+        for asked in asks:
+            asked.withColumn("turn", F.pmod("bucket", F.lit(turns)).cast("int")).write.mode("append").partitionBy("turn").parquet(path)
+            release(spark)
+        parts = []
+        for turn in range(turns):
+            asked = spark.read.schema(f"{ASK}, turn int").parquet(path).where(F.col("turn") == turn).drop("turn")
+            parts.append(materialize(_counts(asked, level, level == order, model, found[-1] if found else None, split_tokens), f"katz-{level}"))
+            discard(spark, f"{path}/turn={turn}")
+            release(spark)
+        replies = _union(parts)
         found.append(discounts(_discounts(replies)[2]))
         told = told.unionByName(_told(replies))
     release(spark)
@@ -562,5 +600,8 @@ def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table({c: pa.array(x, t) for c, x, t in zip(_names(SCORED), cols, types, strict=True)})
 
-    scored = own.cogroup(told.groupBy("chunk")).applyInArrow(score, SCORED)
-    return scored.withColumn("train_tokens", F.lit(int(model.tokens)).cast("long"))
+    scored = []
+    for some in chunk_by_chunk(told, score, SCORED):
+        scored.append(materialize(some, "katz-scores"))
+        release(spark)
+    return _union(scored).withColumn("train_tokens", F.lit(int(model.tokens)).cast("long"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from itemlens.llm import katz as K
+from itemlens.session import hadoop_path, scratch_path
 
 
 def held(i):
@@ -122,3 +123,17 @@ def test_better_than_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [r for r in K.katz_scores(docs).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_turns_change_no_row_and_leave_no_questions_behind(spark, frame, monkeypatch):
+    monkeypatch.setattr(K, "SPLIT_TOKENS", 20)
+    monkeypatch.setattr(K, "CHUNK_BYTES", 1500)
+    monkeypatch.setattr(K, "TURNS", 2)
+    monkeypatch.setattr(K, "TURN_TOKENS", 300)
+    written = []
+    monkeypatch.setattr(K, "scratch_path", lambda *a: written.append(scratch_path(*a)) or written[-1])
+    assert scored(frame, ROWS) == Brute(ROWS).rows(ROWS)
+    assert len(written) == 2
+    for path in written:
+        place, fs = hadoop_path(spark, path)
+        assert not [x for x in fs.listStatus(place) if x.isDirectory()]
