@@ -516,6 +516,8 @@ def _told(replies: DataFrame) -> DataFrame:
     # A history is told once, however many buckets its parts are in.
     wanted = told.select("level", "chunk", F.explode("split").alias("history")).distinct()
     whole = wanted.join(total, "history").groupBy("level", "chunk").agg(F.collect_list(F.struct("history", "sums")).alias("whole"))
+    # Written, as every turn reads it.
+    whole = materialize(whole, "katz-whole")
     return told.select(*_names(_TOLD)).unionByName(whole, allowMissingColumns=True)
 
 
