@@ -13,8 +13,10 @@ many sets share.
 Signatures are dealt into buckets, sets with a common signature become candidate pairs,
 and candidates are verified exactly on the whole sets, which are made anew from the texts
 (a text takes less room in a shuffle than its set).  Equal sets are one node
-throughout.  A signature that many nodes share is compared with one hub first; only
-what the links found so far leave open, beyond the slack, is compared further.
+throughout.  A signature that many nodes share is compared with one hub first, and
+what the links found so far leave open, beyond the slack, with further hubs.  Sets that
+stay open are compared by their rarest tokens (prefix filtering): linked sets have one of
+those in common, sets that merely share a long passage don't.
 
 Tokens are 64-bit hashes, nodes 128-bit hashes of whole sets.
 
@@ -50,10 +52,12 @@ BUCKET_BYTES = 32 << 20
 PAIRS_PER_GROUP = 4000
 #: Texts whose sets are made together when pairs are verified.
 TEXTS_AT_ONCE = 256
+#: Text bytes whose tokens become rows together.
+TOKEN_BYTES = 1 << 20
 #: Up to so many nodes with a common signature are paired at once; beyond, by hubs.
 SMALL_GROUP = 8
 HUB_ROUNDS = 3
-#: Open signatures of up to so many nodes are paired in groups of about so many rows.
+#: Rare tokens of up to so many open nodes are paired in groups of about so many rows.
 FAMILY = 512
 FAMILY_ROWS = 20_000
 PAIRS_AT_ONCE = 1 << 20
@@ -423,47 +427,94 @@ def _hub_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
-def _family_pairs(group: pa.Table) -> pa.Table:
-    """All pairs across components in the signatures of a group, each once."""
+def _rare_tokens(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """token, node, root, size and place of the rare tokens of the nodes (node, root).
+
+    All sets are sorted in one order: tokens of one component first, as no missing link
+    has them in common, and the others by how many of the nodes have them.  Two linked
+    sets of s and t tokens have at least ``common`` tokens in common, so the first of
+    these is among the first s - common + 1 of the one and t - common + 1 of the other.
+    Of each set only what can be needed for a partner of any size is returned.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(lo, TEXTS_AT_ONCE)
+                texts_ = pa.array([unpack.decompress(p) for p in some.column("packed").to_pylist()], pa.binary())
+                some = pa.RecordBatch.from_arrays([some.column("node"), some.column("root"), texts_], names=["node", "root", "text"])
+                for part in slices(some, "text", TOKEN_BYTES):
+                    sets = sets_of(part.column("text"), width)
+                    n = np.array([len(s) for s in sets])
+                    at = pa.array(np.repeat(np.arange(len(n)), n))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(sets).view(np.int64)), part.column("node").take(at), part.column("root").take(at), pa.array(np.repeat(n, n))],
+                        names=["token", "node", "root", "size"],
+                    )
+
+    found = nodes.join(texts.dropDuplicates(["node"]), "node").select("node", "root", "packed")
+    rows = found.mapInArrow(run, "token long, node binary, root binary, size long")
+    same = Window.partitionBy("token")
+    rows = rows.withColumns({"often": F.count("*").over(same), "lo": F.min("root").over(same), "hi": F.max("root").over(same)})
+    rows = rows.where("lo != hi").drop("lo", "hi")
+    own = Window.partitionBy("node")
+    before = F.col("size") - F.count("*").over(own)
+    rows = rows.withColumn("place", before + F.row_number().over(own.orderBy("often", "token")) - 1)
+    return rows.where(F.expr(f"place <= size - ({percent} * size + 99) div 100")).drop("often")
+
+
+def _common(s: np.ndarray, t: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that linked sets of ``s`` and ``t`` tokens have in common at least."""
+    return -(-percent * (s + t) // (100 + percent))
+
+
+def _family_pairs(group: pa.Table, percent: int) -> pa.Table:
+    """Pairs across components with a token of a group in common that can be the first
+    of enough common ones, each once."""
     names, node = np.unique(np.array(group.column("node").to_pylist(), object), return_inverse=True)
     _, root = np.unique(np.array(group.column("root").to_pylist(), object), return_inverse=True)
-    sig = group.column("sig").to_numpy()
-    order = np.lexsort((node, sig))
-    node, root, sig = node[order], root[order], sig[order]
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    size = np.diff(np.append(start, len(sig)))
+    token, size, place = (group.column(c).to_numpy() for c in ("token", "size", "place"))
+    order = np.lexsort((node, token))
+    node, root, token, size, place = (x[order] for x in (node, root, token, size, place))
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    often = np.diff(np.append(start, len(token)))
     found = np.zeros(0, np.int64)
-    for n in np.unique(size[size > 1]).tolist():
+    for n in np.unique(often[often > 1]).tolist():
         x, y = np.triu_indices(n, 1)
-        begins = start[size == n]
+        begins = start[often == n]
         step = max(1, PAIRS_AT_ONCE // len(x))
         for lo in range(0, len(begins), step):
             at = begins[lo : lo + step, None]
             a, b = (at + x).ravel(), (at + y).ravel()
             apart = root[a] != root[b]
-            found = np.union1d(found, node[a[apart]] * len(names) + node[b[apart]])
+            a, b = a[apart], b[apart]
+            least = _common(size[a], size[b], percent)
+            near = (place[a] <= size[a] - least) & (place[b] <= size[b] - least)
+            found = np.union1d(found, node[a[near]] * len(names) + node[b[near]])
     a, b = np.divmod(found, max(1, len(names)))
     return pa.table({"a": pa.array(names[a].tolist(), pa.binary()), "b": pa.array(names[b].tolist(), pa.binary())})
 
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs across components in open signatures.
+def _rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs that ``_rare_tokens`` leave to compare.
 
-    Texts that have one of their signatures in common have most of them, so signatures
-    with the same least node are paired together, which gives a pair few times instead
-    of once a signature.  Such groups are cut at ``FAMILY_ROWS`` rows on average, and
-    signatures of more than ``FAMILY`` nodes are paired by a join.
+    Texts that have one rare token in common often have more, so tokens with the same
+    least node are paired together, which gives a pair few times instead of once a token.
+    Such groups are cut at ``FAMILY_ROWS`` rows on average, and tokens of more than
+    ``FAMILY`` nodes are paired by a join.
     """
-    sizes = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    sizes = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     parts = sizes.where(F.col("n") <= FAMILY).groupBy("first").agg(F.ceil(F.sum("n") / FAMILY_ROWS).alias("parts"))
-    some = rows.join(sizes.join(parts, "first"), "sig").where(F.col("n") <= FAMILY)
-    some = some.select("sig", "node", "root", "first", F.pmod(F.xxhash64("sig"), F.col("parts")).alias("part"))
-    near = some.groupBy("first", "part").applyInArrow(_family_pairs, "a binary, b binary")
-    wide = rows.join(sizes.where(F.col("n") > FAMILY).select("sig"), "sig", "left_semi")
-    x = wide.select("sig", F.col("node").alias("a"), F.col("root").alias("ra"))
-    y = wide.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
-    far = x.join(y, "sig").where("ra != rb and a < b").select("a", "b")
-    return near.union(far).distinct()
+    some = rows.join(sizes.join(parts, "first"), "token").where(F.col("n") <= FAMILY)
+    some = some.select("token", "node", "root", "size", "place", "first", F.pmod(F.xxhash64("token"), F.col("parts")).alias("part"))
+    near = some.groupBy("first", "part").applyInArrow(lambda group: _family_pairs(group, percent), "a binary, b binary")
+    wide = rows.join(sizes.where(F.col("n") > FAMILY).select("token"), "token", "left_semi")
+    x = wide.select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "place")))
+    y = wide.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "size", "place")))
+    least = f"({percent} * (size_a + size_b) + {99 + percent}) div {100 + percent}"
+    far = x.join(y, "token").where(f"root_a != root_b and node_a < node_b and place_a <= size_a - {least} and place_b <= size_b - {least}")
+    return near.union(far.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).distinct()
 
 
 def row_key() -> Column:
@@ -494,17 +545,30 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     links = _verified(pairs, texts, width, percent)
     roots = components(links)
     release(docs.sparkSession)
-    for turn in range(HUB_ROUNDS + 1):
+    hubs = HUB_ROUNDS
+    while True:
         rest, path = written(_open(hot, roots), "ngram-open")
         if rest.isEmpty():
             break
-        more = _hub_pairs(rest) if turn < HUB_ROUNDS else _all_pairs(rest)
+        paths = [path]
+        if hubs:
+            more = _hub_pairs(rest)
+        else:
+            rare, path = written(_rare_tokens(rest.select("node", "root").distinct(), texts, width, percent), "ngram-rare")
+            paths.append(path)
+            more = _rare_pairs(rare, percent)
         more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "ngram-pairs")
-        discard(docs.sparkSession, path)
+        discard(docs.sparkSession, *paths)
         pairs = pairs.unionByName(more)
-        links = links.unionByName(_verified(more, texts, width, percent))
-        roots = components(links)
+        new = _verified(more, texts, width, percent)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = components(links)
         release(docs.sparkSession)
+        if not hubs:
+            break
+        # Without new links the next hubs would be the same.
+        hubs = 0 if new.isEmpty() else hubs - 1
 
     # Only nodes of several rows or with links differ from their own id.
     least = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))

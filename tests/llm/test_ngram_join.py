@@ -142,3 +142,32 @@ def test_families_of_half_alike_texts(frame, monkeypatch, family):
     base = [f"b{i}" for i in range(200)]
     rows = [(i, " ".join(edited(rng, base, 0.06 if i % 3 else 0.01))) for i in range(40)]
     assert found(frame, rows, monkeypatch, 3) == brute(rows)
+
+
+def test_texts_that_share_a_passage_are_not_all_compared(frame, monkeypatch):
+    """Pairs left to compare don't grow with the square of those that share a passage."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(150)]
+    rows = [(i, " ".join(passage + [f"own{rng.randrange(10**6)}" for _ in range(80)])) for i in range(60)]
+    rows += [(100, rows[7][1] + " end"), (101, " ".join(["start"] + rows[8][1].split()[2:]))]
+    compared = []
+    verified = N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    assert found(frame, rows, monkeypatch, 3) == brute(rows)
+    assert sum(compared) < 60 * 59 // 2 // 2
+
+
+def test_rare_tokens_find_every_link(spark):
+    """Of sets in any order of frequency, the rare tokens of all linked pairs meet."""
+    rng = random.Random(13)
+    base = [f"b{i}" for i in range(60)]
+    texts = sorted({" ".join(edited(rng, base, rng.choice([0.01, 0.02, 0.04]))) for _ in range(60)})
+    all_ = N.sets_of(pa.array(texts), 5)
+    sets = {N.node_key(s): s for s in all_}
+    pack = N.zstandard.ZstdCompressor()
+    packed = spark.createDataFrame([(N.node_key(s), pack.compress(t.encode())) for s, t in zip(all_, texts, strict=True)] * 2, "node binary, packed binary")
+    nodes = spark.createDataFrame([(k, k) for k in sets], "node binary, root binary")
+    rows = N._rare_tokens(nodes, packed, 5, 80)
+    met = {(bytes(r.a), bytes(r.b)) for r in N._rare_pairs(rows, 80).collect()}
+    linked = {(p, q) for p in sets for q in sets if p < q and 100 * len(np.intersect1d(sets[p], sets[q])) >= 80 * len(np.union1d(sets[p], sets[q]))}
+    assert linked and linked <= met and len(met) < len(sets) * (len(sets) - 1) // 2
