@@ -6,7 +6,9 @@ in proportion to ``slice_bytes`` plus the longest single text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +23,43 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def give_back() -> None:
+    """Return the memory that this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def thrifty(work: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The function of one group (or of two that belong together), which gives back what
+    it took: a worker lives on, beside those of other tasks, in its executor's memory."""
+
+    def one(group: pa.Table) -> pa.Table:
+        try:
+            return work(group)
+        finally:
+            give_back()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return work(left, right)
+        finally:
+            give_back()
+
+    return one if len(inspect.signature(work).parameters) == 1 else two
+
+
+def thrifty_batches(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The function of a task's batches, which gives back what it took (see ``thrifty``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalising bit mixer (uint64 -> uint64, a bijection)."""
     x = x.astype(np.uint64, copy=True)

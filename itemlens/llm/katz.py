@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemlens.llm.arrays import mix64, slices, words
+from itemlens.llm.arrays import mix64, slices, thrifty, thrifty_batches, words
 from itemlens.llm.common import discard, partitions, release, written
 from itemlens.session import materialize, scratch_path
 
@@ -186,9 +186,9 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 row = [number, int((~held).sum()), len(codes), ids, vocab.tobytes(), pack(counts), pack(others), pack(n + 1), pack(codes)]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _CHUNK_TYPES, strict=True)], names=_names(CHUNK))
                 number += 1
-        pa.default_memory_pool().release_unused()
+                del hashes, vocab, codes, train, counts, others, row
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CHUNK)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(thrifty_batches(run), CHUNK)
 
 
 #: What a chunk is told by a bucket of one order.  ``mode``, ``sums`` and ``mass`` are of
@@ -260,8 +260,8 @@ def _unigram_counts(chunks: DataFrame, buckets: int, split_tokens: int) -> DataF
         rows.append({"level": 1, "bucket": bucket, "words": table[order].tobytes(), "r": pack(r[order]), "tokens": int(r.sum()), "types": int((r > 0).sum()), "of_counts": _of_counts(r)})
         return _replies(rows)
 
-    asked = chunks.select("chunk", "vocab", "counts", "others").mapInArrow(ask, "bucket int, chunk long, words binary, counts binary, others binary")
-    return asked.groupBy("bucket").applyInArrow(answer, REPLY)
+    asked = chunks.select("chunk", "vocab", "counts", "others").mapInArrow(thrifty_batches(ask), "bucket int, chunk long, words binary, counts binary, others binary")
+    return asked.groupBy("bucket").applyInArrow(thrifty(answer), REPLY)
 
 
 def _added(group: pa.Table, column: str, place: np.ndarray, n: int) -> np.ndarray:
@@ -303,7 +303,8 @@ def modes(sums: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """A chunk's tokens, and its n-grams of every order that has been answered."""
+    """A chunk's tokens, and its n-grams of every order that has been answered.  Places
+    in the chunk take four bytes, numbers and counts of the corpus eight."""
 
     def __init__(self, own: pa.Table, told: pa.Table, texts: int, buckets: int, split_tokens: int):
         row = {c: own.column(c)[0].as_py() for c in ("doc_ids", "lengths", "codes")}
@@ -317,10 +318,11 @@ class Chunk:
         order = np.argsort(number)
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        self.codes, self.words = place[codes], len(order)
+        self.codes, self.words = place.astype(np.int32)[codes], len(order)
         self.held = _held(self.ids)
-        self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
-        self.place = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths)
+        self.place = np.arange(len(self.codes), dtype=np.int32)
+        self.place -= np.repeat((np.cumsum(self.lengths) - self.lengths).astype(np.int32), self.lengths)
         # The start of a text comes after all words.
         start = numbered(buckets, 0)
         self.levels = [Level(self.codes, np.append(number[order], start), np.append(count[order], texts), None, np.append(more[order], texts // split_tokens))]
@@ -332,28 +334,32 @@ class Chunk:
         """The n-grams of the next order, which no bucket has answered yet."""
         below, base, k = self.levels[-1], self.levels[0], len(self.levels) + 1
         at = np.flatnonzero(self.place >= k - 2)
-        history = np.where(self.place[at] == 0, self.words, below.local[at - 1])
-        keys, each = np.unique(history * self.words + self.codes[at], return_inverse=True)
-        h, w = np.divmod(keys, max(self.words, 1))
+        keys = np.where(self.place[at] == 0, self.words, below.local[at - 1]).astype(np.int64)
+        keys *= self.words
+        keys += self.codes[at]
+        keys, each = np.unique(keys, return_inverse=True)
+        h, w = (x.astype(np.int32) for x in np.divmod(keys, max(self.words, 1)))
         spread = mix64(below.number[h].astype(np.uint64))
         parts = 1 + below.more[h]
         if (parts > 1).any():
             spread = np.where(parts > 1, mix64(spread + mix64(base.number[w].astype(np.uint64)) % parts.astype(np.uint64)), spread)
-        bucket = bucket_of(spread, self.buckets)
+        bucket = bucket_of(spread, self.buckets).astype(np.int32)
+        del spread, parts
         order = np.argsort(bucket, kind="stable")
-        rank = np.empty_like(order)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         each, h, w, bucket = rank[each], h[order], w[order], bucket[order]
-        local = np.full(len(self.codes), -1)
+        del order, rank
+        local = np.full(len(self.codes), -1, np.int32)
         local[at] = each
-        low = np.empty(len(keys), np.int64)
+        low = np.empty(len(keys), np.int32)
         low[each] = below.local[at]
         train = ~self.held[self.doc[at]]
         new = np.ones(len(keys), bool)
         new[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
         count, other = (np.bincount(each[x], minlength=len(keys)) for x in (train, ~train))
         head = np.flatnonzero(new)
-        self.levels.append(Level(local, None, count, other, None, low, h, w, bucket, np.cumsum(new) - 1, head, below.count[h[head]]))
+        self.levels.append(Level(local, None, count, other, None, low, h, w, bucket, np.cumsum(new, dtype=np.int32) - 1, head, below.count[h[head]]))
 
     def asks(self) -> list[dict]:
         """Rows for the buckets, from the newest order's n-grams: histories, how many
@@ -447,11 +453,15 @@ def _counts(asked: DataFrame, level: int, last: bool, model: Unigrams, below: tu
         histories = [unpack_rising(x) for x in group.column("history").to_pylist()]
         history, first, h_no = np.unique(np.concatenate(histories), return_index=True, return_inverse=True)
         split = np.concatenate(cols["split"])[first] > 0
-        known, word = np.unique(np.concatenate(cols["words"]), return_inverse=True)
-        fans = np.concatenate(cols["fan"])
-        grams, entry = np.unique(np.repeat(h_no, fans) * len(known) + word, return_inverse=True)
-        h, w = np.divmod(grams, len(known))
+        sizes = [len(x) for x in cols["words"]]
+        known, word = np.unique(np.concatenate(cols.pop("words")), return_inverse=True)
+        grams = np.repeat(h_no, np.concatenate(cols["fan"]))
+        grams *= len(known)
+        grams += word
         del word
+        grams, entry = np.unique(grams, return_inverse=True)
+        entry = entry.astype(np.int32)
+        h, w = (x.astype(np.int32) for x in np.divmod(grams, len(known)))
         r, o = (_added(group, c, entry, len(grams)) for c in ("counts", "others"))
         counts = np.concatenate([unpack(x) for x in group.column("low").to_pylist()])
         if below is None:
@@ -468,7 +478,7 @@ def _counts(asked: DataFrame, level: int, last: bool, model: Unigrams, below: tu
         rows, at, run_at = [], 0, 0
         for i, chunk in enumerate(group.column("chunk").to_pylist()):
             runs = h_no[run_at : run_at + len(histories[i])]
-            mine = entry[at : at + len(cols["words"][i])]
+            mine = entry[at : at + sizes[i]]
             leave = runs[leaving(np.repeat(np.arange(len(runs)), cols["fan"][i]), r[mine], mode[runs])]
             rows.append(
                 {
@@ -502,10 +512,9 @@ def _counts(asked: DataFrame, level: int, last: bool, model: Unigrams, below: tu
                 "parts": [{"history": int(history[i]), "sums": sums[i].tolist()} for i in np.flatnonzero(split).tolist()],
             }
         )
-        pa.default_memory_pool().release_unused()
         return _replies(rows)
 
-    return asked.groupBy("bucket").applyInArrow(answer, REPLY)
+    return asked.groupBy("bucket").applyInArrow(thrifty(answer), REPLY)
 
 
 def _told(replies: DataFrame) -> DataFrame:
@@ -565,7 +574,7 @@ def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def chunk_by_chunk(told: DataFrame, work, schema: str) -> list[DataFrame]:
         """What ``work`` makes of every chunk and what it is told, one table a turn."""
         shares = [[_in_turn(x, turn, turns).groupBy("chunk") for x in (own, told)] for turn in range(turns)]
-        return [mine.cogroup(answers).applyInArrow(work, schema) for mine, answers in shares]
+        return [mine.cogroup(answers).applyInArrow(thrifty(work), schema) for mine, answers in shares]
 
     for level in range(2, order + 1):
         release(spark)
@@ -574,7 +583,6 @@ def katz_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
             chunk = Chunk(mine, answers, texts, buckets, split_tokens)
             chunk.add_level()
             rows = [r | {"chunk": mine.column("chunk")[0].as_py()} for r in chunk.asks()]
-            pa.default_memory_pool().release_unused()
             return pa.table({c: pa.array([r[c] for r in rows], t) for c, t in zip(_names(ASK), _ASK_TYPES, strict=True)})
 
         # The sums are for the scores.

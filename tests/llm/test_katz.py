@@ -3,9 +3,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from itemlens.llm import katz as K
+from itemlens.llm.arrays import thrifty, thrifty_batches
 from itemlens.session import hadoop_path, scratch_path
 
 
@@ -137,3 +139,27 @@ def test_turns_change_no_row_and_leave_no_questions_behind(spark, frame, monkeyp
     for path in written:
         place, fs = hadoop_path(spark, path)
         assert not [x for x in fs.listStatus(place) if x.isDirectory()]
+
+
+def test_a_worker_gives_back_what_a_group_took():
+    """What a group's many small pieces took isn't kept by the process once it is done."""
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def work(group):
+        pieces = [np.ones(1000) for _ in range(40_000)]
+        last.append(np.ones(1000))  # lies behind the pieces, so that none goes by itself
+        return group.slice(0, len(pieces) and 1)
+
+    last = []
+    before = held()
+    assert thrifty(work)(pa.table({"x": [1, 2]})).num_rows == 1
+    assert held() - before < 100 << 20
+
+
+def test_thrifty_functions_keep_their_arguments(spark):
+    one = spark.range(4).groupBy("id").applyInArrow(thrifty(lambda t: t.slice(0, 1)), "id long")
+    both = spark.range(4).groupBy("id").cogroup(spark.range(2).groupBy("id")).applyInArrow(thrifty(lambda a, b: b), "id long")
+    batches = spark.range(4).mapInArrow(thrifty_batches(lambda it: it), "id long")
+    assert [x.count() for x in (one, both, batches)] == [4, 2, 4]
