@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itemlens.llm.arrays import SLICE_BYTES, slices
+from itemlens.llm.arrays import SLICE_BYTES, slices, thrifty_batches
 from itemlens.session import scratch_path
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -80,7 +80,5 @@ def map_texts(
             for part in slices(batch, text, limit):
                 made = list(work(part.column(text)))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in carry] + made, names=out.names)
-        # The worker lives on for other stages' tasks.
-        pa.default_memory_pool().release_unused()
 
-    return df.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, out)
+    return df.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(thrifty_batches(run), out)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from itemlens.llm.arrays import mix64, slices
+from itemlens.llm.arrays import mix64, slices, thrifty_batches
 from itemlens.llm.common import discard, written
 
 WINDOW = 13
@@ -273,7 +273,7 @@ def _pass(rows: DataFrame, block, window: int, carry: list[str], first: bool, la
                 results = [pa.array(list(c), t) for c, t in zip(zip(*made, strict=True), to_arrow_schema(found).types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + results, names=out.names)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(thrifty_batches(run), out)
 
 
 def items_digest(names: str = "items") -> Column:

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemlens.llm.arrays import mix64, slices, window_hashes, words
+from itemlens.llm.arrays import mix64, slices, thrifty, thrifty_batches, window_hashes, words
 from itemlens.llm.common import discard, partitions, release, written
 from itemlens.llm.graph import components
 from itemlens.session import materialize
@@ -209,7 +209,7 @@ def _node_table(docs: DataFrame, width: int) -> DataFrame:
                     names=["doc_id", "row_key", "n_shingles", "node"],
                 )
 
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, out)
+    return docs.select("doc_id", "row_key", "text").mapInArrow(thrifty_batches(run), out)
 
 
 def _signature_blobs(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
@@ -239,7 +239,7 @@ def _signature_blobs(docs: DataFrame, width: int, percent: int, buckets: int) ->
                     [pa.array(rows[c], t) for c, t in zip(rows, [pa.int32()] * 2 + [pa.binary()] * 4, strict=True)], names=list(rows)
                 )
 
-    return docs.select("text").mapInArrow(run, "bucket int, scheme int, nodes binary, slack binary, counts binary, sigs binary")
+    return docs.select("text").mapInArrow(thrifty_batches(run), "bucket int, scheme int, nodes binary, slack binary, counts binary, sigs binary")
 
 
 CANDIDATES = "a binary, b binary, sig long, scheme int, slack int, weight int, hub int"
@@ -349,7 +349,7 @@ def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "packed"])
 
     found = docs.join(rows, "row_key").select("node", "text")
-    return found.mapInArrow(run, "node binary, packed binary")
+    return found.mapInArrow(thrifty_batches(run), "node binary, packed binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -391,7 +391,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             keep.append(100 * same >= percent * (len(p) + len(q) - same))
         return pairs_.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    checked = dealt.groupBy("g", "part").cogroup(found.groupBy("to_g", "to_part")).applyInArrow(check, "a binary, b binary")
+    checked = dealt.groupBy("g", "part").cogroup(found.groupBy("to_g", "to_part")).applyInArrow(thrifty(check), "a binary, b binary")
     links = materialize(checked, "ngram-links")
     discard(pairs.sparkSession, path)
     return links
@@ -454,7 +454,7 @@ def _rare_tokens(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -
                     )
 
     found = nodes.join(texts.dropDuplicates(["node"]), "node").select("node", "root", "packed")
-    rows = found.mapInArrow(run, "token long, node binary, root binary, size long")
+    rows = found.mapInArrow(thrifty_batches(run), "token long, node binary, root binary, size long")
     same = Window.partitionBy("token")
     rows = rows.withColumns({"often": F.count("*").over(same), "lo": F.min("root").over(same), "hi": F.max("root").over(same)})
     rows = rows.where("lo != hi").drop("lo", "hi")
@@ -508,7 +508,7 @@ def _rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
     parts = sizes.where(F.col("n") <= FAMILY).groupBy("first").agg(F.ceil(F.sum("n") / FAMILY_ROWS).alias("parts"))
     some = rows.join(sizes.join(parts, "first"), "token").where(F.col("n") <= FAMILY)
     some = some.select("token", "node", "root", "size", "place", "first", F.pmod(F.xxhash64("token"), F.col("parts")).alias("part"))
-    near = some.groupBy("first", "part").applyInArrow(lambda group: _family_pairs(group, percent), "a binary, b binary")
+    near = some.groupBy("first", "part").applyInArrow(thrifty(lambda group: _family_pairs(group, percent)), "a binary, b binary")
     wide = rows.join(sizes.where(F.col("n") > FAMILY).select("token"), "token", "left_semi")
     x = wide.select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "place")))
     y = wide.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "size", "place")))
@@ -533,7 +533,7 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     # About 0.56 signatures a token, of eight bytes.
     buckets = max(1, int(tokens * 4.5) // BUCKET_BYTES, min(partitions(docs.sparkSession), int(tokens) // 100_000))
     blobs = _signature_blobs(docs, width, percent, buckets)
-    found = materialize(blobs.groupBy("bucket").applyInArrow(_candidates, CANDIDATES), "ngram-candidates")
+    found = materialize(blobs.groupBy("bucket").applyInArrow(thrifty(_candidates), CANDIDATES), "ngram-candidates")
     release(docs.sparkSession)
     hot = found.where("b is null").select(F.col("a").alias("node"), "sig", "scheme", "slack", "weight")
     pairs = materialize(_worth_checking(found, hot), "ngram-pairs")

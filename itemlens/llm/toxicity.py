@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemlens.llm.arrays import mix64, slices, span_hashes, text_buffers, words
+from itemlens.llm.arrays import mix64, slices, span_hashes, text_buffers, thrifty_batches, words
 from itemlens.llm.common import map_texts
 
 ALPHABET = 61
@@ -126,7 +126,7 @@ def char_counts(docs: DataFrame) -> np.ndarray:
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(thrifty_batches(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(ALPHABET**3, np.int64)
     for r in rows:
         counts[r.code] = r.n
@@ -375,7 +375,7 @@ def fit(docs: DataFrame, labels: DataFrame, model, train_rows: int = TRAIN_ROWS)
             names=["feature", "clean", "toxic"],
         )
 
-    counts = rows.mapInArrow(counted, "feature long, clean long, toxic long")
+    counts = rows.mapInArrow(thrifty_batches(counted), "feature long, clean long, toxic long")
     counts = counts.groupBy("feature").agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
     sizes = counts.where("feature = -1").first()
     n0, n1 = (sizes.b, sizes.a) if sizes else (0, 0)
@@ -400,7 +400,7 @@ def fit(docs: DataFrame, labels: DataFrame, model, train_rows: int = TRAIN_ROWS)
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(place, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), lists], names=["toxic", "features"])
 
-    sample_rows = rows.mapInArrow(picked, "toxic int, features array<int>").toArrow()
+    sample_rows = rows.mapInArrow(thrifty_batches(picked), "toxic int, features array<int>").toArrow()
     y = np.array(sample_rows.column("toxic").to_pylist(), float)
     lists = sample_rows.column("features").to_pylist()
     doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
