@@ -18,7 +18,8 @@ what the links found so far leave open, beyond the slack, with further hubs.  Se
 stay open are compared by their rarest tokens (prefix filtering): linked sets have one of
 those in common, sets that merely share a long passage don't.
 
-Tokens are 64-bit hashes, nodes 128-bit hashes of whole sets.
+Tokens are 64-bit hashes, sets are told apart by 128-bit hashes.  A node is a number of
+64 bits made of the latter; were two sets of the input to get the same, all get others.
 
 Defined cases: a text with fewer words than ``width`` has its whole sequence as the one
 n-gram; null, empty and word-free texts have none and are linked with nothing; repeated
@@ -50,6 +51,10 @@ PERCENT = 80
 BUCKET_BYTES = 32 << 20
 #: Pairs verified in one group, on average.
 PAIRS_PER_GROUP = 4000
+#: Rows that a join may send to every task, so that the texts stay where they are.
+FEW_ROWS = 100_000
+#: Bytes of a signature.
+SIG_BYTES = 6
 #: Texts whose sets are made together when pairs are verified.
 TEXTS_AT_ONCE = 256
 #: Text bytes whose tokens become rows together.
@@ -73,6 +78,32 @@ def node_key(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def node_numbers(keys: list[bytes], salt: int) -> np.ndarray:
+    """A number for each key."""
+    halves = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
+    return mix64(halves[:, 0] ^ mix64(halves[:, 1] + np.uint64(salt))).view(np.int64)
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """Whole numbers from zero on in as few bytes as the largest takes."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+
+
+def sig_bytes(sig: np.ndarray) -> bytes:
+    return np.ascontiguousarray(sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES]).tobytes()
+
+
+def sigs_of(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // SIG_BYTES, 8), np.uint8)
+    wide[:, :SIG_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SIG_BYTES)
+    return wide.view("<u8").ravel()
+
+
 @lru_cache(maxsize=None)
 def band_start(i: int, percent: int) -> int:
     """Least size in band ``i``."""
@@ -143,6 +174,8 @@ def signatures(sets: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarra
     that one weight more than nothing is all that is sure to be common.
 
     The low bit of a signature tells the weight (allowance + 1) of its segment, less one.
+    Signatures have ``SIG_BYTES`` bytes; one that sets share by chance is weight that they
+    haven't in common, which can only add to the pairs that are checked.
     """
     by_scheme: dict[int, list[int]] = {}
     for i, s in enumerate(sets):
@@ -188,53 +221,74 @@ def signatures(sets: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarra
 
 
 def _tagged(x: np.ndarray, one: np.ndarray) -> np.ndarray:
-    return (mix64(x) & np.uint64(2**64 - 2)) | one.astype(np.uint64)
+    return (mix64(x) >> np.uint64(64 - 8 * SIG_BYTES) & np.uint64(2**64 - 2)) | one.astype(np.uint64)
 
 
-def _node_table(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, row_key, n_shingles and node (null without n-grams) of every row."""
-    out = "doc_id long, row_key binary, n_shingles long, node binary"
+def _node_table(docs: DataFrame, width: int, salt: int) -> DataFrame:
+    """doc_id, row_key, n_shingles, key and node (null without n-grams) of every row."""
+    out = "doc_id long, row_key binary, n_shingles long, key binary, node long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = sets_of(part.column("text"), width)
+                size = np.array([len(s) for s in sets])
+                keys = [node_key(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()),
                         part.column("row_key"),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([node_key(s) if len(s) else None for s in sets], pa.binary()),
+                        pa.array(size, pa.int64()),
+                        pa.array([k if n else None for k, n in zip(keys, size.tolist(), strict=True)], pa.binary()),
+                        pa.array(node_numbers(keys, salt), mask=size == 0),
                     ],
-                    names=["doc_id", "row_key", "n_shingles", "node"],
+                    names=["doc_id", "row_key", "n_shingles", "key", "node"],
                 )
 
     return docs.select("doc_id", "row_key", "text").mapInArrow(thrifty_batches(run), out)
 
 
-def _signature_blobs(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
+def _nodes(docs: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """The rows' nodes as a written table, and the salt by which different sets have
+    different numbers there."""
+    salt = 0
+    while True:
+        table, path = written(_node_table(docs, width, salt), "ngram-nodes")
+        same = table.where("node is not null").groupBy("node").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+        if same.where("lo != hi").isEmpty():
+            return table.drop("key"), salt
+        discard(docs.sparkSession, path)
+        salt += 1
+
+
+def _signature_blobs(docs: DataFrame, width: int, percent: int, buckets: int, salt: int = 0) -> DataFrame:
     """One row for each slice of texts and bucket: signatures, by the sets that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 # Equal sets of a slice are one.
-                sets = list({node_key(s): s for s in sets_of(part.column("text"), width) if len(s)}.items())
-                keys = [k for k, _ in sets]
+                sets = {node_key(s): s for s in sets_of(part.column("text"), width) if len(s)}
+                nodes = node_numbers(list(sets), salt)
                 rows: dict[str, list] = {c: [] for c in ("bucket", "scheme", "nodes", "slack", "counts", "sigs")}
-                for sig, who, slack, j in signatures([s for _, s in sets], percent):
+                for sig, who, slack, j in signatures(list(sets.values()), percent):
                     bucket = (mix64(sig >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
                     order = np.lexsort((who, bucket))
                     sig, who, bucket = sig[order], who[order], bucket[order]
+                    start = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (who[1:] != who[:-1])]))
+                    count = np.diff(np.append(start, len(sig)))
+                    some, bucket = who[start], bucket[start]
+                    left = np.zeros(len(sets), np.int32)
+                    left[list(slack)] = list(slack.values())
                     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-                    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                        some, count = np.unique(who[a:b], return_counts=True)
+                    edge = np.append(start, len(sig))[cut]
+                    for a, b, x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                         rows["bucket"].append(int(bucket[a]))
                         rows["scheme"].append(j)
-                        rows["nodes"].append(b"".join(keys[i] for i in some.tolist()))
-                        rows["slack"].append(np.array([slack[i] for i in some.tolist()], np.int32).tobytes())
-                        rows["counts"].append(count.astype(np.int32).tobytes())
-                        rows["sigs"].append(sig[a:b].tobytes())
+                        rows["nodes"].append(nodes[some[a:b]].tobytes())
+                        rows["slack"].append(left[some[a:b]].tobytes())
+                        rows["counts"].append(narrow(count[a:b]))
+                        rows["sigs"].append(sig_bytes(sig[x:y]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows[c], t) for c, t in zip(rows, [pa.int32()] * 2 + [pa.binary()] * 4, strict=True)], names=list(rows)
                 )
@@ -242,7 +296,7 @@ def _signature_blobs(docs: DataFrame, width: int, percent: int, buckets: int) ->
     return docs.select("text").mapInArrow(thrifty_batches(run), "bucket int, scheme int, nodes binary, slack binary, counts binary, sigs binary")
 
 
-CANDIDATES = "a binary, b binary, sig long, scheme int, slack int, weight int, hub int"
+CANDIDATES = "a long, b long, sig long, scheme int, slack int, weight int, hub int"
 
 
 def _candidates(group: pa.Table) -> pa.Table:
@@ -251,16 +305,14 @@ def _candidates(group: pa.Table) -> pa.Table:
     whose hub one of them is; ``slack`` is the larger of both nodes'.  Rows without ``b``
     are the nodes of a signature that more have.
     """
-    code: dict[bytes, int] = {}
-    sig, node, slack, kind = [], [], [], []
-    for j, keys, left, count, sigs in zip(*(group.column(c).to_pylist() for c in ("scheme", "nodes", "slack", "counts", "sigs")), strict=True):
-        n = np.frombuffer(count, np.int32)
-        ids = np.array([code.setdefault(keys[i : i + 16], len(code)) for i in range(0, len(keys), 16)])
-        sig.append(np.frombuffer(sigs, np.uint64))
-        node.append(np.repeat(ids, n))
-        slack.append(np.repeat(np.frombuffer(left, np.int32), n))
-        kind.append(np.full(int(n.sum()), j, np.int32))
-    sig, node, slack, kind = (np.concatenate(x) for x in (sig, node, slack, kind))
+    cols = {c: group.column(c).to_pylist() for c in ("scheme", "nodes", "slack", "counts", "sigs")}
+    nodes = [np.frombuffer(x, np.int64) for x in cols["nodes"]]
+    each = np.concatenate([widened(x) for x in cols["counts"]])
+    names, node = np.unique(np.concatenate(nodes), return_inverse=True)
+    node = np.repeat(node, each)
+    slack = np.repeat(np.concatenate([np.frombuffer(x, np.int32) for x in cols["slack"]]), each)
+    kind = np.repeat(np.repeat(np.array(cols["scheme"], np.int32), [len(x) for x in nodes]), each)
+    sig = sigs_of(b"".join(cols["sigs"]))
     order = np.lexsort((node, sig))
     sig, node, slack, kind = sig[order], node[order], slack[order], kind[order]
     new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
@@ -268,7 +320,6 @@ def _candidates(group: pa.Table) -> pa.Table:
     weight = 1 + (sig & np.uint64(1)).astype(np.int64)
     start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.append(start, len(sig)))
-    names = sorted(code, key=code.get)
     left_, right_ = [], []  # rows
     for g in range(2, SMALL_GROUP + 1):
         rows = start[size == g][:, None] + np.arange(g)
@@ -280,12 +331,9 @@ def _candidates(group: pa.Table) -> pa.Table:
     big = size > SMALL_GROUP
     hot = np.repeat(big, size)
     if big.any():
-        rank = np.empty(len(names), np.int64)
-        rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-        back = np.argsort(rank)
-        least = np.minimum.reduceat(rank[node[hot]], np.concatenate([[0], np.cumsum(size[big])[:-1]]))
+        least = np.minimum.reduceat(node[hot], np.concatenate([[0], np.cumsum(size[big])[:-1]]))
         rows = np.flatnonzero(hot)
-        own = rows[rank[node[rows]] == np.repeat(least, size[big])]
+        own = rows[node[rows] == np.repeat(least, size[big])]
         left_.append(np.repeat(own, size[big]))
         right_.append(rows)
     x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left_, right_))
@@ -299,17 +347,15 @@ def _candidates(group: pa.Table) -> pa.Table:
     first[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (kind[x][1:] != kind[x][:-1])
     first = np.flatnonzero(first)
     total = lambda v: np.add.reduceat(v, first) if len(first) else v
-    ordered = [tuple(sorted((names[i], names[j]))) for i, j in zip(lo[first].tolist(), hi[first].tolist(), strict=True)]
-    some = node[hot].tolist()
 
     def column(of_pairs: np.ndarray | None, of_hot: np.ndarray | None, kind_: pa.DataType) -> pa.Array:
-        parts = [pa.nulls(n, kind_) if v is None else pa.array(v, kind_) for v, n in ((of_pairs, len(ordered)), (of_hot, len(some)))]
+        parts = [pa.nulls(n, kind_) if v is None else pa.array(v, kind_) for v, n in ((of_pairs, len(first)), (of_hot, int(hot.sum())))]
         return pa.concat_arrays(parts)
 
     return pa.table(
         {
-            "a": pa.array([p for p, _ in ordered] + [names[i] for i in some], pa.binary()),
-            "b": pa.array([q for _, q in ordered] + [None] * len(some), pa.binary()),
+            "a": column(names[lo[first]], names[node[hot]], pa.int64()),
+            "b": column(names[hi[first]], None, pa.int64()),
             "sig": column(None, sig[hot].view(np.int64), pa.int64()),
             "scheme": column(kind[x][first], kind[hot], pa.int32()),
             "slack": column(np.maximum(slack[x], slack[y])[first], slack[hot], pa.int32()),
@@ -319,8 +365,9 @@ def _candidates(group: pa.Table) -> pa.Table:
     )
 
 
-def _worth_checking(found: DataFrame, hot: DataFrame) -> DataFrame:
-    """The pairs (a, b) that can be linked by the weight that they have in common.
+def _worth_checking(found: DataFrame, hot: DataFrame) -> tuple[DataFrame, str]:
+    """The pairs (a, b) that can be linked by the weight that they have in common, and the
+    path of a written table that they are made of.
 
     A linked pair has more weight in common than the slack of either, in small and
     frequent signatures together.  Of the latter it has at most what either has; pairs
@@ -329,13 +376,14 @@ def _worth_checking(found: DataFrame, hot: DataFrame) -> DataFrame:
     """
     pairs = found.where("b is not null").groupBy("a", "b", "scheme")
     pairs = pairs.agg(F.sum("weight").alias("w"), F.sum("hub").alias("h"), F.max("slack").alias("s"))
+    pairs, path = written(pairs.where("w > 0 or h > s"), "ngram-weighed")
     sure, rest = pairs.where("w + h > s"), pairs.where("w + h <= s and w > 0")
     most = hot.groupBy("node", "scheme").agg(F.sum("weight").alias("most"))
     for side in ("a", "b"):
         of = most.select(F.col("node").alias(side), "scheme", F.col("most").alias(f"most_{side}"))
         rest = rest.join(of, [side, "scheme"])
     rest = rest.where("w + least(most_a, most_b) > s")
-    return sure.select("a", "b").union(rest.select("a", "b")).distinct()
+    return sure.select("a", "b").union(rest.select("a", "b")).distinct(), path
 
 
 def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -346,10 +394,11 @@ def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             packed = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(packed, pa.binary())], names=["row_key", "packed"])
 
-    found = docs.join(rows, "row_key").select("node", "text")
-    return found.mapInArrow(thrifty_batches(run), "node binary, packed binary")
+    # Packed before they are shuffled.
+    every = docs.select("row_key", "text").mapInArrow(thrifty_batches(run), "row_key binary, packed binary")
+    return every.join(rows, "row_key").select("node", "packed")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -358,7 +407,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     Pairs come together by ``a``, in as many groups as a hub has thousands of partners,
     and each set goes to a group once.
     """
-    n_groups = max(1, -(-pairs.count() // PAIRS_PER_GROUP))
+    n = pairs.count()
+    n_groups = max(1, -(-n // PAIRS_PER_GROUP))
     heavy = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_PER_GROUP).alias("parts"))
     dealt = pairs.join(heavy, "a").select(
         "a", "b", F.pmod(F.xxhash64("a"), F.lit(n_groups)).alias("g"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")
@@ -366,7 +416,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     dealt, path = written(dealt, "ngram-dealt")
     group = [F.col("g").alias("to_g"), F.col("part").alias("to_part")]
     need = dealt.select(*group, F.col("a").alias("node")).union(dealt.select(*group, "b")).distinct()
-    found = need.join(texts, "node")
+    found = texts.join(F.broadcast(need) if 2 * n <= FEW_ROWS else need, "node")
 
     def check(pairs_: pa.Table, texts_: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
@@ -391,32 +441,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             keep.append(100 * same >= percent * (len(p) + len(q) - same))
         return pairs_.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    checked = dealt.groupBy("g", "part").cogroup(found.groupBy("to_g", "to_part")).applyInArrow(thrifty(check), "a binary, b binary")
+    checked = dealt.groupBy("g", "part").cogroup(found.groupBy("to_g", "to_part")).applyInArrow(thrifty(check), "a long, b long")
     links = materialize(checked, "ngram-links")
     discard(pairs.sparkSession, path)
     return links
 
 
-def _open(hot: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of ``hot`` that links could still be missing for.
+def _open(hot: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows of ``hot`` that links could still be missing for; those of them and of others
+    that may be among them when there are more links; the paths of both, which are written.
 
-    Their signature spans several components.  Nodes of a link that hasn't been found
-    have in common more such weight than the slack of either.  So each node leaves out
-    its most frequent signatures, as much weight as its slack allows: the rarest one that
-    two such nodes have in common stays with both (beyond it, in the order of
-    frequency, all the common weight would have to fit in the slack).
+    Their signature spans several components (once it doesn't, it never will).  Nodes of a
+    link that hasn't been found have in common more such weight than the slack of either.
+    So each node leaves out its most frequent signatures, as much weight as its slack
+    allows: the rarest one that two such nodes have in common stays with both (beyond it,
+    in the order of frequency, all the common weight would have to fit in the slack).
     """
     rows = hot.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def spanning(x: DataFrame) -> DataFrame:
-        several = x.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
-        return x.join(several, "sig", "left_semi")
-
-    rows = spanning(rows)
-    rows = rows.join(rows.groupBy("sig").agg(F.count("*").alias("often")), "sig")
+    rows, path = written(rows, "ngram-rooted")
+    span = lambda x: x.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("often")).where("lo != hi")
+    spanning, kept = written(rows.join(span(rows).select("sig", "often"), "sig"), "ngram-spanning")
+    discard(hot.sparkSession, path)
     frequent_first = Window.partitionBy("node", "scheme").orderBy(F.col("often").desc(), F.col("sig").desc())
-    rows = rows.withColumn("so_far", F.sum("weight").over(frequent_first.rowsBetween(Window.unboundedPreceding, 0)))
-    return spanning(rows.where("so_far > slack").drop("often", "so_far"))
+    rows = spanning.withColumn("so_far", F.sum("weight").over(frequent_first.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.where("so_far > slack").drop("often", "so_far")
+    rest, path = written(rows.join(span(rows).select("sig"), "sig", "left_semi"), "ngram-open")
+    return rest, spanning.drop("root", "often"), [path, kept]
 
 
 def _hub_pairs(rows: DataFrame) -> DataFrame:
@@ -453,8 +503,10 @@ def _rare_tokens(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -
                         names=["token", "node", "root", "size"],
                     )
 
-    found = nodes.join(texts.dropDuplicates(["node"]), "node").select("node", "root", "packed")
-    rows = found.mapInArrow(thrifty_batches(run), "token long, node binary, root binary, size long")
+    some = F.broadcast(nodes) if nodes.count() <= FEW_ROWS else nodes
+    found = texts.join(some, "node").dropDuplicates(["node"]).select("node", "root", "packed")
+    kind = nodes.schema["node"].dataType.simpleString()
+    rows = found.mapInArrow(thrifty_batches(run), f"token long, node {kind}, root {kind}, size long")
     same = Window.partitionBy("token")
     rows = rows.withColumns({"often": F.count("*").over(same), "lo": F.min("root").over(same), "hi": F.max("root").over(same)})
     rows = rows.where("lo != hi").drop("lo", "hi")
@@ -472,8 +524,8 @@ def _common(s: np.ndarray, t: np.ndarray, percent: int) -> np.ndarray:
 def _family_pairs(group: pa.Table, percent: int) -> pa.Table:
     """Pairs across components with a token of a group in common that can be the first
     of enough common ones, each once."""
-    names, node = np.unique(np.array(group.column("node").to_pylist(), object), return_inverse=True)
-    _, root = np.unique(np.array(group.column("root").to_pylist(), object), return_inverse=True)
+    names, node = np.unique(group.column("node").to_numpy(), return_inverse=True)
+    _, root = np.unique(group.column("root").to_numpy(), return_inverse=True)
     token, size, place = (group.column(c).to_numpy() for c in ("token", "size", "place"))
     order = np.lexsort((node, token))
     node, root, token, size, place = (x[order] for x in (node, root, token, size, place))
@@ -493,7 +545,8 @@ def _family_pairs(group: pa.Table, percent: int) -> pa.Table:
             near = (place[a] <= size[a] - least) & (place[b] <= size[b] - least)
             found = np.union1d(found, node[a[near]] * len(names) + node[b[near]])
     a, b = np.divmod(found, max(1, len(names)))
-    return pa.table({"a": pa.array(names[a].tolist(), pa.binary()), "b": pa.array(names[b].tolist(), pa.binary())})
+    kind = group.schema.field("node").type
+    return pa.table({"a": pa.array(names[a].tolist(), kind), "b": pa.array(names[b].tolist(), kind)})
 
 
 def _rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -508,7 +561,8 @@ def _rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
     parts = sizes.where(F.col("n") <= FAMILY).groupBy("first").agg(F.ceil(F.sum("n") / FAMILY_ROWS).alias("parts"))
     some = rows.join(sizes.join(parts, "first"), "token").where(F.col("n") <= FAMILY)
     some = some.select("token", "node", "root", "size", "place", "first", F.pmod(F.xxhash64("token"), F.col("parts")).alias("part"))
-    near = some.groupBy("first", "part").applyInArrow(thrifty(lambda group: _family_pairs(group, percent)), "a binary, b binary")
+    kind = rows.schema["node"].dataType.simpleString()
+    near = some.groupBy("first", "part").applyInArrow(thrifty(lambda group: _family_pairs(group, percent)), f"a {kind}, b {kind}")
     wide = rows.join(sizes.where(F.col("n") > FAMILY).select("token"), "token", "left_semi")
     x = wide.select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "place")))
     y = wide.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "size", "place")))
@@ -528,15 +582,17 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     reachable by links), row_key (a hash of the row's id and text) and root (the
     component, null without n-grams)."""
     docs = docs.select("doc_id", "text", row_key().alias("row_key"))
-    table = materialize(_node_table(docs, width), "ngram-nodes")
+    table, salt = _nodes(docs, width)
     tokens = table.agg(F.sum("n_shingles")).first()[0] or 0
-    # About 0.56 signatures a token, of eight bytes.
+    # About 0.56 signatures a token, which take eight bytes in a task.
     buckets = max(1, int(tokens * 4.5) // BUCKET_BYTES, min(partitions(docs.sparkSession), int(tokens) // 100_000))
-    blobs = _signature_blobs(docs, width, percent, buckets)
+    blobs = _signature_blobs(docs, width, percent, buckets, salt)
     found = materialize(blobs.groupBy("bucket").applyInArrow(thrifty(_candidates), CANDIDATES), "ngram-candidates")
     release(docs.sparkSession)
     hot = found.where("b is null").select(F.col("a").alias("node"), "sig", "scheme", "slack", "weight")
-    pairs = materialize(_worth_checking(found, hot), "ngram-pairs")
+    pairs, path = _worth_checking(found, hot)
+    pairs = materialize(pairs, "ngram-pairs")
+    discard(docs.sparkSession, path)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
     rows = table.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
     texts = materialize(_texts(docs, rows), "ngram-texts")
@@ -545,9 +601,11 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
     links = _verified(pairs, texts, width, percent)
     roots = components(links)
     release(docs.sparkSession)
-    hubs = HUB_ROUNDS
+    hubs, before = HUB_ROUNDS, []
     while True:
-        rest, path = written(_open(hot, roots), "ngram-open")
+        rest, hot, (path, kept) = _open(hot, roots)
+        discard(docs.sparkSession, *before)
+        before = [kept]
         if rest.isEmpty():
             break
         paths = [path]
@@ -570,6 +628,8 @@ def ngram_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
         # Without new links the next hubs would be the same.
         hubs = 0 if new.isEmpty() else hubs - 1
 
+    discard(docs.sparkSession, *before)
+
     # Only nodes of several rows or with links differ from their own id.
     least = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     least = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -171,3 +171,41 @@ def test_rare_tokens_find_every_link(spark):
     met = {(bytes(r.a), bytes(r.b)) for r in N._rare_pairs(rows, 80).collect()}
     linked = {(p, q) for p in sets for q in sets if p < q and 100 * len(np.intersect1d(sets[p], sets[q])) >= 80 * len(np.union1d(sets[p], sets[q]))}
     assert linked and linked <= met and len(met) < len(sets) * (len(sets) - 1) // 2
+
+
+def test_signatures_take_few_bytes():
+    """What is shuffled is 6 bytes a signature, and 13 for each set that has some in a bucket."""
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(20)]
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+
+    batches = N._signature_blobs(Docs(), 5, 80, 16)
+    size = {c: sum(len(x) for b in batches for x in b.column(c).to_pylist()) for c in ("nodes", "slack", "counts", "sigs")}
+    n_sigs = sum(len(sig) for sig, *_ in N.signatures(N.sets_of(pa.array(texts), 5), 80))
+    n_rows = sum(b.num_rows for b in batches)
+    assert size["sigs"] == 6 * n_sigs
+    assert size["nodes"] + size["slack"] + size["counts"] <= 13 * size["nodes"] // 8 + n_rows
+    # The signatures return as they were dealt, in each bucket by set.
+    dealt = np.concatenate([N.sigs_of(x) for b in batches for x in b.column("sigs").to_pylist()])
+    made = np.concatenate([sig for sig, *_ in N.signatures(N.sets_of(pa.array(texts), 5), 80)])
+    assert sorted(dealt.tolist()) == sorted(made.tolist())
+
+
+def test_sets_of_the_same_number_get_others(frame, monkeypatch):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m n"), (4, ""), (5, "o p q")]
+    table, salts = N._node_table, []
+
+    def alike(docs, width, salt):
+        salts.append(salt)
+        made = table(docs, width, salt)
+        return made.selectExpr("doc_id", "row_key", "n_shingles", "key", "if(node is null, null, 7L) as node") if salt == 0 else made
+
+    monkeypatch.setattr(N, "_node_table", alike)
+    assert found(frame, rows, monkeypatch) == brute(rows)
+    assert salts == [0, 1]
