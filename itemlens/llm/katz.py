@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemlens.llm.arrays import mix64, slices, thrifty, thrifty_batches, words
+from itemlens.llm.arrays import distinct, mix64, slices, thrifty, thrifty_batches, words
 from itemlens.llm.common import discard, partitions, release, written
 from itemlens.session import materialize, scratch_path
 
@@ -179,7 +179,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 n = np.concatenate([w.counts() for w in pieces])
                 hashes = np.concatenate([np.insert(w.hashes, w.offsets[1:], END) for w in pieces])
                 del pieces
-                vocab, codes = np.unique(hashes, return_inverse=True)
+                vocab, _, codes = distinct(hashes)
                 held = _held(ids)
                 train = np.repeat(~held, n + 1)
                 counts, others = (np.bincount(codes[x], minlength=len(vocab)) for x in (train, ~train))
@@ -247,7 +247,7 @@ def _unigram_counts(chunks: DataFrame, buckets: int, split_tokens: int) -> DataF
     def answer(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         asked = [np.frombuffer(x, np.uint64) for x in group.column("words").to_pylist()]
-        table, place = np.unique(np.concatenate(asked), return_inverse=True)
+        table, _, place = distinct(np.concatenate(asked))
         r, o = (_added(group, c, place, len(table)) for c in ("counts", "others"))
         order = np.argsort(-(r + o), kind="stable")
         rank = np.empty_like(order)
@@ -337,7 +337,7 @@ class Chunk:
         keys = np.where(self.place[at] == 0, self.words, below.local[at - 1]).astype(np.int64)
         keys *= self.words
         keys += self.codes[at]
-        keys, each = np.unique(keys, return_inverse=True)
+        keys, _, each = distinct(keys)
         h, w = (x.astype(np.int32) for x in np.divmod(keys, max(self.words, 1)))
         spread = mix64(below.number[h].astype(np.uint64))
         parts = 1 + below.more[h]
@@ -345,7 +345,8 @@ class Chunk:
             spread = np.where(parts > 1, mix64(spread + mix64(base.number[w].astype(np.uint64)) % parts.astype(np.uint64)), spread)
         bucket = bucket_of(spread, self.buckets).astype(np.int32)
         del spread, parts
-        order = np.argsort(bucket, kind="stable")
+        # Two bytes are sorted by their digits.
+        order = np.argsort(bucket.astype(np.uint16) if self.buckets <= 1 << 16 else bucket, kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         each, h, w, bucket = rank[each], h[order], w[order], bucket[order]
@@ -451,21 +452,20 @@ def _counts(asked: DataFrame, level: int, last: bool, model: Unigrams, below: tu
         bucket = group.column("bucket")[0].as_py()
         cols = {c: [None if x is None else unpack(x) for x in group.column(c).to_pylist()] for c in ("fan", "words", "low_c", "low_mode", "split")}
         histories = [unpack_rising(x) for x in group.column("history").to_pylist()]
-        history, first, h_no = np.unique(np.concatenate(histories), return_index=True, return_inverse=True)
+        history, first, h_no = distinct(np.concatenate(histories))
         split = np.concatenate(cols["split"])[first] > 0
         sizes = [len(x) for x in cols["words"]]
-        known, word = np.unique(np.concatenate(cols.pop("words")), return_inverse=True)
-        grams = np.repeat(h_no, np.concatenate(cols["fan"]))
+        known, _, word = distinct(np.concatenate(cols.pop("words")))
+        grams = np.repeat(h_no, np.concatenate(cols["fan"])).astype(np.int64)
         grams *= len(known)
         grams += word
         del word
-        grams, entry = np.unique(grams, return_inverse=True)
-        entry = entry.astype(np.int32)
+        grams, _, entry = distinct(grams)
         h, w = (x.astype(np.int32) for x in np.divmod(grams, len(known)))
         r, o = (_added(group, c, entry, len(grams)) for c in ("counts", "others"))
         counts = np.concatenate([unpack(x) for x in group.column("low").to_pylist()])
         if below is None:
-            _, own = np.unique(np.concatenate([unpack_rising(x) for x in group.column("own").to_pylist()]), return_index=True)
+            _, own, _ = distinct(np.concatenate([unpack_rising(x) for x in group.column("own").to_pylist()]))
             p = model.p(counts[own])[w]
         else:
             low = np.empty(len(grams), np.int64)
@@ -473,7 +473,9 @@ def _counts(asked: DataFrame, level: int, last: bool, model: Unigrams, below: tu
             c, mode = (np.concatenate(cols[x])[first] for x in ("low_c", "low_mode"))
             p = seen_p(low, c[h], mode[h], *below)
         n = len(history)
-        sums = np.stack([*(np.bincount(h[r == k], minlength=n) for k in range(1, CUT + 1)), np.bincount(h[r > 0], minlength=n), np.bincount(h, weights=np.where(r > 0, p, 0), minlength=n)], 1).astype(float)
+        low_r = r <= CUT
+        by_count = np.bincount(h[low_r] * np.int64(CUT + 1) + r[low_r], minlength=n * (CUT + 1)).reshape(n, CUT + 1)
+        sums = np.column_stack([by_count[:, 1:], np.bincount(h[r > 0], minlength=n), np.bincount(h, weights=np.where(r > 0, p, 0), minlength=n)]).astype(float)
         mode = np.where(split, SPLIT, modes(sums))
         rows, at, run_at = [], 0, 0
         for i, chunk in enumerate(group.column("chunk").to_pylist()):

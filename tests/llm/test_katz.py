@@ -163,3 +163,15 @@ def test_thrifty_functions_keep_their_arguments(spark):
     both = spark.range(4).groupBy("id").cogroup(spark.range(2).groupBy("id")).applyInArrow(thrifty(lambda a, b: b), "id long")
     batches = spark.range(4).mapInArrow(thrifty_batches(lambda it: it), "id long")
     assert [x.count() for x in (one, both, batches)] == [4, 2, 4]
+
+
+def test_numbers_by_a_plain_sort_are_those_of_unique():
+    from itemlens.llm.arrays import distinct
+
+    rng = np.random.default_rng(3)
+    alike = np.uint64(2**63) + rng.integers(0, 40, 500, np.uint64)  # different, though not in their leading bits
+    for x in (np.zeros(0, np.int64), np.zeros(4, np.int64), rng.integers(0, 50, 1000), rng.integers(0, 2**62, 1000), rng.integers(0, 2**64, 900, np.uint64).repeat(3), alike, np.array([3, -1, 3])):
+        values, first, place = distinct(x)
+        want = np.unique(x, return_index=True, return_inverse=True)
+        assert values.dtype == x.dtype and place.dtype == np.int32
+        assert all(np.array_equal(a, b) for a, b in zip((values, first, place), want, strict=True))
